@@ -61,9 +61,13 @@ def clean_post(text) -> Column:
     return F.regexp_replace(removed, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
 
 
+# Fixed value: what counts as a word character for the analyzer (letters, marks, numbers, _).
+WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
+
+
 def analyzed_words(text) -> Column:
     """Standard-analyzer style word split, lower-cased (no stemming)."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"(?U)\w+"), 0)
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD_PATTERN), 0)
 
 
 def tokenize(text, lang=None) -> Column:

@@ -1 +1,180 @@
-"""Registered queries (q_search)."""
+"""Registered text, search and graph queries over `documents` (whole texts)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.functions import text as TX
+from tidewatch.operators import graph as G
+from tidewatch.operators.search import search, term_stats
+from tidewatch.plans.catalog import register
+from tidewatch.plans.query import QuerySpec, run_query
+from tidewatch.sources.tables import doc_posts, table
+
+R = 6
+WORD_SQL = r"[\p{L}\p{M}\p{N}_]+"
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in TX.ENGLISH_STOP_WORDS) + "]"
+BANNED_SQL = "[" + ", ".join(f"'{w}'" for w in TX.NOT_ALLOWED_TOKENS) + "]"
+
+CLEAN_SQL = (
+    r"regexp_replace(list_reduce(list_concat(regexp_extract_all(text, '(https?://[^\s]+)', 1), "
+    r"list_transform(regexp_extract_all(text, '(?i)@([a-z0-9_]+)', 1), lambda n: '@' || n)), "
+    r"lambda acc, w: replace(acc, w, ''), text), '^\s+|\s+$', '', 'g')"
+)
+WORDS_SQL = f"regexp_extract_all(lower({CLEAN_SQL}), '{WORD_SQL}')"
+TOKENS_SQL = (
+    f"list_filter(list_distinct(CASE WHEN lang = 'en' THEN list_filter({WORDS_SQL}, lambda w: NOT list_contains({STOP_SQL}, w)) "
+    f"ELSE {WORDS_SQL} END), lambda w: NOT list_contains({BANNED_SQL}, w) AND length(trim(w)) > 1)"
+)
+DOCPOSTS_SQL = f"""(SELECT CAST(doc_id AS VARCHAR) AS tweetid, doc_id, text, lang, source,
+        {TOKENS_SQL} AS tokens,
+        CAST((doc_id * 37) % 101 AS DOUBLE) / CAST(100.0 AS DOUBLE) AS flood_probability
+ FROM documents)"""
+
+
+@register("tokenize_documents", f"SELECT doc_id, list_sort({TOKENS_SQL}) AS tokens FROM documents")
+def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """X3 (+X2, X20, A15): tokens of every whole document, as a sorted set."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.array_sort(TX.tokenize(F.col("text"), F.col("lang"))).alias("tokens"))
+
+
+@register("clean_documents", f"SELECT doc_id, {CLEAN_SQL} AS clean FROM documents")
+def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """URLs and @names removed (plain replace of what was found), trimmed."""
+    return table(spark, sf, "documents").select("doc_id", TX.clean_post("text").alias("clean"))
+
+
+@register(
+    "hashtags_documents",
+    r"""SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'),
+               lambda w: starts_with(w, '#') AND length(w) < 256),
+               lambda w: regexp_replace(w, '^[#.,\-"''&*^!]+|[#.,\-"''&*^!]+$', '', 'g')) AS hashtags
+FROM documents WHERE text LIKE '%#%'""",
+)
+def hashtags_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashtags of documents that contain a '#', in text order."""
+    d = table(spark, sf, "documents").filter(F.col("text").contains("#"))
+    return d.select("doc_id", TX.hashtags("text").alias("hashtags"))
+
+
+@register("normalize_documents")
+def normalize_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """X1 over whole documents (Unicode regex semantics; checked against Python `re` in tests)."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", TX.normalize_aggressive("text").alias("normalized"))
+
+
+@register(
+    "slug_parts",
+    r"SELECT p_partkey, regexp_replace(p_name || ' ' || p_type, '[^\p{L}\p{M}\p{N}_]+', '_', 'g') AS slug FROM part",
+)
+def slug_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Non-word runs -> '_'."""
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", TX.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
+
+
+def _bm25_sql(words: list[str], fields: list[str], source: str) -> str:
+    wl = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    parts = []
+    for f in fields:
+        fw = f"regexp_extract_all(lower({f}), '{WORD_SQL}')" if f != "tokens" else \
+            f"flatten(list_transform(tokens, lambda x: regexp_extract_all(lower(x), '{WORD_SQL}')))"
+        parts.append(f"""
+fw_{f} AS (SELECT tweetid, {fw} AS w FROM {source} s),
+st_{f} AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM fw_{f} WHERE len(w) > 0),
+h_{f} AS (SELECT tweetid, len(w) AS dl, word, count(*) AS tf FROM (SELECT tweetid, w, unnest(w) AS word FROM fw_{f}) x
+          WHERE list_contains({wl}, word) GROUP BY tweetid, len(w), word),
+df_{f} AS (SELECT word, count(*) AS df FROM h_{f} GROUP BY word),
+s_{f} AS (SELECT tweetid, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / st.avgdl))) AS score
+          FROM h_{f} JOIN df_{f} USING (word), st_{f} st GROUP BY tweetid)""")
+    union = " UNION ALL ".join(f"SELECT * FROM s_{f}" for f in fields)
+    return "WITH " + ",".join(parts) + f""",
+best AS (SELECT tweetid, max(score) AS score FROM ({union}) u GROUP BY tweetid)"""
+
+
+SEARCH_Q = "river der water que flood"
+
+
+@register(
+    "search_documents",
+    _bm25_sql(["river", "der", "water", "que", "flood"], ["text", "tokens"], DOCPOSTS_SQL)
+    + "\nSELECT tweetid, round(score, 6) AS score FROM best",
+)
+def search_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """F8 (+X20, P12): BM25 multi-field search over whole texts and tokens; every match."""
+    hits = search(doc_posts(spark, sf), SEARCH_Q, ["text", "tokens"])
+    return hits.select("tweetid", F.round("score", R).alias("score"))
+
+
+@register(
+    "search_query_top",
+    _bm25_sql(["ouen", "thes", "ation"], ["text", "tokens"], DOCPOSTS_SQL)
+    + """
+SELECT d.tweetid, d.lang, round(best.score, 6) AS score FROM best JOIN """ + DOCPOSTS_SQL + """ d USING (tweetid)
+WHERE d.flood_probability >= 0.2 ORDER BY best.score DESC, d.tweetid LIMIT 20""",
+)
+def search_query_top(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1 with search (F9, L3, L4): unscored filter, then relevance order only (the
+    requested order_by is ignored when searching), size 20."""
+    from tidewatch.operators.filters import lookup_filter
+
+    spec = QuerySpec.from_params({"search": "ouen thes ation", "size": "20", "order_by": "-flood_probability"})
+    hits = search(doc_posts(spark, sf), spec.search, ["text", "tokens"], where=lookup_filter("flood_probability", "gte", 0.2))
+    rows = hits.orderBy(*spec.sort_columns()).limit(spec.size)
+    return rows.select("tweetid", "lang", F.round("score", R).alias("score"))
+
+
+@register(
+    "term_stats_tokens",
+    f"SELECT name, count(*) AS size FROM (SELECT unnest(tokens) AS name FROM {DOCPOSTS_SQL} d) x GROUP BY name",
+)
+def term_stats_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Corpus-wide frequency of every token."""
+    return term_stats(doc_posts(spark, sf), "tokens")
+
+
+def _children_sql(term: str, source: str = DOCPOSTS_SQL) -> str:
+    return f"""
+WITH d AS (SELECT tweetid, doc_id, flood_probability, tokens FROM {source} s),
+st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d WHERE len(tokens) > 0),
+dfc AS (SELECT count(*) AS df FROM d WHERE list_contains(tokens, '{term}')),
+m AS (SELECT d.*, ln(1 + (st.n - dfc.df + 0.5) / (dfc.df + 0.5)) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * len(tokens) / st.avgdl)) AS score
+      FROM d, st, dfc WHERE list_contains(tokens, '{term}') AND flood_probability > 0.6 AND flood_probability <= 1.0),
+top AS (SELECT * FROM m ORDER BY score DESC, tweetid LIMIT 10),
+names AS (SELECT DISTINCT unnest(tokens) AS name FROM top),
+ttf AS (SELECT unnest(tokens) AS name, count(*) AS size FROM d GROUP BY 1)
+SELECT '{term}' AS parent, names.name AS name, ttf.size AS size FROM names JOIN ttf USING (name) WHERE names.name <> '{term}'
+"""
+
+
+@register("term_children_que", _children_sql("que"))
+def term_children_que(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 (+J5, A12, F11, L9): tokens co-occurring with 'que' in its top-10 relevant docs."""
+    spark_root = spark.range(1).select(F.lit("que").alias("parent"))
+    return G.term_children(doc_posts(spark, sf), spark_root)
+
+
+@register("term_graph_der")
+def term_graph_der(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-level graph around 'der' (level 2 for every child in one keyed join)."""
+    return G.term_graph(doc_posts(spark, sf), "der")
+
+
+@register("term_graph_json")
+def term_graph_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph around 'que' as one nested JSON document."""
+    return G.graph_json(G.term_graph(doc_posts(spark, sf), "que"))
+
+
+@register(
+    "page_links",
+    r"""SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*\shref="([^"]*)"', 1))) AS links,
+       list_sort(list_distinct(regexp_extract_all(html, '(?i)<img[^>]*\ssrc="([^"]*)"', 1))) AS media FROM pages""",
+)
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """X6 over raw pages: distinct link targets and image sources of every page."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.array_sort(TX.links("html")).alias("links"), F.array_sort(TX.media_links("html")).alias("media"))

@@ -95,14 +95,13 @@ class QuerySpec:
 def filtered(df: DataFrame, spec: QuerySpec) -> DataFrame:
     """unscored filters AND-ed, then (if searching) scored search as a must clause."""
     pred = build_filter(spec.filters, dict(df.dtypes), tz=spec.tz, now=spec.now, allowed=spec.allowed_filters)
-    out = df if pred is None else df.filter(pred)
     if spec.search:
         from tidewatch.operators.search import search as bm25
 
-        out = bm25(out, spec.search, [f for f in spec.search_fields if f in out.columns])
-    else:
-        out = out.withColumn("score", F.lit(0.0))  # P12: score = relevance or 0
-    return out
+        # relevance statistics are corpus-wide; the filters only select rows
+        return bm25(df, spec.search, [f for f in spec.search_fields if f in df.columns], where=pred)
+    out = df if pred is None else df.filter(pred)
+    return out.withColumn("score", F.lit(0.0))  # P12: score = relevance or 0
 
 
 def run_query(df: DataFrame, spec: QuerySpec, id_col: str = "tweetid") -> tuple[DataFrame | None, dict[str, DataFrame]]:
