@@ -167,7 +167,7 @@ def geo_segments_cells_only(spark: SparkSession, sf: str) -> DataFrame:
                      ", seg AS (SELECT o_orderstatus, o_orderpriority FROM r2 WHERE rn <= 10 AND doc_count >= 5)")
     + """
 SELECT seg.o_orderstatus AS seg_o_orderstatus, seg.o_orderpriority AS seg_o_orderpriority, count(*) AS n_docs,
-       round(sum(o.o_totalprice), 2) AS total_price
+       round(sum(o.o_totalprice), 6) AS total_price
 FROM orders o JOIN seg ON o.o_orderstatus = seg.o_orderstatus AND o.o_orderpriority = seg.o_orderpriority
 GROUP BY 1, 2""",
 )
@@ -177,4 +177,4 @@ def cluster_members_orders(spark: SparkSession, sf: str) -> DataFrame:
     segs = C.cluster_segments(orders, ["o_orderstatus", "o_orderpriority"])
     members = C.assign_clusters(orders, segs, ["o_orderstatus", "o_orderpriority"], id_col="o_orderkey")
     return members.groupBy("seg_o_orderstatus", "seg_o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+        F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("o_totalprice"), 6).alias("total_price"))

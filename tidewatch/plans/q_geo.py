@@ -1 +1,118 @@
-"""Registered queries (q_geo)."""
+"""Registered geo-join queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.operators import geojoin as GJ
+from tidewatch.plans.catalog import register
+from tidewatch.sources.tables import POSTS_SQL, posts, table
+
+R = 6
+
+# SQL form of the synthetic country layer (same rectangles as countries_from_nations)
+_RECT = "[{{'lon': CAST({lo} AS DOUBLE), 'lat': CAST({la} AS DOUBLE)}}, {{'lon': CAST({lo} + {w} AS DOUBLE), 'lat': CAST({la} AS DOUBLE)}}, " \
+        "{{'lon': CAST({lo} + {w} AS DOUBLE), 'lat': CAST({la} + {h} AS DOUBLE)}}, {{'lon': CAST({lo} AS DOUBLE), 'lat': CAST({la} + {h} AS DOUBLE)}}]"
+_LO, _LA = "((n_nationkey % 10) * 36 - 180)", "(floor(n_nationkey / 10) * 24 - 60)"
+COUNTRIES_SQL = f"""(SELECT CAST(n_nationkey AS INTEGER) AS fid, n_name AS name,
+  CASE WHEN n_nationkey % 5 = 0
+       THEN [{_RECT.format(lo=_LO + ' - 18', la=_LA + ' - 12', w=60, h=40)}, {_RECT.format(lo=_LO + ' - 8', la=_LA + ' - 4', w=8, h=8)}]
+       ELSE [{_RECT.format(lo=_LO, la=_LA, w=36, h=24)}] END AS rings
+ FROM nation)"""
+
+_RING_SQL = ("list_reduce(range(len(r)), lambda acc, i: CASE WHEN ((r[i + 1].lat > plat) != (r[CASE WHEN i = 0 THEN len(r) ELSE i END].lat > plat)) "
+             "AND plon < (r[CASE WHEN i = 0 THEN len(r) ELSE i END].lon - r[i + 1].lon) * (plat - r[i + 1].lat) / "
+             "(r[CASE WHEN i = 0 THEN len(r) ELSE i END].lat - r[i + 1].lat) + r[i + 1].lon THEN NOT acc ELSE acc END, false)")
+
+
+@register(
+    "country_of_posts",
+    f"""WITH p AS (SELECT tweetid, lat AS plat, lon AS plon FROM {POSTS_SQL} p),
+c AS (SELECT * FROM {COUNTRIES_SQL} c),
+hits AS (SELECT p.tweetid, c.fid, c.name FROM p JOIN c ON true
+         WHERE list_reduce(list_transform(c.rings, lambda r: CASE WHEN {_RING_SQL} THEN 1 ELSE 0 END), lambda a, b: a + b, 0) % 2 = 1),
+first AS (SELECT tweetid, arg_min(name, fid) AS country FROM hits GROUP BY tweetid)
+SELECT p.tweetid, first.country FROM p LEFT JOIN first ON p.tweetid = first.tweetid""",
+)
+def country_of_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 (+X15, W2): point in polygon (holes, overlaps: first feature wins), NULL at sea."""
+    layer = GJ.countries_from_nations(table(spark, sf, "nation"))
+    out = GJ.country_of(posts(spark, sf).select("tweetid", "location"), layer)
+    return out.select("tweetid", "country")
+
+
+def _gaz(spark: SparkSession, sf: str) -> DataFrame:
+    nat = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    return nat.select(F.col("n_name").alias("place"), ((F.floor(k / 10) * 24 - 60) + 12).cast("double").alias("lat"),
+                      ((k % 10) * 36 - 180 + 18).cast("double").alias("lon"))
+
+
+_GAZ_SQL = """(SELECT lower(n_name) AS pk, CAST(floor(n_nationkey / 10) * 24 - 60 + 12 AS DOUBLE) AS lat,
+        CAST((n_nationkey % 10) * 36 - 180 + 18 AS DOUBLE) AS lon FROM nation)"""
+
+
+@register(
+    "geocode_customers",
+    f"""WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'nowhere' ELSE '  ' || upper(n_name) || ' ' END AS place
+           FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, place, g.lat AS lat, g.lon AS lon
+FROM c LEFT JOIN {_GAZ_SQL} g ON lower(regexp_replace(trim(place), '\\s+', ' ', 'g')) = g.pk""",
+)
+def geocode_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Place strings (untrimmed, upper-case, some unknown) -> gazetteer coordinates."""
+    cust = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    place = F.when(F.col("c_acctbal") < 0, F.lit("nowhere")).otherwise(F.concat(F.lit("  "), F.upper("n_name"), F.lit(" ")))
+    df = cust.select("c_custkey", place.alias("place"))
+    out = GJ.geocode(df, _gaz(spark, sf))
+    return out.select("c_custkey", "place", F.col("geo.lat").alias("lat"), F.col("geo.lon").alias("lon"))
+
+
+@register(
+    "nearest_place_posts",
+    f"""WITH p AS (SELECT tweetid, lat, lon, user_id FROM {POSTS_SQL} p),
+g AS (SELECT n_nationkey AS k, n_name AS place, CAST(floor(n_nationkey / 10) * 24 - 60 + 12 AS DOUBLE) AS glat,
+             CAST((n_nationkey % 10) * 36 - 180 + 18 AS DOUBLE) AS glon FROM nation),
+c AS (SELECT p.tweetid, x.i, g.place, g.glat, g.glon, p.lat, p.lon
+      FROM p CROSS JOIN (VALUES (0, 0), (1, 7), (2, 13)) x(i, off) JOIN g ON g.k = (p.user_id + x.off) % 25),
+d AS (SELECT *, 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians(glat) - radians(lat)) / 2), 2)
+        + cos(radians(lat)) * cos(radians(glat)) * pow(sin((radians(glon) - radians(lon)) / 2), 2)))) AS dist FROM c)
+SELECT tweetid, arg_min(place, (dist, i)) AS place FROM d WHERE dist < 20460000 GROUP BY tweetid""",
+)
+def nearest_place_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 (+X10): of three candidate places per post, the nearest to the post's location."""
+    p = posts(spark, sf).select("tweetid", "user_id", "location")
+    gz = _gaz(spark, sf).withColumn("k", F.monotonically_increasing_id())
+    nat = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    cand_tab = nat.select(k.alias("k"), F.struct(F.col("n_name").alias("place"),
+                                                  ((F.floor(k / 10) * 24 - 60) + 12).cast("double").alias("lat"),
+                                                  ((k % 10) * 36 - 180 + 18).cast("double").alias("lon")).alias("c"))
+    # candidate list per post: nations user_id, +7, +13 (mod 25), in that order
+    tagged = p.select("tweetid", "location", F.posexplode(F.array(
+        (F.col("user_id") % 25), ((F.col("user_id") + 7) % 25), ((F.col("user_id") + 13) % 25))).alias("i", "k"))
+    joined = tagged.join(cand_tab, "k").groupBy("tweetid", "location").agg(
+        F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cs"))
+    joined = joined.withColumn("cands", F.transform("cs", lambda x: x["c"]))
+    out = GJ.nearest_candidate(joined, "cands", "location")
+    del gz
+    return out.select("tweetid", F.col("nearest.place").alias("place")).filter(F.col("place").isNotNull())
+
+
+@register("country_names", "SELECT CAST(n_nationkey AS INTEGER) AS fid, n_name AS name FROM nation")
+def country_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the layer in layer order."""
+    return GJ.country_names(GJ.countries_from_nations(table(spark, sf, "nation")))
+
+
+@register(
+    "filter_layer_south",
+    "SELECT CAST(n_nationkey AS INTEGER) AS fid, n_name AS name, 'N' || CAST(n_nationkey AS VARCHAR) AS iso2 "
+    "FROM nation WHERE floor(n_nationkey / 10) * 24 - 60 < 0 AND n_nationkey % 5 <> 0",
+)
+def filter_layer_south(spark: SparkSession, sf: str) -> DataFrame:
+    """A predicate over features (simple rectangles wholly or partly south of the equator)."""
+    layer = GJ.countries_from_nations(table(spark, sf, "nation"))
+    pred = (F.size("rings") == 1) & (F.array_min(F.transform(F.element_at("rings", 1), lambda p: p["lat"])) < 0)
+    return GJ.filter_layer(layer, pred).select("fid", "name", "iso2")

@@ -1 +1,264 @@
-"""Registered queries (q_ingest)."""
+"""Registered ingest and keyed-write queries (S2-S8, S12, S14, W3, A13, P-ops, C2-C4)."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.operators import cluster as C
+from tidewatch.operators import keyed as K
+from tidewatch.operators.aggs import outcome_counts
+from tidewatch.operators.normalize import normalize, renormalize
+from tidewatch.plans.catalog import register
+from tidewatch.plans.q_cluster import categorize_sql
+from tidewatch.sources import ingest as IN
+from tidewatch.sources.tables import posts, table
+
+R = 6
+
+
+def _order_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Order versions derived from lineitem: one version per line, the last line wins."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_linenumber").alias("version"),
+        F.col("l_linestatus").alias("o_orderstatus"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("o_totalprice"),
+    )
+
+
+_LATEST_SQL = """(SELECT o_orderkey, arg_max(o_orderstatus, (version, o_totalprice, o_orderstatus)) AS o_orderstatus,
+        arg_max(o_totalprice, (version, o_totalprice, o_orderstatus)) AS o_totalprice
+ FROM (SELECT l_orderkey AS o_orderkey, l_linenumber AS version, l_linestatus AS o_orderstatus,
+              l_extendedprice * (1 - l_discount) AS o_totalprice FROM lineitem) v GROUP BY o_orderkey)"""
+
+
+@register(
+    "upsert_outcomes",
+    f"""SELECT CASE WHEN o.o_orderkey IS NULL THEN 'created' ELSE 'updated' END AS outcome, count(*) AS n
+FROM {_LATEST_SQL} u LEFT JOIN orders o ON u.o_orderkey = o.o_orderkey GROUP BY 1""",
+)
+def upsert_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 + W3 + A13: upsert line-derived order versions (last line wins); tally outcomes."""
+    base = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    _, outcomes = K.upsert(base, _order_updates(spark, sf), "o_orderkey", order_col=["version", "o_totalprice", "o_orderstatus"])
+    return outcome_counts(outcomes)
+
+
+@register(
+    "upsert_merged",
+    f"""SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM (
+  SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_LATEST_SQL} x)
+  UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM {_LATEST_SQL} y) m""",
+)
+def upsert_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged table (replace-or-insert by key)."""
+    base = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    merged, _ = K.upsert(base, _order_updates(spark, sf), "o_orderkey", order_col=["version", "o_totalprice", "o_orderstatus"])
+    return merged.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+@register(
+    "delete_returned_orders",
+    """SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN
+  (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+)
+def delete_returned_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Delete by an id set computed by a previous step (anti join)."""
+    ids = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
+    return K.delete_by_id(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ids, "o_orderkey")
+
+
+@register(
+    "update_order_totals",
+    """SELECT o.o_orderkey, o.o_orderstatus,
+       round(CASE WHEN p.o_orderkey IS NOT NULL THEN p.total ELSE o.o_totalprice END, 6) AS o_totalprice
+FROM orders o LEFT JOIN (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total
+                         FROM lineitem GROUP BY 1) p ON o.o_orderkey = p.o_orderkey""",
+)
+def update_order_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Partial update - recomputed totals merged into orders, other columns unchanged."""
+    li = table(spark, sf, "lineitem")
+    patch = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("o_totalprice"))
+    base = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    out = K.update_fields(base, patch, "o_orderkey")
+    return out.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+@register(
+    "lookup_building_orders",
+    """SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN
+  (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""",
+)
+def lookup_building_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Point lookup of an id set (semi join)."""
+    ids = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("o_custkey"))
+    return K.lookup(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ids, "o_custkey").drop("o_custkey")
+
+
+@register(
+    "archive_scan_orders",
+    """SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders
+WHERE strftime(o_orderdate, '%Y-%m') IN ('1995-03', '1995-04', '1995-05')
+  AND o_orderdate >= TIMESTAMP '1995-03-10 00:00:00' AND o_orderdate < TIMESTAMP '1995-05-20 00:00:00'
+  AND o_orderstatus = 'F'""",
+)
+def archive_scan_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Month-bucket + time-range + collection scan of an archive (orders by month)."""
+    arch = table(spark, sf, "orders").withColumn("monthbucket", F.date_format("o_orderdate", "yyyy-MM"))
+    out = IN.scan_archive(arch, datetime(1995, 3, 10), datetime(1995, 5, 20), collection="F", ts="o_orderdate",
+                          collection_col="o_orderstatus")
+    return out.select("o_orderkey", "o_orderdate", "o_orderstatus")
+
+
+@register(
+    "gate_raw_events",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events "
+    "WHERE json_valid(props) AND value IS NOT NULL AND user_id IS NOT NULL",
+)
+def gate_raw_events(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + P2/P7: parse the JSON body, drop unparsable / missing annotation / missing
+    coordinates rows, read a path from the parsed body."""
+    ev = table(spark, sf, "events").select("event_id", F.col("props").alias("tweet"),
+                                           F.col("value").alias("annotations"), F.col("user_id").alias("latlong"))
+    g = IN.gate_raw(ev)
+    return g.select("event_id", F.variant_get("tweet", "$.k", "bigint").alias("k"))
+
+
+@register("conform_posts")
+def conform_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts restricted/cast to the fixed post schema (missing columns NULL)."""
+    return IN.conform(posts(spark, sf))
+
+
+@register("geojson_posts")
+def geojson_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """One GeoJSON Feature per post."""
+    return IN.to_geojson(posts(spark, sf).drop("props"))
+
+
+def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw nested posts derived from events (JSON text), in the shapes the normalizer
+    accepts: an envelope in half of them, point / bounding box / place-name locations,
+    scalar or [label, p] probabilities, ISO or platform timestamps, and some records
+    that must be rejected (no annotations, unsupported language)."""
+    ev = table(spark, sf, "events")
+    nat = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    ev = ev.join(nat, (ev.user_id % 25) == nat.n_nationkey, "left")
+    eid = F.col("event_id")
+    lat = ((F.col("user_id") * 7919) % 12000).cast("double") / 100.0 - 60.0
+    lon = ((F.col("user_id") * 104729) % 34000).cast("double") / 100.0 - 170.0
+    p = (F.col("value") / 500.0).cast("string")
+    prob = F.when(eid % 4 == 0, F.format_string('["yes", %s]', p)).when(eid % 4 == 1, F.lit('["no", 0.9]')).otherwise(p)
+    ann = F.when(eid % 53 == 0, F.lit("")).otherwise(F.format_string(',"annotations":{"flood_probability":%s}', prob))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    plat = F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy")
+    ts_ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").cast("string")
+    created = F.when(eid % 3 == 0, plat).otherwise(iso)
+    text = F.format_string("Flood %s near %s #%s @user%s http://x.example/%s", F.col("event_type"), F.col("n_name"),
+                           F.col("event_type"), F.col("user_id"), eid)
+    lang = F.when(eid % 41 == 0, F.lit("xx")).otherwise(F.lit("en"))
+    geo = (F.when(eid % 5 == 0, F.format_string('"coordinates":{"type":"Point","coordinates":[%s,%s]}', lon, lat))
+           .when(eid % 5 == 1, F.format_string('"place":{"name":"%s","full_name":"%s, X","country":"C%s","bounding_box":'
+                                               '{"type":"Polygon","coordinates":[[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]}}',
+                                               F.col("n_name"), F.col("n_name"), F.col("n_nationkey"),
+                                               lon, lat, lon + 1, lat, lon + 1, lat + 1, lon, lat + 1))
+           .otherwise(F.format_string('"user":{"id":%s,"name":"u%s","location":" %s "}', F.col("user_id"),
+                                      F.col("user_id"), F.col("n_name"))))
+    body = F.format_string('{"id":%s,"created_at":"%s","timestamp_ms":"%s","text":"%s","lang":"%s",%s,'
+                           '"entities":{"hashtags":[{"text":"%s","indices":[0,1]}],'
+                           '"media":[{"media_url":"http://m.example/%s.jpg","media_url_https":"https://m.example/%s.jpg"}]}}',
+                           eid, created, ts_ms, text, lang, geo, F.col("event_type"), eid, eid)
+    outer = F.when(eid % 2 == 0, F.format_string('{"tweetid":"%s","lang":"en"%s,"tweet":%s}', eid, ann, body)) \
+        .otherwise(F.format_string('{"tweetid":"%s"%s,"tweet":%s}', eid, ann, F.concat(F.lit('"'), F.regexp_replace(body, '"', '\\\\"'), F.lit('"'))))
+    return ev.select(eid.alias("event_id"), outer.alias("raw"))
+
+
+def _gazetteer(spark: SparkSession, sf: str) -> DataFrame:
+    from tidewatch.operators.geojoin import countries_from_nations  # noqa: F401
+
+    nat = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    return nat.select(F.col("n_name").alias("place"),
+                      ((F.floor(k / 10) * 24 - 60) + 12).cast("double").alias("lat"),
+                      ((k % 10) * 36 - 180 + 18).cast("double").alias("lon"))
+
+
+@register("normalize_raw_posts")
+def normalize_raw_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalize raw nested posts; ok rows."""
+    from tidewatch.operators.geojoin import countries_from_nations
+
+    ok, _ = normalize(raw_posts(spark, sf), _gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")),
+                      now=datetime(2024, 2, 1))
+    return ok
+
+
+@register("normalize_rejects")
+def normalize_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """P13 rejects: records that cannot be normalized, with a reason (never an abort)."""
+    _, rej = normalize(raw_posts(spark, sf), now=datetime(2024, 2, 1))
+    return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("renormalize_posts")
+def renormalize_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Full scan + re-normalize of already-normalized rows (idempotent)."""
+    from tidewatch.operators.geojoin import countries_from_nations
+
+    ok, _ = normalize(raw_posts(spark, sf), _gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")),
+                      now=datetime(2024, 2, 1))
+    again, _ = renormalize(ok, _gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")),
+                           now=datetime(2024, 2, 1))
+    return again
+
+
+# ------------------------------------------------------------------ C2-C4 flows on parts
+
+_PARTS_BIG = "(SELECT * FROM part WHERE p_size >= 40) s"
+
+
+@register("categorize_query_parts",
+          categorize_sql("(SELECT 0 AS grp, * FROM part WHERE p_size >= 40 AND p_type = 'ECONOMY') s",
+                         ["grp"], "p_partkey", "p_name").replace("SELECT d.grp,", "SELECT"))
+def categorize_query_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """A filtered list categorized as one cluster."""
+    from tidewatch.plans.flows import categorize_list
+
+    p = table(spark, sf, "part").filter((F.col("p_size") >= 40) & (F.col("p_type") == "ECONOMY"))
+    out = categorize_list(p, "p_partkey", "p_name")
+    return out.withColumn("centrality", F.round("centrality", R))
+
+
+_C3_SRC = """(SELECT p.*, s.p_type AS seg_p_type, s.p_size AS seg_p_size FROM part p JOIN (
+   SELECT p_type, p_size FROM (
+     SELECT p_type, p_size, count(*) AS n, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_size) AS rn
+     FROM part WHERE p_type IN (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 10)
+     GROUP BY 1, 2) x WHERE rn <= 10 AND n >= 5) s ON p.p_type = s.p_type AND p.p_size = s.p_size) q"""
+
+
+@register("categorize_clusters_parts",
+          categorize_sql(_C3_SRC, ["seg_p_type", "seg_p_size"], "p_partkey", "p_name"))
+def categorize_clusters_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested-terms segments (type > size), their docs, C1 inside each segment."""
+    from tidewatch.plans.flows import categorize_clusters
+
+    out = categorize_clusters(table(spark, sf, "part"), ["p_type", "p_size"], "p_partkey", "p_name", time_field="-")
+    return out.select("seg_p_type", "seg_p_size", "p_partkey", "p_name", "multiplicity",
+                      F.round("centrality", R).alias("centrality"), "representative", "rank_key")
+
+
+@register(
+    "mark_representative_parts",
+    "SELECT p_partkey, representative FROM ("
+    + categorize_sql("part", ["p_brand", "p_type"], "p_partkey", "p_name") + ") c",
+)
+def mark_representative_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The split written back onto the base table as a boolean flag."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    flags = C.categorize(parts, ["p_brand", "p_type"], "p_partkey", "p_name").select("p_partkey", "representative")
+    return K.mark_flag(parts, flags, "p_partkey").select("p_partkey", "representative")
