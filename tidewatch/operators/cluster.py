@@ -158,7 +158,9 @@ def categorize(
     return out.select(
         "*",
         (F.col("_c") > 0).alias("representative"),
-        (F.col("multiplicity") * F.floor(F.col("_c")).cast("long")).alias("rank_key"),
+        # int(centrality) of the exact value: sums that should be an integer may land a
+        # hair below it after decimal rounding of each term, so round first
+        (F.col("multiplicity") * F.floor(F.round(F.col("_c"), 9)).cast("long")).alias("rank_key"),
     ).withColumn("centrality", F.col("_c").cast("double")).drop("_c")
 
 

@@ -64,7 +64,7 @@ SELECT {', '.join('d.' + c for c in keys)}, d.id AS {id_col}, d.txt AS {text_col
        CAST(greatest(g.nm, 1) AS BIGINT) AS multiplicity,
        CASE WHEN g.nd > 0 THEN 0.0 ELSE round(2 * g.ssum, 6) END AS centrality,
        (g.nd = 0) AS representative,
-       CAST(greatest(g.nm, 1) * floor(CASE WHEN g.nd > 0 THEN 0 ELSE 2 * g.ssum END) AS BIGINT) AS rank_key
+       CAST(greatest(g.nm, 1) * floor(round(CASE WHEN g.nd > 0 THEN 0 ELSE 2 * g.ssum END, 9)) AS BIGINT) AS rank_key
 FROM d JOIN g ON {' AND '.join(f'd.{c} = g.{c}' for c in keys)} AND d.id = g.xid
 """
 
