@@ -61,8 +61,9 @@ def clean_post(text) -> Column:
     return F.regexp_replace(removed, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
 
 
-# Fixed value: what counts as a word character for the analyzer (letters, marks, numbers, _).
-WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+"
+# Fixed value: analyzer words - runs of letters, marks, numbers and _, where a single
+# '.', apostrophe or right single quote between two such runs does not split ("t.co", "it's").
+WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+(?:[.'\u2019][\p{L}\p{M}\p{N}_]+)*"
 
 
 def analyzed_words(text) -> Column:

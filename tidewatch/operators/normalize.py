@@ -27,12 +27,16 @@ PRESERVE_USER = ("id", "name", "screen_name", "location", "description", "follow
                  "listed_count", "favourites_count", "statuses_count", "created_at", "utc_offset", "time_zone",
                  "lang", "profile_image_url")
 
-# A few very common words per supported language (language profile).
+# Very common words per supported language (language profiles).
 LANGUAGE_PROFILES = {
-    "en": ("the", "and", "of", "to", "is", "in", "that", "it", "was", "for", "with", "are", "this"),
-    "fr": ("le", "la", "les", "des", "est", "et", "une", "du", "dans", "qui", "pour", "pas", "que"),
-    "es": ("el", "los", "las", "del", "y", "es", "una", "por", "con", "para", "que", "se", "en"),
-    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "den", "mit", "sich", "von"),
+    "en": ("the", "and", "of", "to", "is", "in", "that", "it", "was", "for", "with", "are", "this", "on", "you",
+           "have", "be", "at", "not", "by", "from", "they", "we", "our", "has"),
+    "fr": ("le", "la", "les", "des", "est", "et", "une", "du", "dans", "qui", "pour", "pas", "que", "de", "un",
+           "au", "aux", "sur", "ce", "il", "elle", "sont", "avec", "mais", "nous"),
+    "es": ("el", "los", "las", "del", "y", "es", "una", "por", "con", "para", "que", "se", "en", "de", "la",
+           "un", "al", "lo", "como", "pero", "esta", "este", "muy", "hay", "sin"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "den", "mit", "sich", "von", "im",
+           "auf", "dem", "des", "auch", "es", "wird", "sind", "wir", "ich", "bei", "nach"),
 }
 
 
@@ -90,8 +94,9 @@ def detect_language(text: Column, fallback: Column) -> Column:
     for lang, ws in LANGUAGE_PROFILES.items():
         profile = F.array(*[F.lit(x) for x in ws])
         hits = F.size(F.filter(words, lambda w: F.array_contains(profile, w)))
-        scores.append(F.struct(hits.alias("n"), F.lit(lang).alias("lang")))
-    best = F.greatest(*scores)
+        own = F.coalesce(fallback == F.lit(lang), F.lit(False))
+        scores.append(F.struct(hits.alias("n"), own.alias("own"), F.lit(lang).alias("lang")))
+    best = F.greatest(*scores)  # most hits; ties go to the record's own language
     return F.when(best["n"] > 0, best["lang"]).otherwise(fallback)
 
 

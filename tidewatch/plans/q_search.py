@@ -13,7 +13,7 @@ from tidewatch.plans.query import QuerySpec, run_query
 from tidewatch.sources.tables import doc_posts, table
 
 R = 6
-WORD_SQL = r"[\p{L}\p{M}\p{N}_]+"
+WORD_SQL = r"[\p{L}\p{M}\p{N}_]+(?:[.''\x{2019}][\p{L}\p{M}\p{N}_]+)*"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in TX.ENGLISH_STOP_WORDS) + "]"
 BANNED_SQL = "[" + ", ".join(f"'{w}'" for w in TX.NOT_ALLOWED_TOKENS) + "]"
 
