@@ -164,3 +164,37 @@ def countries_from_nations(nation: DataFrame) -> DataFrame:
 def region_of(points: DataFrame, regions: DataFrame, **kw) -> DataFrame:
     """Region assignment is the same first-match polygon join with a region layer."""
     return country_of(points, regions, out="region", **kw)
+
+
+def text_places(df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", max_n: int = 4) -> DataFrame:
+    """X14 (re-aimed): place names mentioned in the text -> (key, places array<struct<pos,
+    place, lat, lon>>) in text order.
+
+    Word n-grams (1..max_n) of each text are equi-joined with the gazetteer keys; a match
+    lying inside a longer match is dropped (longest match wins). The per-key list is bounded
+    by the n-grams of one text.
+    """
+    from tidewatch.functions.text import WORD_PATTERN
+
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), 0)
+    def ngram(n: int):
+        # a one-argument lambda per n (F.transform reads a second argument as the index)
+        return lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"),
+                                  F.array_join(F.slice(words, i + 1, n), " ").alias("g"))
+
+    grams = []
+    for n in range(1, max_n + 1):
+        idx = F.sequence(F.lit(0), F.size(words) - n)
+        grams.append(F.when(F.size(words) >= n, F.transform(idx, ngram(n)))
+                     .otherwise(F.array().cast("array<struct<pos:int,n:int,g:string>>")))
+    g = df.select(F.col(key).alias("_k"), F.explode(F.flatten(F.array(*grams))).alias("gram"))
+    g = g.select("_k", "gram.pos", "gram.n", place_key(F.col("gram.g")).alias("_pk"))
+    gz = gazetteer.select(place_key("place").alias("_pk"), F.col("place"), "lat", "lon") \
+        .groupBy("_pk").agg(F.min(F.struct("place", "lat", "lon")).alias("_g"))
+    hits = g.join(gz, "_pk").select("_k", "pos", "n", "_g")
+    per = hits.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", "_g")).alias("m"))
+    longest = F.filter("m", lambda m: ~F.exists("m", lambda o: (o["n"] > m["n"]) & (o["pos"] <= m["pos"])
+                                                   & (o["pos"] + o["n"] >= m["pos"] + m["n"])))
+    ordered = F.array_sort(F.transform(longest, lambda m: F.struct(
+        m["pos"].alias("pos"), m["_g"]["place"].alias("place"), m["_g"]["lat"].alias("lat"), m["_g"]["lon"].alias("lon"))))
+    return per.select(F.col("_k").alias(key), ordered.alias("places"))

@@ -48,6 +48,8 @@ def term_children(df: DataFrame, parents: DataFrame, key: str = "tweetid", token
                   max_docs: int | None = schema.GRAPH_MAX_DOCS, lo: float = 0.6, hi: float = 1.0,
                   sizes: DataFrame | None = None) -> DataFrame:
     """G1 for every term in `parents(parent)` at once -> (parent, name, size)."""
+    if sizes is None:
+        df = df.select(key, tokens, "flood_probability").persist()
     top = _top_docs(df, parents, key, tokens, max_docs, lo, hi)
     kids = top.join(_postings(df, key, tokens), "_k").select("parent", "name").distinct()
     kids = kids.filter(F.col("name") != F.col("parent"))
@@ -60,6 +62,8 @@ def term_graph(df: DataFrame, term: str, key: str = "tweetid", tokens: str = "to
     """Edges (level, parent, name, size); level 1 = children of `term`, level 2 =
     children of each level-1 child (which may contain the root again)."""
     spark = df.sparkSession
+    # tokens are computed once and shared by postings, sizes and both levels
+    df = df.select(key, tokens, "flood_probability").persist()
     sizes = term_stats(df.select(tokens), tokens)
     root = spark.range(1).select(F.lit(term.lower()).alias("parent"))
     lvl1 = term_children(df, root, key, tokens, max_docs, sizes=sizes)

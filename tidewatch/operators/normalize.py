@@ -49,15 +49,20 @@ def _has(v: Column, key: str) -> Column:
     return F.variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
-def lift_envelope(v: Column) -> Column:
-    """The inner `tweet` (object or JSON string) with outer keys it does not have.
+def _envelope_is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$.tweet", "map<string,variant>").isNotNull()
 
-    Returned as a variant built by merging: inner keys override outer keys; `tweet` removed.
-    """
+
+def envelope_text(v: Column) -> Column:
+    """The envelope's JSON text when it arrived as a JSON string (else NULL)."""
+    return F.when(~_envelope_is_object(v), _get(v, "$.tweet", "string"))
+
+
+def lift_envelope(v: Column) -> Column:
+    """The inner `tweet` record (object, or JSON string parsed); NULL without one.
+    Field reads prefer it over the outer record (see `first_path`)."""
     tw = _get(v, "$.tweet", "variant")
-    inner = F.when(F.coalesce(F.schema_of_variant(tw).startswith("STRING"), F.lit(False)),
-                   F.try_parse_json(_get(tw, "$", "string"))).otherwise(tw)
-    return inner
+    return F.when(_envelope_is_object(v), tw).otherwise(F.try_parse_json(envelope_text(v)))
 
 
 def first_path(v: Column, inner: Column, path: str, typ: str = "string") -> Column:
@@ -69,7 +74,7 @@ def first_path(v: Column, inner: Column, path: str, typ: str = "string") -> Colu
 def flood_probability(v: Column) -> Column:
     """P5: scalar, or ["yes"|"no", p] -> p when "yes" else 0; missing -> NULL (rejected)."""
     fp = _get(v, "$.annotations.flood_probability", "variant")
-    is_arr = F.coalesce(F.schema_of_variant(fp).startswith("ARRAY"), F.lit(False))
+    is_arr = F.try_variant_get(fp, "$", "array<variant>").isNotNull()
     pair = F.when(_get(fp, "$[0]") == F.lit("yes"), _get(fp, "$[1]", "double")).otherwise(F.lit(0.0))
     return F.when(is_arr, pair).otherwise(_get(fp, "$", "double"))
 
@@ -87,42 +92,48 @@ def repair_timestamp(created_at: Column, timestamp_ms: Column, now: datetime | N
 
 
 def detect_language(text: Column, fallback: Column) -> Column:
-    """F12 (approximation): the supported language whose common words occur most often in
+    """F12 (approximation): the supported language with the most distinct common words in
     the text; no hits -> the record's own language."""
     words = analyzed_words(text)
     scores = []
     for lang, ws in LANGUAGE_PROFILES.items():
         profile = F.array(*[F.lit(x) for x in ws])
-        hits = F.size(F.filter(words, lambda w: F.array_contains(profile, w)))
+        hits = F.size(F.array_intersect(words, profile))  # distinct profile words present
         own = F.coalesce(fallback == F.lit(lang), F.lit(False))
         scores.append(F.struct(hits.alias("n"), own.alias("own"), F.lit(lang).alias("lang")))
     best = F.greatest(*scores)  # most hits; ties go to the record's own language
     return F.when(best["n"] > 0, best["lang"]).otherwise(fallback)
 
 
-def _record_strings(v: Column) -> Column:
-    """Every string value at any depth of the record (for hashtag collection, X5)."""
-    # variant -> JSON text -> all string literals; keys are dropped by pairing them with ':'
-    js = F.to_json(v)
-    vals = F.regexp_extract_all(js, F.lit(r'"((?:[^"\\]|\\.)*)"\s*(?!:)'), 1)
-    return vals
+def record_json(raw: Column, v: Column) -> Column:
+    """The record's JSON text for the any-depth collectors: the raw text itself, plus the
+    envelope's own text when it arrived as an (escaped) JSON string."""
+    env = envelope_text(v)
+    return F.when(env.isNotNull(), F.concat(raw, F.lit(" "), env)).otherwise(raw)
+
 
+def collect_hashtags(js: Column) -> Column:
+    """Hashtags from every string value of the record (whitespace-separated words that
+    start with '#', shorter than 256 chars, X4 stripping) plus the `text` of entity objects
+    in `hashtags` lists; distinct, sorted. `js` is the record's JSON text: inside a JSON
+    string a word ends at whitespace, at the closing quote or at an escape."""
+    from tidewatch.functions.text import HASHTAG_STRIP
 
-def collect_hashtags(v: Column) -> Column:
-    """Hashtags from every string of the record (X4 on each) plus the `text` of every
-    entity object in `hashtags` lists; distinct, sorted."""
-    strings = _record_strings(v)
-    from_text = F.flatten(F.transform(strings, lambda s: hashtags(s)))
-    ents = F.regexp_extract_all(F.to_json(v), F.lit(r'"hashtags"\s*:\s*\[[^\]]*?"text"\s*:\s*"([^"]*)"'), 1)
-    all_ents = F.regexp_extract_all(F.to_json(v), F.lit(r'\{"indices":\[[0-9,]*\],"text":"([^"]*)"\}'), 1)
-    return F.array_sort(F.array_distinct(F.concat(from_text, ents, all_ents)))
+    words = F.regexp_extract_all(js, F.lit(r'[\s"](#[^\s"\\]*)'), 1)
+    words = F.filter(words, lambda w: F.length(w) < 256)
+    strip = "[" + "".join("\\" + c for c in HASHTAG_STRIP) + "]+"
+    from_text = F.transform(words, lambda w: F.regexp_replace(w, F.lit(f"^{strip}|{strip}$"), F.lit("")))
+    ents = F.regexp_extract_all(js, F.lit(r'"hashtags"\s*:\s*\[\s*\{[^\]]*?"text"\s*:\s*"([^"]*)"'), 1)
+    all_ents = F.regexp_extract_all(js, F.lit(r'\{\s*"indices"\s*:\s*\[[0-9, ]*\]\s*,\s*"text"\s*:\s*"([^"]*)"\s*\}'), 1)
+    found = F.array_sort(F.array_distinct(F.concat(from_text, ents, all_ents)))
+    return F.when(F.instr(js, "#") > 0, found).otherwise(F.array().cast("array<string>"))
 
 
-def collect_media_urls(v: Column) -> Column:
-    """media_url / media_url_https of objects inside lists at any depth; distinct, sorted."""
-    js = F.to_json(v)
+def collect_media_urls(js: Column) -> Column:
+    """media_url / media_url_https values at any depth of the record; distinct, sorted."""
     urls = F.regexp_extract_all(js, F.lit(r'"media_url(?:_https)?"\s*:\s*"([^"]*)"'), 1)
-    return F.array_sort(F.array_distinct(F.transform(urls, lambda u: F.replace(u, F.lit("\\/"), F.lit("/")))))
+    found = F.array_sort(F.array_distinct(F.transform(urls, lambda u: F.replace(u, F.lit("\\/"), F.lit("/")))))
+    return F.when(F.instr(js, "media_url") > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def _split(df: DataFrame, cond: Column) -> DataFrame:
@@ -138,7 +149,8 @@ def _split(df: DataFrame, cond: Column) -> DataFrame:
 
 def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: DataFrame | None = None,
               raw_col: str = "raw", now: datetime | None = None, languages=schema.LANGUAGES,
-              prefer_user_place: bool = True, detect: bool = True) -> tuple[DataFrame, DataFrame]:
+              prefer_user_place: bool = True, detect: bool = True,
+              use_text_places: bool = True) -> tuple[DataFrame, DataFrame]:
     """Full normalization -> (ok rows in POST_SCHEMA, rejects(raw, reason)).
 
     language -> timestamp -> geotag (point, bounding-box mean, location point/ring,
@@ -150,6 +162,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     base = raw.select(F.col(raw_col).alias("_raw"), v0.alias("_v"))
     v = F.col("_v")
     base = base.select("*", lift_envelope(v).alias("_in"))
+    base = base.select("*", record_json(F.col("_raw"), v).alias("_js"))
     i = F.col("_in")
     g = lambda path, typ="string": first_path(v, i, path, typ)
     merged = F.coalesce(i, v)
@@ -162,11 +175,10 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     # X11: point, bounding-box ring mean, location point or ring
     coord_lon, coord_lat = g("$.coordinates.coordinates[0]", "double"), g("$.coordinates.coordinates[1]", "double")
     point = F.when(coord_lat.isNotNull() & coord_lon.isNotNull(), F.struct(coord_lat.alias("lat"), coord_lon.alias("lon")))
-    bbox = F.from_json(F.to_json(g("$.place.bounding_box.coordinates", "variant")), "array<array<array<double>>>")
+    bbox = g("$.place.bounding_box.coordinates", "array<array<array<double>>>")
     ring_mean = mean_point(F.element_at(bbox, 1))
-    loc_geo = g("$.location.geo.coordinates", "variant")
-    loc_point = F.from_json(F.to_json(loc_geo), "array<double>")
-    loc_ring = F.from_json(F.to_json(loc_geo), "array<array<double>>")
+    loc_point = g("$.location.geo.coordinates", "array<double>")
+    loc_ring = g("$.location.geo.coordinates", "array<array<double>>")
     loc_geo_pt = F.coalesce(
         F.when(F.size(loc_point) == 2, F.struct(loc_point[1].alias("lat"), loc_point[0].alias("lon"))),
         mean_point(loc_ring))
@@ -189,8 +201,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         F.trim(g("$.place")).alias("_place_str"),
         *[_get(merged, f"$.user.{k}", "bigint" if k.endswith("count") or k in ("id", "utc_offset") else "string")
           .alias(f"user_{k}") for k in PRESERVE_USER],
-        collect_hashtags(v).alias("_tags"),
-        collect_media_urls(v).alias("media_urls"),
+        collect_hashtags(F.col("_js")).alias("_tags"),
+        collect_media_urls(F.col("_js")).alias("media_urls"),
     )
     # X13 + J2: geocode place names (distinct keys once) when no direct location
     if gazetteer is not None:
@@ -207,6 +219,20 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     # place chosen by the geotag step: the record's place name, or the author's place
     geo_place = F.when(F.col("_loc_direct").isNotNull() | geo_t.isNotNull(), F.col("_place_tweet")).when(
         geo_u.isNotNull(), F.col("_place_user"))
+    if gazetteer is not None and use_text_places:
+        # Exactly one place named in the text wins; several -> the nearest to the
+        # record's (or author's) location, or the first when there is none
+        from tidewatch.operators.geojoin import nearest_candidate, text_places
+
+        tp = text_places(df.select("_raw", "text"), gazetteer, "_raw")
+        df = df.join(tp, "_raw", "left").withColumn("_ref", loc)
+        df = nearest_candidate(df.withColumn("_cands", F.coalesce(F.col("places"), F.array())), "_cands", "_ref")
+        n_tp = F.size(F.col("_cands"))
+        pick = F.when(n_tp == 1, F.element_at("_cands", 1)).when(n_tp > 1, F.col("nearest"))
+        pick_loc = F.when(pick.isNotNull(), F.struct(pick["lat"].alias("lat"), pick["lon"].alias("lon")))
+        geo_place = F.when(pick.isNotNull(), pick["place"]).otherwise(geo_place)
+        loc = F.coalesce(pick_loc, loc)
+        df = df.withColumn("_pick", pick)
     df = df.withColumn("location", loc).withColumn("_geo_place", geo_place)
     df = df.withColumn("tweetid", F.col("_id"))
     # X15 + J1: polygon country; when the geotag gave no place name, a structured place

@@ -52,11 +52,14 @@ def search(df: DataFrame, query: str, fields=schema.SEARCH_FIELDS, key: str = "t
     wlit = F.array(*[F.lit(w) for w in words])
     scored = []
     for f in fields:
+        # one pass over the field: its length and only the query words it contains; the
+        # small result feeds both the corpus statistics and the postings (analyzed once)
         fw = df.select(F.col(key).alias("_k"), _field_words(df, f).alias("_w"))
-        fw = fw.select("_k", "_w", F.size("_w").alias("dl"))
-        stats = fw.filter(F.col("dl") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        small = fw.select("_k", F.size("_w").alias("dl"),
+                          F.filter("_w", lambda w: F.array_contains(wlit, w)).alias("hw")).persist()
+        stats = small.filter(F.col("dl") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         n_docs, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-        hits = (fw.select("_k", "dl", F.explode(F.filter("_w", lambda w: F.array_contains(wlit, w))).alias("word"))
+        hits = (small.filter(F.size("hw") > 0).select("_k", "dl", F.explode("hw").alias("word"))
                 .groupBy("_k", "dl", "word").agg(F.count(F.lit(1)).alias("tf")))
         dfreq = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
