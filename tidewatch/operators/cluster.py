@@ -140,10 +140,18 @@ def categorize(
     links = near_pairs.select(*keys, F.col("a").alias("s"), F.col("b").alias("t")).unionByName(
         near_pairs.select(*keys, F.col("b").alias("s"), F.col("a").alias("t")))
     links = links.unionByName(texts.select(*keys, F.col("ntext").alias("s"), F.col("ntext").alias("t")))
-    q = docs.select(*keys, F.col("ntext").alias("s"), "id").join(links, [*keys, "s"])
-    m = docs.select(*keys, F.col("ntext").alias("t"), "id")
-    greater = count_greater(q.select(*keys, "s", "t", "id"), m.join(links, [*keys, "t"]).select(*keys, "s", "t", "id"), [*keys, "s", "t"])
-    mult = greater.groupBy(*keys, "id").agg(F.sum("n_greater").alias("n_greater"))
+    # A text with one copy contributes [its id > id(d)] (a join); only texts with several
+    # copies need the two-level rank count.
+    tinfo = texts.select(*keys, F.col("ntext").alias("t"), F.col("n").alias("n_t"), F.col("minid").alias("min_t"))
+    q = docs.select(*keys, F.col("ntext").alias("s"), "id").join(links, [*keys, "s"]).join(tinfo, [*keys, "t"])
+    single = q.filter(F.col("n_t") == 1).groupBy(*keys, "id").agg(
+        F.sum(F.when(F.col("min_t") > F.col("id"), 1).otherwise(0)).alias("n_greater"))
+    multi_q = q.filter(F.col("n_t") > 1).select(*keys, "s", "t", "id")
+    multi_m = (docs.select(*keys, F.col("ntext").alias("t"), "id")
+               .join(tinfo.filter(F.col("n_t") > 1).select(*keys, "t"), [*keys, "t"])
+               .join(links, [*keys, "t"]).select(*keys, "s", "t", "id"))
+    greater = count_greater(multi_q, multi_m, [*keys, "s", "t"]).select(*keys, "id", "n_greater")
+    mult = single.unionByName(greater).groupBy(*keys, "id").agg(F.sum("n_greater").alias("n_greater"))
 
     out = docs.join(per_text, [*keys, "ntext"]).join(mult, [*keys, "id"], "left")
     is_dup = F.col("id") > F.col("dup_min")
