@@ -106,3 +106,16 @@ def backfill_geotags_posts(spark: SparkSession, sf: str) -> DataFrame:
     )
     merged, _, _ = J.backfill_geotags(p, _gaz(spark, sf))
     return merged.select("tweetid", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"))
+
+
+@register("representative_stream_events", categorize_sql(_FRAMES_SRC, ["frame", "country"], "event_id", "text"))
+def representative_stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2 as a stream: events staged per 15-minute frame, each frame split once it closes."""
+    stream = posts_from_events(J.read_table_stream(spark, sf, "events"))
+    stream = stream.select("created_at", "country", F.col("id_num").alias("event_id"),
+                           F.concat_ws(" ", "country", "props").alias("text"))
+    out = J.scratch(spark, "frames")
+    J.run_representative_stream(stream, ["country"], out, f"{out}/checkpoint", id_col="event_id", text_col="text")
+    res = J.read_representative_flags(spark, out)
+    return res.select(F.col("frame").cast("timestamp_ntz").alias("frame"), "country", "event_id", "text",
+                      "multiplicity", F.round("centrality", R).alias("centrality"), "representative", "rank_key")

@@ -139,3 +139,64 @@ def backfill_geotags(base: DataFrame, gazetteer: DataFrame, countries: DataFrame
     kept = K.delete_by_id(base, deleted, key)
     merged, _ = K.upsert(kept, tagged, key)
     return merged, deleted, tagged
+
+
+def run_representative_stream(posts: DataFrame, terms: list[str], out: str, checkpoint: str,
+                              frame: str = schema.STREAM_FRAME, id_col: str = "tweetid", text_col: str = "text",
+                              lateness_s: int = 15 * 60) -> None:
+    """ST2 as a stream: each micro-batch is staged by frame (tumbling window on created_at);
+    frames whose end is older than (latest event time - lateness) are closed and split
+    (C1 over the whole frame x terms) exactly once; remaining frames are flushed when the
+    input ends (AvailableNow). Rows arriving for an already closed frame are staged but
+    only picked up by a later batch re-run of that frame (late data policy).
+
+    Layout under `out`: staged/ (rows by frame), flags/ (split results), closed/ (frame ids).
+    """
+    from tidewatch.operators.cluster import categorize
+
+    spark = posts.sparkSession
+    framed_cols = [F.window(F.col("created_at").cast("timestamp"), frame).start.alias("frame"),
+                   F.col("created_at").cast("timestamp").alias("created_at"), *terms, id_col, text_col]
+
+    def close(frames: DataFrame, batch_id: int) -> None:
+        # record the frames first (a small written table), then split exactly those
+        frames.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/closed")
+        now_closed = spark.read.parquet(f"{out}/closed").filter(F.col("_batch") == batch_id).select("frame")
+        staged = spark.read.parquet(f"{out}/staged").join(now_closed, "frame", "left_semi")
+        res = categorize(staged, ["frame", *terms], id_col, text_col)
+        res.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/flags")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*framed_cols)
+        rows.write.mode("append").parquet(f"{out}/staged")  # frame is a column (no small-file fan-out)
+        staged = spark.read.parquet(f"{out}/staged")
+        horizon = staged.agg((F.max("created_at") - F.expr(f"INTERVAL {lateness_s} SECONDS")).alias("h"))
+        frames = staged.select("frame").distinct()
+        try:
+            done = spark.read.parquet(f"{out}/closed").select("frame")
+            frames = frames.join(done, "frame", "left_anti")
+        except Exception:  # noqa: BLE001 - no frame closed yet
+            pass
+        end = F.col("frame") + F.expr(f"INTERVAL {_frame_seconds(frame)} SECONDS")
+        closable = frames.join(horizon, end <= F.col("h"), "left_semi")  # one-row side: scalar bound
+        close(closable, batch_id)
+
+    q = (posts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    # end of input: close every frame still open
+    staged = spark.read.parquet(f"{out}/staged").select("frame").distinct()
+    try:
+        staged = staged.join(spark.read.parquet(f"{out}/closed").select("frame"), "frame", "left_anti")
+    except Exception:  # noqa: BLE001
+        pass
+    close(staged, 1 << 30)
+
+
+def _frame_seconds(frame: str) -> int:
+    n, unit = frame.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def read_representative_flags(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/flags").drop("_batch")
