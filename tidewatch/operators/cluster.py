@@ -70,8 +70,12 @@ def count_greater(queries: DataFrame, members: DataFrame, keys: list[str], id_co
 
 def _blocked_pairs(texts: DataFrame, keys: list[str], block: int) -> DataFrame:
     """All unordered pairs (a < b) of distinct texts within each cluster, block-salted."""
-    sizes = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-    t = texts.join(sizes, keys).withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("k") / F.lit(block))).cast("int"))
+    if keys:
+        sizes = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+        t = texts.join(sizes, keys)
+    else:  # one cluster: its size is a scalar subquery (no join on a constant key)
+        t = texts.withColumn("k", texts.agg(F.count(F.lit(1))).scalar())
+    t = t.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("k") / F.lit(block))).cast("int"))
     t = t.withColumn("blk", F.pmod(F.xxhash64("ntext"), F.col("nb")).cast("int"))
     seq = F.sequence(F.lit(0), F.col("nb") - 1)
     left = t.select(*keys, F.col("blk").alias("p"), F.explode(seq).alias("q"),
@@ -101,16 +105,16 @@ def categorize(
     Ids must be integral (as text or number); rows whose id does not cast are dropped.
     """
     keys = _key(cluster_cols)
-    if not keys:
-        df = df.withColumn("_cluster", F.lit(0))
-        keys = ["_cluster"]
     ntext = normalize_aggressive(F.col(text_col)) if normalize else F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                      F.col(id_col).cast("string").try_cast("bigint").alias("id"), ntext.alias("ntext"))
     docs = docs.filter(F.col("id").isNotNull())
-    if max_docs:
+    if max_docs and keys:
+        # partial WindowGroupLimit before the shuffle keeps at most max_docs per cluster per task
         w = Window.partitionBy(*keys).orderBy("id")
         docs = docs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_docs).drop("_rn")
+    elif max_docs:
+        docs = docs.orderBy("id").limit(max_docs)
 
     texts = docs.groupBy(*keys, "ntext").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("minid"))
     pairs = _blocked_pairs(texts, keys, block)
@@ -158,7 +162,7 @@ def categorize(
     multiplicity = F.greatest(F.coalesce(F.col("n_greater"), F.lit(0)), F.lit(1)).cast("long")
     centrality = F.when(is_dup, F.lit(0).cast(SIM_DEC)).otherwise(F.lit(2) * F.col("sim_sum"))
     out = out.select(
-        *[k for k in keys if k != "_cluster"],
+        *keys,
         F.col("_id").alias(id_col), F.col("_text").alias(text_col),
         multiplicity.alias("multiplicity"),
         centrality.alias("_c"),

@@ -31,7 +31,10 @@ def _top_docs(df: DataFrame, parents: DataFrame, key: str, tokens: str, max_docs
     base = df.select(F.col(key).alias("_k"), F.size(F.col(tokens)).alias("dl"), F.col("flood_probability"))
     stats = base.filter(F.col("dl") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n_docs, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    post = _postings(df, key, tokens).join(parents.select(F.col("parent").alias("name")).distinct(), "name")
+    if isinstance(parents, (list, tuple)):  # literal terms: a filter, not a join with literals
+        post = _postings(df, key, tokens).filter(F.col("name").isin([p.lower() for p in parents]))
+    else:
+        post = _postings(df, key, tokens).join(parents.select(F.col("parent").alias("name")).distinct(), "name")
     dfreq = post.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     gated = base.filter(probability_gate(lo, hi))
     cand = post.join(gated, "_k").join(dfreq, "name")
@@ -47,7 +50,8 @@ def _top_docs(df: DataFrame, parents: DataFrame, key: str, tokens: str, max_docs
 def term_children(df: DataFrame, parents: DataFrame, key: str = "tweetid", tokens: str = "tokens",
                   max_docs: int | None = schema.GRAPH_MAX_DOCS, lo: float = 0.6, hi: float = 1.0,
                   sizes: DataFrame | None = None) -> DataFrame:
-    """G1 for every term in `parents(parent)` at once -> (parent, name, size)."""
+    """G1 for every term in `parents` (a DataFrame(parent) or a list of terms) at once
+    -> (parent, name, size)."""
     if sizes is None:
         df = df.select(key, tokens, "flood_probability").persist()
     top = _top_docs(df, parents, key, tokens, max_docs, lo, hi)
@@ -61,12 +65,10 @@ def term_graph(df: DataFrame, term: str, key: str = "tweetid", tokens: str = "to
                max_docs: int | None = schema.GRAPH_MAX_DOCS) -> DataFrame:
     """Edges (level, parent, name, size); level 1 = children of `term`, level 2 =
     children of each level-1 child (which may contain the root again)."""
-    spark = df.sparkSession
     # tokens are computed once and shared by postings, sizes and both levels
     df = df.select(key, tokens, "flood_probability").persist()
     sizes = term_stats(df.select(tokens), tokens)
-    root = spark.range(1).select(F.lit(term.lower()).alias("parent"))
-    lvl1 = term_children(df, root, key, tokens, max_docs, sizes=sizes)
+    lvl1 = term_children(df, [term], key, tokens, max_docs, sizes=sizes)
     lvl2 = term_children(df, lvl1.select(F.col("name").alias("parent")), key, tokens, max_docs, sizes=sizes)
     return lvl1.select(F.lit(1).alias("level"), "parent", "name", "size").unionByName(
         lvl2.select(F.lit(2).alias("level"), "parent", "name", "size"))

@@ -153,8 +153,7 @@ SELECT '{term}' AS parent, names.name AS name, ttf.size AS size FROM names JOIN
 @register("term_children_que", _children_sql("que"))
 def term_children_que(spark: SparkSession, sf: str) -> DataFrame:
     """G1 (+J5, A12, F11, L9): tokens co-occurring with 'que' in its top-10 relevant docs."""
-    spark_root = spark.range(1).select(F.lit("que").alias("parent"))
-    return G.term_children(doc_posts(spark, sf), spark_root)
+    return G.term_children(doc_posts(spark, sf), ["que"])
 
 
 @register("term_graph_der")
