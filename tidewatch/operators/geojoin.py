@@ -166,32 +166,41 @@ def region_of(points: DataFrame, regions: DataFrame, **kw) -> DataFrame:
     return country_of(points, regions, out="region", **kw)
 
 
+# What separates words when matching place names (anything but letters,
+# marks, digits, '_', and '.'/apostrophes inside a word).
+_WORDCH = r"\p{L}\p{M}\p{N}_"
+
+
+def match_key(c) -> Column:
+    """Text normalized for place matching: lower-case words separated by single spaces
+    (punctuation and whitespace runs -> one space; '.' and apostrophes kept inside words)."""
+    col = F.col(c) if isinstance(c, str) else c
+    t = F.regexp_replace(F.lower(col), F.lit(f"[^{_WORDCH}.'\u2019]+"), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(f"(?<![{_WORDCH}])[.'\u2019]+|[.'\u2019]+(?![{_WORDCH}])"), F.lit(" "))
+    return F.trim(F.regexp_replace(t, F.lit(" {2,}"), F.lit(" ")))
+
+
 def text_places(df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", max_n: int = 4) -> DataFrame:
     """X14 (re-aimed): place names mentioned in the text -> (key, places array<struct<pos,
     place, lat, lon>>) in text order.
 
-    Word n-grams (1..max_n) of each text are equi-joined with the gazetteer keys; a match
-    lying inside a longer match is dropped (longest match wins). The per-key list is bounded
-    by the n-grams of one text.
+    Word n-grams (1..max_n) come from one regex per n over the normalized text (overlapping
+    matches at every word start, code-generated) and are equi-joined with the gazetteer
+    names normalized the same way; a match inside a longer match is dropped (longest match
+    wins). The per-key list is bounded by the n-grams of one text.
     """
-    from tidewatch.functions.text import WORD_PATTERN
-
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD_PATTERN), 0)
-    def ngram(n: int):
-        # a one-argument lambda per n (F.transform reads a second argument as the index)
-        return lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"),
-                                  F.array_join(F.slice(words, i + 1, n), " ").alias("g"))
-
-    grams = []
+    norm = df.select(F.col(key).alias("_k"), match_key(F.col(text)).alias("_t"))
+    parts = []
     for n in range(1, max_n + 1):
-        idx = F.sequence(F.lit(0), F.size(words) - n)
-        grams.append(F.when(F.size(words) >= n, F.transform(idx, ngram(n)))
-                     .otherwise(F.array().cast("array<struct<pos:int,n:int,g:string>>")))
-    g = df.select(F.col(key).alias("_k"), F.explode(F.flatten(F.array(*grams))).alias("gram"))
-    g = g.select("_k", "gram.pos", "gram.n", place_key(F.col("gram.g")).alias("_pk"))
-    gz = gazetteer.select(place_key("place").alias("_pk"), F.col("place"), "lat", "lon") \
+        pat = "(?:^| )(?=(" + "[^ ]+ " * (n - 1) + "[^ ]+))"
+        g = norm.select("_k", F.posexplode(F.regexp_extract_all("_t", F.lit(pat), 1)).alias("pos", "_pk"))
+        parts.append(g.withColumn("n", F.lit(n)))
+    grams = parts[0]
+    for g in parts[1:]:
+        grams = grams.unionByName(g)
+    gz = gazetteer.select(match_key("place").alias("_pk"), F.col("place"), "lat", "lon") \
         .groupBy("_pk").agg(F.min(F.struct("place", "lat", "lon")).alias("_g"))
-    hits = g.join(gz, "_pk").select("_k", "pos", "n", "_g")
+    hits = grams.filter(F.length("_pk") > 0).join(gz, "_pk").select("_k", "pos", "n", "_g")
     per = hits.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", "_g")).alias("m"))
     longest = F.filter("m", lambda m: ~F.exists("m", lambda o: (o["n"] > m["n"]) & (o["pos"] <= m["pos"])
                                                    & (o["pos"] + o["n"] >= m["pos"] + m["n"])))

@@ -187,6 +187,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
 
     df = base.select(
         "_raw", "_v", "_in",
+        # compact record key for the joins below: two independent hashes and the length
+        F.struct(F.xxhash64("_raw").alias("h1"), F.hash("_raw").alias("h2"), F.length("_raw").alias("n")).alias("_rk"),
         g("$.id").alias("_id"),
         text.alias("text"),
         lang.alias("lang"),
@@ -203,7 +205,12 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
           .alias(f"user_{k}") for k in PRESERVE_USER],
         collect_hashtags(F.col("_js")).alias("_tags"),
         collect_media_urls(F.col("_js")).alias("media_urls"),
-    )
+        v.isNotNull().alias("_parsed"),
+        F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
+    ).drop("_v", "_in")
+    # every field is extracted once per record; the joins below (gazetteer, text places,
+    # polygons) reuse this persisted stage instead of re-reading and re-parsing the input
+    df = df.persist()
     # X13 + J2: geocode place names (distinct keys once) when no direct location
     if gazetteer is not None:
         gz = gazetteer.select(place_key("place").alias("_pk"), F.struct("lat", "lon").alias("_g")).groupBy("_pk").agg(
@@ -224,8 +231,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         # record's (or author's) location, or the first when there is none
         from tidewatch.operators.geojoin import nearest_candidate, text_places
 
-        tp = text_places(df.select("_raw", "text"), gazetteer, "_raw")
-        df = df.join(tp, "_raw", "left").withColumn("_ref", loc)
+        tp = text_places(df.select("_rk", "text"), gazetteer, "_rk")
+        df = df.join(tp, "_rk", "left").withColumn("_ref", loc)
         df = nearest_candidate(df.withColumn("_cands", F.coalesce(F.col("places"), F.array())), "_cands", "_ref")
         n_tp = F.size(F.col("_cands"))
         pick = F.when(n_tp == 1, F.element_at("_cands", 1)).when(n_tp > 1, F.col("nearest"))
@@ -238,7 +245,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     # X15 + J1: polygon country; when the geotag gave no place name, a structured place
     # supplies name and country; otherwise the author's place wins when present
     if countries is not None:
-        df = country_of(df, countries, key="_raw", out="_poly_country")
+        df = country_of(df, countries, key="_rk", out="_poly_country")
     else:
         df = df.withColumn("_poly_country", F.lit(None).cast("string"))
     has_loc = F.col("location").isNotNull()
@@ -253,8 +260,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     df = df.withColumn("country", country).withColumn("place", place)
     tokens = F.array_distinct(F.concat(tokenize(F.col("text"), F.col("lang")), F.col("_tags")))
     df = df.withColumn("tokens", F.array_sort(tokens))
-    reason = (F.when(F.col("_v").isNull(), F.lit("unparsable record"))
-              .when(~_has(F.col("_v"), "annotations"), F.lit("missing annotations"))
+    reason = (F.when(~F.col("_parsed"), F.lit("unparsable record"))
+              .when(~F.col("_has_ann"), F.lit("missing annotations"))
               .when(F.col("flood_probability").isNull(), F.lit("missing flood_probability"))
               .when(F.col("_id").isNull(), F.lit("missing id"))
               .when(~F.col("lang").isin(list(languages)), F.concat(F.lit("unsupported language: "), F.coalesce(F.col("lang"), F.lit("null")))))
