@@ -124,17 +124,24 @@ def filter_layer(countries: DataFrame, predicate: Column) -> DataFrame:
 
 def load_countries(spark, path: str) -> DataFrame:
     """A GeoJSON FeatureCollection (properties NAME, ISO2; Polygon or MultiPolygon)
-    -> countries(fid, name, iso2, rings). A MultiPolygon's parts become one ring list."""
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.posexplode("features").alias("fid", "f"))
-    geom = F.col("f.geometry")
-    coords = F.col("f.geometry.coordinates")
-    as_poly = F.from_json(F.to_json(coords), "array<array<array<double>>>")
-    as_multi = F.flatten(F.from_json(F.to_json(coords), "array<array<array<array<double>>>>"))
-    rings = F.when(geom["type"] == "MultiPolygon", as_multi).otherwise(as_poly)
+    -> countries(fid, name, iso2, rings). A MultiPolygon's parts become one ring list.
+
+    Parsed as VARIANT with typed casts (schema inference would turn the mixed nesting
+    depths of Polygon / MultiPolygon coordinates into strings). A layer file is a small
+    fixed reference file, read whole.
+    """
+    v = F.parse_json(F.col("value"))
+    raw = spark.read.option("wholetext", True).text(path)
+    feats = raw.select(F.posexplode(F.variant_get(v, "$.features", "array<variant>")).alias("fid", "f"))
+    f = F.col("f")
+    gtype = F.try_variant_get(f, "$.geometry.type", "string")
+    poly = F.try_variant_get(f, "$.geometry.coordinates", "array<array<array<double>>>")
+    multi = F.try_variant_get(f, "$.geometry.coordinates", "array<array<array<array<double>>>>")
+    rings = F.when(gtype == "MultiPolygon", F.flatten(multi)).otherwise(poly)
     rings = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
-    return feats.select("fid", F.col("f.properties.NAME").alias("name"), F.col("f.properties.ISO2").alias("iso2"),
-                        rings.alias("rings"))
+    return feats.select(F.col("fid").cast("int").alias("fid"),
+                        F.try_variant_get(f, "$.properties.NAME", "string").alias("name"),
+                        F.try_variant_get(f, "$.properties.ISO2", "string").alias("iso2"), rings.alias("rings"))
 
 
 def countries_from_nations(nation: DataFrame) -> DataFrame:

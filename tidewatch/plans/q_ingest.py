@@ -262,3 +262,28 @@ def mark_representative_parts(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     flags = C.categorize(parts, ["p_brand", "p_type"], "p_partkey", "p_name").select("p_partkey", "representative")
     return K.mark_flag(parts, flags, "p_partkey").select("p_partkey", "representative")
+
+
+@register(
+    "flatten_orders_nested",
+    "SELECT o_orderkey, o_orderstatus AS info_status, round(o_totalprice, 6) AS info_money_total, "
+    "o_orderpriority AS info_money_priority FROM orders",
+)
+def flatten_orders_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """A nested record flattened to parent_child columns."""
+    from tidewatch.functions.records import flatten_struct
+
+    o = table(spark, sf, "orders")
+    nested = o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.struct(
+        F.round("o_totalprice", R).alias("total"), F.col("o_orderpriority").alias("priority")).alias("money")).alias("info"))
+    return flatten_struct(nested)
+
+
+@register("project_event_paths",
+          "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def project_event_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed paths of a parsed JSON record as typed columns (absent path -> NULL)."""
+    from tidewatch.functions.records import project_paths
+
+    ev = table(spark, sf, "events").select(F.try_parse_json("props").alias("v"))
+    return project_paths(ev, "v", ["k:bigint"], extra=["missing:string"])
