@@ -107,3 +107,19 @@ def test_terms_and_bounds(fixture_posts):
     assert [(r["key"], r["doc_count"]) for r in t] == [("USA", 8), ("SA", 1), ("UK", 1)]
     tok = A.terms_agg(fixture_posts, "tokens", size=3).collect()
     assert tok[0]["doc_count"] >= tok[-1]["doc_count"]
+
+
+def test_whitelists_and_hit_cap(fixture_posts):
+    from tidewatch import schema
+    from tidewatch.operators.filters import InvalidFilterError, build_filter
+
+    cols = dict(fixture_posts.dtypes)
+    assert build_filter({"lang": "en", "unknown_field": "x"}, cols, allowed=schema.FILTERABLE) is not None
+    with pytest.raises(InvalidFilterError):
+        build_filter({"text__contains": "flood"}, cols, allowed=schema.FILTERABLE)
+    with pytest.raises(InvalidFilterError):
+        build_filter({"flood_probability__lt": "0.5"}, cols, allowed=schema.FILTERABLE)
+    assert QuerySpec.from_params({"size": "100000"}).size == schema.MAX_HITS
+    rows, _ = run_query(fixture_posts, QuerySpec.from_params({"flood_probability__gte": "0.9", "lang": "en"},
+                                                             allowed_filters=schema.FILTERABLE))
+    assert sorted(ids(rows)) == ["10", "11", "12", "14"]

@@ -43,7 +43,7 @@ class QuerySpec:
         search = p.pop("search", None)
         order = p.pop("order_by", [])
         order = [order] if isinstance(order, str) else list(order)
-        size = int(p.pop("size", schema.PAGE_SIZE))
+        size = min(int(p.pop("size", schema.PAGE_SIZE)), schema.MAX_HITS)  # L5: hit cap
         offset = int(p.pop("offset", 0))
         aggs: dict = {}
         if "agg_timestamp" in p:
