@@ -38,26 +38,41 @@ def parse_interval(interval: str) -> tuple[str, int | str]:
     return "fixed", n * FIXED_UNITS[unit]
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def _micros(ts: Column, ntz: bool) -> Column:
+    """Microseconds since the epoch; for TIMESTAMP_NTZ without any session-zone shift."""
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), ts)
+    return F.unix_micros(ts)
+
+
+def _from_micros(us: Column, ntz: bool) -> Column:
+    if ntz:
+        return F.timestamp_add("MICROSECOND", us, F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
+    return F.timestamp_micros(us)
+
+
 def bucket_start(ts: Column, interval: str, ntz: bool = False) -> Column:
-    """Start of the epoch-aligned (UTC) bucket holding `ts`; keeps TIMESTAMP_NTZ when `ntz`."""
+    """Start of the epoch-aligned bucket holding `ts` (UTC for TIMESTAMP; wall-clock epoch
+    for TIMESTAMP_NTZ, independent of the session zone); keeps the input type."""
     kind, size = parse_interval(interval)
     if kind == "calendar":
-        out = F.date_trunc(size, ts)
-    else:
-        step = F.lit(int(size) * 1_000_000)
-        us = F.unix_micros(ts.cast("timestamp"))
-        out = F.timestamp_micros(us - F.pmod(us, step))
-    return out.cast("timestamp_ntz") if ntz else out
+        return F.date_trunc(size, ts).cast("timestamp_ntz" if ntz else "timestamp")
+    step = F.lit(int(size) * 1_000_000)
+    us = _micros(ts, ntz)
+    return _from_micros(us - F.pmod(us, step), ntz)
 
 
-def _bucket_sequence(lo: Column, hi: Column, interval: str) -> Column:
+def _bucket_sequence(lo: Column, hi: Column, interval: str, ntz: bool) -> Column:
     kind, size = parse_interval(interval)
     if kind == "calendar":
         return F.sequence(lo, hi, F.expr(CALENDAR_STEP[size]))
     step = int(size) * 1_000_000
-    n = (F.unix_micros(hi) - F.unix_micros(lo)) / F.lit(step) + 1
+    n = (_micros(hi, ntz) - _micros(lo, ntz)) / F.lit(step) + 1
     guard = F.when(n > MAX_BUCKETS, F.raise_error(F.lit(f"histogram would have more than {MAX_BUCKETS} buckets")))
-    seq = F.sequence(F.unix_micros(lo), F.unix_micros(hi), F.lit(step))
+    seq = F.sequence(_micros(lo, ntz), _micros(hi, ntz), F.lit(step))
     return F.coalesce(guard.cast("array<bigint>"), seq)
 
 
@@ -84,11 +99,10 @@ def time_histogram(
     # One-row range of the buckets, expanded with `sequence` (bounded by MAX_BUCKETS).
     span = counts.agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     kind, _ = parse_interval(interval)
-    seq = _bucket_sequence(F.col("lo").cast("timestamp"), F.col("hi").cast("timestamp"), interval)
+    seq = _bucket_sequence(F.col("lo"), F.col("hi"), interval, ntz)
     keys = span.filter(F.col("lo").isNotNull()).select(F.explode(seq).alias("key"))
     if kind == "fixed":
-        keys = keys.select(F.timestamp_micros("key").alias("key"))
-    keys = keys.select(F.col("key").cast("timestamp_ntz" if ntz else "timestamp").alias("key"))
+        keys = keys.select(_from_micros(F.col("key"), ntz).alias("key"))
     out = keys.join(counts, "key", "left").select(
         "key",
         F.coalesce(F.col("doc_count"), F.lit(0)).cast("bigint").alias("doc_count"),
@@ -163,3 +177,13 @@ def outcome_counts(outcomes: DataFrame, column: str = "outcome") -> DataFrame:
 def distinct_sorted(c) -> Column:
     """De-duplicated array in a deterministic (sorted) order."""
     return F.array_sort(F.array_distinct(c if isinstance(c, Column) else F.col(c)))
+
+
+def ntz_to_instant(c: Column) -> Column:
+    """TIMESTAMP_NTZ wall clock read as UTC -> TIMESTAMP, independent of the session zone."""
+    return F.timestamp_micros(_micros(c, True))
+
+
+def instant_to_ntz(c: Column) -> Column:
+    """TIMESTAMP -> its UTC wall clock as TIMESTAMP_NTZ, independent of the session zone."""
+    return _from_micros(F.unix_micros(c), True)

@@ -157,7 +157,9 @@ def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
     ann = F.when(eid % 53 == 0, F.lit("")).otherwise(F.format_string(',"annotations":{"flood_probability":%s}', prob))
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
     plat = F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy")
-    ts_ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").cast("string")
+    from tidewatch.operators.aggs import ntz_to_instant
+
+    ts_ms = (F.unix_micros(ntz_to_instant(F.col("ts"))) / 1000).cast("bigint").cast("string")
     created = F.when(eid % 3 == 0, plat).otherwise(iso)
     text = F.format_string("Flood %s near %s #%s @user%s http://x.example/%s", F.col("event_type"), F.col("n_name"),
                            F.col("event_type"), F.col("user_id"), eid)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import geohash_sql
+from tidewatch.operators.aggs import instant_to_ntz
 from tidewatch.plans.catalog import register
 from tidewatch.plans.q_cluster import categorize_sql
 from tidewatch.sources.tables import POSTS_SQL, posts, posts_from_events, table
@@ -28,7 +29,7 @@ def stream_histogram_1h(spark: SparkSession, sf: str) -> DataFrame:
     out = J.scratch(spark, "stream-hist")
     J.run_keyed_updates(agg, ["key"], f"{out}/table", f"{out}/checkpoint")
     res = J.read_keyed_updates(spark, f"{out}/table", ["key"], ["key", "doc_count", "avg_flood_probability"])
-    return res.select(F.col("key").cast("timestamp_ntz").alias("key"), "doc_count",
+    return res.select(instant_to_ntz(F.col("key")).alias("key"), "doc_count",
                       F.round("avg_flood_probability", R).alias("avg_flood_probability"))
 
 
@@ -44,7 +45,7 @@ def stream_hotspots_day(spark: SparkSession, sf: str) -> DataFrame:
     out = J.scratch(spark, "stream-hot")
     J.run_keyed_updates(agg, ["window_start", "cell"], f"{out}/table", f"{out}/checkpoint")
     res = J.read_keyed_updates(spark, f"{out}/table", ["window_start", "cell"], ["window_start", "cell", "doc_count"])
-    return res.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "cell", "doc_count")
+    return res.select(instant_to_ntz(F.col("window_start")).alias("window_start"), "cell", "doc_count")
 
 
 @register("stream_ingest_raw")
@@ -72,7 +73,7 @@ def representative_frames_events(spark: SparkSession, sf: str) -> DataFrame:
     p = posts(spark, sf).select("created_at", "country", F.col("id_num").alias("event_id"),
                                 F.concat_ws(" ", "country", "props").alias("text"))
     out = J.representative_frames(p, ["country"], id_col="event_id", text_col="text")
-    return out.select(F.col("frame").cast("timestamp_ntz").alias("frame"), "country", "event_id", "text",
+    return out.select(instant_to_ntz(F.col("frame")).alias("frame"), "country", "event_id", "text",
                       "multiplicity", F.round("centrality", R).alias("centrality"), "representative", "rank_key")
 
 
@@ -117,5 +118,5 @@ def representative_stream_events(spark: SparkSession, sf: str) -> DataFrame:
     out = J.scratch(spark, "frames")
     J.run_representative_stream(stream, ["country"], out, f"{out}/checkpoint", id_col="event_id", text_col="text")
     res = J.read_representative_flags(spark, out)
-    return res.select(F.col("frame").cast("timestamp_ntz").alias("frame"), "country", "event_id", "text",
+    return res.select(instant_to_ntz(F.col("frame")).alias("frame"), "country", "event_id", "text",
                       "multiplicity", F.round("centrality", R).alias("centrality"), "representative", "rank_key")

@@ -39,9 +39,16 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema_: T.St
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
+def event_time(df: DataFrame, ts: str = "created_at"):
+    """Event time as TIMESTAMP (watermarks and windows need it); an NTZ column is read as
+    UTC wall clock without depending on the session zone."""
+    from tidewatch.operators.aggs import ntz_to_instant
+
+    return ntz_to_instant(F.col(ts)) if dict(df.dtypes).get(ts) == "timestamp_ntz" else F.col(ts)
+
+
 def with_event_time(df: DataFrame, ts: str = "created_at") -> DataFrame:
-    """Watermarks need TIMESTAMP (not NTZ): the session zone is UTC, so this is exact."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, WATERMARK)
+    return df.withColumn(ts, event_time(df, ts)).withWatermark(ts, WATERMARK)
 
 
 def streaming_histogram(posts: DataFrame, interval: str = "10 minutes", ts: str = "created_at") -> DataFrame:
@@ -117,7 +124,7 @@ def representative_frames(posts: DataFrame, terms: list[str], frame: str = schem
     cluster terms; run per micro-batch in `foreachBatch` over closed frames, or in batch."""
     from tidewatch.operators.cluster import categorize
 
-    framed = posts.withColumn("frame", F.window(F.col("created_at").cast("timestamp"), frame).start)
+    framed = posts.withColumn("frame", F.window(event_time(posts), frame).start)
     return categorize(framed, ["frame", *terms], id_col, text_col)
 
 
@@ -155,8 +162,8 @@ def run_representative_stream(posts: DataFrame, terms: list[str], out: str, chec
     from tidewatch.operators.cluster import categorize
 
     spark = posts.sparkSession
-    framed_cols = [F.window(F.col("created_at").cast("timestamp"), frame).start.alias("frame"),
-                   F.col("created_at").cast("timestamp").alias("created_at"), *terms, id_col, text_col]
+    et = event_time(posts)
+    framed_cols = [F.window(et, frame).start.alias("frame"), et.alias("created_at"), *terms, id_col, text_col]
 
     def close(frames: DataFrame, batch_id: int) -> None:
         # record the frames first (a small written table), then split exactly those
