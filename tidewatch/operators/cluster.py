@@ -116,6 +116,8 @@ def categorize(
     elif max_docs:
         docs = docs.orderBy("id").limit(max_docs)
 
+    # normalized once: the text groups, both rank-count sides and the output reuse it
+    docs = docs.persist()
     texts = docs.groupBy(*keys, "ntext").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("minid"))
     pairs = _blocked_pairs(texts, keys, block)
     la, lb = F.length("a"), F.length("b")
