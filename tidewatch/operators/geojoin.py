@@ -1,6 +1,6 @@
 """Spatial and place joins.
 
-J1 (point -> first containing polygon) is an equi-join on coarse geohash cells: each
+J1 (point -> first containing polygon) is an equi-join on coarse grid cells: each
 polygon is listed under every cell its bounding box touches, each point under its
 own cell, and the exact ray-casting test runs only on same-cell candidates. No
 broadcast of the layer is needed, and the candidate count per point is bounded by
@@ -11,9 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tidewatch.functions.geo import geohash, haversine_m
+from tidewatch.functions.geo import haversine_m
 
 CELL_BITS = 4  # cells of 360/16 x 180/16 degrees for the polygon index
 
@@ -146,8 +145,9 @@ def load_countries(spark, path: str) -> DataFrame:
 
 def countries_from_nations(nation: DataFrame) -> DataFrame:
     """A synthetic country layer from the nation table: nation k is a 36 x 24 degree
-    rectangle on a 10 x 7 grid (k mod 10, k div 10), and every fifth nation also gets an
-    overlapping rectangle with a hole so first-match and holes are exercised."""
+    rectangle on a 10-column grid (k mod 10, k div 10); every fifth nation is instead a
+    larger 60 x 40 rectangle with an 8 x 8 hole, overlapping its neighbours, so first-match
+    and holes are exercised."""
     k = F.col("n_nationkey")
     lon0 = (k % 10) * 36 - 180
     lat0 = F.floor(k / 10) * 24 - 60

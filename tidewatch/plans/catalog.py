@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from tidewatch.plans import q_posts, q_text, q_cluster, q_search, q_ingest, q_geo, q_stream  # noqa: F401
+    from tidewatch.plans import q_posts, q_cluster, q_search, q_ingest, q_geo, q_stream  # noqa: F401

@@ -83,7 +83,6 @@ SELECT tweetid, arg_min(place, (dist, i)) AS place FROM d WHERE dist < 20460000
 def nearest_place_posts(spark: SparkSession, sf: str) -> DataFrame:
     """J3 (+X10): of three candidate places per post, the nearest to the post's location."""
     p = posts(spark, sf).select("tweetid", "user_id", "location")
-    gz = _gaz(spark, sf).withColumn("k", F.monotonically_increasing_id())
     nat = table(spark, sf, "nation")
     k = F.col("n_nationkey")
     cand_tab = nat.select(k.alias("k"), F.struct(F.col("n_name").alias("place"),
@@ -96,7 +95,6 @@ def nearest_place_posts(spark: SparkSession, sf: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("i", "c"))).alias("cs"))
     joined = joined.withColumn("cands", F.transform("cs", lambda x: x["c"]))
     out = GJ.nearest_candidate(joined, "cands", "location")
-    del gz
     return out.select("tweetid", F.col("nearest.place").alias("place")).filter(F.col("place").isNotNull())
 
 

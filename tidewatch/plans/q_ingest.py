@@ -181,8 +181,7 @@ def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gazetteer(spark: SparkSession, sf: str) -> DataFrame:
-    from tidewatch.operators.geojoin import countries_from_nations  # noqa: F401
-
+    """Gazetteer from the nation table: each name at the centre of its grid rectangle."""
     nat = table(spark, sf, "nation")
     k = F.col("n_nationkey")
     return nat.select(F.col("n_name").alias("place"),
@@ -221,9 +220,6 @@ def renormalize_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ C2-C4 flows on parts
 
-_PARTS_BIG = "(SELECT * FROM part WHERE p_size >= 40) s"
-
-
 @register("categorize_query_parts",
           categorize_sql("(SELECT 0 AS grp, * FROM part WHERE p_size >= 40 AND p_type = 'ECONOMY') s",
                          ["grp"], "p_partkey", "p_name").replace("SELECT d.grp,", "SELECT"))

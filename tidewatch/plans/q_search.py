@@ -9,7 +9,7 @@ from tidewatch.functions import text as TX
 from tidewatch.operators import graph as G
 from tidewatch.operators.search import search, term_stats
 from tidewatch.plans.catalog import register
-from tidewatch.plans.query import QuerySpec, run_query
+from tidewatch.plans.query import QuerySpec
 from tidewatch.sources.tables import doc_posts, table
 
 R = 6

@@ -30,8 +30,6 @@ def load_json(spark: SparkSession, path: str, start: int = 0, n: int | None = No
             if start or n is not None:
                 raise ValueError("slicing JSON Lines needs order_col")
             return lines.select(F.col("value").alias("raw"))
-        from pyspark.sql import Window  # noqa: F401 (slice by a range filter on the order column)
-
         pos = F.variant_get(v, f"$.{order_col}", "bigint")
         out = lines.select(pos.alias("pos"), F.col("value").alias("raw"))
     else:
