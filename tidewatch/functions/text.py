@@ -50,15 +50,19 @@ def normalize_aggressive(text) -> Column:
     return out
 
 
+def _remove_urls_names(t: Column) -> Column:
+    """Every URL and @name found in the text removed by plain substring replacement (all
+    occurrences, in the order found); texts with neither skip the work."""
+    urls = F.regexp_extract_all(t, F.lit(r"(?U)(https?://[^\s]+)"), 1)
+    names = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)@([a-z0-9_]+)"), 1), lambda n: F.concat(F.lit("@"), n))
+    removed = F.aggregate(F.concat(urls, names), t, lambda acc, w: F.replace(acc, w, F.lit("")))
+    return F.when(t.contains("@") | t.contains("http"), removed).otherwise(t)  # the URL pattern is case-sensitive
+
+
 def clean_post(text) -> Column:
     """Every URL and every @name found in the original text is removed by plain
     substring replacement (all occurrences, in order found), then trimmed."""
-    t = _col(text)
-    urls = F.regexp_extract_all(t, F.lit(r"(?U)(https?://[^\s]+)"), 1)
-    names = F.transform(F.regexp_extract_all(t, F.lit(r"(?i)@([a-z0-9_]+)"), 1), lambda n: F.concat(F.lit("@"), n))
-    words = F.concat(urls, names)
-    removed = F.aggregate(words, t, lambda acc, w: F.replace(acc, w, F.lit("")))
-    return F.regexp_replace(removed, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
+    return F.regexp_replace(_remove_urls_names(_col(text)), F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
 
 
 # Fixed value: analyzer words - runs of letters, marks, numbers and _, where a single
@@ -77,7 +81,7 @@ def tokenize(text, lang=None) -> Column:
 
     Stemming is not applied (language analyzers' stemmers are approximated away).
     """
-    words = analyzed_words(clean_post(text))
+    words = analyzed_words(_remove_urls_names(_col(text)))  # trimming cannot change the words
     if lang is not None:
         stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
         is_en = F.coalesce(_col(lang) == F.lit("en"), F.lit(False))
