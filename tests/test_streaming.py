@@ -26,7 +26,7 @@ def test_representative_stream_equals_batch(spark):
     stream = posts_from_events(J.read_table_stream(spark, SF, "events")).select(*cols)
     out = J.scratch(spark, "t-frames")
     J.run_representative_stream(stream, ["country"], out, f"{out}/c", id_col="event_id", text_col="text")
-    got = {(r["event_id"]): (r["multiplicity"], r["representative"]) for r in J.read_representative_flags(spark, out).collect()}
+    got = {(r["event_id"]): (r["multiplicity"], r["representative"]) for r in J.read_representative_flags(spark, out, id_col="event_id", terms=["country"]).collect()}
     batch = J.representative_frames(posts(spark, SF).select(*cols), ["country"], id_col="event_id", text_col="text")
     want = {r["event_id"]: (r["multiplicity"], r["representative"]) for r in batch.collect()}
     assert got == want

@@ -117,6 +117,6 @@ def representative_stream_events(spark: SparkSession, sf: str) -> DataFrame:
                            F.concat_ws(" ", "country", "props").alias("text"))
     out = J.scratch(spark, "frames")
     J.run_representative_stream(stream, ["country"], out, f"{out}/checkpoint", id_col="event_id", text_col="text")
-    res = J.read_representative_flags(spark, out)
+    res = J.read_representative_flags(spark, out, id_col="event_id", terms=["country"])
     return res.select(instant_to_ntz(F.col("frame")).alias("frame"), "country", "event_id", "text",
                       "multiplicity", F.round("centrality", R).alias("centrality"), "representative", "rank_key")

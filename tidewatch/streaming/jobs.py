@@ -169,7 +169,9 @@ def run_representative_stream(posts: DataFrame, terms: list[str], out: str, chec
         # record the frames first (a small written table), then split exactly those
         frames.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/closed")
         now_closed = spark.read.parquet(f"{out}/closed").filter(F.col("_batch") == batch_id).select("frame")
-        staged = spark.read.parquet(f"{out}/staged").join(now_closed, "frame", "left_semi")
+        # a replayed micro-batch re-appends its rows: one row per (frame, id) is kept
+        staged = (spark.read.parquet(f"{out}/staged").join(now_closed, "frame", "left_semi")
+                  .dropDuplicates(["frame", *terms, id_col]))
         res = categorize(staged, ["frame", *terms], id_col, text_col)
         res.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/flags")
 
@@ -205,5 +207,10 @@ def _frame_seconds(frame: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def read_representative_flags(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/flags").drop("_batch")
+def read_representative_flags(spark: SparkSession, out: str, id_col: str = "tweetid", terms=()) -> DataFrame:
+    """Flags of all closed frames; a frame closed twice (replay) keeps its latest result."""
+    flags = spark.read.parquet(f"{out}/flags")
+    key = F.struct("frame", *terms, id_col).alias("_key")
+    cols = [c for c in flags.columns if c != "_batch"]
+    latest = K.latest_per_key(flags.select(key, *cols, "_batch"), "_key", "_batch")
+    return latest.select(*cols)
