@@ -81,7 +81,16 @@ def tokenize(text, lang=None) -> Column:
 
     Stemming is not applied (language analyzers' stemmers are approximated away).
     """
-    words = analyzed_words(_remove_urls_names(_col(text)))  # trimming cannot change the words
+    return tokens_from_words(token_words(text), lang)
+
+
+def token_words(text) -> Column:
+    """The analyzed words of a post after URL / @name removal (trimming cannot change them)."""
+    return analyzed_words(_remove_urls_names(_col(text)))
+
+
+def tokens_from_words(words: Column, lang=None) -> Column:
+    """The tokenizer's filtering steps applied to already analyzed words."""
     if lang is not None:
         stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
         is_en = F.coalesce(_col(lang) == F.lit("en"), F.lit(False))

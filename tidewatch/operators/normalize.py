@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.functions.geo import mean_point
-from tidewatch.functions.text import analyzed_words, hashtags, tokenize
+from tidewatch.functions.text import analyzed_words, token_words, tokens_from_words
 from tidewatch.operators.geojoin import country_of, place_key
 from tidewatch.sources.ingest import conform
 
@@ -81,20 +81,20 @@ def flood_probability(v: Column) -> Column:
 
 def repair_timestamp(created_at: Column, timestamp_ms: Column, now: datetime | None = None) -> Column:
     """ISO datetime, else ISO date at midnight, else the epoch-millis field, else now."""
-    iso = F.coalesce(
+    iso = F.when(created_at.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(  # failed parses are costly: try ISO only
         F.try_to_timestamp(created_at, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][X]")),
         F.try_to_timestamp(created_at, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]")),
         F.try_to_timestamp(created_at, F.lit("yyyy-MM-dd")),
-    )
+    ))
     millis = F.when(timestamp_ms.rlike(r"^\d+$"), F.timestamp_millis(timestamp_ms.try_cast("bigint")))
     clock = F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp") if now else F.current_timestamp()
     return F.coalesce(iso, millis, clock)
 
 
-def detect_language(text: Column, fallback: Column) -> Column:
+def detect_language(text: Column, fallback: Column, words: Column | None = None) -> Column:
     """F12 (approximation): the supported language with the most distinct common words in
-    the text; no hits -> the record's own language."""
-    words = analyzed_words(text)
+    the text; no hits -> the record's own language. `words` may pass pre-analyzed words."""
+    words = analyzed_words(text) if words is None else words
     scores = []
     for lang, ws in LANGUAGE_PROFILES.items():
         profile = F.array(*[F.lit(x) for x in ws])
@@ -169,7 +169,6 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
 
     text = g("$.text")
     lang_in = g("$.lang")
-    lang = detect_language(text, lang_in) if detect else lang_in
     fp = flood_probability(v)
 
     # X11: point, bounding-box ring mean, location point or ring
@@ -191,7 +190,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         F.struct(F.xxhash64("_raw").alias("h1"), F.hash("_raw").alias("h2"), F.length("_raw").alias("n")).alias("_rk"),
         g("$.id").alias("_id"),
         text.alias("text"),
-        lang.alias("lang"),
+        lang_in.alias("_lang_in"),
+        token_words(text).alias("_words"),  # analyzed once: language check and tokens
         fp.alias("flood_probability"),
         repair_timestamp(g("$.created_at"), g("$.timestamp_ms")).alias("created_at") if now is None
         else repair_timestamp(g("$.created_at"), g("$.timestamp_ms"), now).alias("created_at"),
@@ -211,6 +211,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     # every field is extracted once per record; the joins below (gazetteer, text places,
     # polygons) reuse this persisted stage instead of re-reading and re-parsing the input
     df = df.persist()
+    lang = detect_language(F.col("text"), F.col("_lang_in"), F.col("_words")) if detect else F.col("_lang_in")
+    df = df.withColumn("lang", lang)
     # X13 + J2: geocode place names (distinct keys once) when no direct location
     if gazetteer is not None:
         gz = gazetteer.select(place_key("place").alias("_pk"), F.struct("lat", "lon").alias("_g")).groupBy("_pk").agg(
@@ -258,7 +260,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     country = F.when(struct_branch, F.coalesce(F.col("_place_country"), F.col("_poly_country"))).when(
         has_loc, F.col("_poly_country"))
     df = df.withColumn("country", country).withColumn("place", place)
-    tokens = F.array_distinct(F.concat(tokenize(F.col("text"), F.col("lang")), F.col("_tags")))
+    tokens = F.array_distinct(F.concat(tokens_from_words(F.col("_words"), F.col("lang")), F.col("_tags")))
     df = df.withColumn("tokens", F.array_sort(tokens))
     reason = (F.when(~F.col("_parsed"), F.lit("unparsable record"))
               .when(~F.col("_has_ann"), F.lit("missing annotations"))
