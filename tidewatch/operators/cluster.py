@@ -292,7 +292,23 @@ def geo_cluster_segments(
 
     cells = df.filter(F.col(location).isNotNull()).withColumn(
         "cell", geohash(F.col(f"{location}.lat"), F.col(f"{location}.lon"), precision))
-    bounds = cells.groupBy("cell").agg(*geo_bounds_aggs(location))
+    corner_aggs = geo_bounds_aggs(location)
+
+    def per_value(term):
+        # one aggregation per term family gives both its counts and (rolled up) the cell
+        # bounds; explode_outer keeps docs without a value in the bounds
+        if term is None:
+            return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("doc_count"), *corner_aggs) \
+                .withColumn("value", F.lit(None).cast("string"))
+        dtype = dict(df.dtypes)[term]
+        vals = F.explode_outer(F.array_distinct(F.col(term))) if dtype.startswith("array") else F.col(term)
+        return cells.select("cell", location, vals.cast("string").alias("value")).groupBy("cell", "value").agg(
+            F.count(F.lit(1)).alias("doc_count"), *corner_aggs)
+
+    first = per_value(terms[0] if terms else None)
+    bounds = first.groupBy("cell").agg(
+        F.max("top_left_lat").alias("top_left_lat"), F.min("top_left_lon").alias("top_left_lon"),
+        F.min("bottom_right_lat").alias("bottom_right_lat"), F.max("bottom_right_lon").alias("bottom_right_lon"))
     box = widen_box("top_left_lat", "top_left_lon", "bottom_right_lat", "bottom_right_lon")
     bounds = bounds.select("cell", box["top_left_lat"].alias("top_left_lat"), box["top_left_lon"].alias("top_left_lon"),
                            box["bottom_right_lat"].alias("bottom_right_lat"), box["bottom_right_lon"].alias("bottom_right_lon"))
@@ -302,12 +318,9 @@ def geo_cluster_segments(
             return bounds.select("cell", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("value"),
                                  F.lit(0).cast("long").alias("doc_count"), "top_left_lat", "top_left_lon",
                                  "bottom_right_lat", "bottom_right_lon").limit(0)
-        g = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("doc_count"))
-        fams.append(g.select("cell", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("value"), "doc_count"))
-    for t in terms:
-        dtype = dict(df.dtypes)[t]
-        vals = F.explode(F.array_distinct(F.col(t))) if dtype.startswith("array") else F.col(t)
-        g = cells.select("cell", vals.cast("string").alias("value")).na.drop().groupBy("cell", "value").agg(F.count(F.lit(1)).alias("doc_count"))
+        fams.append(first.select("cell", F.lit(None).cast("string").alias("term"), "value", "doc_count"))
+    for k, t in enumerate(terms):
+        g = (first if k == 0 else per_value(t)).filter(F.col("value").isNotNull()).select("cell", "value", "doc_count")
         w = Window.partitionBy("cell").orderBy(F.desc("doc_count"), F.asc("value"))
         g = g.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= size).drop("_rn")
         fams.append(g.select("cell", F.lit(t).alias("term"), "value", "doc_count"))
