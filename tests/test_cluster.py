@@ -123,3 +123,15 @@ def test_segments_time_level(spark):
     seg = C.cluster_segments(df, ["country", "created_at"], interval="5m", min_entries=2).collect()
     assert [(r["country"], r["created_at"], r["doc_count"]) for r in seg] == [("x", datetime(2024, 1, 1, 0, 0), 5),
                                                                               ("x", datetime(2024, 1, 1, 0, 5), 2)]
+
+
+def test_categorize_clusters_geo_membership(spark):
+    from tidewatch.plans.flows import categorize_clusters
+    from tidewatch.sources.tables import posts
+
+    p = posts(spark, "/root/testdata/sf0.001").withColumn("text", F.concat_ws(" ", "country", "props"))
+    res = categorize_clusters(p, ["location", "country"], precision=3)
+    per_seg = {(r["seg_cell"], r["seg_value"]): r["n"] for r in
+               res.groupBy("seg_cell", "seg_value").agg(F.count(F.lit(1)).alias("n")).collect()}
+    segs = {(r["cell"], r["value"]): r["doc_count"] for r in C.geo_cluster_segments(p, ["country"], precision=3).collect()}
+    assert per_seg == segs and all(n >= 5 for n in segs.values())
