@@ -179,7 +179,7 @@ def run_representative_stream(posts: DataFrame, terms: list[str], out: str, chec
         rows = batch.select(*framed_cols)
         rows.write.mode("append").parquet(f"{out}/staged")  # frame is a column (no small-file fan-out)
         staged = spark.read.parquet(f"{out}/staged")
-        horizon = staged.agg((F.max("created_at") - F.expr(f"INTERVAL {lateness_s} SECONDS")).alias("h"))
+        horizon = staged.agg(F.max("created_at") - F.expr(f"INTERVAL {lateness_s} SECONDS")).scalar()
         frames = staged.select("frame").distinct()
         try:
             done = spark.read.parquet(f"{out}/closed").select("frame")
@@ -187,7 +187,7 @@ def run_representative_stream(posts: DataFrame, terms: list[str], out: str, chec
         except Exception:  # noqa: BLE001 - no frame closed yet
             pass
         end = F.col("frame") + F.expr(f"INTERVAL {_frame_seconds(frame)} SECONDS")
-        closable = frames.join(horizon, end <= F.col("h"), "left_semi")  # one-row side: scalar bound
+        closable = frames.filter(end <= horizon)  # scalar subquery, no join
         close(closable, batch_id)
 
     q = (posts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
