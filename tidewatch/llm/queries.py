@@ -33,13 +33,13 @@ s AS (SELECT source, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens,
 coarse AS (SELECT k, (ln(z) - pl / z) / ln(greatest(m, 2)) AS entropy, top / z AS repeats, m FROM (
     SELECT k, sum(p) AS z, sum(p * ln(p)) AS pl, max(p / share) AS top, count(*) AS m FROM (
         SELECT k * 1024 AS k, share, pow(share, k * 1024 / CAST({mixing.GRID} AS DOUBLE)) AS p FROM s, range(0, 1025) t(k)) GROUP BY k)),
-at AS (SELECT coalesce(max(k) FILTER (WHERE entropy >= {mixing.ENTROPY} OR m < 2), 0) AS e,
+near AS (SELECT coalesce(max(k) FILTER (WHERE entropy >= {mixing.ENTROPY} OR m < 2), 0) AS e,
               coalesce(min(k) FILTER (WHERE repeats * {mixing.BUDGET} <= {mixing.MAX_REPEATS}), {mixing.GRID}) AS q FROM coarse),
 fine AS (SELECT j, side, (ln(z) - pl / z) / ln(greatest(m, 2)) AS entropy, top / z AS repeats, m FROM (
     SELECT j, side, sum(p) AS z, sum(p * ln(p)) AS pl, max(p / share) AS top, count(*) AS m FROM (
         SELECT j, side, share, pow(share, j / CAST({mixing.GRID} AS DOUBLE)) AS p FROM s, (
-            SELECT e + k AS j, 'e' AS side FROM at, range(0, 1025) t(k) WHERE e + k <= {mixing.GRID}
-            UNION ALL SELECT q - k, 'q' FROM at, range(0, 1025) t(k) WHERE q - k >= 0)) GROUP BY j, side)),
+            SELECT e + k AS j, 'e' AS side FROM near, range(0, 1025) t(k) WHERE e + k <= {mixing.GRID}
+            UNION ALL SELECT q - k, 'q' FROM near, range(0, 1025) t(k) WHERE q - k >= 0)) GROUP BY j, side)),
 a AS (SELECT greatest(coalesce(max(j) FILTER (WHERE side = 'e' AND (entropy >= {mixing.ENTROPY} OR m < 2)), 0),
                       coalesce(min(j) FILTER (WHERE side = 'q' AND repeats * {mixing.BUDGET} <= {mixing.MAX_REPEATS}), {mixing.GRID}))
              / CAST({mixing.GRID} AS DOUBLE) AS alpha FROM fine),
@@ -99,7 +99,7 @@ def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x != 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e)
       WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
@@ -140,9 +140,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH p AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
 h AS (SELECT host, count(*) AS n FROM p GROUP BY host),
-u AS (SELECT host, line, count(*) AS k FROM (SELECT host, unnest(list_distinct(list_filter(ls, x -> trim(x, ' ') != ''))) AS line FROM p) GROUP BY host, line),
+u AS (SELECT host, line, count(*) AS k FROM (SELECT host, unnest(list_distinct(list_filter(ls, lambda x: trim(x, ' ') != ''))) AS line FROM p) GROUP BY host, line),
 z AS (SELECT host, list(line) AS bad FROM u JOIN h USING (host) WHERE k >= {lines.LEAST_PAGES} AND k > {lines.RATIO}::DOUBLE * n GROUP BY host),
-k AS (SELECT p.doc_id, p.text, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, x -> NOT list_contains(bad, x)) END AS kept FROM p LEFT JOIN z USING (host))
+k AS (SELECT p.doc_id, p.text, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bad, x)) END AS kept FROM p LEFT JOIN z USING (host))
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
        CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS lines_dropped FROM k""")
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
