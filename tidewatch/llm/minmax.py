@@ -6,9 +6,12 @@ vary less together than two minima would. 16 bands of six minima and 16 bands of
 candidates: a pair at the threshold 0.85 is missed with probability (1 - 0.85**6)**32, about 3e-7.
 
 No bucket is expanded into its pairs. Equal sets collapse to one class; every member of a bucket is
-confirmed against the bucket's smallest member; only members still in different components of the
-same bucket are then compared with each other, behind a one-bit sketch of the signature, so a group
-of near copies costs one comparison per member and not per pair. Links are confirmed on full sets.
+confirmed against the bucket's leader, the first of four pseudo-random orders (one per bucket), so a
+group of near copies gets a few leaders and not one per bucket; only members still in different
+components of the same bucket are then compared with each other, inside the join that brings them
+together: behind a one-bit sketch of the signature, then on 32-bit codes of the full sets, whose
+overlap is never below the true one but for codes that meet inside a set. It returns links, not
+pairs, and these are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +29,10 @@ from tidewatch.llm.tables import Scratch
 PERMUTATIONS, ROWS = 96, 6
 BANDS = PERMUTATIONS // ROWS  # of minima, and as many of maxima
 #: One-bit sketches of two sets at similarity 0.85 differ in 14.4 of 192 bits on average (deviation 3.7).
-MAX_BITS = 42
+MAX_BITS = 37
+ORDERS = 4
+#: Candidate ids are broadcast to the texts up to this many (16 MB), beyond it joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SLAB = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -134,7 +140,8 @@ def _set_rows(width: int):
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.iloc[at:at + 500]
-                yield pd.DataFrame({"id": part["id"], "s": [shingle_set(t, width).view(np.int64) for t in part["text"]]})
+                sets = [shingle_set(t, width).view(np.int64) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "s": sets, "w": [s.astype(np.int32) for s in sets]})
 
     return run
 
@@ -160,45 +167,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = live.join(classes.df.select("d1", "d2", F.col("cid").alias("id")), ["d1", "d2", "id"], "left_semi")
 
     rows = reps.select("id", F.explode("bands").alias("key"))
-    lead = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    members = scratch.write(rows.join(lead.select("key", "lead"), "key"))
-
+    order = F.xxhash64("id", F.pmod("key", F.lit(ORDERS)))
+    lead = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id")).alias("lead"), F.min("id").alias("x"),
+                                   F.max("id").alias("y")).where("x < y").select("key", F.col("lead.id").alias("lead"))
+    members = scratch.write(rows.join(lead, "key"))
     sketch = scratch.write(reps.join(members.df.select("id").distinct(), "id", "left_semi").select(
         "id", "n", "s1", "s2", "s3"))
-    sets = scratch.write(src.join(sketch.df.select("id").distinct(), "id", "left_semi").mapInPandas(
-        _set_rows(width), "id long, s array<long>"))
 
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(p + c) for c in df.columns])
+    def similar(a: str, b: str) -> str:
+        return (f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and bit_count({a}.s1 ^ {b}.s1) "
+                f"+ bit_count({a}.s2 ^ {b}.s2) + bit_count({a}.s3 ^ {b}.s3) <= {MAX_BITS}")
+
+    def overlap(slack: str, s: str) -> str:
+        return f"(100 + {percent}) * (size(array_intersect(a.{s}, b.{s})) + {slack}) >= {percent} * (a.n + b.n)"
 
-    similar = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and "
-                     f"bit_count(a_s1 ^ b_s1) + bit_count(a_s2 ^ b_s2) + bit_count(a_s3 ^ b_s3) <= {MAX_BITS}")
+    # members with a partner in their bucket that may be linked, and their sets
+    full = members.df.join(sketch.df, "id")
+    cand = scratch.write(full.alias("a").join(full.drop("lead").alias("b"), F.expr(
+        f"a.key = b.key and a.id != b.id and {similar('a', 'b')}"), "left_semi"))
+    ids = scratch.write(cand.df.select("id").distinct())
+    few = ids.df.count() <= BROADCAST_IDS
+    sets = scratch.write(src.join(F.broadcast(ids.df) if few else ids.df, "id", "left_semi").mapInPandas(
+        _set_rows(width), "id long, s array<long>, w array<int>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        s = sets.df
-        both = pairs.join(side(s, "b_"), "b_id").join(side(s, "a_"), "a_id")
-        common = F.size(F.array_intersect("a_s", "b_s")).alias("common")
-        return both.select("a_id", "b_id", common, (F.size("a_s") + F.size("b_s")).alias("both")).where(
-            F.expr(f"100 * common >= {percent} * (`both` - common)")).select(
-            F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-    star = members.df.where("id > lead").select(F.col("lead").alias("a_id"), F.col("id").alias("b_id")).distinct()
-    star = scratch.write(star.join(side(sketch.df, "b_"), "b_id").join(side(sketch.df, "a_"), "a_id")
-                         .where(similar).select("a_id", "b_id"))
+        whole = sets.df.select("id", "s", F.size("s").alias("n"))
+        both = pairs.join(whole.alias("b"), F.expr("b_id = b.id")).join(whole.alias("a"), F.expr("a_id = a.id"))
+        return both.where(F.expr(overlap("0", "s"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+    # every member of a bucket with its leader
+    star = cand.df.where("id != lead").select(F.col("lead").alias("a_id"), F.col("id").alias("b_id")).distinct()
+    star = star.join(sketch.df.alias("a"), F.expr("a_id = a.id")).join(sketch.df.alias("b"), F.expr("b_id = b.id"))
+    star = scratch.write(star.where(F.expr(similar("a", "b"))).select("a_id", "b_id"))
     first = scratch.write(confirmed(star.df))
     comp1 = scratch.write(connected_components(scratch, first.df))
 
     # members of one bucket that the leaders have not brought together
-    tagged = scratch.write(members.df.select("key", "id").join(comp1.df, "id", "left").select(
-        "key", "id", F.coalesce("comp", "id").alias("comp")))
-    open_keys = tagged.df.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    left = scratch.write(tagged.df.join(open_keys.select("key"), "key", "left_semi").join(sketch.df, "id"))
-    cross = side(left.df, "a_").join(side(left.df, "b_"), (F.col("a_key") == F.col("b_key"))
-                                     & (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & similar)
-    cross = scratch.write(cross.select("a_id", "b_id").distinct().join(star.df, ["a_id", "b_id"], "left_anti"))
+    tagged = cand.df.drop("lead").join(comp1.df, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    tagged = scratch.write(tagged).df
+    open_keys = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    tagged = scratch.write(tagged.join(open_keys.select("key"), "key", "left_semi")).df
+    apart = f"a.key = b.key and a.comp != b.comp and {similar('a', 'b')}"
+    left = scratch.write(tagged.alias("a").join(tagged.alias("b"), F.expr(apart), "left_semi")).df
+    left = scratch.write(left.join(sets.df.select("id", "w"), "id")).df
+    # two of a set's codes meet with probability n * n / 2**33
+    met = "1 + greatest(a.n, b.n) / 10000"
+    cross = left.alias("a").join(left.alias("b"), F.expr(f"{apart} and a.id < b.id and {overlap(met, 'w')}"))
+    cross = scratch.write(cross.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct())
     second = scratch.write(confirmed(cross.df))
     if second.df.isEmpty():
-        comps = comp1.df
+        comps = comp1
     else:
         links = second.df
         for end in ("a", "b"):
@@ -208,12 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         over = scratch.write(over).df
         comps = scratch.write(comp1.df.join(over.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left")
                               .select("id", F.coalesce("up", "comp").alias("comp"))
-                              .unionByName(over.join(comp1.df.select("id"), "id", "left_anti"))).df
+                              .unionByName(over.join(comp1.df.select("id"), "id", "left_anti")))
+    scratch.clear(feats, classes, comps)
 
     copies = classes.df.where("m > 1").select("d1", "d2", "cid")
     out = feats.df.select("id", "n", "d1", "d2").join(copies, ["d1", "d2"], "left").select(
         "id", "n", F.coalesce(F.when(F.col("n") > 0, F.col("cid")), F.col("id")).alias("cid"))
-    out = out.join(comps.select(F.col("id").alias("cid"), "comp"), "cid", "left")
+    out = out.join(comps.df.select(F.col("id").alias("cid"), "comp"), "cid", "left")
     comp = F.coalesce("comp", "cid")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), comp).alias("component_id"),

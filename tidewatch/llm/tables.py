@@ -19,13 +19,20 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/tidewatch-llm/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._made: list[Table] = []
 
     def write(self, df: DataFrame) -> "Table":
-        self._n += 1
-        path = f"{self.root}/t{self._n:03d}"
+        path = f"{self.root}/t{len(self._made):03d}"
         df.write.parquet(path)
-        return Table(self.spark, path, df.schema)
+        self._made.append(Table(self.spark, path, df.schema))
+        return self._made[-1]
+
+    def clear(self, *keep: "Table") -> None:
+        """Drop what this folder holds besides ``keep``; nothing lazy may depend on it any more."""
+        paths = {t.path for t in keep}
+        for t in self._made:
+            if t.path not in paths:
+                t.drop()
 
 
 class Table:
