@@ -67,16 +67,16 @@ def source_budgets(tokens: DataFrame, entropy: float = ENTROPY, max_repeats: flo
     """
     scratch = Scratch(tokens.sparkSession, "mixing")
     per = tokens.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).where("tokens > 0")
-    total = per.agg(F.sum("tokens").alias("total"))
-    per = scratch.write(per.join(total).select("*", (F.col("tokens") / F.col("total")).alias("share"))).df
+    per = scratch.write(per).df
+    total = F.lit(per.agg(F.sum("tokens")).first()[0]).cast("long")
+    per = scratch.write(per.withColumn("share", F.col("tokens") / total)).df
     shares = per.select("share")
     a_entropy = _last_ok(shares, F.col("entropy") >= entropy, down=False)
     a_repeats = GRID - _last_ok(shares, F.col("repeats") * budget <= max_repeats, down=True)
     alpha = F.lit(max(a_entropy, a_repeats)) / F.lit(GRID)
     powered = per.withColumn("alpha", alpha).withColumn("p", F.pow("share", "alpha"))
-    z = powered.agg(F.sum("p").alias("z"))
-    out = powered.join(z).withColumn("weight", F.col("p") / F.col("z"))
-    out = out.withColumn("quota", F.floor(F.col("weight") * F.col("total") * F.lit(float(budget))))
+    out = powered.withColumn("weight", F.col("p") / F.lit(powered.agg(F.sum("p")).first()[0]).cast("double"))
+    out = out.withColumn("quota", F.floor(F.col("weight") * total * F.lit(float(budget))))
     out = out.withColumn("passes", F.expr("quota div tokens"))
     return out.select("source", "docs", "tokens", "share", "alpha", "weight", "quota", "passes",
                       (F.col("quota") - F.col("passes") * F.col("tokens")).alias("rest"))

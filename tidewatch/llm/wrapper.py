@@ -5,7 +5,8 @@ aligned with it by simple tree matching. A node whose text is the same on nearly
 the host is template, the other text nodes are slots. The content root of a host is the node of the
 reference that holds its slots: the article or main element if it has one, else the smallest element
 with most of the slot text. A page's main text are the blocks under the node aligned with that root,
-without template nodes and without elements named as menus, adverts, comments and the like.
+without elements named as menus, adverts, comments and the like, and without template blocks unless
+the root is marked as the article.
 
 Votes are counted inside each task and summed per host and node, so a host with a third of all pages
 is spread over all tasks; a wrapper is one page and a list of its nodes.
@@ -101,10 +102,13 @@ def page_text(page: str | None, ref: dom.Node | None, constant: frozenset[int])
     if ref is not None:
         goal = _content_root(ref, constant)
         root = next((y for x, y in pairs if x is goal), None)
-        fixed = {id(y) for x, y in pairs if x.index in constant and x.own().strip() == y.own().strip() and not y.kids}
+        fixed = {id(y) for x, y in pairs if x.index in constant and y.tag in dom.BLOCK and not y.kids
+                 and x.own().strip() == y.own().strip()}
         if own_mark is not None and (root is None or root.tag != own_mark.tag):
             root = own_mark
     root = root or own_mark or next((n for n in tree.walk() if n.tag == "body"), tree)
+    if root is own_mark:
+        fixed = set()  # inside a marked article every block is its text
     return "\n".join(dom.blocks(root, lambda n: id(n) in fixed))
 
 
@@ -126,7 +130,7 @@ def wrappers(pages: DataFrame, same: float = SAME, least_pages: int = LEAST_PAGE
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "wrapper")
-    distinct = pages.where("html is not null").withColumn("h", F.xxhash64("html"))
+    distinct = pages.where("html like '%<%'").withColumn("h", F.xxhash64("html"))
     refs = scratch.write(distinct.groupBy("host").agg(F.min_by("html", "h").alias("ref"), F.count_distinct("h").alias("pages"))).df
     first = distinct.groupBy("host", "h").agg(F.min("page_id").alias("page_id"))
     one = distinct.join(first, ["host", "h", "page_id"], "left_semi") if "page_id" in pages.columns else distinct
