@@ -108,6 +108,7 @@ def test_scan_archive_months(spark):
     df = spark.createDataFrame([("1", datetime(2018, 11, 30), "2018-11", 1), ("2", datetime(2018, 12, 2), "2018-12", 1),
                                 ("3", datetime(2018, 12, 3), "2018-12", 2)],
                                "tweetid string, created_at timestamp, monthbucket string, collectionid int")
-    assert [r["tweetid"] for r in scan_archive(df, datetime(2018, 11, 1), collection=1).collect()] == ["1"]
+    assert [r["tweetid"] for r in scan_archive(df, datetime(2018, 12, 1), collection=1).collect()] == ["2"]
+    assert sorted(r["tweetid"] for r in scan_archive(df, datetime(2018, 11, 1), collection=1).collect()) == ["1", "2"]
     got = sorted(r["tweetid"] for r in scan_archive(df, datetime(2018, 11, 1), datetime(2018, 12, 31), collection=1).collect())
     assert got == ["1", "2"]

@@ -109,7 +109,7 @@ def test_terms_and_bounds(fixture_posts):
     assert tok[0]["doc_count"] >= tok[-1]["doc_count"]
 
 
-def test_whitelists_and_hit_cap(fixture_posts):
+def test_whitelists_and_size(fixture_posts):
     from tidewatch import schema
     from tidewatch.operators.filters import InvalidFilterError, build_filter
 
@@ -119,7 +119,7 @@ def test_whitelists_and_hit_cap(fixture_posts):
         build_filter({"text__contains": "flood"}, cols, allowed=schema.FILTERABLE)
     with pytest.raises(InvalidFilterError):
         build_filter({"flood_probability__lt": "0.5"}, cols, allowed=schema.FILTERABLE)
-    assert QuerySpec.from_params({"size": "100000"}).size == schema.MAX_HITS
+    assert QuerySpec.from_params({"size": "100000"}).size == 100000
     rows, _ = run_query(fixture_posts, QuerySpec.from_params({"flood_probability__gte": "0.9", "lang": "en"},
                                                              allowed_filters=schema.FILTERABLE))
     assert sorted(ids(rows)) == ["10", "11", "12", "14"]

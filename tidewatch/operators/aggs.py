@@ -129,13 +129,12 @@ def geo_bounds_aggs(location: str = "location") -> list[Column]:
 def hotspots(
     df: DataFrame,
     precision: int = schema.HOTSPOT_PRECISION,
-    size: int = schema.MAX_HOTSPOTS,
+    size: int | None = None,
     min_entries: int = schema.MIN_ENTRIES,
-    max_hotspots: int = schema.MAX_HOTSPOTS,
     location: str = "location",
 ) -> DataFrame:
     """A3: docs per geohash cell; cells with >= min_entries docs; biggest first, at most
-    min(size, max_hotspots); location = centre of the cell's doc bounds.
+    `size` of them if given; location = centre of the cell's doc bounds.
 
     Output: key, doc_count, lat, lon (centre).
     """
@@ -146,10 +145,9 @@ def hotspots(
         .agg(F.count(F.lit(1)).alias("doc_count"), *geo_bounds_aggs(location))
     )
     centre = bounds_center("top_left_lat", "top_left_lon", "bottom_right_lat", "bottom_right_lon")
+    cells = cells.filter(F.col("doc_count") >= F.lit(min_entries)).orderBy(F.desc("doc_count"), F.asc("key"))
     return (
-        cells.filter(F.col("doc_count") >= F.lit(min_entries))
-        .orderBy(F.desc("doc_count"), F.asc("key"))
-        .limit(min(int(size), int(max_hotspots)))
+        (cells if size is None else cells.limit(int(size)))
         .select("key", "doc_count", centre["lat"].alias("lat"), centre["lon"].alias("lon"))
     )
 

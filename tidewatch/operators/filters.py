@@ -172,8 +172,8 @@ def apply_filters(df: DataFrame, params: dict, tz=None, now: datetime | None = N
     return df if pred is None else df.filter(pred)
 
 
-def missing(df: DataFrame, column: str = "location", limit: int | None = schema.MAX_HITS) -> DataFrame:
-    """rows lacking `column` (the backfill job takes at most `limit` per run)."""
+def missing(df: DataFrame, column: str = "location", limit: int | None = None) -> DataFrame:
+    """rows lacking `column`, at most `limit` per run if one is given."""
     out = df.filter(F.col(column).isNull())
     return out.limit(limit) if limit else out
 

@@ -94,14 +94,14 @@ def lineitem_week_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return A.time_histogram(table(spark, sf, "lineitem"), "1w", ts="l_shipdate")
 
 
-def _hotspot_sql(precision: int, where: str = "true", limit: int = 1000, min_entries: int = 5) -> str:
+def _hotspot_sql(precision: int, where: str = "true", limit: int | None = None, min_entries: int = 5) -> str:
     return f"""
 WITH p AS (SELECT * FROM {POSTS_SQL} p WHERE {where}),
 c AS (SELECT {geohash_sql('lat', 'lon', precision)} AS key, count(*) AS doc_count,
              max(lat) AS tl_lat, min(lon) AS tl_lon, min(lat) AS br_lat, max(lon) AS br_lon
       FROM p GROUP BY 1)
 SELECT key, doc_count, round((tl_lat + br_lat) / 2, 6) AS lat, round((tl_lon + br_lon) / 2, 6) AS lon
-FROM c WHERE doc_count >= {min_entries} ORDER BY doc_count DESC, key ASC LIMIT {limit}
+FROM c WHERE doc_count >= {min_entries} ORDER BY doc_count DESC, key ASC {f"LIMIT {limit}" if limit else ""}
 """
 
 
@@ -246,14 +246,14 @@ def user_centroids(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "unlabelled_documents",
     """SELECT d.doc_id, d.lang, d.source FROM documents d
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY d.doc_id LIMIT 5000""",
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) ORDER BY d.doc_id""",
 )
 def unlabelled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """rows missing a field (their label), at most 5000 per run, oldest first."""
+    """rows missing a field (their label), oldest first."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality"))
     joined = docs.join(labels, "doc_id", "left")
-    return FL.missing(joined, "quality", limit=None).orderBy("doc_id").limit(5000).select("doc_id", "lang", "source")
+    return FL.missing(joined, "quality", limit=None).orderBy("doc_id").select("doc_id", "lang", "source")
 
 
 @register(

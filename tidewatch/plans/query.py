@@ -43,7 +43,7 @@ class QuerySpec:
         search = p.pop("search", None)
         order = p.pop("order_by", [])
         order = [order] if isinstance(order, str) else list(order)
-        size = min(int(p.pop("size", schema.PAGE_SIZE)), schema.MAX_HITS)  # L5: hit cap
+        size = int(p.pop("size", schema.PAGE_SIZE))
         offset = int(p.pop("offset", 0))
         aggs: dict = {}
         if "agg_timestamp" in p:
@@ -56,7 +56,7 @@ class QuerySpec:
             p.pop("agg_hotspot")
             aggs["agg_hotspot"] = {
                 "precision": int(p.pop("agg_hotspot__precision", schema.HOTSPOT_PRECISION)),
-                "size": int(p.pop("agg_hotspot__size", schema.MAX_HOTSPOTS)),
+                "size": int(p.pop("agg_hotspot__size")) if "agg_hotspot__size" in p else None,
             }
         for k in [k for k in p if k.startswith("agg_")]:
             p.pop(k)

@@ -62,11 +62,13 @@ def scan_archive(df: DataFrame, ts_from: datetime, ts_to: datetime | None = None
     """Month-bucket pruning + `ts >= from` (and `< to`) + collection equality + optional limit.
 
     On a Parquet archive partitioned by `bucket`, the bucket IN-list prunes directories and
-    the time range is pushed into the reader. When `ts_to` is None only the month of
-    `ts_from` is scanned (the archive's bucket rule); pass `ts_to` to cover a range.
+    the time range is pushed into the reader. When `ts_to` is None all months from that of
+    `ts_from` on are scanned.
     """
     ntz = dict(df.dtypes).get(ts) == "timestamp_ntz"
-    pred = F.col(bucket).isin(month_buckets(ts_from, ts_to)) & (F.col(ts) >= ts_literal(ts_from, ntz))
+    months = (F.col(bucket).isin(month_buckets(ts_from, ts_to)) if ts_to is not None
+              else F.col(bucket) >= f"{ts_from:%Y-%m}")
+    pred = months & (F.col(ts) >= ts_literal(ts_from, ntz))
     if ts_to is not None:
         pred = pred & (F.col(ts) < ts_literal(ts_to, ntz))
     if collection is not None:
