@@ -135,3 +135,42 @@ def test_categorize_clusters_geo_membership(spark):
                res.groupBy("seg_cell", "seg_value").agg(F.count(F.lit(1)).alias("n")).collect()}
     segs = {(r["cell"], r["value"]): r["doc_count"] for r in C.geo_cluster_segments(p, ["country"], precision=3).collect()}
     assert per_seg == segs and all(n >= 5 for n in segs.values())
+
+
+def test_segments_null_and_array_children(spark):
+    rows = [("A", None, None)] * 7 + [("A", "en", ["x", "y"])] + [("B", "en", ["x"])] * 5
+    df = spark.createDataFrame(rows, "country string, lang string, tokens array<string>")
+    top = lambda terms: [tuple(r) for r in C.cluster_segments(df, terms, size=1, min_entries=1).collect()]
+    assert top(["country", "lang"]) == [("A", "en", 1)]
+    assert top(["country", "tokens"]) == [("A", "x", 1)]
+    few = spark.createDataFrame([("A", ["p", "q", "r", "s", "t"])] * 2 + [("B", ["p"])] * 4, "country string, tokens array<string>")
+    assert [tuple(r) for r in C.cluster_segments(few, ["country", "tokens"], size=1, min_entries=1).collect()] == [("B", "p", 4)]
+    assert sorted(tuple(r) for r in C.cluster_segments(few, ["tokens", "country"], size=2, min_entries=1).collect()) == [
+        ("p", "A", 2), ("p", "B", 4), ("q", "A", 2)]
+
+
+def geo_docs(spark):
+    rows = [(str(i), (10.0, 20.0), "A", ["x", "y"], "same text") for i in range(5)]
+    rows += [("9", (10.0005, 20.0), "A", ["x"], "near text"), ("8", None, "A", ["x"], "no place")]
+    return spark.createDataFrame(rows, "tweetid string, location struct<lat:double,lon:double>, country string, "
+                                       "tokens array<string>, text string")
+
+
+def test_geo_segments_of_array_terms(spark):
+    from tidewatch.plans.flows import categorize_clusters
+
+    df = geo_docs(spark)
+    seg = C.geo_cluster_segments(df, ["tokens"], precision=5)
+    assert sorted((r["value"], r["doc_count"]) for r in seg.collect()) == [("x", 6), ("y", 5)]
+    res = categorize_clusters(df, ["location", "tokens"], precision=5)
+    assert sorted((r["seg_value"], r["n"]) for r in res.groupBy("seg_value").agg(F.count(F.lit(1)).alias("n")).collect()) == [
+        ("x", 6), ("y", 5)]
+
+
+def test_geo_box_membership(spark):
+    df = geo_docs(spark)
+    fine = C.geo_cluster_segments(df, ["country"], precision=9)  # the five equal points: a degenerate box
+    assert [r["doc_count"] for r in fine.collect()] == [5]
+    ids = lambda how: sorted(r["tweetid"] for r in C.assign_geo_clusters(df, fine, ["country"], 9, how).collect())
+    assert ids("cell") == ["0", "1", "2", "3", "4"]
+    assert ids("box") == ["0", "1", "2", "3", "4", "9"]

@@ -63,7 +63,7 @@ RAW = {
     "tweet": {
         "id": 1007091004389359616, "id_str": "1007091004389359616",
         "created_at": "Thu Jun 14 02:45:30 +0000 2018", "timestamp_ms": "1528944330252",
-        "text": "Primeras bandas de lluvia moderada a fuerte de la tormenta tropical #Bud, estarán llegando esta misma noche",
+        "text": "La lluvia de esta tarde es muy fuerte en el puerto y las calles están con agua #Bud",
         "lang": "es",
         "user": {"id": 7, "name": "Meteo", "location": "Los Cabos", "followers_count": 10},
         "coordinates": None,
@@ -92,6 +92,59 @@ def test_normalize_raw_post(spark):
     assert sorted(x["reason"] for x in rej.collect()) == ["missing annotations", "unparsable record"]
 
 
+def rec(i, text="The creek is over the road", **kw):
+    return {"id": i, "text": text, "lang": "en", "created_at": "2024-01-02T03:04:05",
+            "annotations": {"flood_probability": 0.5}, **kw}
+
+
+def test_normalizer_reads_the_merged_record(spark):
+    from tidewatch.operators.normalize import normalize
+
+    env = rec(1, text="wet\\n#lluvia here", entities={"hashtags": [{"text": "one", "indices": [0, 1]}, {"text": "two", "indices": [2, 3]}]})
+    env.pop("annotations")
+    lines = [
+        # outer author kept, envelope without one; both entity tags; a tag after a line break
+        json.dumps({"annotations": {"flood_probability": 0.25}, "user": {"id": 7, "name": "outer"}, "tweet": env}).replace("\\\\n", "\\n"),
+        # envelope (a JSON string) overrides the outer probability; an escaped accent in a tag, & in a URL
+        json.dumps({"annotations": {"flood_probability": 0.25}, "tweet": json.dumps(
+            rec(2, text="Es #Inundaci\u00f3n!", annotations={"flood_probability": ["yes", 0.75]},
+                media=[{"media_url": "http://m.example/?a=1&b=2"}]))}),
+        json.dumps(rec(3, country="Elsewhere", coordinates={"coordinates": [1.0, 1.0]})),
+        json.dumps(rec(4, entities={"hashtags": [{"text": "bare"}]}, user=None, place=None)),
+    ]
+    layer = spark.createDataFrame([(0, "A", "AA", [sq(0, 0, 10, 10)])],
+                                  "fid int, name string, iso2 string, rings array<array<struct<lon:double,lat:double>>>")
+    ok, rej = normalize(spark.createDataFrame([(x,) for x in lines], "raw string"), countries=layer, now=datetime(2024, 1, 1), detect=False)
+    got = {r["tweetid"]: r for r in ok.collect()}
+    assert rej.count() == 0 and sorted(got) == ["1", "2", "3", "4"]
+    assert (got["1"]["user_id"], got["1"]["user_name"], got["1"]["flood_probability"]) == (7, "outer", 0.25)
+    assert {"one", "two", "lluvia"} <= set(got["1"]["tokens"])
+    assert got["2"]["flood_probability"] == 0.75 and "Inundaci\u00f3n" in got["2"]["tokens"]
+    assert got["2"]["media_urls"] == ["http://m.example/?a=1&b=2"]
+    assert got["3"]["country"] == "Elsewhere"
+    assert "bare" in got["4"]["tokens"]
+
+
+def test_renormalize_changes_nothing(spark):
+    from tidewatch.operators.normalize import normalize, renormalize
+
+    gz = spark.createDataFrame([("Los Cabos", 23.0, -110.0)], "place string, lat double, lon double")
+    lines = [json.dumps(RAW), json.dumps(rec(5, user={"id": 9, "name": "n", "location": "Los Cabos", "followers_count": 3}, representative=True)),
+             json.dumps(rec(6, coordinates={"coordinates": [2.0, 3.0]}, entities={"media": [{"media_url": "http://m.example/1"}]}))]
+    first, _ = normalize(spark.createDataFrame([(x,) for x in lines], "raw string"), gz, now=datetime(2024, 1, 1))
+    again, rej = renormalize(first, gz, now=datetime(2025, 1, 1))
+    by_id = lambda df: sorted(map(str, df.collect()))
+    assert by_id(again) == by_id(first) and len(by_id(first)) == 3 and rej.count() == 0
+
+
+def test_country_of_repeated_keys_and_missing_points(spark):
+    layer = spark.createDataFrame([(0, "S", "SS", [sq(0, -10, 10, 10)]), (1, "T", "TT", [sq(0, 1, 10, 10)])],
+                                  "fid int, name string, iso2 string, rings array<array<struct<lon:double,lat:double>>>")
+    pts = spark.createDataFrame([("k", -5.0, 5.0), ("k", 5.0, 5.0), ("k", None, None)], "tweetid string, lat double, lon double")
+    got = GJ.country_of(pts.select("tweetid", F.struct("lat", "lon").alias("location")), layer)
+    assert sorted((str(r["location"]["lat"]), r["country"]) for r in got.collect()) == [("-5.0", "S"), ("5.0", "T"), ("None", None)]
+
+
 def test_load_json_slice(spark, tmp_path):
     from tidewatch.sources.ingest import load_json
 

@@ -209,31 +209,34 @@ def cluster_segments(
     their parent; leaves kept when count >= min_entries. The time field level is a
     histogram with `interval`. Array terms count each distinct element once per doc.
 
-    Output: one row per surviving segment with the term columns and doc_count.
-    Counts of every prefix come from one `rollup` (counts over all docs of the parent).
+    Output: one row per surviving segment with the term columns and doc_count. Counts are of
+    documents: a document without a child term still counts for its parent, and the values
+    of a child array are not counted for the parent. Terms up to the next array share one
+    `rollup`; each array term adds one pass.
     """
     if "location" in terms:
         raise ValueError("cannot aggregate by location here; use geo_cluster_segments")
-    cols = []
-    base = df
-    for t in terms:
-        dtype = dict(df.dtypes)[t]
-        if t == time_field:
-            cols.append(_interval_key(df, t, interval).alias(t))
-        elif dtype.startswith("array"):
-            base = base.withColumn(t, F.explode(F.array_distinct(F.col(t))))
-            cols.append(F.col(t))
-        else:
-            cols.append(F.col(t))
-    keyed = base.select(*cols).na.drop(subset=terms)
-    rolled = keyed.rollup(*terms).agg(F.count(F.lit(1)).alias("doc_count"), F.grouping_id().alias("_gid"))
+    types = dict(df.dtypes)
+    arrays = [i for i, t in enumerate(terms) if t != time_field and types[t].startswith("array")]
+    base = df.select(*[_interval_key(df, t, interval).alias(t) if t == time_field else F.col(t) for t in terms])
+
+    def counts(upto: int) -> DataFrame:
+        """Rolled-up counts with the array terms before `upto` exploded."""
+        rows = base.select(*terms[:upto])
+        for i in (i for i in arrays if i < upto):
+            rows = rows.withColumn(terms[i], F.explode(F.array_distinct(F.col(terms[i]))))
+        return rows.rollup(*terms[:upto]).agg(F.count(F.lit(1)).alias("doc_count"), F.grouping_id().alias("_gid"))
+
+    ends = [i for i in arrays if i] + [len(terms)]  # a pass ends before the next array term
+    passes = {end: counts(end) for end in ends}
     n = len(terms)
     survivors = None
     for level in range(1, n + 1):
         prefix = terms[:level]
-        # grouping_id bit i (from the left, over n columns) is 1 when column i is rolled up
-        gid = (1 << (n - level)) - 1
-        lvl = rolled.filter(F.col("_gid") == gid).select(*prefix, "doc_count")
+        # grouping_id bit i (from the left, over the columns of a pass) is 1 when column i is rolled up
+        end = min(e for e in ends if e >= level)
+        gid = (1 << (end - level)) - 1
+        lvl = passes[end].filter(F.col("_gid") == gid).select(*prefix, "doc_count").na.drop(subset=prefix)
         if survivors is not None:
             lvl = lvl.join(survivors.select(*terms[: level - 1]), terms[: level - 1], "left_semi")
         if terms[level - 1] != time_field:
@@ -302,8 +305,8 @@ def geo_cluster_segments(
                 .withColumn("value", F.lit(None).cast("string"))
         dtype = dict(df.dtypes)[term]
         vals = F.explode_outer(F.array_distinct(F.col(term))) if dtype.startswith("array") else F.col(term)
-        return cells.select("cell", location, vals.cast("string").alias("value")).groupBy("cell", "value").agg(
-            F.count(F.lit(1)).alias("doc_count"), *corner_aggs)
+        rows = cells.select("cell", location, vals.alias("value")).withColumn("value", F.col("value").cast("string"))
+        return rows.groupBy("cell", "value").agg(F.count(F.lit(1)).alias("doc_count"), *corner_aggs)
 
     first = per_value(terms[0] if terms else None)
     bounds = first.groupBy("cell").agg(
@@ -329,3 +332,54 @@ def geo_cluster_segments(
         seg = seg.unionByName(f)
     seg = seg.filter(F.col("doc_count") >= F.lit(min_entries))
     return seg.join(bounds, "cell")
+
+
+def assign_geo_clusters(df: DataFrame, segments: DataFrame, terms: list[str], precision: int = schema.CLUSTER_PRECISION,
+                        membership: str = "cell", location: str = "location") -> DataFrame:
+    """J6 for A8 segments: the docs of each (cell, term, value) segment, once per segment.
+
+    membership 'cell': docs of the segment's own cell. 'box': docs inside its (widened) box,
+    edges included, which can take in neighbours of a degenerate box. A box touches few grid
+    cells: it is listed under each and joined on (grid cell, term, value), never by range.
+    Output: seg_cell, seg_term, seg_value (NULL without terms) and the columns of `df`.
+    """
+    from tidewatch.functions.geo import geohash
+
+    if membership not in ("cell", "box"):
+        raise ValueError(f"membership must be 'cell' or 'box': {membership!r}")
+    lat, lon = F.col(f"{location}.lat"), F.col(f"{location}.lon")
+    types = dict(df.dtypes)
+
+    def values(t: str):
+        vals = F.array_distinct(F.col(t)) if types[t].startswith("array") else F.array(F.col(t))
+        vals = F.filter(vals, lambda x: x.isNotNull())
+        return F.transform(F.coalesce(vals, F.array().cast(vals_type(t))),
+                           lambda x: F.struct(F.lit(t).alias("t"), x.cast("string").alias("v")))
+
+    def vals_type(t: str) -> str:
+        return types[t] if types[t].startswith("array") else f"array<{types[t]}>"
+
+    docs = df.filter(lat.isNotNull() & lon.isNotNull())
+    if terms:
+        docs = docs.withColumn("_tv", F.explode(F.concat(*[values(t) for t in terms])))
+    else:
+        docs = docs.withColumn("_tv", F.struct(F.lit("").alias("t"), F.lit("").alias("v")))
+    seg = segments.select(F.col("cell").alias("seg_cell"), F.col("term").alias("seg_term"), F.col("value").alias("seg_value"),
+                          F.coalesce("term", F.lit("")).alias("_t"), F.coalesce("value", F.lit("")).alias("_v"),
+                          "top_left_lat", "top_left_lon", "bottom_right_lat", "bottom_right_lon")
+    if membership == "cell":
+        seg = seg.withColumn("_g", F.col("seg_cell"))
+        docs = docs.withColumn("_g", geohash(lat, lon, precision))
+        inside = F.lit(True)
+    else:
+        # grid step: the geohash cell's height, 0.004 degrees at least (a widened side has 0.002)
+        step = max(0.004, 180.0 / 2 ** (5 * precision // 2))
+        grid = lambda c: F.floor(c / F.lit(step))
+        seg = seg.withColumn("_x", F.explode(F.sequence(grid(F.col("top_left_lon")), grid(F.col("bottom_right_lon"))))) \
+            .withColumn("_y", F.explode(F.sequence(grid(F.col("bottom_right_lat")), grid(F.col("top_left_lat"))))) \
+            .withColumn("_g", F.concat_ws("/", "_x", "_y")).drop("_x", "_y")
+        docs = docs.withColumn("_g", F.concat_ws("/", grid(lon), grid(lat)))
+        inside = lat.between(F.col("bottom_right_lat"), F.col("top_left_lat")) & lon.between(
+            F.col("top_left_lon"), F.col("bottom_right_lon"))
+    docs = docs.withColumn("_t", F.col("_tv.t")).withColumn("_v", F.col("_tv.v")).drop("_tv")
+    return docs.join(seg, ["_g", "_t", "_v"]).filter(inside).select("seg_cell", "seg_term", "seg_value", *df.columns)

@@ -56,26 +56,27 @@ def with_bbox(countries: DataFrame) -> DataFrame:
 def country_of(points: DataFrame, countries: DataFrame, lat: str = "location.lat", lon: str = "location.lon",
                key: str = "tweetid", out: str = "country") -> DataFrame:
     """Each point gets the name of the first polygon (smallest fid) containing it, else NULL.
+    Rows are kept one by one, repeated keys included; the points are joined once.
 
     countries(fid, name, iso2, rings array<array<struct<lon, lat>>>).
     """
     c = with_bbox(countries)
     x0, y0 = _cell_xy(F.col("min_lat"), F.col("min_lon"))
     x1, y1 = _cell_xy(F.col("max_lat"), F.col("max_lon"))
-    cells = c.select("fid", "name", "rings", "min_lat", "max_lat", "min_lon", "max_lon",
-                     F.explode(F.sequence(x0, x1)).alias("cx"), F.sequence(y0, y1).alias("ys"))
-    cells = cells.select("*", F.explode("ys").alias("cy")).drop("ys")
-    px, py = _cell_xy(F.col(lat), F.col(lon))
-    pts = points.select(F.col(key).alias("_k"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
-                        px.alias("cx"), py.alias("cy"))
-    cand = pts.join(cells, ["cx", "cy"]).filter(
-        F.col("_lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("_lon").between(F.col("min_lon"), F.col("max_lon")))
-    hit = cand.filter(polygon_contains(F.col("rings"), F.col("_lat"), F.col("_lon")))
-    first = hit.groupBy("_k").agg(F.min_by("name", "fid").alias("_country"))
-    res = points.join(first.withColumnRenamed("_k", key), key, "left")
-    if out in points.columns:
-        res = res.drop(out)
-    return res.withColumnRenamed("_country", out)
+    cells = c.select(F.struct("fid", "name", "rings", "min_lat", "max_lat", "min_lon", "max_lon").alias("poly"),
+                     F.explode(F.sequence(x0, x1)).alias("_cx"), F.sequence(y0, y1).alias("ys"))
+    cells = cells.select("poly", "_cx", F.explode("ys").alias("_cy"))
+    # the layer (not the points) is grouped by cell, so a point stays one row with its match
+    layer = cells.groupBy("_cx", "_cy").agg(F.array_sort(F.collect_list("poly")).alias("_polys"))
+    la, lo = F.col(lat), F.col(lon)
+    px, py = _cell_xy(la, lo)
+    # points without a location match nothing; they are spread instead of sharing a NULL key
+    apart = -1 - F.pmod(F.xxhash64(F.col(key)), F.lit(1024)).cast("int")
+    pts = points.withColumn("_cx", F.when(la.isNotNull() & lo.isNotNull(), px).otherwise(apart)).withColumn("_cy", py)
+    inside = F.filter("_polys", lambda g: la.between(g["min_lat"], g["max_lat"]) & lo.between(g["min_lon"], g["max_lon"])
+                      & polygon_contains(g["rings"], la, lo))
+    joined = pts.join(layer, ["_cx", "_cy"], "left")
+    return joined.withColumn(out, F.get(inside, F.lit(0))["name"]).drop("_cx", "_cy", "_polys")
 
 
 def place_key(c) -> Column:

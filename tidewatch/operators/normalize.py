@@ -9,20 +9,20 @@ with a reason.
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.functions.geo import mean_point
-from tidewatch.functions.text import analyzed_words, token_words, tokens_from_words
+from tidewatch.functions.text import HASHTAG_STRIP, analyzed_words, token_words, tokens_from_words
 from tidewatch.operators.geojoin import country_of, place_key
 from tidewatch.sources.ingest import conform
 
-# Top-level fields kept by the projection, and the author fields kept.
-PRESERVE_TOP = ("id", "tweetid", "text", "lang", "created_at", "ttype", "annotations", "geotags", "latlong",
-                "annotations_combined_model", "mordecai_raw", "geo", "coordinates", "place", "media_urls")
+# The author fields kept.
 PRESERVE_USER = ("id", "name", "screen_name", "location", "description", "followers_count", "friends_count",
                  "listed_count", "favourites_count", "statuses_count", "created_at", "utc_offset", "time_zone",
                  "lang", "profile_image_url")
@@ -71,9 +71,10 @@ def first_path(v: Column, inner: Column, path: str, typ: str = "string") -> Colu
     return F.when(inner.isNotNull() & _has(inner, top), _get(inner, path, typ)).otherwise(_get(v, path, typ))
 
 
-def flood_probability(v: Column) -> Column:
-    """P5: scalar, or ["yes"|"no", p] -> p when "yes" else 0; missing -> NULL (rejected)."""
-    fp = _get(v, "$.annotations.flood_probability", "variant")
+def flood_probability(v: Column, inner: Column) -> Column:
+    """P5: scalar, or ["yes"|"no", p] -> p when "yes" else 0; missing -> NULL (rejected).
+    The envelope's own `annotations` override the outer ones."""
+    fp = first_path(v, inner, "$.annotations.flood_probability", "variant")
     is_arr = F.try_variant_get(fp, "$", "array<variant>").isNotNull()
     pair = F.when(_get(fp, "$[0]") == F.lit("yes"), _get(fp, "$[1]", "double")).otherwise(F.lit(0.0))
     return F.when(is_arr, pair).otherwise(_get(fp, "$", "double"))
@@ -105,35 +106,57 @@ def detect_language(text: Column, fallback: Column, words: Column | None = None)
     return F.when(best["n"] > 0, best["lang"]).otherwise(fallback)
 
 
-def record_json(raw: Column, v: Column) -> Column:
-    """The record's JSON text for the any-depth collectors: the raw text itself, plus the
-    envelope's own text when it arrived as an (escaped) JSON string."""
-    env = envelope_text(v)
-    return F.when(env.isNotNull(), F.concat(raw, F.lit(" "), env)).otherwise(raw)
-
-
-def collect_hashtags(js: Column) -> Column:
-    """Hashtags from every string value of the record (whitespace-separated words that
-    start with '#', shorter than 256 chars, X4 stripping) plus the `text` of entity objects
-    in `hashtags` lists; distinct, sorted. `js` is the record's JSON text: inside a JSON
-    string a word ends at whitespace, at the closing quote or at an escape."""
-    from tidewatch.functions.text import HASHTAG_STRIP
-
-    words = F.regexp_extract_all(js, F.lit(r'[\s"](#[^\s"\\]*)'), 1)
-    words = F.filter(words, lambda w: F.length(w) < 256)
-    strip = "[" + "".join("\\" + c for c in HASHTAG_STRIP) + "]+"
-    from_text = F.transform(words, lambda w: F.regexp_replace(w, F.lit(f"^{strip}|{strip}$"), F.lit("")))
-    ents = F.regexp_extract_all(js, F.lit(r'"hashtags"\s*:\s*\[\s*\{[^\]]*?"text"\s*:\s*"([^"]*)"'), 1)
-    all_ents = F.regexp_extract_all(js, F.lit(r'\{\s*"indices"\s*:\s*\[[0-9, ]*\]\s*,\s*"text"\s*:\s*"([^"]*)"\s*\}'), 1)
-    found = F.array_sort(F.array_distinct(F.concat(from_text, ents, all_ents)))
-    return F.when(F.instr(js, "#") > 0, found).otherwise(F.array().cast("array<string>"))
-
-
-def collect_media_urls(js: Column) -> Column:
-    """media_url / media_url_https values at any depth of the record; distinct, sorted."""
-    urls = F.regexp_extract_all(js, F.lit(r'"media_url(?:_https)?"\s*:\s*"([^"]*)"'), 1)
-    found = F.array_sort(F.array_distinct(F.transform(urls, lambda u: F.replace(u, F.lit("\\/"), F.lit("/")))))
-    return F.when(F.instr(js, "media_url") > 0, found).otherwise(F.array().cast("array<string>"))
+def _merged_record(raw: str) -> dict:
+    """The record as a dict with its envelope lifted; {} when it cannot be read."""
+    try:
+        rec = json.loads(raw)
+        inner = rec.pop("tweet", None) if isinstance(rec, dict) else None
+        if isinstance(inner, str):
+            inner = json.loads(inner)
+    except (TypeError, ValueError, RecursionError):
+        return {}
+    if not isinstance(rec, dict):
+        return {}
+    return {**rec, **inner} if isinstance(inner, dict) else rec
+
+
+def _entity_tags(items: list) -> list:
+    """X5 for one list: each object's `hashtags` sub-list, else its own `text`."""
+    out = []
+    for item in (x for x in items if isinstance(x, dict)):
+        subs = item["hashtags"] if isinstance(item.get("hashtags"), list) else [item]
+        names = [x.get("text") if isinstance(x, dict) else x for x in subs]
+        out += [x.strip() for x in names if isinstance(x, str)]
+    return out
+
+
+def record_tags(raw: str) -> tuple[list, list]:
+    """(hashtags, media URLs) of one raw record, each distinct and sorted."""
+    tags, media = set(), set()
+    todo = [_merged_record(raw)]
+    while todo:
+        for val in todo.pop().values():
+            if isinstance(val, dict):
+                todo.append(val)
+            elif isinstance(val, list):
+                tags.update(_entity_tags(val))
+                urls = (x.get(k) for x in val if isinstance(x, dict) for k in ("media_url", "media_url_https"))
+                media.update(u for u in urls if isinstance(u, str))
+            elif isinstance(val, str) and "#" in val:
+                tags.update(w.strip(HASHTAG_STRIP) for w in val.split() if w.startswith("#") and len(w) < 256)
+    return sorted(tags - {""}), sorted(media)
+
+
+@F.pandas_udf("tags array<string>, media array<string>")
+def walk_record(raw: pd.Series) -> pd.DataFrame:
+    """Hashtags and media URLs of whole records, read from the parsed JSON.
+
+    Hashtags are the `#words` (X4 rules) of every string in nested objects, plus the entity
+    texts of lists; media URLs are `media_url` / `media_url_https` of objects in lists. Both
+    at any depth of nested objects; the envelope's keys override the outer ones. Arrow
+    batches of raw texts: the walk needs unbounded depth, which no JVM expression has.
+    """
+    return pd.DataFrame([record_tags(r) for r in raw], columns=["tags", "media"])
 
 
 def _split(df: DataFrame, cond: Column) -> DataFrame:
@@ -162,14 +185,13 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     base = raw.select(F.col(raw_col).alias("_raw"), v0.alias("_v"))
     v = F.col("_v")
     base = base.select("*", lift_envelope(v).alias("_in"))
-    base = base.select("*", record_json(F.col("_raw"), v).alias("_js"))
+    base = base.select("*", walk_record("_raw").alias("_walk"))
     i = F.col("_in")
     g = lambda path, typ="string": first_path(v, i, path, typ)
-    merged = F.coalesce(i, v)
 
     text = g("$.text")
     lang_in = g("$.lang")
-    fp = flood_probability(v)
+    fp = flood_probability(v, i)
 
     # X11: point, bounding-box ring mean, location point or ring
     coord_lon, coord_lat = g("$.coordinates.coordinates[0]", "double"), g("$.coordinates.coordinates[1]", "double")
@@ -182,7 +204,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         F.when(F.size(loc_point) == 2, F.struct(loc_point[1].alias("lat"), loc_point[0].alias("lon"))),
         mean_point(loc_ring))
     place_struct = F.trim(F.coalesce(g("$.place.full_name"), g("$.place.name")))
-    user_place = F.trim(F.coalesce(_get(merged, "$.user.location"), _get(merged, "$.user.derived.locations[0].locality")))
+    user_place = F.trim(F.coalesce(g("$.user.location"), g("$.user.derived.locations[0].locality")))
 
     df = base.select(
         "_raw", "_v", "_in",
@@ -201,10 +223,12 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         g("$.place.country").alias("_place_country"),
         g("$.place.name").alias("_place_name"),
         F.trim(g("$.place")).alias("_place_str"),
-        *[_get(merged, f"$.user.{k}", "bigint" if k.endswith("count") or k in ("id", "utc_offset") else "string")
+        *[g(f"$.user.{k}", "bigint" if k.endswith("count") or k in ("id", "utc_offset") else "string")
           .alias(f"user_{k}") for k in PRESERVE_USER],
-        collect_hashtags(F.col("_js")).alias("_tags"),
-        collect_media_urls(F.col("_js")).alias("media_urls"),
+        g("$.country").alias("_own_country"),
+        g("$.representative", "boolean").alias("representative"),
+        F.col("_walk.tags").alias("_tags"),
+        F.col("_walk.media").alias("media_urls"),
         v.isNotNull().alias("_parsed"),
         F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
     ).drop("_v", "_in")
@@ -257,8 +281,10 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     place = (F.when(struct_branch, F.col("_place_name"))
              .when(str_branch, F.col("_place_str"))
              .when(has_loc, F.coalesce(user_over, F.col("_geo_place"))))
-    country = F.when(struct_branch, F.coalesce(F.col("_place_country"), F.col("_poly_country"))).when(
-        has_loc, F.col("_poly_country"))
+    # a country already on the record is kept; only a structured place overrides it
+    own = F.col("_own_country")
+    country = F.when(struct_branch, F.coalesce(F.col("_place_country"), own, F.col("_poly_country"))).when(
+        has_loc, F.coalesce(own, F.col("_poly_country"))).otherwise(own)
     df = df.withColumn("country", country).withColumn("place", place)
     tokens = F.array_distinct(F.concat(tokens_from_words(F.col("_words"), F.col("lang")), F.col("_tags")))
     df = df.withColumn("tokens", F.array_sort(tokens))
@@ -274,14 +300,20 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
 
 
 def renormalize(df: DataFrame, gazetteer=None, countries=None, **kw) -> tuple[DataFrame, DataFrame]:
-    """Re-run the normalizer over already-flat rows, synthesising `annotations`
-    (and a point location) so the result is idempotent; one job, partitions replace batches."""
+    """Re-run the normalizer over already-flat rows. The raw record is rebuilt from
+    every POST_SCHEMA column (`annotations`, a point location, the author, media and earlier
+    tokens as entities), so normalizing normalized rows changes nothing; one job, partitions
+    replace batches."""
+    user = [F.col(f"user_{k}").alias(k) for k in PRESERVE_USER if f"user_{k}" in schema.POST_SCHEMA.names]
+    texts = F.transform("tokens", lambda t: F.struct(t.alias("text")))
+    media = F.transform("media_urls", lambda u: F.struct(u.alias("media_url")))
+    point = F.struct(F.lit("Point").alias("type"), F.array("location.lon", "location.lat").alias("coordinates"))
     rec = F.to_json(F.struct(
-        F.col("tweetid").alias("id"), F.col("text"), F.col("lang"),
+        F.col("tweetid").alias("id"), "text", "lang", "place", "country", "representative",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"),
-        F.struct(F.col("flood_probability").alias("flood_probability")).alias("annotations"),
-        F.struct(F.lit("Point").alias("type"),
-                 F.array(F.col("location.lon"), F.col("location.lat")).alias("coordinates")).alias("coordinates"),
-        F.col("place").alias("place"),
+        F.struct("flood_probability").alias("annotations"),
+        F.when(F.col("location").isNotNull(), point).alias("coordinates"),
+        F.struct(*user).alias("user"),
+        F.struct(texts.alias("hashtags"), media.alias("media")).alias("entities"),
     ))
-    return normalize(df.select(rec.alias("raw")), gazetteer, countries, **kw)
+    return normalize(conform(df).select(rec.alias("raw")), gazetteer, countries, **kw)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schema
-from tidewatch.functions.geo import geohash
 from tidewatch.operators import cluster as C
 
 
@@ -18,23 +17,14 @@ def categorize_list(rows: DataFrame, id_col: str = "tweetid", text_col: str = "t
 def categorize_clusters(df: DataFrame, terms: list[str], id_col: str = "tweetid", text_col: str = "text",
                         interval: str = schema.CLUSTER_INTERVAL, precision: int = schema.CLUSTER_PRECISION,
                         time_field: str = "created_at", max_docs: int | None = None,
-                        min_entries: int = schema.MIN_ENTRIES) -> DataFrame:
+                        min_entries: int = schema.MIN_ENTRIES, membership: str = "cell") -> DataFrame:
     """With `location` among the terms: geohash cells x each other term (A8); else
     nested terms (A7). Then the docs of every segment (J6) and C1 inside each segment."""
     if "location" in terms:
         others = [t for t in terms if t != "location"]
         segs = C.geo_cluster_segments(df, others, precision=precision, min_entries=min_entries)
-        cells = df.filter(F.col("location").isNotNull()).withColumn(
-            "seg_cell", geohash(F.col("location.lat"), F.col("location.lon"), precision))
-        if others:
-            fam = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(t).cast("string").alias("v")) for t in others]))
-            cells = cells.withColumn("_tv", fam).withColumn("seg_term", F.col("_tv.t")).withColumn("seg_value", F.col("_tv.v")).drop("_tv")
-            keys = ["seg_cell", "seg_term", "seg_value"]
-            s = segs.select(F.col("cell").alias("seg_cell"), F.col("term").alias("seg_term"), F.col("value").alias("seg_value"))
-        else:
-            keys = ["seg_cell"]
-            s = segs.select(F.col("cell").alias("seg_cell"))
-        members = cells.join(s, keys)
+        members = C.assign_geo_clusters(df, segs, others, precision, membership)
+        keys = ["seg_cell", "seg_term", "seg_value"] if others else ["seg_cell"]
     else:
         segs = C.cluster_segments(df, terms, interval=interval, time_field=time_field, min_entries=min_entries)
         members = C.assign_clusters(df, segs, terms, interval=interval, time_field=time_field, id_col=id_col)

@@ -8,26 +8,16 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import geohash_sql
 from tidewatch.operators import cluster as C
+from tidewatch.functions.text import NORMALIZE_STEPS
 from tidewatch.plans.catalog import register
 from tidewatch.sources.tables import POSTS_SQL, posts, table
 
 R = 6
 
 # DuckDB (RE2) form of the aggressive normalization; equal to the Spark chain on ASCII text.
-NORMALIZE_SQL_STEPS = (
-    (r"\s+&amp;?\s+", " and "),
-    (r"@[A-Za-z0-9_]+\b", "_USER_ "),
-    (r"(?i)\b\d\d?:\d\d\s*[ap]\.?m\.?\b", "_TIME_"),
-    (r"(?i)\b\d\d?\s*[ap]\.?m\.?\b", "_TIME_"),
-    (r"(?i)\b\d\d?:\d\d:\d\d\b", "_TIME_"),
-    (r"(?i)\b\d\d?:\d\d\b", "_TIME_"),
-    (r"(?i)\bhttps?:\S+", " _URL_ "),
-    (r"(?i)\s+https?$", " _URL_"),
-    (r"[^\w\d\s:'\",.\(\)#@\?!/\x{2019}_]+", ""),
-    (r"\n", " "),
-    (r"\s{2,}", " "),
-    (r"^\s+|\s+$", ""),
-)
+NORMALIZE_SQL_STEPS = tuple(
+    (p.replace("(?U)", "").replace("(?iU)", "(?i)").replace("(?idU)", "(?i)").replace(r"\u2019", r"\x{2019}"), r)
+    for p, r in NORMALIZE_STEPS)
 
 
 def normalize_sql(expr: str) -> str:
