@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.functions.similarity import lcs_length, similarity
+from tidewatch.functions.similarity import lcs_length, similarities, similarity
 from tidewatch.operators import cluster as C
 
 
@@ -88,13 +88,38 @@ def test_small_blocks_equal_single_block(spark):
     assert one == many
 
 
-def test_count_greater_crosses_buckets(spark, monkeypatch):
-    monkeypatch.setattr(C, "ID_BUCKET", 4)
-    rows = [("a", i) for i in [1, 3, 5, 8, 9, 12, 30]]
-    q = spark.createDataFrame(rows, "k string, id long")
-    got = {r["id"]: r["n_greater"] for r in C.count_greater(q, q, ["k"]).collect()}
-    ids = [i for _, i in rows]
-    assert got == {i: sum(1 for j in ids if j > i) for i in ids}
+def test_count_greater_of_sparse_and_negative_ids(spark):
+    ids = [-(1 << 62), -5, -1, 0, 3, 5, 1 << 17, (1 << 33) + 1, (1 << 33) + 7, (1 << 62) + 1, (1 << 62) + 9]
+    q = spark.createDataFrame([("a", i) for i in ids], "k string, id long")
+    members = q.unionByName(spark.createDataFrame([("a", 5), ("b", 6)], "k string, id long"))
+    for bits in (16, 32):
+        got = {r["id"]: r["n_greater"] for r in C.count_greater(q, members, ["k"], bits=bits).collect()}
+        assert got == {i: sum(1 for j in [*ids, 5] if j > i) for i in ids}
+
+
+def test_sparse_ids_and_one_text_many_times(spark):
+    rnd = random.Random(3)
+    texts = ["river over the road"] * 60 + ["river over the roads"] * 25 + ["river over a road"] * 3 + ["dry", "", "x" * 300]
+    ids = rnd.sample(range(1 << 60), len(texts))
+    rows = [("a", i, t) for i, t in zip(ids, texts)]
+    got = run(spark, rows)
+    for i, v in brute([(i, t) for _, i, t in rows]).items():
+        assert got[("a", i)] == v
+
+
+def test_rejects_and_null_texts(spark):
+    df = spark.createDataFrame([("1", None), ("x2", "t"), (None, "t"), ("3", "")], "tweetid string, text string")
+    assert sorted((r["tweetid"], r["multiplicity"], r["centrality"]) for r in C.categorize(df).collect()) == [
+        ("1", 1, 4.0), ("3", 1, 0.0)]
+    assert sorted(str(r["tweetid"]) for r in C.categorize_rejects(df).collect()) == ["None", "x2"]
+    assert C.categorize(df.limit(0)).collect() == []
+
+
+@given(st.lists(st.text(alphabet="abcé ", max_size=90), min_size=1, max_size=6), st.lists(st.text(alphabet="abcé ", max_size=300), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_similarities_match_pairs(a, b):
+    got = similarities(a, b)
+    assert [[round(float(x), 12) for x in r] for r in got] == [[round(similarity(x, y), 12) for y in b] for x in a]
 
 
 def test_conversations_against_brute_force(spark):

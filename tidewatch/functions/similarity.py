@@ -7,6 +7,7 @@ Python integers inside an Arrow-batched pandas UDF (one call per batch of pairs)
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,37 @@ def similarity(a: str, b: str) -> float:
     return 2.0 * lcs_length(a, b) / total
 
 
+def _lcs_short(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS lengths of every a (64 characters at most) with every b: the recurrence on a matrix of words."""
+    ids: dict[str, int] = {}
+    masks = np.zeros((len(a), 1 + sum(map(len, a))), np.uint64)  # column 0: characters of no a
+    for i, t in enumerate(a):
+        for k, ch in enumerate(t):
+            masks[i, ids.setdefault(ch, len(ids) + 1)] |= np.uint64(1 << k)
+    masks = masks[:, :len(ids) + 1]
+    codes = np.zeros((len(b), max(map(len, b), default=0)), np.int64)
+    for j, t in enumerate(b):
+        codes[j, :len(t)] = [ids.get(ch, 0) for ch in t]
+    v = np.full((len(a), len(b)), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(codes.shape[1]):
+        u = v & masks[:, codes[:, k]]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v).astype(np.int64)
+
+
+def similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """(len a, len b) matrix of similarities; short texts are compared all at once."""
+    la, lb = np.array([len(t) for t in a], np.int64), np.array([len(t) for t in b], np.int64)
+    lcs = np.zeros((len(a), len(b)), np.int64)
+    i, j = np.flatnonzero(la <= 64), np.flatnonzero(lb <= 256)
+    if len(i) and len(j):
+        lcs[np.ix_(i, j)] = _lcs_short([a[k] for k in i], [b[k] for k in j])
+    for x, y in np.argwhere((la > 64)[:, None] | (lb > 256)[None, :]):
+        lcs[x, y] = lcs_length(a[x], b[y])
+    total = la[:, None] + lb[None, :]
+    return np.where(total == 0, 1.0, 2.0 * lcs / np.maximum(total, 1))
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x or "", y or "") for x, y in zip(a, b)], dtype="int32")

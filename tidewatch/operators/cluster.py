@@ -8,84 +8,143 @@ Representative split (per cluster, over the aggressively normalized text):
   representative = centrality > 0;  rank key = int(multiplicity) * int(centrality)
 
 Plan for scale:
-  * exact copies are collapsed first: pairs are formed between *distinct* texts of a
-    cluster and weighted by copy counts, so a text repeated a million times costs one row;
-  * the pair self-join is block-salted: a cluster with k distinct texts is cut into
-    ceil(k / block) hash blocks and every block pair is its own join key, so a hot
-    cluster spreads over many tasks instead of one;
-  * "how many larger ids" is answered with a two-level count (within an id bucket by a
-    window, across buckets by suffix sums over per-bucket counts), never with a window
-    over a whole group;
-  * similarity sums are DECIMAL, so totals (and the int() in the rank key) do not
-    depend on shuffle order.
-The number of pairs per cluster is quadratic in its distinct texts; `max_docs` applies
-the search layer's per-cluster hit cap (5000 docs, first by id) when asked.
+  * exact copies are collapsed first: *distinct* texts of a cluster are compared and weighted
+    by copy counts, so a text repeated a million times costs one row;
+  * a cluster with k distinct texts is cut into ceil(k / block) hash blocks; each pair of
+    blocks is one unit of work (two blocks of texts, never more), so a hot cluster spreads
+    over many tasks. A unit returns one row per text (similarity sum, smallest near id,
+    number of larger near ids) and never its pairs; only links of texts that have several
+    copies leave it, for their ids have to be ranked;
+  * "how many larger ids" among copies is a radix count: four levels of 16 bits, each a
+    window over at most 65,536 rows, whatever the spacing of the ids;
+  * similarities are summed as integers (15 decimals), so totals (and the int() in the rank
+    key) do not depend on shuffle order.
+Centrality sums the similarity of every pair of distinct texts, so the comparisons of a
+cluster grow with the square of its distinct texts; rows and memory do not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewatch import schema
-from tidewatch.functions.similarity import lcs_len
+from tidewatch.functions.similarity import similarities
 from tidewatch.functions.text import normalize_aggressive
+from tidewatch.session import written
 
-SIM_DEC = "decimal(24,18)"   # a similarity (<= 1) with 18 decimals
-CNT_DEC = "decimal(12,0)"    # copy counts, so count * sim keeps all 18 decimals
-DEFAULT_BLOCK = 256          # distinct texts per pair block
-ID_BUCKET = 1 << 16          # id range per bucket in the two-level larger-id count
+SCALE = 10 ** 15             # a similarity (<= 1) as an integer with 15 decimals
+DEFAULT_BLOCK = 256          # distinct texts per block
+RADIX_BITS = 16              # bits of the id per level of the larger-id count
+_NO_ID = (1 << 63) - 1
 
 
 def _key(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def count_greater(queries: DataFrame, members: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+def count_greater(queries: DataFrame, members: DataFrame, keys: list[str], id_col: str = "id",
+                  bits: int = RADIX_BITS) -> DataFrame:
     """For each query row: number of member rows with the same `keys` and a larger id.
 
-    queries(keys..., id) -> (keys..., id, n_greater). Two levels: exact counting inside each
-    id bucket (window over (keys, bucket), bounded by the bucket width) plus suffix sums
-    of per-bucket member counts over the (much smaller) bucket table.
+    queries(keys..., id) -> (keys..., id, n_greater). Level by level, ids are cut to their
+    leading bits; members that share a query's leading bits but for the last `bits` of the
+    level are counted by a window over at most 2**bits pre-aggregated rows.
     """
-    bucket = F.floor(F.col(id_col) / F.lit(ID_BUCKET)).alias("bucket")
-    q = queries.select(*keys, F.col(id_col).alias("id"), bucket.alias("bucket")).distinct()
-    m = members.select(*keys, F.col(id_col).alias("id"), bucket.alias("bucket"))
-    # level 1: within the same bucket
-    both = q.select(*keys, "id", "bucket", F.lit(1).alias("is_q")).unionByName(
-        m.select(*keys, "id", "bucket", F.lit(0).alias("is_q"))
-    )
-    w = Window.partitionBy(*keys, "bucket").orderBy(F.desc("id"), F.desc("is_q")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = both.withColumn("n_in", F.sum(1 - F.col("is_q")).over(w)).filter(F.col("is_q") == 1).select(*keys, "id", "bucket", "n_in")
-    # level 2: member counts of strictly larger buckets
-    per_bucket = m.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    q_buckets = q.select(*keys, "bucket").distinct().withColumn("cnt", F.lit(0).cast("long"))
-    table = per_bucket.unionByName(q_buckets).groupBy(*keys, "bucket").agg(F.sum("cnt").alias("cnt"))
-    w2 = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    suffix = table.withColumn("n_above", F.coalesce(F.sum("cnt").over(w2), F.lit(0)))
-    out = inner.join(suffix.select(*keys, "bucket", "n_above"), [*keys, "bucket"], "left")
-    return out.select(*keys, "id", (F.col("n_in") + F.coalesce(F.col("n_above"), F.lit(0))).alias("n_greater"))
-
-
-def _blocked_pairs(texts: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """All unordered pairs (a < b) of distinct texts within each cluster, block-salted."""
-    if keys:
-        sizes = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-        t = texts.join(sizes, keys)
-    else:  # one cluster: its size is a scalar subquery (no join on a constant key)
+    q = queries.select(*keys, F.col(id_col).alias("id")).distinct()
+    counts = members.select(*keys, F.col(id_col).alias("b")).groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("cnt"))
+    out = q.withColumn("n_greater", F.lit(0).cast("long"))
+    for shift in range(0, 64, bits):
+        at = F.shiftright("id", shift)
+        asked = q.select(*keys, at.alias("b")).distinct().withColumn("cnt", F.lit(0).cast("long"))
+        rows = counts.unionByName(asked).groupBy(*keys, "b").agg(F.sum("cnt").alias("cnt"))
+        # at the last level only the sign is left above
+        up = F.shiftright("b", bits) if shift + bits < 64 else F.lit(0).cast("long")
+        w = Window.partitionBy(*keys, "up").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+        above = rows.withColumn("up", up).withColumn("_n", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+        out = out.withColumn("b", at).join(above.select(*keys, "b", "_n"), [*keys, "b"], "left").select(
+            *keys, "id", (F.col("n_greater") + F.coalesce("_n", F.lit(0))).alias("n_greater"))
+        counts = counts.select(*keys, F.shiftright("b", bits).alias("b"), "cnt").groupBy(*keys, "b").agg(
+            F.sum("cnt").alias("cnt"))
+    return out
+
+
+def _block_rows(g: pd.DataFrame, threshold: float) -> list[tuple]:
+    """What one pair of blocks says: (cid, tid, other, s, dmin, ng) rows, see `_compare`."""
+    cid, first = g["cid"].iat[0], (g["blk"] == g["p"]).to_numpy()
+    same = g["p"].iat[0] == g["q"].iat[0]
+    a = g[first]
+    b = a if same else g[~first]
+    if not len(a) or not len(b) or (same and len(a) < 2):
+        return []
+    sim = similarities(a["ntext"].tolist(), b["ntext"].tolist())
+    if same:
+        np.fill_diagonal(sim, 0.0)
+    out = []
+    for x, y, m in ((a, b, sim),) if same else ((a, b, sim), (b, a, sim.T)):
+        near = m > threshold
+        n, mine, theirs = y["n"].to_numpy(), x["minid"].to_numpy(), y["minid"].to_numpy()
+        part = np.rint(m * SCALE).astype(np.int64)
+        if int(n.max()) * len(y) >= 9000:  # the sums may leave 64 bits
+            part, n = part.astype(object), n.astype(object)
+        dmin = np.where(near, theirs, _NO_ID).min(axis=1)
+        single = near & (y["n"].to_numpy() == 1) & (x["n"].to_numpy() == 1)[:, None]
+        ng = (single & (theirs > mine[:, None])).sum(axis=1)
+        tx, ty = x["tid"].to_numpy(), y["tid"].to_numpy()
+        out += [(cid, t, None, str(s), int(d), int(k)) for t, s, d, k in zip(tx, part @ n, dmin, ng)]
+        out += [(cid, tx[i], ty[j], None, _NO_ID, 0) for i, j in np.argwhere(near & ~single)]
+    return out
+
+
+def _compare(threshold: float):
+    """Rows sorted by (cid, p, q) -> per text and unit its sums, and the links to rank (other not null)."""
+    cols = ["cid", "tid", "other", "s", "dmin", "ng"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            c, p, q = b["cid"].to_numpy(), b["p"].to_numpy(), b["q"].to_numpy()
+            cuts = np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            at = [0, *cuts.tolist()]
+            for i, j in zip(at, at[1:]):
+                yield pd.DataFrame(_block_rows(b.iloc[i:j], threshold), columns=cols)
+            rest = b.iloc[at[-1]:]
+        if rest is not None and len(rest):
+            yield pd.DataFrame(_block_rows(rest, threshold), columns=cols)
+
+    return run
+
+
+def _compared(texts: DataFrame, single_cluster: bool, threshold: float, block: int) -> DataFrame:
+    """All pairs of blocks of each cluster, compared where they are brought together."""
+    if single_cluster:  # its size is a scalar subquery (no join on a constant key)
         t = texts.withColumn("k", texts.agg(F.count(F.lit(1))).scalar())
-    t = t.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("k") / F.lit(block))).cast("int"))
-    t = t.withColumn("blk", F.pmod(F.xxhash64("ntext"), F.col("nb")).cast("int"))
-    seq = F.sequence(F.lit(0), F.col("nb") - 1)
-    left = t.select(*keys, F.col("blk").alias("p"), F.explode(seq).alias("q"),
-                    F.col("ntext").alias("a"), F.col("n").alias("n_a"), F.col("minid").alias("min_a"))
-    left = left.filter(F.col("q") >= F.col("p"))
-    right = t.select(*keys, F.explode(seq).alias("p"), F.col("blk").alias("q"),
-                     F.col("ntext").alias("b"), F.col("n").alias("n_b"), F.col("minid").alias("min_b"))
-    right = right.filter(F.col("p") <= F.col("q"))
-    pairs = left.join(right, [*keys, "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("a") < F.col("b")))
-    return pairs.drop("p", "q")
+    else:
+        t = texts.join(texts.groupBy("cid").agg(F.count(F.lit(1)).alias("k")), "cid")
+    t = t.withColumn("nb", F.ceil(F.col("k") / F.lit(block)).cast("int"))
+    t = t.withColumn("blk", F.pmod(F.xxhash64("tid"), F.col("nb")).cast("int"))
+    t = t.select("cid", "tid", "ntext", "n", "minid", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    t = t.select("cid", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "tid", "ntext", "n", "minid")
+    # a given number of partitions: the work is in the comparisons, so small ones must not be merged by size
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return t.repartition(parts, "cid", "p", "q").sortWithinPartitions("cid", "p", "q").mapInPandas(
+        _compare(threshold), "cid string, tid string, other string, s string, dmin long, ng long")
+
+
+def integral_id(id_col: str) -> Column:
+    """The id as a number, NULL when it is none."""
+    return F.col(id_col).cast("string").try_cast("bigint")
+
+
+def categorize_rejects(df: DataFrame, id_col: str = "tweetid") -> DataFrame:
+    """The rows `categorize` cannot place: their id is not an integral number."""
+    return df.filter(integral_id(id_col).isNull())
 
 
 def categorize(
@@ -94,7 +153,6 @@ def categorize(
     id_col: str = "tweetid",
     text_col: str = "text",
     threshold: float = schema.SIMILARITY_THRESHOLD,
-    max_docs: int | None = None,
     normalize: bool = True,
     block: int = DEFAULT_BLOCK,
 ) -> DataFrame:
@@ -102,86 +160,60 @@ def categorize(
 
     Returns one row per input doc: cluster cols, id, text, multiplicity, centrality,
     representative, rank_key. Order a cluster's lists by (rank_key desc, id asc).
-    Ids must be integral (as text or number); rows whose id does not cast are dropped.
+    Ids are integral, as text or number (`categorize_rejects` gives the other rows); a NULL
+    text is empty; rows with a NULL cluster column belong to no cluster. The normalized rows
+    and the compared blocks are written to the shared checkpoint folder when this is called.
     """
     keys = _key(cluster_cols)
-    ntext = normalize_aggressive(F.col(text_col)) if normalize else F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
-                     F.col(id_col).cast("string").try_cast("bigint").alias("id"), ntext.alias("ntext"))
-    docs = docs.filter(F.col("id").isNotNull())
-    if max_docs and keys:
-        # partial WindowGroupLimit before the shuffle keeps at most max_docs per cluster per task
-        w = Window.partitionBy(*keys).orderBy("id")
-        docs = docs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_docs).drop("_rn")
-    elif max_docs:
-        docs = docs.orderBy("id").limit(max_docs)
-
-    # normalized once: the text groups, both rank-count sides and the output reuse it
-    docs = docs.persist()
-    texts = docs.groupBy(*keys, "ntext").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("minid"))
-    pairs = _blocked_pairs(texts, keys, block)
-    la, lb = F.length("a"), F.length("b")
-    pairs = pairs.withColumn("lcs", lcs_len("a", "b"))
-    tot = la + lb
-    sim = F.when(tot == 0, F.lit(1)).otherwise((F.lit(2) * F.col("lcs")).cast(SIM_DEC) / tot.cast(SIM_DEC)).cast(SIM_DEC)
-    # the only expensive step; persisted (recomputable from lineage if an executor is lost)
-    pairs = pairs.select(*keys, "a", "b", "n_a", "n_b", "min_a", "min_b", sim.alias("sim")).persist()
-
-    # per distinct text: weighted similarity sum, and the smallest id among its near-duplicates
-    thr = F.lit(threshold).cast(SIM_DEC)
-    near = F.col("sim") > thr
-    contrib = pairs.select(*keys, F.col("a").alias("ntext"), (F.col("sim") * F.col("n_b").cast(CNT_DEC)).alias("s"),
-                           F.when(near, F.col("min_b")).alias("dmin")).unionByName(
-        pairs.select(*keys, F.col("b").alias("ntext"), (F.col("sim") * F.col("n_a").cast(CNT_DEC)).alias("s"),
-                     F.when(near, F.col("min_a")).alias("dmin")))
-    per_text = contrib.groupBy(*keys, "ntext").agg(F.sum("s").alias("s_other"), F.min("dmin").alias("dmin_other"))
-    per_text = texts.join(per_text, [*keys, "ntext"], "left").select(
-        *keys, "ntext",
-        (F.col("n").cast(CNT_DEC) + F.coalesce(F.col("s_other"), F.lit(0).cast(SIM_DEC))).alias("sim_sum"),
-        F.least(F.col("minid"), F.col("dmin_other")).alias("dup_min"),
-    )
-
-    # multiplicity: larger ids among exact copies and among near-duplicate texts
-    near_pairs = pairs.filter(near)
-    links = near_pairs.select(*keys, F.col("a").alias("s"), F.col("b").alias("t")).unionByName(
-        near_pairs.select(*keys, F.col("b").alias("s"), F.col("a").alias("t")))
-    links = links.unionByName(texts.select(*keys, F.col("ntext").alias("s"), F.col("ntext").alias("t")))
-    # A text with one copy contributes [its id > id(d)] (a join); only texts with several
-    # copies need the two-level rank count.
-    tinfo = texts.select(*keys, F.col("ntext").alias("t"), F.col("n").alias("n_t"), F.col("minid").alias("min_t"))
-    q = docs.select(*keys, F.col("ntext").alias("s"), "id").join(links, [*keys, "s"]).join(tinfo, [*keys, "t"])
-    single = q.filter(F.col("n_t") == 1).groupBy(*keys, "id").agg(
-        F.sum(F.when(F.col("min_t") > F.col("id"), 1).otherwise(0)).alias("n_greater"))
-    multi_q = q.filter(F.col("n_t") > 1).select(*keys, "s", "t", "id")
-    multi_m = (docs.select(*keys, F.col("ntext").alias("t"), "id")
-               .join(tinfo.filter(F.col("n_t") > 1).select(*keys, "t"), [*keys, "t"])
-               .join(links, [*keys, "t"]).select(*keys, "s", "t", "id"))
-    greater = count_greater(multi_q, multi_m, [*keys, "s", "t"]).select(*keys, "id", "n_greater")
-    mult = single.unionByName(greater).groupBy(*keys, "id").agg(F.sum("n_greater").alias("n_greater"))
-
-    out = docs.join(per_text, [*keys, "ntext"]).join(mult, [*keys, "id"], "left")
+    spark = df.sparkSession
+    ntext = normalize_aggressive(F.col(text_col)) if normalize else F.col(text_col)
+    cid = F.sha2(F.to_json(F.array(*[F.col(k).cast("string") for k in keys])), 256) if keys else F.lit("")
+    docs = df.na.drop(subset=keys) if keys else df
+    docs = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), integral_id(id_col).alias("id"),
+                       F.coalesce(ntext, F.lit("")).alias("ntext"), cid.alias("cid"))
+    docs = written(docs.filter(F.col("id").isNotNull()).withColumn("tid", F.sha2("ntext", 256)), "categorize-docs")
+    texts = docs.groupBy("cid", "tid").agg(F.first("ntext").alias("ntext"), F.count(F.lit(1)).alias("n"),
+                                           F.min("id").alias("minid"))
+    found = written(_compared(texts, not keys, threshold, block), "categorize-blocks")
+    texts = docs.groupBy("cid", "tid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("minid"))
+
+    # per distinct text: weighted similarity sum, the smallest id among its near-duplicates,
+    # and the larger ids among those when both texts have one copy
+    sums = found.filter("other is null").groupBy("cid", "tid").agg(
+        F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.min("dmin").alias("dmin"), F.sum("ng").alias("ng"))
+    per_text = texts.join(sums, ["cid", "tid"], "left").select(
+        "cid", "tid", (F.col("n").cast("decimal(38,0)") * SCALE + F.coalesce("s", F.lit(0))).alias("sim_sum"),
+        F.least("minid", "dmin").alias("dup_min"), F.coalesce("ng", F.lit(0)).alias("ng"))
+
+    # links of texts with several copies, a text with itself included: rank the ids
+    many = texts.filter("n > 1")
+    links = found.filter("other is not null").select("cid", "tid", F.col("other").alias("t")).unionByName(
+        many.select("cid", "tid", F.col("tid").alias("t")))
+    other = texts.select("cid", F.col("tid").alias("t"), F.col("n").alias("n_t"), F.col("minid").alias("min_t"))
+    asked = docs.select("cid", "tid", "id").distinct().join(links, ["cid", "tid"]).join(other, ["cid", "t"])
+    one = asked.filter("n_t = 1 and min_t > id").select("cid", "tid", "id", F.lit(1).cast("long").alias("n_greater"))
+    more = asked.filter("n_t > 1").select("cid", "t", "tid", "id")
+    members = docs.select("cid", F.col("tid").alias("t"), "id").join(many.select("cid", F.col("tid").alias("t")), ["cid", "t"])
+    ranked = more.join(count_greater(more.select("cid", "t", "id"), members, ["cid", "t"]), ["cid", "t", "id"])
+    greater = one.unionByName(ranked.select("cid", "tid", "id", "n_greater")).groupBy("cid", "tid", "id").agg(
+        F.sum("n_greater").alias("n_greater"))
+
+    out = docs.join(per_text, ["cid", "tid"]).join(greater, ["cid", "tid", "id"], "left")
     is_dup = F.col("id") > F.col("dup_min")
-    multiplicity = F.greatest(F.coalesce(F.col("n_greater"), F.lit(0)), F.lit(1)).cast("long")
-    centrality = F.when(is_dup, F.lit(0).cast(SIM_DEC)).otherwise(F.lit(2) * F.col("sim_sum"))
-    out = out.select(
-        *keys,
-        F.col("_id").alias(id_col), F.col("_text").alias(text_col),
-        multiplicity.alias("multiplicity"),
-        centrality.alias("_c"),
-    )
-    return out.select(
-        "*",
-        (F.col("_c") > 0).alias("representative"),
-        # int(centrality) of the exact value: sums that should be an integer may land a
-        # hair below it after decimal rounding of each term, so round first
-        (F.col("multiplicity") * F.floor(F.round(F.col("_c"), 9)).cast("long")).alias("rank_key"),
-    ).withColumn("centrality", F.col("_c").cast("double")).drop("_c")
+    multiplicity = F.greatest(F.col("ng") + F.coalesce("n_greater", F.lit(0)), F.lit(1)).cast("long")
+    centrality = F.when(is_dup, F.lit(0.0)).otherwise(F.lit(2.0) * F.col("sim_sum").cast("double") / F.lit(float(SCALE)))
+    out = out.select(*keys, F.col("_id").alias(id_col), F.col("_text").alias(text_col),
+                     multiplicity.alias("multiplicity"), centrality.alias("centrality"))
+    # int(centrality) of the exact value: sums that should be an integer may land a hair
+    # below it after rounding each term, so round first
+    return out.withColumn("representative", F.col("centrality") > 0).withColumn(
+        "rank_key", F.col("multiplicity") * F.floor(F.round("centrality", 9)).cast("long"))
 
 
 def split_lists(categorized: DataFrame, cluster_cols=(), id_col: str = "tweetid") -> tuple[DataFrame, DataFrame]:
     """The two ordered lists of C1 (representative first by rank key, ties by id)."""
     keys = _key(cluster_cols)
-    order = [*keys, F.desc("rank_key"), F.col(id_col).cast("string").try_cast("bigint")]
+    order = [*keys, F.desc("rank_key"), integral_id(id_col)]
     rep = categorized.filter("representative").orderBy(*order)
     non = categorized.filter(~F.col("representative")).orderBy(*order)
     return rep, non
@@ -253,7 +285,7 @@ def cluster_segments(
 
 
 def assign_clusters(df: DataFrame, segments: DataFrame, terms: list[str], interval: str = schema.CLUSTER_INTERVAL,
-                    time_field: str = "created_at", max_docs: int | None = None, id_col: str = "tweetid") -> DataFrame:
+                    time_field: str = "created_at") -> DataFrame:
     """J6 + A9: docs of each surviving segment (equi-join on the segment keys); a doc in
     several segments (array terms) appears once per segment."""
     base = df
@@ -267,11 +299,7 @@ def assign_clusters(df: DataFrame, segments: DataFrame, terms: list[str], interv
             base = base.withColumn(f"_k_{t}", F.col(t))
     seg = segments.select(*[F.col(t).alias(f"_k_{t}") for t in terms], "doc_count")
     out = base.join(seg, [f"_k_{t}" for t in terms])
-    out = out.select(*[F.col(f"_k_{t}").alias(f"seg_{t}") for t in terms], *df.columns)
-    if max_docs:
-        w = Window.partitionBy(*[f"seg_{t}" for t in terms]).orderBy(F.col(id_col).cast("string").try_cast("bigint"))
-        out = out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_docs).drop("_rn")
-    return out
+    return out.select(*[F.col(f"_k_{t}").alias(f"seg_{t}") for t in terms], *df.columns)
 
 
 def geo_cluster_segments(

@@ -16,7 +16,7 @@ def categorize_list(rows: DataFrame, id_col: str = "tweetid", text_col: str = "t
 
 def categorize_clusters(df: DataFrame, terms: list[str], id_col: str = "tweetid", text_col: str = "text",
                         interval: str = schema.CLUSTER_INTERVAL, precision: int = schema.CLUSTER_PRECISION,
-                        time_field: str = "created_at", max_docs: int | None = None,
+                        time_field: str = "created_at",
                         min_entries: int = schema.MIN_ENTRIES, membership: str = "cell") -> DataFrame:
     """With `location` among the terms: geohash cells x each other term (A8); else
     nested terms (A7). Then the docs of every segment (J6) and C1 inside each segment."""
@@ -27,6 +27,6 @@ def categorize_clusters(df: DataFrame, terms: list[str], id_col: str = "tweetid"
         keys = ["seg_cell", "seg_term", "seg_value"] if others else ["seg_cell"]
     else:
         segs = C.cluster_segments(df, terms, interval=interval, time_field=time_field, min_entries=min_entries)
-        members = C.assign_clusters(df, segs, terms, interval=interval, time_field=time_field, id_col=id_col)
+        members = C.assign_clusters(df, segs, terms, interval=interval, time_field=time_field)
         keys = [f"seg_{t}" for t in terms]
-    return C.categorize(members, keys, id_col, text_col, max_docs=max_docs)
+    return C.categorize(members, keys, id_col, text_col)

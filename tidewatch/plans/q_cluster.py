@@ -165,6 +165,6 @@ def cluster_members_orders(spark: SparkSession, sf: str) -> DataFrame:
     """J6 + A9: docs of each surviving segment (equi-join on the keys), counted per segment."""
     orders = table(spark, sf, "orders")
     segs = C.cluster_segments(orders, ["o_orderstatus", "o_orderpriority"])
-    members = C.assign_clusters(orders, segs, ["o_orderstatus", "o_orderpriority"], id_col="o_orderkey")
+    members = C.assign_clusters(orders, segs, ["o_orderstatus", "o_orderpriority"])
     return members.groupBy("seg_o_orderstatus", "seg_o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("o_totalprice"), 6).alias("total_price"))

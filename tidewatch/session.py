@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "tidewatch", shuffle_partitions: int | None = None) -> SparkSession:
@@ -63,3 +64,11 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and staged tables (never a machine-local path on a cluster)."""
     return _ensure_checkpoint_dir(spark)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet to a fresh shared folder and read back: computed once, no cache to
+    release, and a lost executor takes nothing with it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
