@@ -14,8 +14,8 @@ SF = "/root/testdata/sf0.001"
 def test_stream_histogram_equals_batch(spark):
     stream = posts_from_events(J.read_table_stream(spark, SF, "events"))
     out = J.scratch(spark, "t-hist")
-    J.run_keyed_updates(J.streaming_histogram(stream, "1 hour"), ["key"], f"{out}/t", f"{out}/c")
-    got = {r["key"]: r["doc_count"] for r in J.read_keyed_updates(spark, f"{out}/t", ["key"], ["key", "doc_count"])
+    J.run_partials(stream, lambda b: J.histogram_partials(b, "1 hour"), f"{out}/t", f"{out}/c")
+    got = {r["key"]: r["doc_count"] for r in J.merge_histogram(spark.read.parquet(f"{out}/t"))
            .select(F.col("key").cast("timestamp_ntz").alias("key"), "doc_count").collect()}
     batch = {r["key"]: r["doc_count"] for r in A.time_histogram(posts(spark, SF), "1h", gap_fill=False).collect()}
     assert got == batch
@@ -26,7 +26,7 @@ def test_representative_stream_equals_batch(spark):
     stream = posts_from_events(J.read_table_stream(spark, SF, "events")).select(*cols)
     out = J.scratch(spark, "t-frames")
     J.run_representative_stream(stream, ["country"], out, f"{out}/c", id_col="event_id", text_col="text")
-    got = {(r["event_id"]): (r["multiplicity"], r["representative"]) for r in J.read_representative_flags(spark, out, id_col="event_id", terms=["country"]).collect()}
+    got = {(r["event_id"]): (r["multiplicity"], r["representative"]) for r in J.read_representative_flags(spark, out).collect()}
     batch = J.representative_frames(posts(spark, SF).select(*cols), ["country"], id_col="event_id", text_col="text")
     want = {r["event_id"]: (r["multiplicity"], r["representative"]) for r in batch.collect()}
     assert got == want
@@ -63,3 +63,55 @@ def test_text_places_geotag(spark):
     assert got["1"][0] == "Iowa" and got["1"][1]["lat"] == 42.0          # one text place wins over the point
     assert got["2"][0] == "South Texas"                                   # longest match; nearest of two
     assert got["3"] == (None, None)                                       # nothing to geotag
+
+
+def files_out_of_order(spark, path):
+    """Three files read one by one, the middle one hours older than the first, sharing frames with the last."""
+    import os
+    import time
+
+    t = lambda h, m: datetime(2024, 1, 1, h, m)
+    parts = [[(1, t(9, 1), "river high", 0.5), (2, t(12, 0), "dry", None)],
+             [(3, t(9, 2), "river high", 0.7), (4, t(3, 0), "old", 0.1)],
+             [(5, t(9, 3), "river highs", 0.9), (6, t(12, 1), "dry", 0.3)]]
+    for i, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "tweetid long, created_at timestamp_ntz, text string, flood_probability double")
+        df.withColumn("country", F.lit("A")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stamps = sorted(os.path.getmtime(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    assert len(set(stamps)) == 3
+    return spark.read.parquet(path), spark.readStream.schema(spark.read.parquet(path).schema).option(
+        "maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_rows_out_of_time_order_all_count(spark, tmp_path):
+    all_rows, stream = files_out_of_order(spark, str(tmp_path / "in"))
+    J.run_partials(stream, lambda b: J.histogram_partials(b, "1 hour"), str(tmp_path / "t"), str(tmp_path / "c"))
+    got = {r["key"].hour: (r["doc_count"], r["avg_flood_probability"] and round(r["avg_flood_probability"], 9))
+           for r in J.merge_histogram(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert got == {9: (3, 0.7), 12: (2, 0.3), 3: (1, 0.1)}
+
+    out = str(tmp_path / "f")
+    for _ in range(2):  # a second run without new input changes nothing
+        J.run_representative_stream(stream, ["country"], out, f"{out}/c")
+        flags = [(r["tweetid"], r["multiplicity"], r["representative"], round(r["centrality"], 6))
+                 for r in J.read_representative_flags(spark, out).collect()]
+        want = [(r["tweetid"], r["multiplicity"], r["representative"], round(r["centrality"], 6))
+                for r in J.representative_frames(all_rows, ["country"]).collect()]
+        assert sorted(flags) == sorted(want) and len(flags) == 6
+
+
+def test_ingest_upserts_and_tally(spark, tmp_path):
+    import json
+
+    def rec(i, text, at="2024-01-01T00:00:00Z"):
+        return json.dumps({"id": i, "text": text, "lang": "en", "created_at": at, "annotations": {"flood_probability": 0.9}})
+
+    for rows in ([rec(1, "first"), rec(2, "a", "2024-01-01T00:00:00Z"), rec(2, "b", "2024-01-02T00:00:00Z"), "{broken"], [rec(1, "second"), rec(3, "c")]):
+        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        raw = spark.readStream.schema("value string").text(str(tmp_path / "in")).select(F.col("value").alias("raw"))
+        J.ingest_stream(raw, str(tmp_path / "t"), str(tmp_path / "r"), str(tmp_path / "c"))
+    got = {r["tweetid"]: r["text"] for r in J.read_ingested(spark, str(tmp_path / "t")).collect()}
+    assert got == {"1": "second", "2": "b", "3": "c"}
+    assert {r["outcome"]: r["n"] for r in J.read_outcomes(spark, str(tmp_path / "t")).collect()} == {
+        "created": 3, "updated": 1, "failed": 1}

@@ -57,47 +57,48 @@ def count_greater(queries: DataFrame, members: DataFrame, keys: list[str], id_co
     level are counted by a window over at most 2**bits pre-aggregated rows.
     """
     q = queries.select(*keys, F.col(id_col).alias("id")).distinct()
-    counts = members.select(*keys, F.col(id_col).alias("b")).groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("cnt"))
-    out = q.withColumn("n_greater", F.lit(0).cast("long"))
-    for shift in range(0, 64, bits):
-        at = F.shiftright("id", shift)
-        asked = q.select(*keys, at.alias("b")).distinct().withColumn("cnt", F.lit(0).cast("long"))
-        rows = counts.unionByName(asked).groupBy(*keys, "b").agg(F.sum("cnt").alias("cnt"))
-        # at the last level only the sign is left above
-        up = F.shiftright("b", bits) if shift + bits < 64 else F.lit(0).cast("long")
-        w = Window.partitionBy(*keys, "up").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-        above = rows.withColumn("up", up).withColumn("_n", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        out = out.withColumn("b", at).join(above.select(*keys, "b", "_n"), [*keys, "b"], "left").select(
-            *keys, "id", (F.col("n_greater") + F.coalesce("_n", F.lit(0))).alias("n_greater"))
-        counts = counts.select(*keys, F.shiftright("b", bits).alias("b"), "cnt").groupBy(*keys, "b").agg(
-            F.sum("cnt").alias("cnt"))
-    return out
+    counts = members.select(*keys, F.col(id_col).alias("id")).groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("cnt"))
+
+    def levels(df: DataFrame, *more: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("lvl"), F.shiftright("id", s).alias("b"))
+                                   for s in range(0, 64, bits)])).alias("_l")
+        return df.select(*keys, *more, each).select(*keys, *more, "_l.lvl", "_l.b")
+
+    asked = levels(q, "id")
+    rows = levels(counts, "cnt").unionByName(asked.withColumn("cnt", F.lit(0).cast("long")).drop("id"))
+    rows = rows.groupBy(*keys, "lvl", "b").agg(F.sum("cnt").alias("cnt"))
+    # above the last level there is only the sign
+    rows = rows.withColumn("up", F.when(F.col("lvl") + bits < 64, F.shiftright("b", bits)).otherwise(F.lit(0)))
+    w = Window.partitionBy(*keys, "lvl", "up").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    above = rows.select(*keys, "lvl", "b", F.coalesce(F.sum("cnt").over(w), F.lit(0)).alias("_n"))
+    return asked.join(above, [*keys, "lvl", "b"]).groupBy(*keys, "id").agg(F.sum("_n").alias("n_greater"))
+
+
+_UNIT = ("cid", "p", "q", "blk", "tid", "ntext", "n", "minid")
 
 
-def _block_rows(g: pd.DataFrame, threshold: float) -> list[tuple]:
+def _unit_rows(cid, p, q, blk, tid, ntext, n, minid, threshold: float) -> list[tuple]:
     """What one pair of blocks says: (cid, tid, other, s, dmin, ng) rows, see `_compare`."""
-    cid, first = g["cid"].iat[0], (g["blk"] == g["p"]).to_numpy()
-    same = g["p"].iat[0] == g["q"].iat[0]
-    a = g[first]
-    b = a if same else g[~first]
+    same = p[0] == q[0]
+    a = np.flatnonzero(blk == p)
+    b = a if same else np.flatnonzero(blk != p)
     if not len(a) or not len(b) or (same and len(a) < 2):
         return []
-    sim = similarities(a["ntext"].tolist(), b["ntext"].tolist())
+    sim = similarities(list(ntext[a]), list(ntext[b]))
     if same:
         np.fill_diagonal(sim, 0.0)
     out = []
     for x, y, m in ((a, b, sim),) if same else ((a, b, sim), (b, a, sim.T)):
         near = m > threshold
-        n, mine, theirs = y["n"].to_numpy(), x["minid"].to_numpy(), y["minid"].to_numpy()
-        part = np.rint(m * SCALE).astype(np.int64)
-        if int(n.max()) * len(y) >= 9000:  # the sums may leave 64 bits
-            part, n = part.astype(object), n.astype(object)
-        dmin = np.where(near, theirs, _NO_ID).min(axis=1)
-        single = near & (y["n"].to_numpy() == 1) & (x["n"].to_numpy() == 1)[:, None]
-        ng = (single & (theirs > mine[:, None])).sum(axis=1)
-        tx, ty = x["tid"].to_numpy(), y["tid"].to_numpy()
-        out += [(cid, t, None, str(s), int(d), int(k)) for t, s, d, k in zip(tx, part @ n, dmin, ng)]
-        out += [(cid, tx[i], ty[j], None, _NO_ID, 0) for i, j in np.argwhere(near & ~single)]
+        part, copies = np.rint(m * SCALE).astype(np.int64), n[y]
+        if int(copies.max()) * len(y) >= 9000:  # the sums may leave 64 bits
+            part, copies = part.astype(object), copies.astype(object)
+        dmin = np.where(near, minid[y], _NO_ID).min(axis=1)
+        single = near & (n[y] == 1) & (n[x] == 1)[:, None]
+        ng = (single & (minid[y] > minid[x][:, None])).sum(axis=1)
+        out += [(cid[0], t, None, str(s), d, k) for t, s, d, k in
+                zip(tid[x], (part @ copies).tolist(), dmin.tolist(), ng.tolist())]
+        out += [(cid[0], tid[x[i]], tid[y[j]], None, _NO_ID, 0) for i, j in np.argwhere(near & ~single)]
     return out
 
 
@@ -109,14 +110,18 @@ def _compare(threshold: float):
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            c, p, q = b["cid"].to_numpy(), b["p"].to_numpy(), b["q"].to_numpy()
-            cuts = np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            at = [0, *cuts.tolist()]
+            c, p, q, *_ = arrays = [b[k].to_numpy() for k in _UNIT]
+            at = [0, *(np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist()]
+            out = []
             for i, j in zip(at, at[1:]):
-                yield pd.DataFrame(_block_rows(b.iloc[i:j], threshold), columns=cols)
+                out += _unit_rows(*[x[i:j] for x in arrays], threshold)
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=cols)
+                    out = []
+            yield pd.DataFrame(out, columns=cols)
             rest = b.iloc[at[-1]:]
         if rest is not None and len(rest):
-            yield pd.DataFrame(_block_rows(rest, threshold), columns=cols)
+            yield pd.DataFrame(_unit_rows(*[rest[k].to_numpy() for k in _UNIT], threshold), columns=cols)
 
     return run
 

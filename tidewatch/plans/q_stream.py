@@ -23,12 +23,11 @@ FROM {POSTS_SQL} p GROUP BY 1""",
 )
 def stream_histogram_1h(spark: SparkSession, sf: str) -> DataFrame:
     """ST4 (A1+A2 as a stream): hourly counts and mean probability from a file stream of
-    events, watermarked, update mode, run to the end of the input (AvailableNow)."""
+    events, as partial aggregates per micro-batch, run to the end of the input (AvailableNow)."""
     stream = posts_from_events(J.read_table_stream(spark, sf, "events"))
-    agg = J.streaming_histogram(stream, "1 hour")
     out = J.scratch(spark, "stream-hist")
-    J.run_keyed_updates(agg, ["key"], f"{out}/table", f"{out}/checkpoint")
-    res = J.read_keyed_updates(spark, f"{out}/table", ["key"], ["key", "doc_count", "avg_flood_probability"])
+    J.run_partials(stream, lambda b: J.histogram_partials(b, "1 hour"), f"{out}/table", f"{out}/checkpoint")
+    res = J.merge_histogram(spark.read.parquet(f"{out}/table"))
     return res.select(instant_to_ntz(F.col("key")).alias("key"), "doc_count",
                       F.round("avg_flood_probability", R).alias("avg_flood_probability"))
 
@@ -41,10 +40,9 @@ FROM {POSTS_SQL} p GROUP BY 1, 2""",
 def stream_hotspots_day(spark: SparkSession, sf: str) -> DataFrame:
     """ST4 (A3 as a stream): per day and geohash-4 cell doc counts."""
     stream = posts_from_events(J.read_table_stream(spark, sf, "events"))
-    agg = J.streaming_hotspots(stream, 4, "1 day")
     out = J.scratch(spark, "stream-hot")
-    J.run_keyed_updates(agg, ["window_start", "cell"], f"{out}/table", f"{out}/checkpoint")
-    res = J.read_keyed_updates(spark, f"{out}/table", ["window_start", "cell"], ["window_start", "cell", "doc_count"])
+    J.run_partials(stream, lambda b: J.hotspot_partials(b, 4, "1 day"), f"{out}/table", f"{out}/checkpoint")
+    res = J.merge_hotspots(spark.read.parquet(f"{out}/table"))
     return res.select(instant_to_ntz(F.col("window_start")).alias("window_start"), "cell", "doc_count")
 
 
@@ -117,6 +115,6 @@ def representative_stream_events(spark: SparkSession, sf: str) -> DataFrame:
                            F.concat_ws(" ", "country", "props").alias("text"))
     out = J.scratch(spark, "frames")
     J.run_representative_stream(stream, ["country"], out, f"{out}/checkpoint", id_col="event_id", text_col="text")
-    res = J.read_representative_flags(spark, out, id_col="event_id", terms=["country"])
+    res = J.read_representative_flags(spark, out)
     return res.select(instant_to_ntz(F.col("frame")).alias("frame"), "country", "event_id", "text",
                       "multiplicity", F.round("centrality", R).alias("centrality"), "representative", "rank_key")

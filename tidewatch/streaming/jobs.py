@@ -1,14 +1,16 @@
 """Structured Streaming jobs (ST1-ST4) and the scheduled backfill (ST3).
 
-Sinks are `foreachBatch` writers into Parquet directories under the shared
-checkpoint folder (`spark.checkpoint.dir`); every micro-batch is idempotent by key
-(batch rows carry the batch id; readers take the latest row per key), so a batch
-replayed after an executor or driver loss does not change the result.
+Sinks are `foreachBatch` writers into Parquet tables under the shared checkpoint folder
+(`spark.checkpoint.dir`). Each micro-batch owns one partition `seq=N` of every table it writes and
+overwrites it, so a batch replayed after an executor or driver loss does not change the result.
+No row is ever too late: aggregations keep mergeable partial results per micro-batch, and a frame
+that gets new rows is split again.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,6 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
-WATERMARK = "15 minutes"  # one representative frame of lateness (a choice, see README)
-
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run under the shared checkpoint dir."""
@@ -47,24 +47,38 @@ def event_time(df: DataFrame, ts: str = "created_at"):
     return ntz_to_instant(F.col(ts)) if dict(df.dtypes).get(ts) == "timestamp_ntz" else F.col(ts)
 
 
-def with_event_time(df: DataFrame, ts: str = "created_at") -> DataFrame:
-    return df.withColumn(ts, event_time(df, ts)).withWatermark(ts, WATERMARK)
+def _write_seq(df: DataFrame, path: str, seq: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/seq={seq}")
+
+
+def _read_seqs(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """A table of `seq=N` partitions with its `seq` column; no partition yet: no rows."""
+    whole = T.StructType([*columns.fields, T.StructField("seq", T.LongType())])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).parquet(path)
+
 
+def histogram_partials(posts: DataFrame, interval: str = "10 minutes", ts: str = "created_at") -> DataFrame:
+    """ST4/A1+A2 of a part of the posts: per event-time window the counts and the probability sum."""
+    p = F.col("flood_probability")
+    return posts.groupBy(F.window(event_time(posts, ts), interval).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(p).alias("n_p"), F.sum(p).alias("s_p")
+    ).select(F.col("w.start").alias("key"), "n", "n_p", "s_p")
 
-def streaming_histogram(posts: DataFrame, interval: str = "10 minutes", ts: str = "created_at") -> DataFrame:
-    """ST4/A1+A2: per event-time window count and mean probability (gap filling happens
-    at read time with the batch operator)."""
-    s = with_event_time(posts, ts)
-    return s.groupBy(F.window(ts, interval).alias("w")).agg(
-        F.count(F.lit(1)).alias("doc_count"), F.avg("flood_probability").alias("avg_flood_probability")
-    ).select(F.col("w.start").alias("key"), "doc_count", "avg_flood_probability")
 
+def merge_histogram(partials: DataFrame) -> DataFrame:
+    """Partial histograms summed up (gap filling happens at read time with the batch operator)."""
+    return partials.groupBy("key").agg(
+        F.sum("n").alias("doc_count"), (F.sum("s_p") / F.nullif(F.sum("n_p"), F.lit(0))).alias("avg_flood_probability"))
 
-def streaming_hotspots(posts: DataFrame, precision: int = schema.HOTSPOT_PRECISION, interval: str = "1 day",
-                       ts: str = "created_at") -> DataFrame:
-    """ST4/A3: per (window, geohash cell) doc counts and bounds."""
-    s = with_event_time(posts, ts).withColumn("cell", geohash(F.col("location.lat"), F.col("location.lon"), precision))
-    return s.groupBy(F.window(ts, interval).alias("w"), "cell").agg(
+
+def hotspot_partials(posts: DataFrame, precision: int = schema.HOTSPOT_PRECISION, interval: str = "1 day",
+                     ts: str = "created_at") -> DataFrame:
+    """ST4/A3 of a part of the posts: per (window, geohash cell) doc counts and bounds."""
+    s = posts.withColumn("cell", geohash(F.col("location.lat"), F.col("location.lon"), precision))
+    return s.groupBy(F.window(event_time(posts, ts), interval).alias("w"), "cell").agg(
         F.count(F.lit(1)).alias("doc_count"),
         F.max("location.lat").alias("top_left_lat"), F.min("location.lon").alias("top_left_lon"),
         F.min("location.lat").alias("bottom_right_lat"), F.max("location.lon").alias("bottom_right_lon"),
@@ -72,50 +86,64 @@ def streaming_hotspots(posts: DataFrame, precision: int = schema.HOTSPOT_PRECISI
              "bottom_right_lat", "bottom_right_lon")
 
 
-def run_keyed_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
-    """Run an aggregating stream to the end of its input (AvailableNow) in update mode;
-    each micro-batch appends its changed rows tagged with the batch id."""
+def merge_hotspots(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("window_start", "cell").agg(
+        F.sum("doc_count").alias("doc_count"), F.max("top_left_lat").alias("top_left_lat"),
+        F.min("top_left_lon").alias("top_left_lon"), F.min("bottom_right_lat").alias("bottom_right_lat"),
+        F.max("bottom_right_lon").alias("bottom_right_lon"))
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+def run_partials(stream: DataFrame, partials: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Run a stream to the end of its input (AvailableNow); each micro-batch writes its partial
+    aggregates. There is no state and no watermark, so rows in any time order count."""
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _write_seq(partials(batch), path, batch_id)
 
-def read_keyed_updates(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
-    """The current table behind `run_keyed_updates`: the latest row per key."""
-    df = spark.read.parquet(path)
-    key = F.struct(*keys).alias("_key")
-    latest = K.latest_per_key(df.select(key, *keys, *[c for c in columns if c not in keys], "_batch"), "_key", "_batch")
-    return latest.select(*columns)
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def ingest_stream(raw: DataFrame, table_path: str, rejects_path: str, checkpoint: str, gazetteer=None,
                   countries=None, key: str = "tweetid"):
     """ST1: stream of raw records -> normalize -> upsert into the post table; rejects to a
-    second sink. Each micro-batch writes a new table version directory (never over the
-    one it reads) and appends its rejects."""
+    second sink. Of several versions of a key the one of the later micro-batch wins, inside a
+    micro-batch the one with the later created_at (then the larger record hash). Per
+    micro-batch `outcomes` keeps the tally: keys created and updated, records failed."""
     from tidewatch.operators.normalize import normalize
 
     spark = raw.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ok, rej = normalize(batch, gazetteer, countries)
-        ok.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{table_path}/updates")
-        rej.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(rejects_path)
+        rank = F.struct(F.col("created_at").alias("t"), F.xxhash64(F.to_json(F.struct(*ok.columns))).alias("h"))
+        one = K.latest_per_key(ok.withColumn("_o", rank), key, "_o").select(*ok.columns)
+        _write_seq(one, f"{table_path}/updates", batch_id)
+        _write_seq(rej, rejects_path, batch_id)
+        updates = _read_seqs(spark, f"{table_path}/updates", one.schema)
+        rejected = _read_seqs(spark, rejects_path, rej.schema).filter(F.col("seq") == batch_id)
+        old = updates.filter(F.col("seq") < batch_id).select(key).distinct().withColumn("_e", F.lit(True))
+        new = updates.filter(F.col("seq") == batch_id).select(key).join(old, key, "left").select(
+            F.when(F.col("_e"), "updated").otherwise("created").alias("outcome"))
+        tally = new.unionByName(rejected.select(F.lit("failed").alias("outcome"))).groupBy("outcome").agg(
+            F.count(F.lit(1)).alias("n"))
+        _write_seq(tally, f"{table_path}/outcomes", batch_id)
 
     q = (raw.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    del spark
 
 
 def read_ingested(spark: SparkSession, table_path: str, key: str = "tweetid") -> DataFrame:
     """The post table after ingest: latest version of every key (upsert semantics)."""
     upd = spark.read.parquet(f"{table_path}/updates")
-    return K.latest_per_key(upd, key, "_batch").drop("_batch")
+    return K.latest_per_key(upd, key, "seq").drop("seq")
+
+
+def read_outcomes(spark: SparkSession, table_path: str) -> DataFrame:
+    """Records created, updated and failed over all micro-batches."""
+    return spark.read.parquet(f"{table_path}/outcomes").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 def representative_frames(posts: DataFrame, terms: list[str], frame: str = schema.STREAM_FRAME,
@@ -152,54 +180,58 @@ def run_representative_stream(posts: DataFrame, terms: list[str], out: str, chec
                               frame: str = schema.STREAM_FRAME, id_col: str = "tweetid", text_col: str = "text",
                               lateness_s: int = 15 * 60) -> None:
     """ST2 as a stream: each micro-batch is staged by frame (tumbling window on created_at);
-    frames whose end is older than (latest event time - lateness) are closed and split
-    (C1 over the whole frame x terms) exactly once; remaining frames are flushed when the
-    input ends (AvailableNow). Rows arriving for an already closed frame are staged but
-    only picked up by a later batch re-run of that frame (late data policy).
-
-    Layout under `out`: staged/ (rows by frame), flags/ (split results), closed/ (frame ids).
+    frames whose end is older than (latest event time - lateness) are split (C1 over the whole
+    frame x terms); what is left when the input ends (AvailableNow) is split then. A frame that
+    gets rows after its split is split again, and its newest split counts, so files may come
+    in any time order. Needs one run at a time per `out`.
+
+    Layout under `out`, all by seq: staged/ (rows, by day), frames/ (frames that got rows, and
+    their latest event time), closed/ (frames split), flags/ (results). A micro-batch N has
+    seq 2N; the flush at the end of a run has the odd number behind its last one.
     """
     from tidewatch.operators.cluster import categorize
 
     spark = posts.sparkSession
     et = event_time(posts)
-    framed_cols = [F.window(et, frame).start.alias("frame"), et.alias("created_at"), *terms, id_col, text_col]
-
-    def close(frames: DataFrame, batch_id: int) -> None:
-        # record the frames first (a small written table), then split exactly those
-        frames.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/closed")
-        now_closed = spark.read.parquet(f"{out}/closed").filter(F.col("_batch") == batch_id).select("frame")
-        # a replayed micro-batch re-appends its rows: one row per (frame, id) is kept
-        staged = (spark.read.parquet(f"{out}/staged").join(now_closed, "frame", "left_semi")
-                  .dropDuplicates(["frame", *terms, id_col]))
-        res = categorize(staged, ["frame", *terms], id_col, text_col)
-        res.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out}/flags")
+    start = F.window(et, frame).start
+    staged_cols = [start.alias("frame"), et.alias("created_at"), *terms, id_col, text_col]
+    staged_schema = T.StructType([*posts.limit(0).select(*staged_cols).schema.fields, T.StructField("day", T.StringType())])
+    frames_schema = T.StructType([T.StructField("frame", T.TimestampType()), T.StructField("latest", T.TimestampType())])
+    closed_schema = T.StructType([T.StructField("frame", T.TimestampType())])
+    end = F.col("frame") + F.expr(f"INTERVAL {_frame_seconds(frame)} SECONDS")
+    day = F.date_format("frame", "yyyy-MM-dd").alias("day")
+
+    def pending(seq: int) -> DataFrame:
+        """Frames that got rows since they were last split."""
+        got = _read_seqs(spark, f"{out}/frames", frames_schema).groupBy("frame").agg(F.max("seq").alias("last_in"))
+        done = _read_seqs(spark, f"{out}/closed", closed_schema).filter(F.col("seq") < seq)  # not a replayed self
+        done = done.groupBy("frame").agg(F.max("seq").alias("last_out"))
+        return got.join(done, "frame", "left").filter("last_out is null or last_in > last_out").select("frame")
+
+    def split(frames: DataFrame, seq: int) -> None:
+        _write_seq(frames, f"{out}/todo", seq)
+        now = spark.read.schema(closed_schema).parquet(f"{out}/todo/seq={seq}")
+        staged = _read_seqs(spark, f"{out}/staged", staged_schema)
+        staged = staged.join(now.select("frame", day), ["day", "frame"], "left_semi").drop("seq", "day")
+        _write_seq(categorize(staged, ["frame", *terms], id_col, text_col), f"{out}/flags", seq)
+        _write_seq(now, f"{out}/closed", seq)  # last: a crash before it repeats the split
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*framed_cols)
-        rows.write.mode("append").parquet(f"{out}/staged")  # frame is a column (no small-file fan-out)
-        staged = spark.read.parquet(f"{out}/staged")
-        horizon = staged.agg(F.max("created_at") - F.expr(f"INTERVAL {lateness_s} SECONDS")).scalar()
-        frames = staged.select("frame").distinct()
-        try:
-            done = spark.read.parquet(f"{out}/closed").select("frame")
-            frames = frames.join(done, "frame", "left_anti")
-        except Exception:  # noqa: BLE001 - no frame closed yet
-            pass
-        end = F.col("frame") + F.expr(f"INTERVAL {_frame_seconds(frame)} SECONDS")
-        closable = frames.filter(end <= horizon)  # scalar subquery, no join
-        close(closable, batch_id)
+        seq = 2 * batch_id
+        batch.select(*staged_cols).withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{out}/staged/seq={seq}")
+        rows = batch.groupBy(start.alias("frame")).agg(F.max(et).alias("latest"))
+        _write_seq(rows, f"{out}/frames", seq)
+        seen = _read_seqs(spark, f"{out}/frames", frames_schema)
+        horizon = seen.agg(F.max("latest") - F.expr(f"INTERVAL {lateness_s} SECONDS")).scalar()
+        split(pending(seq).filter(end <= horizon), seq)  # a scalar subquery, no join
 
     q = (posts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    # end of input: close every frame still open
-    staged = spark.read.parquet(f"{out}/staged").select("frame").distinct()
-    try:
-        staged = staged.join(spark.read.parquet(f"{out}/closed").select("frame"), "frame", "left_anti")
-    except Exception:  # noqa: BLE001
-        pass
-    close(staged, 1 << 30)
+    # end of input: split every frame that still has unsplit rows
+    last = _read_seqs(spark, f"{out}/frames", frames_schema).agg(F.max("seq")).head()[0]
+    if last is not None and not pending(last + 1).isEmpty():
+        split(pending(last + 1), last + 1)
 
 
 def _frame_seconds(frame: str) -> int:
@@ -207,10 +239,7 @@ def _frame_seconds(frame: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def read_representative_flags(spark: SparkSession, out: str, id_col: str = "tweetid", terms=()) -> DataFrame:
-    """Flags of all closed frames; a frame closed twice (replay) keeps its latest result."""
-    flags = spark.read.parquet(f"{out}/flags")
-    key = F.struct("frame", *terms, id_col).alias("_key")
-    cols = [c for c in flags.columns if c != "_batch"]
-    latest = K.latest_per_key(flags.select(key, *cols, "_batch"), "_key", "_batch")
-    return latest.select(*cols)
+def read_representative_flags(spark: SparkSession, out: str) -> DataFrame:
+    """Flags of all frames; of a frame that was split several times the newest split."""
+    newest = spark.read.parquet(f"{out}/closed").groupBy("frame").agg(F.max("seq").alias("seq"))
+    return spark.read.parquet(f"{out}/flags").join(newest, ["frame", "seq"], "left_semi").drop("seq")
