@@ -61,14 +61,22 @@ def test_writers(spark, tmp_path):
     from tidewatch.operators.graph import write_graph
     from tidewatch.sources.ingest import write_geojson
 
-    posts = spark.createDataFrame([("1", (1.5, 2.5), "hi", None)], "tweetid string, location struct<lat:double,lon:double>, text string, tweet string")
-    write_geojson(posts, str(tmp_path / "gj"))
-    feat = json.loads(spark.read.text(str(tmp_path / "gj/features")).first()["value"])
-    assert feat["geometry"]["coordinates"] == [2.5, 1.5] and feat["properties"] == {"text": "hi", "id": "1"}
-    head = [r["value"] for r in spark.read.text(str(tmp_path / "gj/envelope")).collect()]
-    assert any("EPSG:4326" in h for h in head)
+    def joined(path):
+        return "".join(f.read_text() for f in sorted(path.glob("part-*")))
+
+    posts = spark.createDataFrame([("1", (1.5, 2.5), "hi", None), ("2", None, None, None), ("2", None, None, None), ("3", (0.0, 1.0), "a\nb", "x")],
+                                  "tweetid string, location struct<lat:double,lon:double>, text string, tweet string")
+    write_geojson(posts.repartition(3), str(tmp_path / "gj"))
+    doc = json.loads(joined(tmp_path / "gj"))
+    assert doc["type"] == "FeatureCollection" and doc["crs"]["properties"]["name"] == "EPSG:4326"
+    feats = doc["features"]
+    assert [f["properties"]["id"] for f in feats] == ["1", "2", "2", "3"] and all(f["type"] == "Feature" for f in feats)
+    assert feats[0]["geometry"] == {"type": "Point", "coordinates": [2.5, 1.5]} and feats[1]["geometry"] is None
+    assert [f["properties"]["text"] for f in feats] == ["hi", None, None, "a\nb"]
+    write_geojson(posts.limit(0), str(tmp_path / "none"))
+    assert json.loads(joined(tmp_path / "none"))["features"] == []
     edges = spark.createDataFrame([(1, "flood", "rain", 5), (1, "flood", "river", 9), (2, "river", "bank", 3)],
                                   "level int, parent string, name string, size long")
     write_graph(edges, str(tmp_path / "g"))
-    rows = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "g")).collect()]
-    assert sorted((r["name"], r["size"], len(r["children"])) for r in rows) == [("rain", 5, 0), ("river", 9, 1)]
+    assert json.loads(joined(tmp_path / "g")) == [
+        {"name": "river", "size": 9, "children": [{"name": "bank", "size": 3}]}, {"name": "rain", "size": 5, "children": []}]

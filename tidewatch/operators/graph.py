@@ -1,8 +1,9 @@
 """Term co-occurrence graph around a term (J5 doc-term self-join, A12 sizes).
 
-children(term): docs whose tokens contain the term and whose probability is in (0.6, 1],
-the top `max_docs` by relevance of the term on `tokens` (ties by id); every other token
-of those docs is a child with size = its corpus-wide frequency; size desc, name asc.
+children(term): docs whose tokens contain the term and whose probability is in (0.6, 1]; all
+of them, or with `top_docs` those ranked highest by relevance of the term on `tokens` (ties by
+id); every other token of those docs is a child with size = its corpus-wide frequency; size
+desc, name asc.
 graph(term): the children, and the children of each child (computed for all children
 at once as one keyed join - no driver loop).
 
@@ -16,16 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewatch import schema
 from tidewatch.operators.filters import probability_gate
 from tidewatch.operators.search import B, K1, term_stats
+from tidewatch.session import written
 
 
 def _postings(df: DataFrame, key: str, tokens: str) -> DataFrame:
     return df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(F.col(tokens))).alias("name"))
 
 
-def _top_docs(df: DataFrame, parents: DataFrame, key: str, tokens: str, max_docs: int | None,
+def _top_docs(df: DataFrame, parents: DataFrame, key: str, tokens: str, top_docs: int | None,
               lo: float, hi: float) -> DataFrame:
     """(parent, _k) for the top docs of each parent term, scored by BM25 of the term on tokens."""
     base = df.select(F.col(key).alias("_k"), F.size(F.col(tokens)).alias("dl"), F.col("flood_probability"))
@@ -41,20 +42,21 @@ def _top_docs(df: DataFrame, parents: DataFrame, key: str, tokens: str, max_docs
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tfn = F.lit(K1 + 1) / (F.lit(1.0) + K1 * (1 - B + B * F.col("dl") / avgdl))
     cand = cand.select(F.col("name").alias("parent"), "_k", (idf * tfn).alias("score"))
-    if max_docs:
+    if top_docs:
         w = Window.partitionBy("parent").orderBy(F.desc("score"), F.asc("_k"))
-        cand = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_docs).drop("_rn")
+        cand = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top_docs).drop("_rn")
     return cand.select("parent", "_k")
 
 
 def term_children(df: DataFrame, parents: DataFrame, key: str = "tweetid", tokens: str = "tokens",
-                  max_docs: int | None = schema.GRAPH_MAX_DOCS, lo: float = 0.6, hi: float = 1.0,
+                  top_docs: int | None = None, lo: float = 0.6, hi: float = 1.0,
                   sizes: DataFrame | None = None) -> DataFrame:
     """G1 for every term in `parents` (a DataFrame(parent) or a list of terms) at once
     -> (parent, name, size)."""
+    df = df.select(key, tokens, "flood_probability")
     if sizes is None:
-        df = df.select(key, tokens, "flood_probability").persist()
-    top = _top_docs(df, parents, key, tokens, max_docs, lo, hi)
+        df = written(df, "term-children")
+    top = _top_docs(df, parents, key, tokens, top_docs, lo, hi)
     kids = top.join(_postings(df, key, tokens), "_k").select("parent", "name").distinct()
     kids = kids.filter(F.col("name") != F.col("parent"))
     sizes = sizes if sizes is not None else term_stats(df.select(tokens), tokens)
@@ -62,25 +64,26 @@ def term_children(df: DataFrame, parents: DataFrame, key: str = "tweetid", token
 
 
 def term_graph(df: DataFrame, term: str, key: str = "tweetid", tokens: str = "tokens",
-               max_docs: int | None = schema.GRAPH_MAX_DOCS) -> DataFrame:
+               top_docs: int | None = None) -> DataFrame:
     """Edges (level, parent, name, size); level 1 = children of `term`, level 2 =
-    children of each level-1 child (which may contain the root again)."""
+    children of each level-1 child (which may contain the root again). Without `top_docs` the
+    second level holds every pair of tokens that share a document: as large as the corpus'
+    co-occurrence table."""
     # tokens are computed once and shared by postings, sizes and both levels
-    df = df.select(key, tokens, "flood_probability").persist()
+    df = written(df.select(key, tokens, "flood_probability"), "term-graph")
     sizes = term_stats(df.select(tokens), tokens)
-    lvl1 = term_children(df, [term], key, tokens, max_docs, sizes=sizes)
-    lvl2 = term_children(df, lvl1.select(F.col("name").alias("parent")), key, tokens, max_docs, sizes=sizes)
+    lvl1 = term_children(df, [term], key, tokens, top_docs, sizes=sizes)
+    lvl2 = term_children(df, lvl1.select(F.col("name").alias("parent")), key, tokens, top_docs, sizes=sizes)
     return lvl1.select(F.lit(1).alias("level"), "parent", "name", "size").unionByName(
         lvl2.select(F.lit(2).alias("level"), "parent", "name", "size"))
 
 
 def graph_json(edges: DataFrame) -> DataFrame:
-    """The nested graph as JSON, one row per level-1 child:
-    (rank, json) where json = {"name", "size", "children": [{"name", "size"}, ...]}.
+    """The nested graph as JSON, one row (name, size, json) per level-1 child, where
+    json = {"name", "size", "children": [{"name", "size"}, ...]}, children by size desc, name asc.
 
-    Rows are ordered by size desc then name (`rank`); a writer concatenates them into
-    one array. Each child's list is bounded by the tokens of its top `max_docs` docs;
-    the level-1 list is never gathered into a single row or task.
+    A child's list holds each token once, at most the vocabulary of its documents; the level-1
+    list is never gathered into a single row or task (`write_graph` writes it as one document).
     """
     l2 = edges.filter("level = 2").groupBy("parent").agg(
         F.array_sort(F.collect_list(F.struct(F.negative("size").alias("_o"), "name", "size"))).alias("kids"))
@@ -92,6 +95,8 @@ def graph_json(edges: DataFrame) -> DataFrame:
 
 
 def write_graph(edges: DataFrame, path: str) -> None:
-    """Write the graph as JSON text lines ordered by size desc, name asc (a range-
-    partitioned sort, no single-task gather)."""
-    graph_json(edges).orderBy(F.desc("size"), F.asc("name")).select("json").write.mode("overwrite").text(path)
+    """Write the graph as text files which, joined in name order, are one JSON array ordered by
+    size desc, name asc (a range-partitioned sort, no single-task gather)."""
+    from tidewatch.sources.ingest import write_json_list
+
+    write_json_list(graph_json(edges), "json", [F.negative("size"), F.col("name")], path)

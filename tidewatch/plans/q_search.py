@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch import schema
 from tidewatch.functions import text as TX
 from tidewatch.operators import graph as G
 from tidewatch.operators.search import search, term_stats
@@ -51,11 +52,11 @@ def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     r"""SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'),
                lambda w: starts_with(w, '#') AND length(w) < 256),
                lambda w: regexp_replace(w, '^[#.,\-"''&*^!]+|[#.,\-"''&*^!]+$', '', 'g')) AS hashtags
-FROM documents WHERE text LIKE '%#%'""",
+FROM documents""",
 )
 def hashtags_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashtags of documents that contain a '#', in text order."""
-    d = table(spark, sf, "documents").filter(F.col("text").contains("#"))
+    """Hashtags of every document in text order (empty where there is none)."""
+    d = table(spark, sf, "documents")
     return d.select("doc_id", TX.hashtags("text").alias("hashtags"))
 
 
@@ -138,34 +139,51 @@ def term_stats_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def _children_sql(term: str, source: str = DOCPOSTS_SQL) -> str:
     return f"""
-WITH d AS (SELECT tweetid, doc_id, flood_probability, tokens FROM {source} s),
-st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d WHERE len(tokens) > 0),
-dfc AS (SELECT count(*) AS df FROM d WHERE list_contains(tokens, '{term}')),
-m AS (SELECT d.*, ln(1 + (st.n - dfc.df + 0.5) / (dfc.df + 0.5)) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * len(tokens) / st.avgdl)) AS score
-      FROM d, st, dfc WHERE list_contains(tokens, '{term}') AND flood_probability > 0.6 AND flood_probability <= 1.0),
-top AS (SELECT * FROM m ORDER BY score DESC, tweetid LIMIT 10),
-names AS (SELECT DISTINCT unnest(tokens) AS name FROM top),
+WITH d AS (SELECT tweetid, flood_probability, tokens FROM {source} s),
+names AS (SELECT DISTINCT unnest(tokens) AS name FROM d
+          WHERE list_contains(tokens, '{term}') AND flood_probability > 0.6 AND flood_probability <= 1.0),
 ttf AS (SELECT unnest(tokens) AS name, count(*) AS size FROM d GROUP BY 1)
 SELECT '{term}' AS parent, names.name AS name, ttf.size AS size FROM names JOIN ttf USING (name) WHERE names.name <> '{term}'
 """
 
 
+def _graph_sql(term: str, k: int, source: str = DOCPOSTS_SQL) -> str:
+    """CTEs up to e(level, parent, name, size): both levels over the k most relevant documents of each parent."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT tweetid, flood_probability AS p, tokens, len(tokens) AS dl FROM {source} s),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d WHERE dl > 0),
+post AS MATERIALIZED (SELECT tweetid, p, dl, unnest(tokens) AS name FROM d),
+dfc AS (SELECT name, count(*) AS df FROM post GROUP BY 1),
+ranked AS MATERIALIZED (SELECT name AS parent, tweetid, row_number() OVER (PARTITION BY name ORDER BY
+             ln(1 + (st.n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * dl / st.avgdl)) DESC, tweetid) AS rn
+           FROM post JOIN dfc USING (name), st WHERE p > 0.6 AND p <= 1.0),
+edges AS MATERIALIZED (SELECT DISTINCT parent, name FROM ranked JOIN post USING (tweetid) WHERE rn <= {k} AND name <> parent),
+e AS (SELECT 1 AS level, parent, name, df AS size FROM edges JOIN dfc USING (name) WHERE parent = '{term}'
+      UNION ALL SELECT 2, parent, name, df FROM edges JOIN dfc USING (name)
+      WHERE parent IN (SELECT name FROM edges WHERE parent = '{term}'))"""
+
+
 @register("term_children_que", _children_sql("que"))
 def term_children_que(spark: SparkSession, sf: str) -> DataFrame:
-    """G1 (+J5, A12, F11, L9): tokens co-occurring with 'que' in its top-10 relevant docs."""
+    """G1 (+J5, A12, F11, L9): tokens co-occurring with 'que' in any of its documents."""
     return G.term_children(doc_posts(spark, sf), ["que"])
 
 
-@register("term_graph_der")
+@register("term_graph_der", _graph_sql("der", schema.GRAPH_TOP_DOCS) + " SELECT level, parent, name, size FROM e")
 def term_graph_der(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-level graph around 'der' (level 2 for every child in one keyed join)."""
-    return G.term_graph(doc_posts(spark, sf), "der")
+    """Two-level graph around 'der' over the ten most relevant documents of each term
+    (level 2 for every child in one keyed join)."""
+    return G.term_graph(doc_posts(spark, sf), "der", top_docs=schema.GRAPH_TOP_DOCS)
 
 
-@register("term_graph_json")
+@register("term_graph_json", _graph_sql("que", schema.GRAPH_TOP_DOCS) + """,
+kids AS (SELECT parent, string_agg('{"name":' || to_json(name) || ',"size":' || size || '}', ',' ORDER BY size DESC, name) AS js
+         FROM e WHERE level = 2 GROUP BY parent)
+SELECT e.name, e.size, '{"name":' || to_json(e.name) || ',"size":' || e.size || ',"children":[' || coalesce(js, '') || ']}' AS json
+FROM e LEFT JOIN kids ON kids.parent = e.name WHERE level = 1""")
 def term_graph_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph around 'que' as one nested JSON document."""
-    return G.graph_json(G.term_graph(doc_posts(spark, sf), "que"))
+    """The graph around 'que' as nested JSON, one object per child."""
+    return G.graph_json(G.term_graph(doc_posts(spark, sf), "que", top_docs=schema.GRAPH_TOP_DOCS))
 
 
 @register(

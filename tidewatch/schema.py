@@ -50,7 +50,7 @@ LANGUAGES = ("en", "fr", "es", "de")
 SIMILARITY_THRESHOLD = 0.8      # near-duplicate threshold for the representative split
 STREAM_FRAME = "15 minutes"     # representative re-marking frame
 TERMS_SIZE = 10                 # default size of a terms aggregation
-GRAPH_MAX_DOCS = 10             # hits per graph expansion (default search size)
+GRAPH_TOP_DOCS = 10             # the service's ranking size per graph expansion; a parameter here
 KEYWORD_MAX_LEN = 256           # keyword sub-fields ignore longer values
 ORDERABLE = ("created_at", "flood_probability", "country", "lang", "user_lang", "user_name", "user_time_zone")
 FILTERABLE = {"flood_probability": ("gte",), "lang": ("exact",), "country": ("exact",), "representative": ("exact",)}

@@ -106,24 +106,45 @@ GEOJSON_EXCLUDE = ("location", "latlong", "geotags", "annotations", "tweet", "tw
 
 def to_geojson(df: DataFrame, id_col: str = "tweetid", location: str = "location") -> DataFrame:
     """One GeoJSON Feature (JSON text) per row: Point [lon, lat]; properties = every
-    column plus `id`, minus location/latlong/geotags/annotations/tweet/tweetid."""
+    column plus `id`, minus location/latlong/geotags/annotations/tweet/tweetid. NULL properties
+    are written as null, so all features of a layer have the same keys; a row without a
+    location has a null geometry."""
     props = [F.col(c) for c in df.columns if c not in GEOJSON_EXCLUDE]
+    lat, lon = F.col(f"{location}.lat"), F.col(f"{location}.lon")
+    point = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
     feature = F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(F.lit("Point").alias("type"),
-                 F.array(F.col(f"{location}.lon"), F.col(f"{location}.lat")).alias("coordinates")).alias("geometry"),
+        F.when(lat.isNotNull() & lon.isNotNull(), point).alias("geometry"),
         F.struct(*props, F.col(id_col).alias("id")).alias("properties"),
     )
-    return df.select(F.col(id_col), F.to_json(feature).alias("feature"))
-
-
-def write_geojson(df: DataFrame, path: str, **kw) -> None:
-    """Write features as text lines; the collection header (CRS EPSG:4326) and footer
-    are separate one-line files so no task ever holds the whole collection."""
-    spark = df.sparkSession
-    to_geojson(df, **kw).select("feature").write.mode("overwrite").text(f"{path}/features")
-    header = '{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:4326"}}, "features": ['
-    spark.createDataFrame([(header,), ("]}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/envelope")
+    return df.select(F.col(id_col), F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def write_json_list(items: DataFrame, json_col: str, order: list[Column], path: str, head: str = "[", foot: str = "]") -> None:
+    """Write JSON texts as text files which, joined in name order, are one JSON document: `head`,
+    the items in `order`, `foot`. Every item but the first starts with a comma; the first is
+    found by an aggregate and the order by a range-partitioned sort, so no task holds the list."""
+    keys = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = items.select(*keys, F.col(json_col).alias("value"))
+    rows = rows.groupBy(*names, "value").agg(F.count(F.lit(1)).alias("_n"))  # equal items differ by their number only
+    first = F.struct(*names, "value")
+    rows = rows.withColumn("_first", first.eqNullSafe(rows.agg(F.min(first)).scalar()))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    lines = rows.select(F.lit(1).alias("_part"), *names, "_k", F.when(F.col("_first") & (F.col("_k") == 1), F.col("value"))
+                        .otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
+    ends = items.sparkSession.createDataFrame([(0, head), (2, foot)], "_part int, value string")
+    lines = lines.unionByName(ends, allowMissingColumns=True)
+    lines.orderBy("_part", *names, "value", "_k").select("value").write.mode("overwrite").text(path)
+
+
+# Fixed value: the head of a feature collection.
+GEOJSON_HEAD = '{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:4326"}}, "features": ['
+
+
+def write_geojson(df: DataFrame, path: str, id_col: str = "tweetid", location: str = "location") -> None:
+    """S12 as files: joined in name order they are one valid FeatureCollection, ordered by id."""
+    write_json_list(to_geojson(df, id_col, location), "feature", [F.col(id_col)], path, GEOJSON_HEAD, "]}")
 
 
 def ensure_variant(c) -> Column:
