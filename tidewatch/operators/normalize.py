@@ -21,6 +21,7 @@ from tidewatch.functions.geo import mean_point
 from tidewatch.functions.text import HASHTAG_STRIP, analyzed_words, token_words, tokens_from_words
 from tidewatch.operators.geojoin import country_of, place_key
 from tidewatch.sources.ingest import conform
+from tidewatch.session import written
 
 # The author fields kept.
 PRESERVE_USER = ("id", "name", "screen_name", "location", "description", "followers_count", "friends_count",
@@ -233,8 +234,8 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
     ).drop("_v", "_in")
     # every field is extracted once per record; the joins below (gazetteer, text places,
-    # polygons) reuse this persisted stage instead of re-reading and re-parsing the input
-    df = df.persist()
+    # polygons) reuse this written stage instead of re-reading and re-parsing the input
+    df = written(df, "normalize")
     lang = detect_language(F.col("text"), F.col("_lang_in"), F.col("_words")) if detect else F.col("_lang_in")
     df = df.withColumn("lang", lang)
     # X13 + J2: geocode place names (distinct keys once) when no direct location

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.functions.text import WORD_PATTERN, analyzed_words
+from tidewatch.session import written
 
 K1, B = 1.2, 0.75
 _WORD_RE = regex.compile(WORD_PATTERN)
@@ -55,8 +56,8 @@ def search(df: DataFrame, query: str, fields=schema.SEARCH_FIELDS, key: str = "t
         # one pass over the field: its length and only the query words it contains; the
         # small result feeds both the corpus statistics and the postings (analyzed once)
         fw = df.select(F.col(key).alias("_k"), _field_words(df, f).alias("_w"))
-        small = fw.select("_k", F.size("_w").alias("dl"),
-                          F.filter("_w", lambda w: F.array_contains(wlit, w)).alias("hw")).persist()
+        small = written(fw.select("_k", F.size("_w").alias("dl"),
+                                  F.filter("_w", lambda w: F.array_contains(wlit, w)).alias("hw")), "search")
         stats = small.filter(F.col("dl") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         n_docs, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
         hits = (small.filter(F.size("hw") > 0).select("_k", "dl", F.explode("hw").alias("word"))
