@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 
 #: Fixed values of the markup language.
@@ -38,13 +39,17 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parts", "index", "_drop")
+    __slots__ = ("tag", "attrs", "kids", "parts", "index", "text", "said", "whole", "full", "_drop")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs = tag, attrs
         self.kids: list[Node] = []
         self.parts: list = []  # texts and kids in page order
         self.index = 0
+        self.text = ""  # own text, white space collapsed
+        self.said: int | None = None  # hash of the subtree's tags and texts, None without text
+        self.whole = 0  # hash of the subtree with its attributes
+        self.full = 0  # the subtree's weight against its equal
         self._drop: bool | None = None
 
     def add(self, kid: "Node") -> None:
@@ -134,8 +139,15 @@ def parse(page: str | None) -> Node:
             continue
         if len(open_) < MAX_DEPTH and not attrs.rstrip().endswith("/") or tag in BLOCK and len(open_) < MAX_DEPTH:
             open_.append(node)
-    for i, n in enumerate(root.walk()):
+    nodes = list(root.walk())
+    for i, n in enumerate(nodes):
         n.index = i
+    for n in reversed(nodes):
+        n.text = " ".join(n.own().split())
+        n.whole = hash((n.tag, n.attrs, n.text, *[k.whole for k in n.kids]))
+        n.full = 3 + 4 * (n.text != "") + sum(k.full for k in n.kids)
+        if n.text or any(k.said is not None for k in n.kids):
+            n.said = hash((n.tag, n.text, *[k.said for k in n.kids]))
     return root
 
 
@@ -174,59 +186,106 @@ def blocks(node: Node, skip=lambda n: False) -> list[str]:
     return out
 
 
-#: Larger child lists are aligned in order from both ends instead of by dynamic programming.
-MAX_CELLS = 40_000
+#: Scores of node pairs remembered during one match; beyond it they are worked out again, with the same result.
+MEMO = 400_000
+
+
+def _ends(ka: list[Node], kb: list[Node]) -> tuple[int, int]:
+    """Lengths of the equal head and tail of two child lists. A subtree weighs most against its equal, so these pairs are optimal."""
+    least = min(len(ka), len(kb))
+    lead = tail = 0
+    while lead < least and ka[lead].whole == kb[lead].whole:
+        lead += 1
+    while tail < least - lead and ka[-1 - tail].whole == kb[-1 - tail].whole:
+        tail += 1
+    return lead, tail
+
+
+def _row(x: Node, kb: list[Node], above: list[int], memo: dict) -> list[int]:
+    """The next row of the alignment: best weight of the children so far and the first j of ``kb``."""
+    row, best, tag, full = [0], 0, x.tag, x.full
+    for j, y in enumerate(kb):
+        up = above[j + 1]
+        if up > best:
+            best = up
+        if y.tag == tag and above[j] + min(full, y.full) > best:
+            best = max(best, above[j] + _score(x, y, memo))
+        row.append(best)
+    return row
+
+
+def _score(a: Node, b: Node, memo: dict) -> int:
+    """Weight of the best match of two subtrees of equal tag: 2 a pair, 1 more for equal attributes, 4 for an equal text."""
+    if a.whole == b.whole:
+        return a.full
+    own = 2 + (a.attrs == b.attrs) + 4 * (a.text == b.text != "")
+    if not a.kids or not b.kids:
+        return own
+    key = a.index, b.index
+    known = memo.get(key)
+    if known is None:
+        lead, tail = _ends(a.kids, b.kids)
+        ka, kb = a.kids[lead:len(a.kids) - tail], b.kids[lead:len(b.kids) - tail]
+        known = own + sum(n.full for n in a.kids[:lead]) + sum(n.full for n in a.kids[len(a.kids) - tail:])
+        if ka and kb:
+            row = [0] * (len(kb) + 1)
+            for x in ka:
+                row = _row(x, kb, row, memo)
+            known += row[-1]
+        if len(memo) < MEMO:
+            memo[key] = known
+    return known
+
+
+def _aligned(ka: list[Node], kb: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """The pairs of the heaviest order-keeping alignment of two child lists.
+
+    Every k-th row is kept and the rows between are worked out again on the way back, so a list of n
+    children takes the square root of n rows of memory, whatever its length.
+    """
+    lead, tail = _ends(ka, kb)
+    out = [*zip(ka[:lead], kb[:lead]), *zip(ka[len(ka) - tail:], kb[len(kb) - tail:])]
+    ka, kb = ka[lead:len(ka) - tail], kb[lead:len(kb) - tail]
+    if not ka or not kb:
+        return out
+    step = max(16, math.isqrt(len(ka)))
+    kept, row = [], [0] * (len(kb) + 1)
+    for i, x in enumerate(ka):
+        if i % step == 0:
+            kept.append(row)
+        row = _row(x, kb, row, memo)
+    j = len(kb)
+    for block in range(len(kept) - 1, -1, -1):
+        at = block * step
+        rows = [kept[block]]
+        for x in ka[at:at + step]:
+            rows.append(_row(x, kb, rows[-1], memo))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((ka[at + i], kb[j]))
+    return out
 
 
 def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching: size of the largest order-keeping top-down match; its node pairs go to ``pairs``."""
+    """Simple tree matching: size of the heaviest order-keeping top-down match; its node pairs go to ``pairs``.
+
+    All child lists are aligned by weight, those of equal tags too, whatever their length.
+    """
     if a.tag != b.tag:
         return 0
-    pairs.append((a, b))
-    ka, kb = a.kids, b.kids
-    if not ka or not kb:
-        return 1
-    n, m = len(ka), len(kb)
-    lead = 0  # equal tags in the same order need no search
-    while lead < n and lead < m and ka[lead].tag == kb[lead].tag:
-        lead += 1
-    if lead == min(n, m):
-        return 1 + sum(match(x, y, pairs) for x, y in zip(ka, kb))
-    tail = 0
-    while tail < min(n, m) - lead and ka[n - 1 - tail].tag == kb[m - 1 - tail].tag:
-        tail += 1
-    total = 1 + sum(match(x, y, pairs) for x, y in zip(ka[:lead], kb[:lead]))
-    total += sum(match(x, y, pairs) for x, y in zip(ka[n - tail:], kb[m - tail:]))
-    ka, kb = ka[lead:n - tail], kb[lead:m - tail]
-    n, m = len(ka), len(kb)
-    if not n or not m:
-        return total
-    if n * m > MAX_CELLS:
-        j = 0
-        for x in ka:
-            k = next((k for k in range(j, min(m, j + 64)) if kb[k].tag == x.tag), None)
-            if k is not None:
-                total += match(x, kb[k], pairs)
-                j = k + 1
-        return total
-    cell: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            w = 0
-            if ka[i].tag == kb[j].tag:
-                found: list = []
-                w = match(ka[i], kb[j], found)
-                cell[i, j] = (w, found)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    total += best[n][m]
-    i, j = n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs.extend(cell[i - 1, j - 1][1])
-            i, j = i - 1, j - 1
-    return total
+    memo: dict = {}
+    before, stack = len(pairs), [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x, y))
+        if x.whole == y.whole:
+            stack.extend(zip(x.kids, y.kids))
+        elif x.kids and y.kids:
+            stack.extend(_aligned(x.kids, y.kids, memo))
+    return len(pairs) - before
