@@ -32,3 +32,27 @@ def test_kept_rows_do_not_change_the_alignment(monkeypatch):
     monkeypatch.setattr(dom, "MEMO", 10)
     monkeypatch.setattr(dom.math, "isqrt", lambda n: n)
     assert aligned_texts(f"<div>{a}</div>", f"<div>{b}</div>") == want
+
+
+def texts_of(spark, pages):
+    rows = [(i, "http://a.example/x", p) for i, p in enumerate(pages)]
+    got = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_votes_decide_on_pages_with_article(spark):
+    page = lambda i: (f"<body><div>Site</div><article><h1>Title {i}</h1><p>Text {i}</p><p>Buy <a href=x>our book</a> now</p>"
+                      f"<p><b>Note:</b> more {i}</p></article><article><p>Part two of {i}</p></article><div>Made with love</div></body>")
+    for n in (12, 4):  # hosts with few pages have a template too
+        assert texts_of(spark, [page(i) for i in range(n)]) == [
+            f"Title {i}\nText {i}\nNote: more {i}\nPart two of {i}" for i in range(n)]
+
+
+def test_article_without_slots_is_no_content_root(spark):
+    page = lambda i: (f"<body><article><p>Join the club of friends of this site</p></article>"
+                      f"<div><h2>Title {i}</h2><p>Real text of page {i}</p></div></body>")
+    assert texts_of(spark, [page(i) for i in range(10)]) == [f"Title {i}\nReal text of page {i}" for i in range(10)]
+
+
+def test_page_of_template_blocks_only_keeps_them(spark):
+    assert texts_of(spark, ["<body><article><p>One text for all pages</p></article>" + " " * i for i in range(9)]) == ["One text for all pages"] * 9

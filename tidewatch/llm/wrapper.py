@@ -1,12 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 The pages of a host share a template. One page of each host is its reference; every page's tree is
-aligned with it by simple tree matching. A node whose text is the same on nearly all distinct pages of
-the host is template, the other text nodes are slots. The content root of a host is the node of the
-reference that holds its slots: the article or main element if it has one, else the smallest element
-with most of the slot text. A page's main text are the blocks under the node aligned with that root,
-without elements named as menus, adverts, comments and the like, and without template blocks unless
-the root is marked as the article.
+aligned with it by simple tree matching. A node whose whole text is the same on nearly all distinct
+pages of the host is template, the other text nodes are slots. The content root of a host is the
+smallest element of the reference that holds most of its slots. Article and main elements are a hint:
+a page that has some is read from all of them, unless the votes find most of its slot text elsewhere.
+A page's main text are the blocks under its root or roots, without elements named as menus, adverts,
+comments and the like, and without template blocks. A page whose root holds template blocks only
+keeps them.
 
 Votes are counted inside each task and summed per host and node, so a host with a third of all pages
 is spread over all tasks; a wrapper is one page and a list of its nodes.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import dom
 from tidewatch.llm.tables import Scratch
 
-SAME, LEAST_PAGES = 0.9, 8
+SAME, LEAST_PAGES = 0.9, 3
 
 
 def host(url: Column) -> Column:
@@ -55,14 +56,13 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs: list = []
             dom.match(trees.get(ref or ""), dom.parse(page), pairs)
             for x, y in pairs:
-                own = x.own().strip()
-                if own and own == y.own().strip():
+                if x.said is not None and x.said == y.said:
                     votes[h, x.index] += 1
         yield pd.DataFrame([(h, i, n) for (h, i), n in votes.items()], columns=["host", "node", "n"])
 
 
-def _landmark(root: dom.Node) -> dom.Node | None:
-    """The article or main element that holds most text, if there is one that is not itself boilerplate."""
+def _landmarks(root: dom.Node) -> list[dom.Node]:
+    """The outermost article elements in page order, else the main elements, that are not themselves boilerplate."""
     for tags in (("article",), ("main",)):
         found, stack = [], [root]
         while stack:
@@ -73,24 +73,29 @@ def _landmark(root: dom.Node) -> dom.Node | None:
             elif not n.dropped or n.tag == "form":
                 stack.extend(reversed(n.kids))
         if found:
-            return max(found, key=lambda n: (sum(map(len, dom.blocks(n))), -n.index))
-    return None
+            return found
+    return []
+
+
+def _body(root: dom.Node) -> dom.Node:
+    return next((n for n in root.walk() if n.tag == "body"), root)
+
+
+def _size(n: dom.Node, skip) -> int:
+    return sum(map(len, dom.blocks(n, skip)))
 
 
 def _content_root(ref: dom.Node, constant: frozenset[int]) -> dom.Node:
-    """The reference's node that holds its slots."""
-    mark = _landmark(ref)
-    if mark is not None:
-        return mark
-    at = next((n for n in ref.walk() if n.tag == "body"), ref)
-    size = lambda n: sum(map(len, dom.blocks(n, lambda k: k.index in constant)))
-    total = size(at)
+    """The reference's smallest element that holds most of its slots."""
+    skip = lambda k: k.index in constant
+    at = _body(ref)
+    total = _size(at, skip)
     while True:
-        inner = [k for k in at.kids if k.tag in dom.BLOCK and not k.dropped and k.tag not in ("p", "ul", "ol", "table")]
-        best = max(inner, key=size, default=None)
-        if best is None or not total or size(best) < 0.9 * total:
+        inner = [k for k in at.kids if k.tag in dom.BLOCK and not k.dropped and not skip(k) and k.tag not in ("p", "ul", "ol", "table")]
+        sizes = [_size(k, skip) for k in inner]
+        if not total or max(sizes, default=0) < 0.9 * total:
             return at
-        at = best
+        at = inner[sizes.index(max(sizes))]
 
 
 def page_text(page: str | None, ref: dom.Node | None, constant: frozenset[int]) -> str:
@@ -98,18 +103,17 @@ def page_text(page: str | None, ref: dom.Node | None, constant: frozenset[int])
     pairs: list = []
     if ref is not None:
         dom.match(ref, tree, pairs)
-    own_mark, root, fixed = _landmark(tree), None, set()
-    if ref is not None:
+    fixed = {id(y) for x, y in pairs if x.index in constant and y.tag in dom.BLOCK and x.said == y.said}
+    skip = lambda n: id(n) in fixed
+    body, roots = _body(tree), _landmarks(tree)
+    if roots and fixed and 2 * sum(_size(n, skip) for n in roots) < _size(body, skip):
+        roots = []  # the votes find the slots elsewhere
+    if not roots and ref is not None:
         goal = _content_root(ref, constant)
-        root = next((y for x, y in pairs if x is goal), None)
-        fixed = {id(y) for x, y in pairs if x.index in constant and y.tag in dom.BLOCK and not y.kids
-                 and x.own().strip() == y.own().strip()}
-        if own_mark is not None and (root is None or root.tag != own_mark.tag):
-            root = own_mark
-    root = root or own_mark or next((n for n in tree.walk() if n.tag == "body"), tree)
-    if root is own_mark:
-        fixed = set()  # inside a marked article every block is its text
-    return "\n".join(dom.blocks(root, lambda n: id(n) in fixed))
+        roots = [y for x, y in pairs if x is goal]
+    roots = roots or [body]
+    read = lambda skip: "\n".join(line for n in roots for line in dom.blocks(n, skip))
+    return read(skip) or ("" if roots == [body] else read(lambda n: False))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
