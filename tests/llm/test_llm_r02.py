@@ -56,3 +56,14 @@ def test_article_without_slots_is_no_content_root(spark):
 
 def test_page_of_template_blocks_only_keeps_them(spark):
     assert texts_of(spark, ["<body><article><p>One text for all pages</p></article>" + " " * i for i in range(9)]) == ["One text for all pages"] * 9
+
+
+def test_named_parts_of_an_article_need_evidence(spark):
+    article = ("<section id='side-effects'><h2 id='search-and-replace'>Head</h2><p>Effects</p></section><section id='discussion'>"
+               "<p>Findings</p></section><p class='foot-note form-of-government'>Note</p><div class='notice'><p>Safety first</p></div><p>End</p>"
+               "<div class='share'><a href=x>Mail</a> <a href=y>Post</a></div><div class='newsletter'><p>Join</p><input></div>"
+               "<ol class='comments'><li>nice</li></ol>")
+    want = "Head\nEffects\nFindings\nNote\nSafety first\nEnd"
+    assert texts_of(spark, [f"<body><div class='menu'>Menu</div><article>{article}</article></body>"]) == [want]
+    page = lambda i: f"<body><article><p>Text {i}</p><div class='notice'><p>Tell us</p></div><p>End {i}</p></article></body>"
+    assert texts_of(spark, [page(i) for i in range(9)]) == [f"Text {i}\nEnd {i}" for i in range(9)]

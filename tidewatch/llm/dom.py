@@ -22,20 +22,25 @@ CLOSES = {
 #: Elements that never hold the text of an article.
 DROP_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input "
                       "dialog menu head title object canvas audio video math".split())
-#: Words of class, id and role that name menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+#: Whole tokens of class, id and role that name menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promotion banner "
     "cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login popup modal "
     "overlay paywall sidebar sidebars side rail menu menus nav navs navbar navigation breadcrumb breadcrumbs pagination pager "
     "toolbar header masthead footer foot bottombar topbar comment comments commentlist reply replies respond disqus discussion "
     "reactions social share sharing related recommended widget widgets form search contentinfo complementary skip toc".split())
+ARTICLE_WORDS = frozenset("comment comments reply ad advert promo related teaser".split())
+#: Elements whose id is made from a heading.
+SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+CONTROLS = frozenset("form input textarea select button iframe".split())
+#: Names of reader comments, which close an article without a structure of their own.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 MAX_DEPTH = 150
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
@@ -59,23 +64,42 @@ class Node:
     def named(self) -> dict[str, str]:
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(self.attrs)} if self.attrs else {}
 
+    @property
+    def by_tag(self) -> bool:
+        """Whether the tag alone names something that is not the article."""
+        return self.tag in DROP_TAGS or self.tag == "header" and not any(n.tag in ("h1", "h2") for n in self.walk())
+
+    def names(self) -> list[str]:
+        """Tokens of class and role and the id, each whole, lower-cased, without - and _. Ids of headings and sections are slugs, not names."""
+        if not self.attrs or self.tag in ("html", "body", "main"):
+            return []
+        named = self.named()
+        said = named.get("class", "").split() + named.get("role", "").split()
+        if self.tag not in SLUGGED:
+            said.append(named.get("id", "").strip())
+        return [w.replace("-", "").replace("_", "").lower() for w in said]
+
     @property
     def dropped(self) -> bool:
         """Whether tag, class, id or role names something that is not the article."""
         if self._drop is None:
-            self._drop = self.tag in DROP_TAGS
-            if not self._drop and self.tag == "header":
-                self._drop = not any(n.tag in ("h1", "h2") for n in self.walk())
-            if not self._drop and self.attrs and self.tag not in ("html", "body", "article", "main"):
-                named = self.named()
-                said = " ".join(named.get(k, "") for k in ("class", "id", "role"))
-                self._drop = any(w.lower() in DROP_WORDS for w in _WORD.findall(said))
-            elif not self._drop and self.attrs and self.tag == "article":
-                said = self.named()
-                self._drop = any(w.lower() in ("comment", "comments", "reply", "ad", "advert", "promo", "related", "teaser")
-                                 for w in _WORD.findall(said.get("class", "") + " " + said.get("id", "")))
+            words = ARTICLE_WORDS if self.tag == "article" else DROP_WORDS
+            self._drop = self.by_tag or any(w in words for w in self.names())
         return self._drop
 
+    @property
+    def boilerplate(self) -> bool:
+        """Whether it is not the article by its tag, or by its name and its structure: mostly links, or with controls to fill in."""
+        if not self.dropped:
+            return False
+        if self.by_tag:
+            return True
+        inside = list(self.walk())
+        if any(n.tag in CONTROLS for n in inside):
+            return True
+        links = sum(len(k.text) for n in inside if n.tag == "a" for k in n.walk())
+        return 2 * links >= sum(len(n.text) for n in inside)
+
     def walk(self):
         stack = [self]
         while stack:
@@ -151,8 +175,33 @@ def parse(page: str | None) -> Node:
     return root
 
 
-def blocks(node: Node, skip=lambda n: False) -> list[str]:
-    """Texts of the blocks under ``node`` in page order: references decoded, white space collapsed, no empty ones."""
+def closing_comments(root: Node) -> set[int]:
+    """Python ids of the elements named as reader comments after which no other text follows under ``root``."""
+    found: set[int] = set()
+    at = root
+    while True:
+        last = None
+        for part in reversed(at.parts):
+            if isinstance(part, str):
+                if part.strip():
+                    return found
+            elif part.boilerplate or part.said is None:
+                continue
+            elif any(w in COMMENT_WORDS for w in part.names()):
+                found.add(id(part))
+            else:
+                last = part
+                break
+        if last is None:
+            return found
+        at = last
+
+
+def blocks(node: Node, skip=lambda n: False, inside: bool = False) -> list[str]:
+    """Texts of the blocks under ``node`` in page order: references decoded, white space collapsed, no empty ones.
+
+    Elements that a name sets apart are left out; ``inside`` an article their structure has to say so too.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -163,6 +212,7 @@ def blocks(node: Node, skip=lambda n: False) -> list[str]:
             if text:
                 out.append(text)
 
+    comments = closing_comments(node) if inside else set()
     stack: list = [iter(node.parts)]
     ends: list[bool] = [True]
     while stack:
@@ -175,7 +225,7 @@ def blocks(node: Node, skip=lambda n: False) -> list[str]:
             run.append(part)
         elif part.tag == "br":
             run.append(" ")
-        elif not (part.dropped or skip(part)):
+        elif not ((part.boilerplate or id(part) in comments if inside else part.dropped) or skip(part)):
             block = part.tag in BLOCK
             if block:
                 flush()

@@ -6,8 +6,8 @@ pages of the host is template, the other text nodes are slots. The content root
 smallest element of the reference that holds most of its slots. Article and main elements are a hint:
 a page that has some is read from all of them, unless the votes find most of its slot text elsewhere.
 A page's main text are the blocks under its root or roots, without elements named as menus, adverts,
-comments and the like, and without template blocks. A page whose root holds template blocks only
-keeps them.
+comments and the like (inside a content root only if template votes or their structure say so too),
+and without template blocks. A page whose root holds template blocks only keeps them.
 
 Votes are counted inside each task and summed per host and node, so a host with a third of all pages
 is spread over all tasks; a wrapper is one page and a list of its nodes.
@@ -112,8 +112,9 @@ def page_text(page: str | None, ref: dom.Node | None, constant: frozenset[int])
         goal = _content_root(ref, constant)
         roots = [y for x, y in pairs if x is goal]
     roots = roots or [body]
-    read = lambda skip: "\n".join(line for n in roots for line in dom.blocks(n, skip))
-    return read(skip) or ("" if roots == [body] else read(lambda n: False))
+    inside = roots != [body]  # under the body menus and the like go by their names alone
+    read = lambda skip: "\n".join(line for n in roots for line in dom.blocks(n, skip, inside))
+    return read(skip) or (read(lambda n: False) if inside else "")
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
