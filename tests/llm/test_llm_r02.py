@@ -67,3 +67,23 @@ def test_named_parts_of_an_article_need_evidence(spark):
     assert texts_of(spark, [f"<body><div class='menu'>Menu</div><article>{article}</article></body>"]) == [want]
     page = lambda i: f"<body><article><p>Text {i}</p><div class='notice'><p>Tell us</p></div><p>End {i}</p></article></body>"
     assert texts_of(spark, [page(i) for i in range(9)]) == [f"Text {i}\nEnd {i}" for i in range(9)]
+
+
+def test_copies_in_other_case_and_short_items(spark):
+    item = "A train leaves Boston at 60 km per hour and meets Ann after 60 minutes of steady travel on the line."
+    ask, german, ann = "What is the capital of France?", "Der Hund und die Katze sehen im Garten einen Vogel.", "Ann has 5 red apples left"
+    bench = [(0, item), (1, ask), (2, german), (3, ann), (4, "Name the largest moon"), (5, "42"), (6, "12 km")]
+    docs = [(8, item.upper(), [0]), (9, item.lower(), [0]), (10, "Question: " + ask, [1]), (11, "So, what is the capital of Spain?", [1]),
+            (12, german.lower(), [2]), (13, "x y. Lee has 7 red apples left", [3]), (14, "Please name the LARGEST moon!", [4]),
+            (15, "We saw 43 of them in 13 km", []), (16, "The number 42.", [5]),
+            (17, "Intro. " + item.replace("60 km", "75 km").replace("60 minutes", "80 minutes"), [])]
+    df = spark.createDataFrame([r[:2] for r in docs], "doc_id long, text string")
+    got = decontam.flag_contaminated(df, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["items"] for r in got} == {i: want for i, _, want in docs}
+
+
+def test_rows_of_one_document_do_not_mix_their_values(spark):
+    item = "A train leaves Boston at 60 km per hour and meets Ann after 60 minutes of steady travel on the line."
+    df = spark.createDataFrame([(1, item.replace("60", "75")), (1, "one two three 4 five six 7 eight nine ten " * 5)], "doc_id long, text string")
+    got = decontam.flag_contaminated(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert [r["items"] for r in got] == [[0], [0]]

@@ -7,8 +7,12 @@ numbers or names were changed still matches. A document's match with an item cou
 slots are consistent: along one alignment, each value of the item always stands for the same value
 of the document. An item is found in a document if at least ``share`` of its windows match.
 
+Where a sentence starts and how a copy is capitalised differ from text to text, so a window has three
+forms and matches in any: the template, the loose template in which every capitalised word is a name
+wherever it stands, and the plain lower-cased words.
+
 DataFrame functions only. Window hashes are made per row; only rows whose hash occurs in the
-benchmark reach a shuffle.
+benchmark reach a shuffle, as long as these hashes are few enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -25,15 +29,20 @@ UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yd", "mil
          "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar",
          "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb",
          "gb", "tb", "v", "w", "kw", "kwh", "j", "kj", "cal", "kcal", "c", "f", "k", "meter", "meters", "metre", "metres"]
-_NAME = "\u0001"
+_NAME, _FIRST = "\u0001", "\u0002"
+#: Forms of a text's words, each with the column of its word hashes.
+FORMS = {"t": "ht", "l": "hl", "p": "hp"}
+#: Hashes of the benchmark are broadcast to the documents up to this many (16 MB), beyond it joined by a shuffle.
+BROADCAST_HASHES = 1_000_000
 
 
 def words(text: Column) -> Column:
-    """Words of the text; a capitalised word that follows a word inside a sentence carries a mark."""
-    t = F.coalesce(text, F.lit(""))
+    """Words of the text; a capitalised word carries a mark: one that follows a word inside a sentence, or another one."""
+    t = F.translate(F.coalesce(text, F.lit("")), _NAME + _FIRST, "  ")
     t = F.when(t.rlike("[0-9][.,][0-9]"), F.regexp_replace(t, "(?<=[0-9])[.,](?=[0-9])", "")).otherwise(t)
     t = F.regexp_replace(t, "(?<=[\\p{L}\\p{N},;:] )(\\p{Lu}\\p{Ll})", _NAME + "$1")
-    t = F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}" + _NAME + "]+", " "))
+    t = F.regexp_replace(t, "(?<![\\p{L}\\p{N}\\p{M}" + _NAME + "])(\\p{Lu}\\p{Ll})", _FIRST + "$1")
+    t = F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}" + _NAME + _FIRST + "]+", " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
@@ -41,67 +50,103 @@ def _is_number(w: Column) -> Column:
     return F.substring(w, 1, 1).between("0", "9")
 
 
-def template(w: Column) -> Column:
-    """Template words of an array from ``words``."""
+def _plain(x: Column) -> Column:
+    return F.lower(F.translate(x, _NAME + _FIRST, ""))
+
+
+def template(w: Column, loose: bool = False) -> Column:
+    """Template words of an array from ``words``; if ``loose``, capitalised words that start a sentence are names too."""
     def one(x: Column, i: Column) -> Column:
-        unit = (i > 0) & _is_number(F.get(w, i - 1)) & F.array_contains(F.lit(UNITS), F.lower(x))
-        return F.when(_is_number(x), F.lit("<num>")).when(F.startswith(x, F.lit(_NAME)), F.lit("<name>")).when(
-            unit, F.lit("<unit>")).otherwise(F.lower(x))
+        unit = (i > 0) & _is_number(F.get(w, i - 1)) & F.array_contains(F.lit(UNITS), _plain(x))
+        name = F.startswith(x, F.lit(_NAME)) | F.startswith(x, F.lit(_FIRST)) if loose else F.startswith(x, F.lit(_NAME))
+        return F.when(_is_number(x), F.lit("<num>")).when(name, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(_plain(x))
 
     return F.transform(w, one)
 
 
-def _windows(df: DataFrame, size: int) -> DataFrame:
-    """(id, pos, hash) of all windows of the column ``t``."""
-    n = F.size("t") - F.lit(size - 1)
-    hashes = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(
-        *[F.get(F.col("t"), i + F.lit(k)) for k in range(size)])))
-    return df.select("id", F.posexplode(hashes).alias("pos", "hash"))
+def _forms(df: DataFrame, i: str, text: str) -> DataFrame:
+    """(id, row, w, t, l, p) of the rows with an id: its words and their forms; row tells texts of one id apart."""
+    w = F.col("w")
+    df = df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), words(F.col(text).cast("string")).alias("w"))
+    return df.select("id", F.xxhash64("w").alias("row"), "w", template(w).alias("t"), template(w, True).alias("l"),
+                     F.transform(w, _plain).alias("p"))
+
 
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumns({h: F.transform(f, lambda x: F.xxhash64(x)) for f, h in FORMS.items()})
 
-def _slots(df: DataFrame, hits: DataFrame, size: int, name: str) -> DataFrame:
-    """``hits`` (id, pos, ...) with the placeholder values of each window."""
-    part = F.arrays_zip(F.slice("t", F.col(name) + 1, size).alias("t"), F.slice("w", F.col(name) + 1, size).alias("w"))
-    return hits.join(df, "id").withColumn("slots", F.transform(
-        F.filter(part, lambda x: F.startswith(x["t"], F.lit("<"))), lambda x: x["w"]))
+
+def _each_window(size: int, made) -> Column:
+    """``made(hash of a form's window)`` at every position of a window."""
+    n = F.size("hp") - F.lit(size - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: made(lambda h: F.xxhash64(
+        *[F.get(F.col(h), i + F.lit(k)) for k in range(size)]))))
+
+
+def _windows(df: DataFrame, size: int) -> DataFrame:
+    """(id, row, pos, hash) of all windows of the rows, a row per different form."""
+    hashes = _each_window(size, lambda of: F.array_distinct(F.array(*[of(h) for h in FORMS.values()])))
+    return df.select("id", "row", F.posexplode(hashes).alias("pos", "hashes")).select(
+        "id", "row", "pos", F.lit(size).alias("size"), F.explode("hashes").alias("hash"))
+
+
+def _item_windows(items: DataFrame, size: int, window: int) -> DataFrame:
+    """(item, item_row, item_pos, size, form, key, hash, slotted) of all windows of the items; key is the window's template."""
+    rows = items.where(F.size("p") >= window) if size == window else items.where(F.size("p") == size)
+    at = _each_window(size, lambda of: F.struct(*[of(h).alias(f) for f, h in FORMS.items()]))
+    rows = rows.select("id", "row", *FORMS, F.posexplode(at).alias("item_pos", "at"))
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), F.col(f"at.{f}").alias("hash"), F.size(F.filter(
+        F.slice(f, F.col("item_pos") + 1, size), lambda x: F.startswith(x, F.lit("<")))).alias("slots")) for f in FORMS])
+    rows = rows.select(F.col("id").alias("item"), F.col("row").alias("item_row"), "item_pos", F.lit(size).alias("size"),
+                       F.col("at.t").alias("key"), F.explode(forms).alias("f"))
+    rows = rows.select("item", "item_row", "item_pos", "size", "key", "f.form", "f.hash", "f.slots")
+    if size < window:  # a template of hardly any words would match everywhere
+        rows = rows.where((F.col("slots") == 0) | (F.col("slots") + 2 <= size))
+    return rows.select("item", "item_row", "item_pos", "size", "key", "form", "hash", (F.col("slots") > 0).alias("slotted"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(id, item_id, windows, share) of every document and item found in it.
 
-    Null and empty texts have no windows; neither have items of fewer than ``window`` words, which are
-    never found. Rows with a null id are not reported. Rows that repeat an id are one document, rows
-    that repeat an item id one item (its texts' windows are counted together). Only the named columns
-    are read. An empty table on either side gives no rows.
+    An item of fewer than ``window`` words is one window as long as itself; it matches by its plain
+    words, and by a template with two words at least. Null and empty texts have no windows. Rows with a
+    null id are not reported. Rows that repeat an id are one document, rows that repeat an item id one
+    item (its texts' windows are counted together). Only the named columns are read. An empty table on
+    either side gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    prep = lambda df, i, t: df.where(F.col(i).isNotNull()).select(
-        F.col(i).cast("long").alias("id"), words(F.col(t).cast("string")).alias("w")).select("*", template(F.col("w")).alias("t"))
-    items = scratch.write(prep(benchmark, item_id, item_text).distinct()).df
-    b = scratch.write(_windows(items, window).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "hash")).df
-    total = b.groupBy("item").agg(F.count_distinct("hash").alias("total"))
-    d = prep(docs, id_col, text_col)
-    hits = scratch.write(_windows(d.select("id", "t"), window).join(b, "hash").select(
-        "id", "pos", "item", "item_pos", "hash")).df
-
-    # windows with placeholders: their values must map one to one way along an alignment
-    slotted = scratch.write(items.select("id", F.posexplode("t").alias("at", "x")).where("startswith(x, '<')")
-                            .select(F.col("id").alias("item"), "at").distinct()).df
-    # an alignment: the offset between document and item; its windows that hold a placeholder
-    with_slots = hits.join(slotted, (hits["item"] == slotted["item"]) & (slotted["at"] >= hits["item_pos"])
-                           & (slotted["at"] < hits["item_pos"] + window), "left_semi")
-    pairs = _slots(items, with_slots.select(F.col("item").alias("id"), F.col("id").alias("doc"), "pos", "item_pos"), window, "item_pos")
-    pairs = pairs.select(F.col("id").alias("item"), F.col("doc").alias("id"), "pos", "item_pos", F.col("slots").alias("item_slots"))
-    found = pairs.select("id").distinct()
-    source = docs.join(found.withColumnRenamed("id", "_found"), F.col(id_col).cast("long") == F.col("_found"), "left_semi")
-    both = _slots(prep(source, id_col, text_col).distinct(), pairs, window, "pos")
-    values = both.select("item", "id", (F.col("pos") - F.col("item_pos")).alias("offset"),
-                         F.explode(F.arrays_zip("item_slots", "slots")).alias("v"))
-    bad = values.groupBy("item", "id", "offset", "v.item_slots").agg(
-        F.min("v.slots").alias("x"), F.max("v.slots").alias("y")).where("x != y").select("item", "id", "offset").distinct()
-    good = hits.withColumn("offset", F.col("pos") - F.col("item_pos")).join(bad, ["item", "id", "offset"], "left_anti")
-    n = good.select("item", "id", "hash").distinct().groupBy("item", "id").agg(F.count("*").alias("windows"))
+    items = scratch.write(_forms(benchmark, item_id, item_text).distinct()).df
+    short = sorted(r[0] for r in items.select(F.size("p").alias("n")).where(f"n between 1 and {window - 1}").distinct().collect())
+    of_items, of_docs = _hashed(items), _hashed(_forms(docs, id_col, text_col)).select("id", "row", *FORMS.values())
+    b = d = None
+    for size in (window, *short):
+        bs, ds = _item_windows(of_items, size, window), _windows(of_docs, size)
+        b, d = (bs, ds) if b is None else (b.unionByName(bs), d.unionByName(ds))
+    b = scratch.write(b).df
+    total = b.groupBy("item").agg(F.count_distinct("key").alias("total"))
+    wanted = scratch.write(b.select("size", "hash").distinct()).df
+    if wanted.count() <= BROADCAST_HASHES:
+        d = d.join(F.broadcast(wanted), ["size", "hash"], "left_semi")
+    hits = scratch.write(d.join(b, ["size", "hash"]).select(
+        "id", "row", "pos", "item", "item_row", "item_pos", "size", "key", "form", "slotted")).df
+
+    # windows with placeholders: along an alignment, an offset between document and item, their values must map one way
+    line = ["item", "item_row", "id", "row", "form", "offset"]
+    hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos"))
+    part = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
+    texts = items.select(F.col("id").alias("item"), F.col("row").alias("item_row"), "t", "l", F.col("p").alias("said"))
+    pairs = hits.where("slotted and form != 'p'").join(texts, ["item", "item_row"]).select(
+        *line, "pos", "size", part(F.when(F.col("form") == "t", F.col("t")).otherwise(F.col("l")), "item_pos").alias("x"),
+        part("said", "item_pos").alias("item_value"))
+    pairs = scratch.write(pairs).df
+    source = docs.join(pairs.select(F.col("id").alias("_found")).distinct(), F.col(id_col).cast("long") == F.col("_found"), "left_semi")
+    values = pairs.join(_forms(source, id_col, text_col).select("id", "row", "p").distinct(), ["id", "row"]).select(
+        *line, F.explode(F.arrays_zip("x", "item_value", part("p", "pos").alias("value"))).alias("v"))
+    bad = values.where("startswith(v.x, '<')").groupBy(*line, "v.item_value").agg(
+        F.min("v.value").alias("x"), F.max("v.value").alias("y")).where("x != y").select(*line).distinct()
+    good = hits.join(bad, line, "left_anti")
+    n = good.select("item", "id", "key").distinct().groupBy("item", "id").agg(F.count("*").alias("windows"))
     return n.join(total, "item").where(F.col("windows") >= F.lit(share) * F.col("total")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), "windows",
         (F.col("windows") / F.col("total")).alias("share"))
