@@ -18,8 +18,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
-    out = lines.drop_boilerplate(docs)
+    """Documents without their source's boilerplate lines; n_chars follows the text.
+
+    Copies are still there at this stage: equal texts of a source count once, and a text of boilerplate
+    lines only stays, so that no group of copies loses all its members.
+    """
+    out = lines.drop_boilerplate(docs, count_copies=False, leave_empty=False)
     return out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(
         F.col("n_chars"))).select(docs.columns)
 

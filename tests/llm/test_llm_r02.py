@@ -87,3 +87,18 @@ def test_rows_of_one_document_do_not_mix_their_values(spark):
     df = spark.createDataFrame([(1, item.replace("60", "75")), (1, "one two three 4 five six 7 eight nine ten " * 5)], "doc_id long, text string")
     got = decontam.flag_contaminated(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
     assert [r["items"] for r in got] == [[0], [0]]
+
+
+def test_copies_do_not_become_site_lines(spark):
+    rows = [(i, f"Own line of {i}\nSecond line {i}\nfooter", "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, "Copied first line\nCopied second line", "en", "s", 0) for i in range(10)]
+    rows += [(200, "footer", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_site_lines(spark, docs, "")
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(got[i] == f"Own line of {i}\nSecond line {i}" for i in range(40))
+    assert all(got[100 + i] == "Copied first line\nCopied second line" for i in range(10)) and got[200] == "footer"
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, out, "").collect()}
+    assert kept & set(range(100, 110)) == {100}
+    few = lines.drop_boilerplate(docs.where("doc_id >= 100"), ratio=0.9, count_copies=False)
+    assert few.where("lines_dropped > 0").count() == 0
