@@ -1,8 +1,5 @@
 """Cases of the second review: each failed before its repair."""
 
-import pytest
-from pyspark.sql import functions as F
-
 import corpus_pipeline
 from tidewatch.llm import decontam, dom, lines, minmax, wrapper
 
@@ -102,3 +99,25 @@ def test_copies_do_not_become_site_lines(spark):
     assert kept & set(range(100, 110)) == {100}
     few = lines.drop_boilerplate(docs.where("doc_id >= 100"), ratio=0.9, count_copies=False)
     assert few.where("lines_dropped > 0").count() == 0
+
+
+def test_near_duplicates_at_five_words_against_brute_force(spark):
+    """Block edits and scattered edits around five-word similarities of 0.75 to 0.9."""
+    texts, n = {}, 0
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(124)]
+        cut, edits = 12 + g % 18, 2 + g % 4
+        for words in (base, base[:60] + [f"new{g}x{i}" for i in range(cut)] + base[60:],
+                      [f"e{g}x{i}" if i % (124 // edits) == 30 else w for i, w in enumerate(base)]):
+            texts[n], n = " ".join(words), n + 1
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    first = {i: next(j for j in range(i // 3 * 3, i + 1) if j == i or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in minmax.near_duplicates(docs, width=5, percent=80).where("kept").collect()}
+    assert 0 < sum(first[i] != i for i in texts) < 120
+    assert kept == {i for i in texts if first[i] == i}
+
+
+def test_bands_follow_the_threshold():
+    assert minmax.layout(85) == (6, 37) and minmax.layout(80)[0] == 5 and minmax.layout(95)[0] > 6
+    assert 37 < minmax.layout(80)[1] <= 46

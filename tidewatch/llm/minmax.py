@@ -2,8 +2,9 @@
 
 Each permutation of a document's shingle hashes yields its minimum and its maximum, so 96 hash
 evaluations give 192 signature values; both are unbiased estimators of the Jaccard similarity and
-vary less together than two minima would. 16 bands of six minima and 16 bands of six maxima give
-candidates: a pair at the threshold 0.85 is missed with probability (1 - 0.85**6)**32, about 3e-7.
+vary less together than two minima would. Bands of minima and as many of maxima give candidates; their
+length follows from the threshold: at 0.85 six values in 32 bands, a pair at the threshold is missed
+with probability (1 - 0.85**6)**32, about 3e-7; at 0.8 five values in 38 bands, about as much.
 
 No bucket is expanded into its pairs. Equal sets collapse to one class; every member of a bucket is
 confirmed against the bucket's leader, the first of four pseudo-random orders (one per bucket), so a
@@ -16,6 +17,7 @@ pairs, and these are confirmed on full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.tables import Scratch
 
-PERMUTATIONS, ROWS = 96, 6
-BANDS = PERMUTATIONS // ROWS  # of minima, and as many of maxima
-#: One-bit sketches of two sets at similarity 0.85 differ in 14.4 of 192 bits on average (deviation 3.7).
-MAX_BITS = 37
+PERMUTATIONS = 96
+#: Probabilities to miss a pair at the threshold, by banding and by the one-bit sketch.
+MISS_BANDS, MISS_BITS = 3e-7, 1e-7
 ORDERS = 4
 #: Candidate ids are broadcast to the texts up to this many (16 MB), beyond it joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -43,10 +44,22 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE[_SPACE] = 0
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 _MULT = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BANDSEED = _rng.integers(1, 2**63, 2 * BANDS, dtype=np.uint64)
+_BANDSEED = _rng.integers(1, 2**63, 2 * PERMUTATIONS, dtype=np.uint64)
 _STEP = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """(values a band, most different sketch bits) for a threshold: the longest bands and the fewest bits that miss hardly any pair."""
+    j = percent / 100
+    rows = max((r for r in range(1, PERMUTATIONS + 1) if (1 - j**r) ** (2 * (PERMUTATIONS // r)) <= MISS_BANDS), default=1)
+    n, p = 2 * PERMUTATIONS, (1 - j) / 2  # a bit differs if the values do, and then half the time
+    bits, above = n, 0.0
+    while bits > 0 and above + (step := math.comb(n, bits) * p**bits * (1 - p) ** (n - bits)) <= MISS_BITS:
+        above += step
+        bits -= 1
+    return rows, bits
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -112,24 +125,25 @@ def _signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, hi
 
 
-def _features(s: np.ndarray) -> tuple:
+def _features(s: np.ndarray, rows: int) -> tuple:
     lo, hi = _signature(s)
-    sig = np.concatenate((lo, hi))
-    h = _BANDSEED
-    for j in range(ROWS):
-        h = _mix(h ^ (sig.reshape(-1, ROWS)[:, j] * _STEP[2 + j]))
+    sig, used = np.concatenate((lo, hi)), PERMUTATIONS // rows * rows
+    bands = np.concatenate((lo[:used], hi[:used])).reshape(-1, rows)
+    h = _BANDSEED[:len(bands)]
+    for j in range(rows):
+        h = _mix(h ^ (bands[:, j] * _STEP[2 + j % 6]))
     bits = np.packbits((_mix(sig) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     d1, d2 = _mix(s + _STEP[0]).sum(dtype=np.uint64), _mix(s ^ _STEP[1]).sum(dtype=np.uint64)
     return h.view(np.int64).tolist(), *bits.tolist(), int(d1.view(np.int64)), int(d2.view(np.int64))
 
 
-def _feature_rows(width: int):
+def _feature_rows(width: int, band: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, t in zip(b["id"], b["text"]):
                 s = shingle_set(t, width)
-                rows.append((i, len(s), *(_features(s) if len(s) else ([], 0, 0, 0, 0, 0))))
+                rows.append((i, len(s), *(_features(s, band) if len(s) else ([], 0, 0, 0, 0, 0))))
             yield pd.DataFrame(rows, columns=["id", "n", "bands", "s1", "s2", "s3", "d1", "d2"])
 
     return run
@@ -154,14 +168,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links. Null, empty and blank texts have an empty
     set and link with nothing. Rows that repeat an id are one node of the graph and each get that
     node's component. A null id links with nothing: its component is null and kept is true. Only the
-    two named columns are read, so further columns may have any name. The banding is laid out for
-    percent >= 85; a lower value loses links with growing probability.
+    two named columns are read, so further columns may have any name. Bands and sketches are laid out
+    for ``percent``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
+    band, max_bits = layout(percent)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     feats = scratch.write(src.mapInPandas(
-        _feature_rows(width), "id long, n long, bands array<long>, s1 long, s2 long, s3 long, d1 long, d2 long"))
+        _feature_rows(width, band), "id long, n long, bands array<long>, s1 long, s2 long, s3 long, d1 long, d2 long"))
     live = feats.df.where("n > 0 and id is not null")
     classes = scratch.write(live.groupBy("d1", "d2").agg(F.min("id").alias("cid"), F.count("*").alias("m")))
     reps = live.join(classes.df.select("d1", "d2", F.col("cid").alias("id")), ["d1", "d2", "id"], "left_semi")
@@ -176,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def similar(a: str, b: str) -> str:
         return (f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and bit_count({a}.s1 ^ {b}.s1) "
-                f"+ bit_count({a}.s2 ^ {b}.s2) + bit_count({a}.s3 ^ {b}.s3) <= {MAX_BITS}")
+                f"+ bit_count({a}.s2 ^ {b}.s2) + bit_count({a}.s3 ^ {b}.s3) <= {max_bits}")
 
     def overlap(slack: str, s: str) -> str:
         return f"(100 + {percent}) * (size(array_intersect(a.{s}, b.{s})) + {slack}) >= {percent} * (a.n + b.n)"
