@@ -1,5 +1,9 @@
 """Driver contract: entry(), queries() and oracle_sql(); a sample of oracles at sf0.001."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -20,6 +24,17 @@ def test_registry_shape():
     assert set(o) <= set(q) and len(q) >= 50
 
 
+def test_registry_without_a_session():
+    """The registry is read by processes that have no Spark session yet."""
+    code = ("import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); "
+            "from pyspark.sql import SparkSession; assert SparkSession.getActiveSession() is None; print(len(q), len(o))")
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_queries, n_sql = map(int, out.stdout.split())
+    assert n_queries >= 50 and n_sql >= 50
+
+
 def norm(v):
     return round(v, 6) if isinstance(v, float) else v
 

@@ -15,6 +15,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidewatch import schema
 from tidewatch.functions.geo import mean_point
@@ -148,7 +149,10 @@ def record_tags(raw: str) -> tuple[list, list]:
     return sorted(tags - {""}), sorted(media)
 
 
-@F.pandas_udf("tags array<string>, media array<string>")
+_STRINGS = ArrayType(StringType())
+
+
+@F.pandas_udf(StructType([StructField("tags", _STRINGS), StructField("media", _STRINGS)]))  # a DDL text would need a session at import
 def walk_record(raw: pd.Series) -> pd.DataFrame:
     """Hashtags and media URLs of whole records, read from the parsed JSON.
 
