@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontam, langid, lines, minmax, mixing, quality, tokens, vectors, wrapper
+from tidewatch.llm import bpe, chat, decontam, divergence, langid, lines, minmax, mixing, periodic, quality, tokens, vectors, wrapper
 from tidewatch.sources.tables import table
 
 QUERIES: dict = {}
@@ -158,3 +160,82 @@ def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold != 2))
     out = langid.predict(docs, model)
     return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def plant_tail(doc_id: int | None, n_words: int) -> tuple[int, int] | None:
+    """The contract's planted case: of every tenth id (by its crc32) the words from a on repeat with period p."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n_words
+    return a, 1 + (n_words - a) // (3 + g % 8)
+
+
+_CRC_STEP = "list_reduce([{}] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+#: A run has at least 12 words and twice its period, so it holds at least six neighbouring pairs of equal words.
+_RUNS_SQL = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                                  lambda c, b: {_CRC_STEP.format("xor(c, b)")}), 4294967295) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM t),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+             ELSE w END AS w FROM p),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+six AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s,
+               count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS k FROM u),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i WHERE x.k = 6 AND y.k = 6),
+z AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+st AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM z GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM st WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+left_ AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(said.s, '')) AS runs_sha256, sha256(coalesce(left_.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN said USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN left_ USING (doc_id)"""
+
+
+@query(_RUNS_SQL)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of all documents, with the contract's planted tails."""
+    return periodic.run_digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=plant_tail))
+
+
+@query()
+def op12_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to token ids and decoded again."""
+    return bpe.round_trip_digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+@query("""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+                                 lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+u AS (SELECT lang, source, unnest(w) AS term FROM d),
+held AS (SELECT lang, unnest(list_distinct(w)) AS term FROM d),
+kept AS (SELECT lang, term FROM held GROUP BY lang, term HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gn AS (SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln_ AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS n FROM cl GROUP BY lang),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * CAST(coalesce(c.n, 0) + 2 AS HUGEINT)) // (gn.n + 2 * v.v) AS p
+      FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+q AS (SELECT lang, cl.term, 1 + (1000000000 * CAST(cl.n + 2 AS HUGEINT)) // (ln_.n + 2 * v.v) AS q FROM cl JOIN ln_ USING (lang) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value
+          FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pairs
+      UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM terms) WHERE rank <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all documents' sources from each other and from their language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
