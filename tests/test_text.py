@@ -51,5 +51,48 @@ def test_tokenize(spark):
     df = spark.createDataFrame([("RT @x: The flood is in the city, it's a flood! http://t.co/a", "en"),
                                 ("Le flot et la ville", "fr")], "t string, lang string")
     got = [sorted(r["k"]) for r in df.select(TX.tokenize(F.col("t"), F.col("lang")).alias("k")).collect()]
-    assert got[0] == ["city", "flood", "it's"]
-    assert got[1] == ["et", "flot", "la", "le", "ville"]
+    assert got[0] == ["citi", "flood"]  # "it's" is "it", a stop word
+    assert got[1] == ["flot", "vile"]
+
+
+# Published examples of the English algorithm and hand-derived words of the light rules.
+STEMS = {
+    "en": "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing "
+          "conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file "
+          "happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform "
+          "radicalli radic vietnamization vietnam predication predic feudalism feudal decisiveness decis hopefulness hope formaliti formal "
+          "sensibiliti sensibl triplicate triplic formative form electrical electr goodness good revival reviv allowance allow inference infer "
+          "gyroscopic gyroscop defensible defens replacement replac adjustment adjust adoption adopt communism commun angulariti angular "
+          "bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll by None river's river floods flood",
+    "es": "casas cas libros libr ciudades ciudad franceses frances luces luz veces vez inundación inundacion árboles arbol gatos gat lluvias lluvi feliz feliz sol sol",
+    "fr": "journaux journal chevaux cheval gouvernement gouvern rapidement rapid activement actif agrandissement agrandi finissant fini "
+          "modificatrice modifi communicateur comuniqu quatrième quat chanteuse chant chanteur chant heureuse heureu première premier "
+          "traditionnelle tradition complète complet politique polit tristesse trist centralisation central information inform villes vile folle fou "
+          "l'inondation inond jusqu’aux None maison maison",
+    "it": "ragazzi ragazz ragazze ragazz amiche amic giochi gioc pioggia piogg pioggie piogg alluvione alluvion acqua acqua studio stud dell'acqua acqua città città",
+}
+
+
+def test_stems_and_stop_words():
+    from tidewatch.functions import stemming as S
+
+    for lang, words in STEMS.items():
+        words = words.split()
+        assert {w: S.analyze(w, lang) for w in words[::2]} == {w: None if t == "None" else t for w, t in zip(words[::2], words[1::2])}
+    stops = {"en": "the with such", "es": "estuviéramos tendrán hubiese fueras habíamos estado tuvisteis nuestras", "fr": "eussions étaient leurs c",
+             "it": "avremmo fossero faceste stando starebbe dell saranno facevo"}
+    assert all(S.analyze(w, lang) is None for lang, words in stops.items() for w in words.split())
+    assert (len(S.STOP_EN), len(S.STOP_ES), len(S.STOP_FR), len(S.STOP_IT)) == (33, 308, 164, 279)
+    for lang in S.STEM:  # any word has a stem, and none comes out empty
+        for w in ("", "a", "e", "s", "x", "yy", "eed", "ing", "aux", "ièmes", "eses", "日本", "t.co", "été" * 50, "'s", "l'", "0"):
+            assert S.analyze(w, lang) is None or bool(S.analyze(w, lang)) == bool(w), (lang, w)
+
+
+def test_analysis_of_batches(spark):
+    rows = [(1, ["cats", "the", "cats"], "en"), (2, ["cats", "the"], "de"), (3, None, "fr"), (4, [], "en"), (5, ["des", "villes", None], "fr"),
+            (6, ["cats", "the"], None), (7, ["the"], "en"), (8, ["casas", "the"], "es")]
+    from tidewatch.functions.stemming import analyzed
+
+    df = spark.createDataFrame(rows, "i int, w array<string>, lang string")
+    got = {r["i"]: r["t"] for r in df.select("i", analyzed(F.col("w"), F.col("lang")).alias("t")).collect()}
+    assert got == {1: ["cat", "cat"], 2: ["cats", "the"], 3: None, 4: [], 5: ["vile"], 6: ["cats", "the"], 7: [], 8: ["cas", "the"]}

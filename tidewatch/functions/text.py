@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.stemming import analyzed
+
 # Patterns and replacements of the aggressive normalization, in order.
 NORMALIZE_STEPS = (
     (r"(?U)\s+&amp;?\s+", " and "),
@@ -27,12 +29,6 @@ NORMALIZE_STEPS = (
 
 # Tokens never kept, and the minimum token length.
 NOT_ALLOWED_TOKENS = ("rt", "http", "https", "ftp")
-# The English analyzer's default stop words.
-ENGLISH_STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it",
-    "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these",
-    "they", "this", "to", "was", "will", "with",
-)
 # Characters stripped from both ends of a hashtag.
 HASHTAG_STRIP = "#.,-\"'&*^!"
 
@@ -71,16 +67,14 @@ WORD_PATTERN = r"[\p{L}\p{M}\p{N}_]+(?:[.'\u2019][\p{L}\p{M}\p{N}_]+)*"
 
 
 def analyzed_words(text) -> Column:
-    """Standard-analyzer style word split, lower-cased (no stemming)."""
+    """Standard-analyzer style word split, lower-cased."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD_PATTERN), 0)
 
 
 def tokenize(text, lang=None) -> Column:
-    """Clean -> word split -> lower -> (English stop words when lang is 'en')
-    -> distinct -> drop rt/http/https/ftp and tokens of length <= 1.
-
-    Stemming is not applied (language analyzers' stemmers are approximated away).
-    """
+    """Clean -> word split -> lower -> the language's stop words and stems (en, es, fr, it; words of
+    other languages stay as they are, as do all without `lang`) -> distinct -> drop rt/http/https/ftp and
+    tokens of length <= 1."""
     return tokens_from_words(token_words(text), lang)
 
 
@@ -92,9 +86,7 @@ def token_words(text) -> Column:
 def tokens_from_words(words: Column, lang=None) -> Column:
     """The tokenizer's filtering steps applied to already analyzed words."""
     if lang is not None:
-        stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
-        is_en = F.coalesce(_col(lang) == F.lit("en"), F.lit(False))
-        words = F.when(is_en, F.array_except(words, stop)).otherwise(words)
+        words = analyzed(words, _col(lang))
     banned = F.array(*[F.lit(w) for w in NOT_ALLOWED_TOKENS])
     words = F.array_except(F.array_distinct(words), banned)
     return F.filter(words, lambda w: F.length(F.trim(w)) > 1)

@@ -11,11 +11,11 @@ from tidewatch.operators import graph as G
 from tidewatch.operators.search import search, term_stats
 from tidewatch.plans.catalog import register
 from tidewatch.plans.query import QuerySpec
+from tidewatch.plans.stem_sql import analyzed_sql
 from tidewatch.sources.tables import doc_posts, table
 
 R = 6
 WORD_SQL = r"[\p{L}\p{M}\p{N}_]+(?:[.''\x{2019}][\p{L}\p{M}\p{N}_]+)*"
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in TX.ENGLISH_STOP_WORDS) + "]"
 BANNED_SQL = "[" + ", ".join(f"'{w}'" for w in TX.NOT_ALLOWED_TOKENS) + "]"
 
 CLEAN_SQL = (
@@ -24,19 +24,17 @@ CLEAN_SQL = (
     r"lambda acc, w: replace(acc, w, ''), text), '^\s+|\s+$', '', 'g')"
 )
 WORDS_SQL = f"regexp_extract_all(lower({CLEAN_SQL}), '{WORD_SQL}')"
-TOKENS_SQL = (
-    f"list_filter(list_distinct(CASE WHEN lang = 'en' THEN list_filter({WORDS_SQL}, lambda w: NOT list_contains({STOP_SQL}, w)) "
-    f"ELSE {WORDS_SQL} END), lambda w: NOT list_contains({BANNED_SQL}, w) AND length(trim(w)) > 1)"
-)
-DOCPOSTS_SQL = f"""(SELECT CAST(doc_id AS VARCHAR) AS tweetid, doc_id, text, lang, source,
-        {TOKENS_SQL} AS tokens,
-        CAST((doc_id * 37) % 101 AS DOUBLE) / CAST(100.0 AS DOUBLE) AS flood_probability
- FROM documents)"""
+PLAIN_TOKENS_SQL = f"list_filter(list_distinct({WORDS_SQL}), lambda w: NOT list_contains({BANNED_SQL}, w) AND length(trim(w)) > 1)"
+ANALYZED_SQL = analyzed_sql(WORDS_SQL, BANNED_SQL)
+_POST_SQL = """(SELECT CAST(doc_id AS VARCHAR) AS tweetid, doc_id, text, lang, source, {tokens} AS tokens,
+        CAST((doc_id * 37) % 101 AS DOUBLE) / CAST(100.0 AS DOUBLE) AS flood_probability FROM {source})"""
+DOCPOSTS_SQL = _POST_SQL.format(tokens="tokens", source=ANALYZED_SQL)
+PLAINPOSTS_SQL = _POST_SQL.format(tokens=PLAIN_TOKENS_SQL, source="documents")
 
 
-@register("tokenize_documents", f"SELECT doc_id, list_sort({TOKENS_SQL}) AS tokens FROM documents")
+@register("tokenize_documents", f"SELECT doc_id, list_sort(tokens) AS tokens FROM {ANALYZED_SQL}")
 def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """X3 (+X2, X20, A15): tokens of every whole document, as a sorted set."""
+    """X3 (+X2, X20, A15): tokens of every whole document, stemmed by its language, as a sorted set."""
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.array_sort(TX.tokenize(F.col("text"), F.col("lang"))).alias("tokens"))
 
@@ -137,7 +135,7 @@ def term_stats_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return term_stats(doc_posts(spark, sf), "tokens")
 
 
-def _children_sql(term: str, source: str = DOCPOSTS_SQL) -> str:
+def _children_sql(term: str, source: str = PLAINPOSTS_SQL) -> str:
     return f"""
 WITH d AS (SELECT tweetid, flood_probability, tokens FROM {source} s),
 names AS (SELECT DISTINCT unnest(tokens) AS name FROM d
@@ -147,7 +145,7 @@ SELECT '{term}' AS parent, names.name AS name, ttf.size AS size FROM names JOIN
 """
 
 
-def _graph_sql(term: str, k: int, source: str = DOCPOSTS_SQL) -> str:
+def _graph_sql(term: str, k: int, source: str = PLAINPOSTS_SQL) -> str:
     """CTEs up to e(level, parent, name, size): both levels over the k most relevant documents of each parent."""
     return f"""
 WITH d AS MATERIALIZED (SELECT tweetid, flood_probability AS p, tokens, len(tokens) AS dl FROM {source} s),
@@ -165,15 +163,21 @@ e AS (SELECT 1 AS level, parent, name, df AS size FROM edges JOIN dfc USING (nam
 
 @register("term_children_que", _children_sql("que"))
 def term_children_que(spark: SparkSession, sf: str) -> DataFrame:
-    """G1 (+J5, A12, F11, L9): tokens co-occurring with 'que' in any of its documents."""
-    return G.term_children(doc_posts(spark, sf), ["que"])
+    """G1 (+J5, A12, F11, L9): words co-occurring with 'que' in any of its documents (plain words: it is a stop word)."""
+    return G.term_children(doc_posts(spark, sf, stemmed=False), ["que"])
+
+
+@register("term_children_stem", _children_sql("ther", DOCPOSTS_SQL))
+def term_children_stem(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 on stemmed tokens: those of documents with the stem 'ther'."""
+    return G.term_children(doc_posts(spark, sf), ["ther"])
 
 
 @register("term_graph_der", _graph_sql("der", schema.GRAPH_TOP_DOCS) + " SELECT level, parent, name, size FROM e")
 def term_graph_der(spark: SparkSession, sf: str) -> DataFrame:
     """Two-level graph around 'der' over the ten most relevant documents of each term
     (level 2 for every child in one keyed join)."""
-    return G.term_graph(doc_posts(spark, sf), "der", top_docs=schema.GRAPH_TOP_DOCS)
+    return G.term_graph(doc_posts(spark, sf, stemmed=False), "der", top_docs=schema.GRAPH_TOP_DOCS)
 
 
 @register("term_graph_json", _graph_sql("que", schema.GRAPH_TOP_DOCS) + """,
@@ -183,7 +187,7 @@ SELECT e.name, e.size, '{"name":' || to_json(e.name) || ',"size":' || e.size ||
 FROM e LEFT JOIN kids ON kids.parent = e.name WHERE level = 1""")
 def term_graph_json(spark: SparkSession, sf: str) -> DataFrame:
     """The graph around 'que' as nested JSON, one object per child."""
-    return G.graph_json(G.term_graph(doc_posts(spark, sf), "que", top_docs=schema.GRAPH_TOP_DOCS))
+    return G.graph_json(G.term_graph(doc_posts(spark, sf, stemmed=False), "que", top_docs=schema.GRAPH_TOP_DOCS))
 
 
 @register(

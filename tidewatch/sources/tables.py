@@ -66,9 +66,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts_from_events(table(spark, sf_dir, "events"))
 
 
-def posts_from_documents(documents: DataFrame) -> DataFrame:
-    """`documents` seen as posts with text: tokens from the tokenizer, and a flood
-    probability in [0, 1] derived from the id by integer arithmetic."""
+def posts_from_documents(documents: DataFrame, stemmed: bool = True) -> DataFrame:
+    """`documents` seen as posts with text: tokens from the tokenizer (by the document's language, or
+    plain words if not `stemmed`), and a flood probability in [0, 1] derived from the id by integer arithmetic."""
     from tidewatch.functions.text import tokenize
 
     prob = ((F.col("doc_id") * 37) % 101).cast("double") / F.lit(100.0)
@@ -76,10 +76,10 @@ def posts_from_documents(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("string").alias("tweetid"),
         F.col("doc_id"),
         "text", "lang", "source",
-        tokenize(F.col("text"), F.col("lang")).alias("tokens"),
+        tokenize(F.col("text"), F.col("lang") if stemmed else None).alias("tokens"),
         prob.alias("flood_probability"),
     )
 
 
-def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_from_documents(table(spark, sf_dir, "documents"))
+def doc_posts(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> DataFrame:
+    return posts_from_documents(table(spark, sf_dir, "documents"), stemmed)
