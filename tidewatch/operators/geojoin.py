@@ -1,27 +1,17 @@
 """Spatial and place joins.
 
-J1 (point -> first containing polygon) is an equi-join on coarse grid cells: each
-polygon is listed under every cell its bounding box touches, each point under its
-own cell, and the exact ray-casting test runs only on same-cell candidates. No
-broadcast of the layer is needed, and the candidate count per point is bounded by
-the polygons overlapping its cell.
+J1 (point -> first containing polygon) is an equi-join on the leaves of a quadtree cover of the
+layer (`operators.cover`): every point has one leaf, and the ray-casting test runs on the few edges that
+matter there. No broadcast of the layer is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geo import haversine_m
-
-CELL_BITS = 4  # cells of 360/16 x 180/16 degrees for the polygon index
-
-
-def _cell_xy(lat: Column, lon: Column):
-    n = 1 << CELL_BITS
-    x = F.least(F.floor((lon + 180.0) / 360.0 * n), F.lit(n - 1)).cast("int")
-    y = F.least(F.floor((lat + 90.0) / 180.0 * n), F.lit(n - 1)).cast("int")
-    return x, y
+from tidewatch.functions.geodesic import distances_m
+from tidewatch.operators.cover import MAX_EDGES, MAX_POLYGONS, cell_of, contains, quadtree_cover
 
 
 def ring_contains(ring: Column, lat: Column, lon: Column) -> Column:
@@ -45,38 +35,27 @@ def polygon_contains(rings: Column, lat: Column, lon: Column) -> Column:
     return (hits % 2) == 1
 
 
-def with_bbox(countries: DataFrame) -> DataFrame:
-    pts = F.flatten(F.col("rings"))
-    return countries.withColumn("min_lat", F.array_min(F.transform(pts, lambda p: p["lat"]))) \
-        .withColumn("max_lat", F.array_max(F.transform(pts, lambda p: p["lat"]))) \
-        .withColumn("min_lon", F.array_min(F.transform(pts, lambda p: p["lon"]))) \
-        .withColumn("max_lon", F.array_max(F.transform(pts, lambda p: p["lon"])))
-
-
 def country_of(points: DataFrame, countries: DataFrame, lat: str = "location.lat", lon: str = "location.lon",
-               key: str = "tweetid", out: str = "country") -> DataFrame:
+               key: str = "tweetid", out: str = "country", max_polygons: int = MAX_POLYGONS, max_edges: int = MAX_EDGES) -> DataFrame:
     """Each point gets the name of the first polygon (smallest fid) containing it, else NULL.
-    Rows are kept one by one, repeated keys included; the points are joined once.
+    Rows are kept one by one, repeated keys included; the points are joined once, on their leaf of the
+    layer's cover (one probe row a level that has leaves). Points without a location match nothing.
 
     countries(fid, name, iso2, rings array<array<struct<lon, lat>>>).
     """
-    c = with_bbox(countries)
-    x0, y0 = _cell_xy(F.col("min_lat"), F.col("min_lon"))
-    x1, y1 = _cell_xy(F.col("max_lat"), F.col("max_lon"))
-    cells = c.select(F.struct("fid", "name", "rings", "min_lat", "max_lat", "min_lon", "max_lon").alias("poly"),
-                     F.explode(F.sequence(x0, x1)).alias("_cx"), F.sequence(y0, y1).alias("ys"))
-    cells = cells.select("poly", "_cx", F.explode("ys").alias("_cy"))
-    # the layer (not the points) is grouped by cell, so a point stays one row with its match
-    layer = cells.groupBy("_cx", "_cy").agg(F.array_sort(F.collect_list("poly")).alias("_polys"))
+    cover, levels = quadtree_cover(countries.select("fid", "name", "rings"), max_polygons, max_edges)
     la, lo = F.col(lat), F.col(lon)
-    px, py = _cell_xy(la, lo)
-    # points without a location match nothing; they are spread instead of sharing a NULL key
-    apart = -1 - F.pmod(F.xxhash64(F.col(key)), F.lit(1024)).cast("int")
-    pts = points.withColumn("_cx", F.when(la.isNotNull() & lo.isNotNull(), px).otherwise(apart)).withColumn("_cy", py)
-    inside = F.filter("_polys", lambda g: la.between(g["min_lat"], g["max_lat"]) & lo.between(g["min_lon"], g["max_lon"])
-                      & polygon_contains(g["rings"], la, lo))
-    joined = pts.join(layer, ["_cx", "_cy"], "left")
-    return joined.withColumn(out, F.get(inside, F.lit(0))["name"]).drop("_cx", "_cy", "_polys")
+    located = la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)
+    x, y = cell_of(la, lo, levels[-1])  # a cell of a coarser level holds the finest ones whose numbers begin like its own
+    probes = [F.struct(F.lit(n).alias("lv"), F.shiftright(x, levels[-1] - n).alias("cx"), F.shiftright(y, levels[-1] - n).alias("cy")) for n in levels]
+    pts = points.withColumn("_at", F.when(F.coalesce(located, F.lit(False)), F.array(*probes)))
+    pts = pts.where("_at is not null").withColumn("_at", F.explode("_at"))
+    inside = F.filter("_parts", lambda g: contains(g, la, lo))
+    cover = cover.select(F.col("lv").alias("_lv"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("parts").alias("_parts"))
+    joined = pts.join(cover, (F.col("_at.lv") == F.col("_lv")) & (F.col("_at.cx") == F.col("_cx")) & (F.col("_at.cy") == F.col("_cy")))
+    found = joined.select(*points.columns, F.get(inside, F.lit(0))["name"].alias(out))
+    rest = points.where(~F.coalesce(located, F.lit(False))).select("*", F.lit(None).cast("string").alias(out))
+    return found.unionByName(rest)
 
 
 def place_key(c) -> Column:
@@ -98,18 +77,16 @@ def geocode(df: DataFrame, gazetteer: DataFrame, place: str = "place", out: str
 
 def nearest_candidate(df: DataFrame, candidates: str, ref: str, key: str = "tweetid", max_m: float = 20_460_000.0) -> DataFrame:
     """Among candidates array<struct<place, lat, lon>>, the nearest to `ref` (struct
-    lat/lon) strictly within max_m, first on ties; with no ref, the first candidate.
+    lat/lon) strictly within max_m on the ellipsoid, first on ties; with no ref, the first candidate.
 
     Works in-row: candidates of one record are a bounded array, so no shuffle is needed.
     """
-    cand = F.col(candidates)
-    r = F.col(ref)
-    scored = F.transform(cand, lambda c, i: F.struct(
-        haversine_m(c["lat"], c["lon"], r["lat"], r["lon"]).alias("d"), i.alias("i"), c.alias("c")))
-    within = F.filter(scored, lambda s: s["d"] < F.lit(max_m))
-    best = F.array_min(within)  # struct order: distance, then position
+    cand, r = F.col(candidates), F.col(ref)
+    df = df.withColumn("_metres", distances_m(F.transform(cand, lambda c: F.struct(c["lat"].alias("lat"), c["lon"].alias("lon"))), r["lat"], r["lon"]))
+    scored = F.transform(cand, lambda c, i: F.struct(F.get("_metres", i).alias("d"), i.alias("i"), c.alias("c")))
+    best = F.array_min(F.filter(scored, lambda s: s["d"] < F.lit(max_m)))  # struct order: distance, then position
     pick = F.when(r.isNull(), F.element_at(cand, 1)).otherwise(best["c"])
-    return df.withColumn("nearest", F.when(F.size(cand) > 0, pick))
+    return df.withColumn("nearest", F.when(F.size(cand) > 0, pick)).drop("_metres")
 
 
 def country_names(countries: DataFrame) -> DataFrame:
@@ -188,30 +165,39 @@ def match_key(c) -> Column:
     return F.trim(F.regexp_replace(t, F.lit(" {2,}"), F.lit(" ")))
 
 
-def text_places(df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text", max_n: int = 4) -> DataFrame:
+def place_trie(gazetteer: DataFrame) -> DataFrame:
+    """The gazetteer(place, lat, lon) as prefix rows (start, names): names by their first two words (a one-word
+    name by its word), each as (words, name, place, lat, lon). Names that are equal once normalized are one, with the smallest
+    place and coordinates."""
+    gz = gazetteer.select(match_key("place").alias("name"), F.struct("place", "lat", "lon").alias("g")).where("name <> ''") \
+        .groupBy("name").agg(F.min("g").alias("g"))
+    words = F.split("name", " ")
+    return gz.select(F.substring_index("name", " ", 2).alias("start"), F.struct(
+        F.size(words).alias("words"), "name", "g.place", "g.lat", "g.lon").alias("entry")).groupBy("start").agg(F.collect_list("entry").alias("names"))
+
+
+def text_places(df: DataFrame, gazetteer: DataFrame, key: str, text: str = "text") -> DataFrame:
     """X14 (re-aimed): place names mentioned in the text -> (key, places array<struct<pos,
-    place, lat, lon>>) in text order.
+    place, lat, lon>>) in text order, for keys with a place.
 
-    Word n-grams (1..max_n) come from one regex per n over the normalized text (overlapping
-    matches at every word start, code-generated) and are equi-joined with the gazetteer
-    names normalized the same way; a match inside a longer match is dropped (longest match
-    wins). The per-key list is bounded by the n-grams of one text.
+    Names may have any number of words. Every word of a text probes the trie with itself and the next word; of a start that
+    exists only its position leaves the probe, and the names under it are compared with the text's words, the longest first. A
+    match inside a longer match is dropped (longest match wins). Rows that repeat a key with one text count once.
     """
-    norm = df.select(F.col(key).alias("_k"), match_key(F.col(text)).alias("_t"))
-    parts = []
-    for n in range(1, max_n + 1):
-        pat = "(?:^| )(?=(" + "[^ ]+ " * (n - 1) + "[^ ]+))"
-        g = norm.select("_k", F.posexplode(F.regexp_extract_all("_t", F.lit(pat), 1)).alias("pos", "_pk"))
-        parts.append(g.withColumn("n", F.lit(n)))
-    grams = parts[0]
-    for g in parts[1:]:
-        grams = grams.unionByName(g)
-    gz = gazetteer.select(match_key("place").alias("_pk"), F.col("place"), "lat", "lon") \
-        .groupBy("_pk").agg(F.min(F.struct("place", "lat", "lon")).alias("_g"))
-    hits = grams.filter(F.length("_pk") > 0).join(gz, "_pk").select("_k", "pos", "n", "_g")
-    per = hits.groupBy("_k").agg(F.collect_list(F.struct("pos", "n", "_g")).alias("m"))
-    longest = F.filter("m", lambda m: ~F.exists("m", lambda o: (o["n"] > m["n"]) & (o["pos"] <= m["pos"])
-                                                   & (o["pos"] + o["n"] >= m["pos"] + m["n"])))
-    ordered = F.array_sort(F.transform(longest, lambda m: F.struct(
-        m["pos"].alias("pos"), m["_g"]["place"].alias("place"), m["_g"]["lat"].alias("lat"), m["_g"]["lon"].alias("lon"))))
-    return per.select(F.col("_k").alias(key), ordered.alias("places"))
+    norm = df.select(F.col(key).alias("_k"), match_key(F.col(text)).alias("_t")).where("_t <> ''")
+    # one pattern gives each word with its successor, overlapping, code-generated
+    probe = norm.select("_k", F.xxhash64("_t").alias("_h"), F.posexplode(F.regexp_extract_all("_t", F.lit("(?:^| )(?=([^ ]+(?: [^ ]+)?))"), 1)).alias("pos", "two"))
+    probe = probe.select("_k", "_h", "pos", F.explode(F.array_distinct(F.array("two", F.substring_index("two", " ", 1)))).alias("start"))
+    trie = place_trie(gazetteer)
+    starts = probe.join(trie.select("start"), "start", "left_semi").groupBy("_k", "_h").agg(F.collect_set(F.struct("pos", "start")).alias("at"))
+    texts = norm.withColumn("_h", F.xxhash64("_t")).join(starts, ["_k", "_h"]).dropDuplicates(["_k", "_h"])
+    texts = texts.select("_k", "_h", F.split("_t", " ").alias("_w"), F.explode("at").alias("a")).select("_k", "_h", "_w", "a.pos", "a.start")
+    named = texts.join(trie, "start")
+    fits = F.filter("names", lambda n: F.array_join(F.slice("_w", F.col("pos") + 1, n["words"]), " ") == n["name"])
+    best = named.withColumn("m", F.array_max(fits)).where("m is not null")  # struct order: most words
+    best = best.groupBy("_k", "_h", "pos").agg(F.max("m").alias("m"))  # of the word alone and the pair
+    before = Window.partitionBy("_k", "_h").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("end", F.col("pos") + F.col("m.words")).withColumn("reach", F.max("end").over(before))
+    best = best.where("reach is null or reach < end")  # not inside an earlier match
+    per = best.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", "m.place", "m.lat", "m.lon"))).alias("places"))
+    return per.select(F.col("_k").alias(key), "places")

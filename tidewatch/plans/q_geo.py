@@ -69,16 +69,37 @@ def geocode_customers(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", "place", F.col("geo.lat").alias("lat"), F.col("geo.lon").alias("lon"))
 
 
+# Vincenty's iteration on the ellipsoid, thirty rounds (candidates are never nearly opposite to a post and nearest to it)
+_VINCENTY = """
+u AS (SELECT *, atan((1 - 1 / 298.257223563) * tan(radians(lat))) AS u1, atan((1 - 1 / 298.257223563) * tan(radians(glat))) AS u2, radians(glon - lon) AS l0 FROM c),
+v AS (SELECT *, list_reduce([l0] || list_transform(range(30), lambda x: l0), lambda lam, l: l + {step}) AS lam FROM u),
+w AS (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss,
+             sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v),
+x AS (SELECT *, atan2(ss, cs) AS sg, 1 - pow(CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END, 2) AS c2 FROM w),
+y AS (SELECT *, CASE WHEN c2 = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / c2 END AS cm, c2 * 0.00673949674227643 AS k FROM x),
+d AS (SELECT *, 6356752.314245179 * (1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))) * (sg - k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+        * ss * (cm + k / 4096 * (256 + k * (-128 + k * (74 - 47 * k))) * cs * (2 * cm * cm - 1))) AS dist FROM y)"""
+_STEP = """(1 - {C}) / 298.257223563 * {sa} * ({sg} + {C} * {ss} * ({cm} + {C} * {cs} * (2 * {cm} * {cm} - 1)))"""
+
+
+def _vincenty() -> str:
+    ss = "sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2))"
+    cs = "(sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam))"
+    sa = f"(cos(u1) * cos(u2) * sin(lam) / greatest({ss}, 1e-300))"
+    c2 = f"greatest(1 - pow({sa}, 2), 1e-300)"
+    cm = f"({cs} - 2 * sin(u1) * sin(u2) / {c2})"
+    C = f"(1 / 298.257223563 / 16 * {c2} * (4 + 1 / 298.257223563 * (4 - 3 * {c2})))"
+    return _VINCENTY.format(step=_STEP.format(C=C, sa=sa, sg=f"atan2({ss}, {cs})", ss=ss, cm=cm, cs=cs))
+
+
 @register(
     "nearest_place_posts",
     f"""WITH p AS (SELECT tweetid, lat, lon, user_id FROM {POSTS_SQL} p),
 g AS (SELECT n_nationkey AS k, n_name AS place, CAST(floor(n_nationkey / 10) * 24 - 60 + 12 AS DOUBLE) AS glat,
              CAST((n_nationkey % 10) * 36 - 180 + 18 AS DOUBLE) AS glon FROM nation),
 c AS (SELECT p.tweetid, x.i, g.place, g.glat, g.glon, p.lat, p.lon
-      FROM p CROSS JOIN (VALUES (0, 0), (1, 7), (2, 13)) x(i, off) JOIN g ON g.k = (p.user_id + x.off) % 25),
-d AS (SELECT *, 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin((radians(glat) - radians(lat)) / 2), 2)
-        + cos(radians(lat)) * cos(radians(glat)) * pow(sin((radians(glon) - radians(lon)) / 2), 2)))) AS dist FROM c)
-SELECT tweetid, arg_min(place, (dist, i)) AS place FROM d WHERE dist < 20460000 GROUP BY tweetid""",
+      FROM p CROSS JOIN (VALUES (0, 0), (1, 7), (2, 13)) x(i, off) JOIN g ON g.k = (p.user_id + x.off) % 25),{{}}
+SELECT tweetid, arg_min(place, (dist, i)) AS place FROM d WHERE dist < 20460000 GROUP BY tweetid""".format(_vincenty()),
 )
 def nearest_place_posts(spark: SparkSession, sf: str) -> DataFrame:
     """J3 (+X10): of three candidate places per post, the nearest to the post's location."""
