@@ -6,6 +6,8 @@ import html as _html
 import math
 import re
 
+import numpy as np
+
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -40,6 +42,8 @@ MAX_DEPTH = 150
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
+#: What can still be markup when no '>' follows.
+_LAST = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -118,16 +122,17 @@ def parse(page: str | None) -> Node:
     root = Node("#root", "")
     open_: list[Node] = [root]
     at, end = 0, len(page)
+    last = page.rfind(">")  # without one a tag cannot end: no search for it
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else _LAST.search(page, at)
         if m is None:
             open_[-1].parts.append(page[at:])
             break
         if m.start() > at:
             open_[-1].parts.append(page[at:m.start()])
         at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        tag = m.re is _TAG and (m[2] or m[5])
+        if not tag:
             if m[0].startswith("<![CDATA["):
                 open_[-1].parts.append(m[0][9:-3].replace("&", "&amp;"))
             continue
@@ -157,9 +162,9 @@ def parse(page: str | None) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            node.parts.append(page[at:close.start()])
-            at = close.end()
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at) if at <= last else None
+            node.parts.append(page[at:close.start() if close else end])
+            at = close.end() if close else end
             continue
         if len(open_) < MAX_DEPTH and not attrs.rstrip().endswith("/") or tag in BLOCK and len(open_) < MAX_DEPTH:
             open_.append(node)
@@ -251,17 +256,74 @@ def _ends(ka: list[Node], kb: list[Node]) -> tuple[int, int]:
     return lead, tail
 
 
-def _row(x: Node, kb: list[Node], above: list[int], memo: dict) -> list[int]:
-    """The next row of the alignment: best weight of the children so far and the first j of ``kb``."""
-    row, best, tag, full = [0], 0, x.tag, x.full
-    for j, y in enumerate(kb):
-        up = above[j + 1]
-        if up > best:
-            best = up
-        if y.tag == tag and above[j] + min(full, y.full) > best:
-            best = max(best, above[j] + _score(x, y, memo))
-        row.append(best)
-    return row
+#: Lists with more pairs than this are aligned row by row with numpy; the weights are the same.
+PAIRS = 600
+
+
+class _Pairs:
+    """The rows of the alignment of two child lists: best weight of the children so far and the first j of ``kb``."""
+
+    def __init__(self, ka: list[Node], kb: list[Node], memo: dict):
+        self.kb, self.memo = kb, memo
+        self.long = len(ka) * len(kb) > PAIRS
+        self.first = np.zeros(len(kb) + 1, np.int64) if self.long else [0] * (len(kb) + 1)
+        if self.long:
+            self.columns = [np.array([f(y) for y in kb], np.int64) for f in (
+                lambda y: hash(y.tag), lambda y: hash(y.attrs), lambda y: hash(y.text), lambda y: y.whole, lambda y: y.full, lambda y: bool(y.kids))]
+            if any(x.kids for x in ka) and any(y.kids for y in kb):
+                self._kinds(ka, kb)
+
+    def _kinds(self, ka: list[Node], kb: list[Node]) -> None:
+        """Numbers the subtrees by all that their weight against the other list's depends on: a text that only one
+        list has is like any other such text."""
+        both = {n.text for x in ka for n in x.walk()} & {n.text for y in kb for n in y.walk()}
+        numbers: dict = {}
+        self.kind: dict[int, int] = {}
+        for x in (*ka, *kb):
+            for n in reversed(list(x.walk())):
+                key = n.tag, n.attrs, n.text if n.text in both else n.text != "", *[self.kind[id(k)] for k in n.kids]
+                self.kind[id(n)] = numbers.setdefault(key, len(numbers))
+        self.kind_b = np.array([self.kind[id(y)] for y in kb])
+        self.known: dict[tuple[int, int], int] = {}
+
+    def row(self, x: Node, above):
+        if not self.long:
+            return self._short_row(x, above)
+        tag, attrs, text, whole, full, kids = self.columns
+        before, up = above[:-1], above[1:]
+        equal = whole == x.whole
+        weight = 2 + (attrs == hash(x.attrs))
+        if x.text:
+            weight += 4 * (text == hash(x.text))
+        weight = np.where(equal, full, weight)
+        same = tag == hash(x.tag)
+        sure = same & (equal | (kids == 0)) if x.kids else same
+        with_x = np.where(sure, before + weight, 0)
+        best = np.maximum.accumulate(np.maximum(up, with_x))
+        if x.kids:  # pairs with children on both sides, unless the heaviest possible weight changes nothing
+            js = np.flatnonzero(same & ~sure & (before + np.minimum(full, x.full) > best))
+            if len(js):
+                kinds, first, of = np.unique(self.kind_b[js], return_index=True, return_inverse=True)
+                with_x[js] = before[js] + np.array([self._known(x, self.kb[js[f]], int(k)) for k, f in zip(kinds, first)], np.int64)[of]
+                best = np.maximum.accumulate(np.maximum(up, with_x))
+        return np.concatenate(([0], best))
+
+    def _known(self, x: Node, y: Node, kind: int) -> int:
+        key = self.kind[id(x)], kind
+        if key not in self.known:
+            self.known[key] = _score(x, y, self.memo)
+        return self.known[key]
+
+    def _short_row(self, x: Node, above: list[int]) -> list[int]:
+        row, best, tag, full = [0], 0, x.tag, x.full
+        for j, y in enumerate(self.kb):
+            up = above[j + 1]
+            if up > best:
+                best = up
+            if y.tag == tag and above[j] + min(full, y.full) > best:
+                best = max(best, above[j] + _score(x, y, self.memo))
+            row.append(best)
+        return row
 
 
 def _score(a: Node, b: Node, memo: dict) -> int:
@@ -278,10 +340,11 @@ def _score(a: Node, b: Node, memo: dict) -> int:
         ka, kb = a.kids[lead:len(a.kids) - tail], b.kids[lead:len(b.kids) - tail]
         known = own + sum(n.full for n in a.kids[:lead]) + sum(n.full for n in a.kids[len(a.kids) - tail:])
         if ka and kb:
-            row = [0] * (len(kb) + 1)
+            table = _Pairs(ka, kb, memo)
+            row = table.first
             for x in ka:
-                row = _row(x, kb, row, memo)
-            known += row[-1]
+                row = table.row(x, row)
+            known += int(row[-1])
         if len(memo) < MEMO:
             memo[key] = known
     return known
@@ -299,17 +362,18 @@ def _aligned(ka: list[Node], kb: list[Node], memo: dict) -> list[tuple[Node, Nod
     if not ka or not kb:
         return out
     step = max(16, math.isqrt(len(ka)))
-    kept, row = [], [0] * (len(kb) + 1)
+    table = _Pairs(ka, kb, memo)
+    kept, row = [], table.first
     for i, x in enumerate(ka):
         if i % step == 0:
             kept.append(row)
-        row = _row(x, kb, row, memo)
+        row = table.row(x, row)
     j = len(kb)
     for block in range(len(kept) - 1, -1, -1):
         at = block * step
         rows = [kept[block]]
         for x in ka[at:at + step]:
-            rows.append(_row(x, kb, rows[-1], memo))
+            rows.append(table.row(x, rows[-1]))
         i = len(rows) - 1
         while i and j:
             if rows[i][j] == rows[i - 1][j]:

@@ -7,7 +7,9 @@ smallest element of the reference that holds most of its slots. Article and main
 a page that has some is read from all of them, unless the votes find most of its slot text elsewhere.
 A page's main text are the blocks under its root or roots, without elements named as menus, adverts,
 comments and the like (inside a content root only if template votes or their structure say so too),
-and without template blocks. A page whose root holds template blocks only keeps them.
+and without template blocks. Inside a content root a template block goes only with evidence of its own (a name,
+mostly links, a control) or before the first and after the last slot; a heading before a slot stays, as do
+headings and sentences that all articles of a host share. A page whose root holds template blocks only keeps them.
 
 Votes are counted inside each task and summed per host and node, so a host with a third of all pages
 is spread over all tasks; a wrapper is one page and a list of its nodes.
@@ -98,6 +100,42 @@ def _content_root(ref: dom.Node, constant: frozenset[int]) -> dom.Node:
         at = inner[sizes.index(max(sizes))]
 
 
+def _evidence(n: dom.Node) -> bool:
+    """Whether a template block is set apart by a name, a control or by being mostly links."""
+    inside = list(n.walk())
+    links = sum(len(k.text) for a in inside if a.tag == "a" for k in a.walk())
+    return n.dropped or any(k.tag in dom.CONTROLS for k in inside) or 2 * links >= sum(len(k.text) for k in inside) > 0
+
+
+def _going(root: dom.Node, fixed: set[int]) -> set[int]:
+    """Python ids of the template blocks under a content root that are no part of the article."""
+    gone: set[int] = set()
+    said: list[dom.Node | None] = []  # per text in page order its template block, None for a slot
+    comments = dom.closing_comments(root)
+    stack: list = [(iter(root.parts), None)]
+    while stack:
+        parts, owner = stack[-1]
+        part = next(parts, None)
+        if part is None:
+            stack.pop()
+        elif isinstance(part, str):
+            if part.strip():
+                said.append(owner)
+        elif not (part.boilerplate or id(part) in comments):
+            if id(part) in fixed:
+                if _evidence(part):
+                    gone.add(id(part))
+                    continue
+                owner = part
+            stack.append((iter(part.parts), owner))
+    slots = [i for i, n in enumerate(said) if n is None]
+    for i, n in enumerate(said):
+        heads = n is not None and n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and said[i + 1:i + 2] == [None]
+        if n is not None and not heads and not (slots and slots[0] < i < slots[-1]):
+            gone.add(id(n))
+    return gone
+
+
 def page_text(page: str | None, ref: dom.Node | None, constant: frozenset[int]) -> str:
     tree = dom.parse(page)
     pairs: list = []
@@ -113,6 +151,9 @@ def page_text(page: str | None, ref: dom.Node | None, constant: frozenset[int])
         roots = [y for x, y in pairs if x is goal]
     roots = roots or [body]
     inside = roots != [body]  # under the body menus and the like go by their names alone
+    if inside and fixed:
+        gone = set().union(*(_going(n, fixed) for n in roots))
+        skip = lambda n: id(n) in gone
     read = lambda skip: "\n".join(line for n in roots for line in dom.blocks(n, skip, inside))
     return read(skip) or (read(lambda n: False) if inside else "")
 
@@ -137,8 +178,7 @@ def wrappers(pages: DataFrame, same: float = SAME, least_pages: int = LEAST_PAGE
     scratch = Scratch(spark, "wrapper")
     distinct = pages.where("html like '%<%'").withColumn("h", F.xxhash64("html"))
     refs = scratch.write(distinct.groupBy("host").agg(F.min_by("html", "h").alias("ref"), F.count_distinct("h").alias("pages"))).df
-    first = distinct.groupBy("host", "h").agg(F.min("page_id").alias("page_id"))
-    one = distinct.join(first, ["host", "h", "page_id"], "left_semi") if "page_id" in pages.columns else distinct
+    one = distinct.groupBy("host", "h").agg(F.any_value("html").alias("html"))  # equal pages: any row of them is the page
     votes = one.select("host", "html").join(refs.where(F.col("pages") >= least_pages), "host") \
         .mapInPandas(_votes, "host string, node int, n long")
     fixed = votes.groupBy("host", "node").agg(F.sum("n").alias("n")).join(refs.select("host", "pages"), "host") \
