@@ -24,6 +24,8 @@ def query(sql: str | None = None):
     return add
 
 
+#: Of op1: a target that natural shares miss and a limit on repeats under the budget, so that both bind.
+MIX = {"entropy": 0.9999, "max_repeats": 2.0, "budget": 1.5}
 _HASH32 = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
 #: The mixture of a relation d(doc_id, source, text), as DuckDB SQL.
 MIX_SQL = f"""
@@ -35,18 +37,18 @@ s AS (SELECT source, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens,
 coarse AS (SELECT k, (ln(z) - pl / z) / ln(greatest(m, 2)) AS entropy, top / z AS repeats, m FROM (
     SELECT k, sum(p) AS z, sum(p * ln(p)) AS pl, max(p / share) AS top, count(*) AS m FROM (
         SELECT k * 1024 AS k, share, pow(share, k * 1024 / CAST({mixing.GRID} AS DOUBLE)) AS p FROM s, range(0, 1025) t(k)) GROUP BY k)),
-near AS (SELECT coalesce(max(k) FILTER (WHERE entropy >= {mixing.ENTROPY} OR m < 2), 0) AS e,
-              coalesce(min(k) FILTER (WHERE repeats * {mixing.BUDGET} <= {mixing.MAX_REPEATS}), {mixing.GRID}) AS q FROM coarse),
+near AS (SELECT coalesce(max(k) FILTER (WHERE entropy >= {MIX['entropy']} OR m < 2), 0) AS e,
+              coalesce(min(k) FILTER (WHERE repeats * {MIX['budget']} <= {MIX['max_repeats']}), {mixing.GRID}) AS q FROM coarse),
 fine AS (SELECT j, side, (ln(z) - pl / z) / ln(greatest(m, 2)) AS entropy, top / z AS repeats, m FROM (
     SELECT j, side, sum(p) AS z, sum(p * ln(p)) AS pl, max(p / share) AS top, count(*) AS m FROM (
         SELECT j, side, share, pow(share, j / CAST({mixing.GRID} AS DOUBLE)) AS p FROM s, (
             SELECT e + k AS j, 'e' AS side FROM near, range(0, 1025) t(k) WHERE e + k <= {mixing.GRID}
             UNION ALL SELECT q - k, 'q' FROM near, range(0, 1025) t(k) WHERE q - k >= 0)) GROUP BY j, side)),
-a AS (SELECT greatest(coalesce(max(j) FILTER (WHERE side = 'e' AND (entropy >= {mixing.ENTROPY} OR m < 2)), 0),
-                      coalesce(min(j) FILTER (WHERE side = 'q' AND repeats * {mixing.BUDGET} <= {mixing.MAX_REPEATS}), {mixing.GRID}))
+a AS (SELECT greatest(coalesce(max(j) FILTER (WHERE side = 'e' AND (entropy >= {MIX['entropy']} OR m < 2)), 0),
+                      coalesce(min(j) FILTER (WHERE side = 'q' AND repeats * {MIX['budget']} <= {MIX['max_repeats']}), {mixing.GRID}))
              / CAST({mixing.GRID} AS DOUBLE) AS alpha FROM fine),
 w AS (SELECT s.*, pow(share, alpha) / (SELECT sum(pow(share, alpha)) FROM s, a) AS weight FROM s, a),
-b AS (SELECT *, CAST(floor(weight * (SELECT sum(tokens) FROM n) * CAST({mixing.BUDGET} AS DOUBLE)) AS BIGINT) AS quota FROM w),
+b AS (SELECT *, CAST(floor(weight * (SELECT sum(tokens) FROM n) * CAST({MIX['budget']} AS DOUBLE)) AS BIGINT) AS quota FROM w),
 q AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM b),
 dealt AS (SELECT n.doc_id, n.source, n.tokens AS n_tokens, q.passes, q.rest,
                  {_HASH32.format(f"'{mixing.SEED}|' || doc_id")} % CAST(ceil(q.docs / CAST({mixing.BLOCK_DOCS} AS DOUBLE)) AS BIGINT) AS block
@@ -58,7 +60,7 @@ blocks AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY block_key, blo
 part AS (SELECT l.*, before, sum(n_tokens) OVER (PARTITION BY l.source, l.block ORDER BY doc_key, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS upto
          FROM last_ l JOIN blocks b USING (source, block)),
 picked AS (SELECT doc_id, source, epoch, block, n_tokens FROM part WHERE before + upto < rest
-           UNION ALL SELECT doc_id, source, e AS epoch, block, n_tokens FROM dealt, range(0, 1000) t(e) WHERE e < passes)
+           UNION ALL SELECT doc_id, source, unnest(range(passes)) AS epoch, block, n_tokens FROM dealt)
 SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block,
        {_HASH32.format(f"'{mixing.SEED}|block|' || source || '|' || epoch || '|' || block")} AS block_key,
        {_HASH32.format(f"'{mixing.SEED}|doc|' || epoch || '|' || doc_id")} AS doc_key, n_tokens FROM picked
@@ -67,8 +69,8 @@ SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block,
 
 @query("WITH d AS (SELECT doc_id, source, text FROM documents)," + MIX_SQL)
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all documents by source at the production temperature."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """The mixture of all documents by source: one and a half times their tokens, nearly uniform, at most two passes."""
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIX)
 
 
 _ESCAPED = "replace(replace(replace(replace(replace(coalesce({}, ''), '\\', '\\\\'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]')"
