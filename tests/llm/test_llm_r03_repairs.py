@@ -1,9 +1,13 @@
 """Cases of the third review of the earlier operators: each failed before its repair."""
 
+import math
 import random
 import time
 
-from tidewatch.llm import decontam, dom, wrapper
+import numpy as np
+import pandas as pd
+
+from tidewatch.llm import decontam, dom, vectors, wrapper
 
 
 def found(spark, bench, docs):
@@ -102,3 +106,25 @@ def test_long_lists_have_the_weights_of_short_ones(monkeypatch):
             assert len({id(x) for x, _ in pairs}) == len(pairs)
             weights.append((dom._score(a.kids[0], b.kids[0], {}), sum(dom._score(x, y, {}) for x, y in pairs)))
         assert weights[0] == weights[1]
+
+
+def test_pairs_next_to_the_threshold_are_decided_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g in range(40):  # pairs whose cosine is the threshold up to 1e-9: no code decides them
+        x, y = rng.normal(size=(2, 48))
+        x, y = x / np.linalg.norm(x), y - (y @ x) / (x @ x) * x
+        y /= np.linalg.norm(y)
+        cos = 0.95 + (g % 5 - 2) * 1e-9
+        z = cos * x + math.sqrt(1 - cos * cos) * y
+        rows += [(2 * g, x.tolist(), "clash"), (2 * g + 1, z.tolist(), "clash"), (2 * g + 1, z.tolist(), "clash")]
+        want[2 * g] = int((x / np.linalg.norm(x)) @ (z / np.linalg.norm(z)) >= 0.95) if g % 5 != 2 else None
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, u string")
+    a, b = (vectors._stack(pd.DataFrame(next(vectors._prepare(iter([pd.DataFrame({"id": [r[0] for r in part], "v": [r[1] for r in part]})])))).assign(m=1))
+            for part in (rows[::3], rows[1::3]))
+    assert len(vectors.tile_links(a, b, False, 0.95)[3]) >= 30  # they reach the last step
+    got = vectors.near_vectors(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if want[r["vec_id"] // 2 * 2] is not None:
+            assert (r["n_links"], r["component_id"]) == ((1, r["vec_id"] // 2 * 2) if want[r["vec_id"] // 2 * 2] else (0, r["vec_id"]))

@@ -4,15 +4,18 @@ A text becomes a sequence of template words: letters lower-cased, punctuation dr
 behind numbers and capitalised names inside a sentence replaced by typed placeholders. Windows of
 template words of the documents are hash-joined with those of the benchmark, so a question whose
 numbers or names were changed still matches. A document's match with an item counts only if its
-slots are consistent: along one alignment, each value of the item always stands for the same value
-of the document. An item is found in a document if at least ``share`` of its windows match.
+slots are consistent: over the alignments (offsets) of the item in the document, each value of the item
+always stands for the same value of the document. The alignment with most windows gives the first values,
+the others add theirs, best supported and nearest first; an alignment that contradicts them does not count.
+An item is found in a document if at least ``share`` of its windows match.
 
 Where a sentence starts and how a copy is capitalised differ from text to text, so a window has three
 forms and matches in any: the template, the loose template in which every capitalised word is a name
-wherever it stands, and the plain lower-cased words.
+wherever it stands, and the plain lower-cased words. A template needs two plain words at least; a window
+with fewer would match any run of numbers or names and counts by its plain form alone.
 
-DataFrame functions only. Window hashes are made per row; only rows whose hash occurs in the
-benchmark reach a shuffle, as long as these hashes are few enough to be broadcast.
+DataFrame functions only. Window hashes are made per row, templates only for texts with a digit or a capital;
+only rows whose hash occurs in the benchmark reach a shuffle, as long as these hashes are few enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -30,79 +33,110 @@ UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "yd", "mil
          "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb",
          "gb", "tb", "v", "w", "kw", "kwh", "j", "kj", "cal", "kcal", "c", "f", "k", "meter", "meters", "metre", "metres"]
 _NAME, _FIRST = "\u0001", "\u0002"
-#: Forms of a text's words, each with the column of its word hashes.
-FORMS = {"t": "ht", "l": "hl", "p": "hp"}
+#: Forms of a text's words: template, loose template, plain.
+FORMS = ("t", "l", "p")
 #: Hashes of the benchmark are broadcast to the documents up to this many (16 MB), beyond it joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 
 
-def words(text: Column) -> Column:
-    """Words of the text; a capitalised word carries a mark: one that follows a word inside a sentence, or another one."""
-    t = F.translate(F.coalesce(text, F.lit("")), _NAME + _FIRST, "  ")
+def marked(text: Column) -> Column:
+    """The words of the text between single spaces; a capitalised word carries a mark: one that follows a word inside
+    a sentence, or another one. The patterns begin with what is rare, so most places of a text fail at once."""
+    t, word = F.coalesce(text, F.lit("")), "\\p{L}\\p{N}\\p{M}" + _NAME + _FIRST
+    t = F.when(F.contains(t, F.lit(_NAME)) | F.contains(t, F.lit(_FIRST)), F.translate(t, _NAME + _FIRST, "  ")).otherwise(t)
     t = F.when(t.rlike("[0-9][.,][0-9]"), F.regexp_replace(t, "(?<=[0-9])[.,](?=[0-9])", "")).otherwise(t)
-    t = F.regexp_replace(t, "(?<=[\\p{L}\\p{N},;:] )(\\p{Lu}\\p{Ll})", _NAME + "$1")
-    t = F.regexp_replace(t, "(?<![\\p{L}\\p{N}\\p{M}" + _NAME + "])(\\p{Lu}\\p{Ll})", _FIRST + "$1")
-    t = F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}" + _NAME + _FIRST + "]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    t = F.regexp_replace(t, "(?=\\p{Lu}\\p{Ll})(?<![\\p{L}\\p{N}\\p{M}])", _FIRST)
+    t = F.regexp_replace(t, _FIRST + "(?<=[\\p{L}\\p{N},;:] " + _FIRST + ")", _NAME)
+    return F.trim(F.regexp_replace(t, f"[^{word} ][^{word}]*| [^{word}]+", " "))
 
 
-def _is_number(w: Column) -> Column:
-    return F.substring(w, 1, 1).between("0", "9")
+def _split(words: Column) -> Column:
+    """The words of `m` in one of its forms; the test is on `m`, for a form is costly to work out twice."""
+    return F.when(F.col("m") == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
 
 
-def _plain(x: Column) -> Column:
-    return F.lower(F.translate(x, _NAME + _FIRST, ""))
+def _plain(m: Column) -> Column:
+    return F.lower(F.translate(m, _NAME + _FIRST, ""))
 
 
-def template(w: Column, loose: bool = False) -> Column:
-    """Template words of an array from ``words``; if ``loose``, capitalised words that start a sentence are names too."""
-    def one(x: Column, i: Column) -> Column:
-        unit = (i > 0) & _is_number(F.get(w, i - 1)) & F.array_contains(F.lit(UNITS), _plain(x))
-        name = F.startswith(x, F.lit(_NAME)) | F.startswith(x, F.lit(_FIRST)) if loose else F.startswith(x, F.lit(_NAME))
-        return F.when(_is_number(x), F.lit("<num>")).when(name, F.lit("<name>")).when(unit, F.lit("<unit>")).otherwise(_plain(x))
-
-    return F.transform(w, one)
+def _template(m: Column, loose: bool, numbers: bool) -> Column:
+    """The marked words as a template; if ``loose``, capitalised words that start a sentence are names too."""
+    t = _plain(F.regexp_replace(m, (f"[{_NAME}{_FIRST}]" if loose else _NAME) + "[^ ]+", "<name>"))
+    if not numbers:
+        return t
+    t = F.regexp_replace(t, "(?<![^ ])[0-9][^ ]*", "<num>")
+    return F.regexp_replace(t, f"(?<=<num> )(?:{'|'.join(UNITS)})(?= |$)", "<unit>")
 
 
 def _forms(df: DataFrame, i: str, text: str) -> DataFrame:
-    """(id, row, w, t, l, p) of the rows with an id: its words and their forms; row tells texts of one id apart."""
-    w = F.col("w")
-    df = df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), words(F.col(text).cast("string")).alias("w"))
-    return df.select("id", F.xxhash64("w").alias("row"), "w", template(w).alias("t"), template(w, True).alias("l"),
-                     F.transform(w, _plain).alias("p"))
+    """(id, row, kinds, t, l, p) of the rows with an id: the forms of its words; row tells texts of one id apart.
+
+    kinds is 1 for a text whose forms are all plain, 2 if only the loose template differs, else 3; forms that are like
+    the plain one are null.
+    """
+    df = df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), marked(F.col(text).cast("string")).alias("m"))
+    kinds = F.when(F.col("m").rlike("[0-9" + _NAME + "]"), 3).when(F.contains("m", F.lit(_FIRST)), 2).otherwise(1)
+    m, some, all_ = F.col("m"), F.col("kinds") > 1, F.col("kinds") > 2
+    df = df.select("id", F.xxhash64("m").alias("row"), kinds.alias("kinds"), "m")
+    return df.select("id", "row", "kinds", F.when(all_, _split(_template(m, False, True))).alias("t"),
+                     F.when(all_, _split(_template(m, True, True))).when(some, _split(_template(m, True, False))).alias("l"), _split(_plain(m)).alias("p"))
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumns({h: F.transform(f, lambda x: F.xxhash64(x)) for f, h in FORMS.items()})
+def _at_each_window(size: int, made) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("p") - F.lit(size)), made)
 
 
-def _each_window(size: int, made) -> Column:
-    """``made(hash of a form's window)`` at every position of a window."""
-    n = F.size("hp") - F.lit(size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: made(lambda h: F.xxhash64(
-        *[F.get(F.col(h), i + F.lit(k)) for k in range(size)]))))
+def _window_hash(form: str, i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(F.col(form), i + F.lit(k)) for k in range(size)])
 
 
 def _windows(df: DataFrame, size: int) -> DataFrame:
-    """(id, row, pos, hash) of all windows of the rows, a row per different form."""
-    hashes = _each_window(size, lambda of: F.array_distinct(F.array(*[of(h) for h in FORMS.values()])))
-    return df.select("id", "row", F.posexplode(hashes).alias("pos", "hashes")).select(
-        "id", "row", "pos", F.lit(size).alias("size"), F.explode("hashes").alias("hash"))
+    """(id, row, pos, size, hash) of all windows of the rows in each form that the text has."""
+    def of(form: str) -> Column:
+        return _at_each_window(size, lambda i: _window_hash(form, i, size))
+
+    # no filter on the number of words: it would be pushed down and cut the text into words once more
+    forms = F.when(F.size("p") < size, F.array().cast("array<array<bigint>>")).when(F.col("kinds") > 2, F.array(of("p"), of("l"), of("t"))).when(
+        F.col("kinds") > 1, F.array(of("p"), of("l"))).otherwise(F.array(of("p")))
+    return df.select("id", "row", F.explode(forms).alias("hashes")).select(
+        "id", "row", F.posexplode("hashes").alias("pos", "hash")).withColumn("size", F.lit(size))
 
 
 def _item_windows(items: DataFrame, size: int, window: int) -> DataFrame:
-    """(item, item_row, item_pos, size, form, key, hash, slotted) of all windows of the items; key is the window's template."""
+    """(item, item_row, item_pos, size, form, key, hash, slotted) of all windows of the items in each form that counts.
+
+    key names the window: its template, or its plain words where the template does not count.
+    """
     rows = items.where(F.size("p") >= window) if size == window else items.where(F.size("p") == size)
-    at = _each_window(size, lambda of: F.struct(*[of(h).alias(f) for f, h in FORMS.items()]))
+    at = _at_each_window(size, lambda i: F.struct(*[_window_hash(f, i, size).alias(f) for f in FORMS]))
     rows = rows.select("id", "row", *FORMS, F.posexplode(at).alias("item_pos", "at"))
-    forms = F.array(*[F.struct(F.lit(f).alias("form"), F.col(f"at.{f}").alias("hash"), F.size(F.filter(
-        F.slice(f, F.col("item_pos") + 1, size), lambda x: F.startswith(x, F.lit("<")))).alias("slots")) for f in FORMS])
+    slots = {f: F.size(F.filter(F.slice(f, F.col("item_pos") + 1, size), lambda x: F.startswith(x, F.lit("<")))) for f in FORMS}
+    counts = {f: (n == 0) | (n + F.lit(2) <= size) for f, n in slots.items()}
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), F.col(f"at.{f}").alias("hash"), (slots[f] > 0).alias("slotted"),
+                               counts[f].alias("counts")) for f in FORMS])
     rows = rows.select(F.col("id").alias("item"), F.col("row").alias("item_row"), "item_pos", F.lit(size).alias("size"),
-                       F.col("at.t").alias("key"), F.explode(forms).alias("f"))
-    rows = rows.select("item", "item_row", "item_pos", "size", "key", "f.form", "f.hash", "f.slots")
-    if size < window:  # a template of hardly any words would match everywhere
-        rows = rows.where((F.col("slots") == 0) | (F.col("slots") + 2 <= size))
-    return rows.select("item", "item_row", "item_pos", "size", "key", "form", "hash", (F.col("slots") > 0).alias("slotted"))
+                       F.when(counts["t"], F.col("at.t")).otherwise(F.col("at.p")).alias("key"), F.explode(forms).alias("f"))
+    return rows.where("f.counts or f.form = 'p'").select("item", "item_row", "item_pos", "size", "key", "f.form", "f.hash",
+                                                        (F.col("f.slotted") & (F.col("f.form") != "p")).alias("slotted"))
+
+
+def _contradicting(values: DataFrame, lines: DataFrame, line: list[str]) -> DataFrame:
+    """The lines whose slot values do not fit: two values for one of the item within a line, or another value than the
+    line with most windows has, or than the best supported of the other lines (ties: nearest to that line, then first)."""
+    one, own = line[:-1], values.groupBy(*line, "item_value").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+    uneven = own.where("value != other").select(*line).distinct()
+    best = lines.join(uneven, line, "left_anti").groupBy(*one).agg(
+        F.max(F.struct("windows", (-F.col("offset")).alias("at"))).alias("b")).select(*one, (-F.col("b.at")).alias("anchor"))
+    own = own.where("value = other").join(uneven, line, "left_anti").join(lines, line).join(best, one).select(
+        *line, "item_value", "value", "anchor", "windows")
+    first = own.where("offset = anchor").select(*one, "item_value", F.col("value").alias("first"))
+    own = own.join(first, [*one, "item_value"], "left")
+    against = own.where("value != first").select(*line).distinct()
+    rest = own.join(against, line, "left_anti")
+    said = rest.groupBy(*one, "item_value").agg(F.min_by("value", F.struct(
+        -F.col("windows"), F.abs(F.col("offset") - F.col("anchor")), "offset")).alias("said"))
+    late = rest.join(said, [*one, "item_value"]).where("value != said").select(*line).distinct()
+    return uneven.unionByName(against).unionByName(late)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -116,12 +150,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     either side gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    items = scratch.write(_forms(benchmark, item_id, item_text).distinct()).df
+    items = _forms(benchmark, item_id, item_text).distinct()
+    items = scratch.write(items.withColumns({"t": F.coalesce("t", "p"), "l": F.coalesce("l", "p")})).df
     short = sorted(r[0] for r in items.select(F.size("p").alias("n")).where(f"n between 1 and {window - 1}").distinct().collect())
-    of_items, of_docs = _hashed(items), _hashed(_forms(docs, id_col, text_col)).select("id", "row", *FORMS.values())
+    of_docs = _forms(docs, id_col, text_col)
     b = d = None
     for size in (window, *short):
-        bs, ds = _item_windows(of_items, size, window), _windows(of_docs, size)
+        bs, ds = _item_windows(items, size, window), _windows(of_docs, size)
         b, d = (bs, ds) if b is None else (b.unionByName(bs), d.unionByName(ds))
     b = scratch.write(b).df
     total = b.groupBy("item").agg(F.count_distinct("key").alias("total"))
@@ -131,21 +166,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = scratch.write(d.join(b, ["size", "hash"]).select(
         "id", "row", "pos", "item", "item_row", "item_pos", "size", "key", "form", "slotted")).df
 
-    # windows with placeholders: along an alignment, an offset between document and item, their values must map one way
-    line = ["item", "item_row", "id", "row", "form", "offset"]
+    # windows with placeholders: over the alignments, offsets between document and item, their values must map one way;
+    # what only the loose template takes for a name binds that template alone
+    line = ["item", "item_row", "id", "row", "offset"]
     hits = hits.withColumn("offset", F.col("pos") - F.col("item_pos"))
     part = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
     texts = items.select(F.col("id").alias("item"), F.col("row").alias("item_row"), "t", "l", F.col("p").alias("said"))
-    pairs = hits.where("slotted and form != 'p'").join(texts, ["item", "item_row"]).select(
-        *line, "pos", "size", part(F.when(F.col("form") == "t", F.col("t")).otherwise(F.col("l")), "item_pos").alias("x"),
-        part("said", "item_pos").alias("item_value"))
+    pairs = hits.where("slotted").join(texts, ["item", "item_row"]).select(
+        *line, "form", "pos", "size", part("t", "item_pos").alias("t"), part("l", "item_pos").alias("l"), part("said", "item_pos").alias("item_value"))
     pairs = scratch.write(pairs).df
     source = docs.join(pairs.select(F.col("id").alias("_found")).distinct(), F.col(id_col).cast("long") == F.col("_found"), "left_semi")
     values = pairs.join(_forms(source, id_col, text_col).select("id", "row", "p").distinct(), ["id", "row"]).select(
-        *line, F.explode(F.arrays_zip("x", "item_value", part("p", "pos").alias("value"))).alias("v"))
-    bad = values.where("startswith(v.x, '<')").groupBy(*line, "v.item_value").agg(
-        F.min("v.value").alias("x"), F.max("v.value").alias("y")).where("x != y").select(*line).distinct()
-    good = hits.join(bad, line, "left_anti")
+        *line, "form", F.explode(F.arrays_zip("t", "l", "item_value", part("p", "pos").alias("value"))).alias("v"))
+    values = values.select(*line, "form", "v.item_value", "v.value", F.startswith(F.col("v.t"), F.lit("<")).alias("strict"), F.startswith(F.col("v.l"), F.lit("<")).alias("loose"))
+    values = scratch.write(values.where("strict or (loose and form = 'l')").drop("loose").distinct()).df
+    lines = scratch.write(pairs.groupBy(*line).agg(F.count_distinct("pos").alias("windows"))).df
+    bad = scratch.write(_contradicting(values.where("strict").drop("form", "strict").distinct(), lines, line)).df
+    left = values.where("form = 'l'").join(bad, line, "left_anti").drop("form", "strict").distinct()
+    loose = scratch.write(_contradicting(left, lines.join(bad, line, "left_anti"), line).withColumn("form", F.lit("l"))).df
+    good = hits.where("slotted").join(bad, line, "left_anti").join(loose, [*line, "form"], "left_anti")
+    good = hits.where("not slotted").unionByName(good)
     n = good.select("item", "id", "key").distinct().groupBy("item", "id").agg(F.count("*").alias("windows"))
     return n.join(total, "item").where(F.col("windows") >= F.lit(share) * F.col("total")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), "windows",
