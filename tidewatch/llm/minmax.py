@@ -9,8 +9,8 @@ with probability (1 - 0.85**6)**32, about 3e-7; at 0.8 five values in 38 bands,
 No bucket is expanded into its pairs. Equal sets collapse to one class; every member of a bucket is
 confirmed against the bucket's leader, the first of four pseudo-random orders (one per bucket), so a
 group of near copies gets a few leaders and not one per bucket; only members still in different
-components of the same bucket are then compared with each other, inside the join that brings them
-together: behind a one-bit sketch of the signature, then on 32-bit codes of the full sets, whose
+components of the same bucket are then compared with each other, each pair in the first bucket it
+shares, inside the join that brings them together: behind a one-bit sketch of the signature, then on 32-bit codes of the full sets, whose
 overlap is never below the true one but for codes that meet inside a set. It returns links, not
 pairs, and these are confirmed on full sets.
 """
@@ -224,11 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = scratch.write(tagged.join(open_keys.select("key"), "key", "left_semi")).df
     apart = f"a.key = b.key and a.comp != b.comp and {similar('a', 'b')}"
     left = scratch.write(tagged.alias("a").join(tagged.alias("b"), F.expr(apart), "left_semi")).df
-    left = scratch.write(left.join(sets.df.select("id", "w"), "id")).df
+    keys = left.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    left = scratch.write(left.join(sets.df.select("id", "w"), "id").join(keys, "id")).df
+    once = "a.key = array_min(array_intersect(a.keys, b.keys))"  # a pair meets in many buckets: it is compared in the first
     # two of a set's codes meet with probability n * n / 2**33
     met = "1 + greatest(a.n, b.n) / 10000"
-    cross = left.alias("a").join(left.alias("b"), F.expr(f"{apart} and a.id < b.id and {overlap(met, 'w')}"))
-    cross = scratch.write(cross.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct())
+    cross = left.alias("a").join(left.alias("b"), F.expr(f"{apart} and a.id < b.id and {once} and {overlap(met, 'w')}"))
+    cross = scratch.write(cross.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")))
     second = scratch.write(confirmed(cross.df))
     if second.df.isEmpty():
         comps = comp1
