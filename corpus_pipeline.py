@@ -29,8 +29,8 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    copies = minmax.near_duplicates(docs).where("not kept").select("doc_id")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), the one with the smallest id."""
+    copies = minmax.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -55,6 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of the documents that all stages keep: rows (doc_id, source, epoch, block, ...), one per pass.
+
+    A null, empty or blank text passes the filters that find nothing in it and drops out of the mixture, which deals
+    words; a null lang or source is read as ''. Documents that repeat an id share its fate in every stage: rejected
+    together, kept together. Further columns are kept up to the mixture. An empty table gives an empty mixture.
+    Intermediate tables go to the shared folder; a stage's input is dropped when its output is written.
+    """
     scratch = Scratch(spark, "pipeline")
     docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
