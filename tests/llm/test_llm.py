@@ -36,22 +36,22 @@ def components(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return frozenset()
-    return frozenset([tuple(w)]) if len(w) < 3 else frozenset(zip(w, w[1:], w[2:]))
+    return frozenset([tuple(w)]) if len(w) < width else frozenset(zip(*[w[i:] for i in range(width)]))
 
 
-def near_components(texts):
-    sets, held, common = {i: shingles(t) for i, t in texts.items()}, defaultdict(list), defaultdict(int)
+def near_components(texts, width=3, percent=85):
+    sets, held, common = {i: shingles(t, width) for i, t in texts.items()}, defaultdict(list), defaultdict(int)
     for i, s in sets.items():
         for x in s:
             held[x].append(i)
     for ids in held.values():
         for a, b in combinations(sorted(ids), 2):
             common[a, b] += 1
-    pairs = [p for p, k in common.items() if 100 * k >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - k)]
+    pairs = [p for p, k in common.items() if 100 * k >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - k)]
     return sets, components(sets, pairs)
 
 
@@ -326,7 +326,7 @@ def test_pipeline_stages_take_effect(spark):
     every = set(range(1000))
     assert ids("quality") == every - rejected == ids("site_lines")
     texts = {r["doc_id"]: r["text"] for r in kept["site_lines"].select("doc_id", "text").collect()}
-    _, comp = near_components(texts)
+    _, comp = near_components(texts, 5, 80)
     assert ids("near_duplicates") == {i for i in texts if comp[i] == i}
     flat = lambda t: " ".join(t.split()).lower()
     items = [flat(r["text"]) for r in table(spark, SF, "benchmark").collect()]
