@@ -104,13 +104,16 @@ def load_countries(spark, path: str) -> DataFrame:
     -> countries(fid, name, iso2, rings). A MultiPolygon's parts become one ring list.
 
     Parsed as VARIANT with typed casts (schema inference would turn the mixed nesting
-    depths of Polygon / MultiPolygon coordinates into strings). A layer file is a small
-    fixed reference file, read whole.
+    depths of Polygon / MultiPolygon coordinates into strings). The file is read split by split; a
+    feature is an element of the collection's list whose type says so, numbered in file order.
     """
-    v = F.parse_json(F.col("value"))
-    raw = spark.read.option("wholetext", True).text(path)
-    feats = raw.select(F.posexplode(F.variant_get(v, "$.features", "array<variant>")).alias("fid", "f"))
+    from tidewatch.sources.json_array import json_elements
+
     f = F.col("f")
+    feats = json_elements(spark, path, level=2).select("file", "pos", F.try_parse_json("value").alias("f")) \
+        .where(F.try_variant_get(f, "$.type", "string") == "Feature")
+    first = feats.groupBy("file").agg(F.min("pos").alias("first"))
+    feats = feats.join(first, "file").withColumn("fid", F.col("pos") - F.col("first"))
     gtype = F.try_variant_get(f, "$.geometry.type", "string")
     poly = F.try_variant_get(f, "$.geometry.coordinates", "array<array<array<double>>>")
     multi = F.try_variant_get(f, "$.geometry.coordinates", "array<array<array<array<double>>>>")

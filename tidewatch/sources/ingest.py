@@ -11,15 +11,16 @@ from pyspark.sql import types as T
 
 from tidewatch import schema
 from tidewatch.functions.timerange import ts_literal
+from tidewatch.sources.json_array import json_elements
 
 
 def load_json(spark: SparkSession, path: str, start: int = 0, n: int | None = None,
               json_lines: bool = False, order_col: str | None = None) -> DataFrame:
     """Records [start, start+n) of a JSON file as a `raw` JSON-text column plus `pos`.
 
-    Parity form (default): the file is one JSON array; it is read as whole text and
-    exploded with positions. Scale form (`json_lines=True`): JSON Lines, which Spark
-    splits across tasks; a slice then needs an explicit `order_col` inside the records.
+    By default a file is one JSON array, which several tasks read split by split; positions count
+    per file. With `json_lines=True` it is JSON Lines; a slice then needs an explicit `order_col`
+    inside the records.
     """
     if n is not None and n <= 0:
         raise ValueError("n must be positive")
@@ -33,9 +34,7 @@ def load_json(spark: SparkSession, path: str, start: int = 0, n: int | None = No
         pos = F.variant_get(v, f"$.{order_col}", "bigint")
         out = lines.select(pos.alias("pos"), F.col("value").alias("raw"))
     else:
-        whole = spark.read.option("wholetext", True).text(path)
-        arr = F.from_json(F.col("value"), "array<variant>")
-        out = whole.select(F.posexplode(arr).alias("pos", "v")).select("pos", F.to_json("v").alias("raw"))
+        out = json_elements(spark, path).select("pos", F.to_json(F.parse_json("value")).alias("raw"))
     out = out.filter(F.col("pos") >= start)
     if n is not None:
         out = out.filter(F.col("pos") < start + n)
