@@ -18,8 +18,9 @@ from tidewatch.functions.geo import bounds_center, geohash
 # calendar truncation names (calendar units, which only allow a multiple of 1).
 FIXED_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 CALENDAR_UNITS = {"w": "week", "M": "month", "q": "quarter", "y": "year"}
-CALENDAR_STEP = {"week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR"}
-MAX_BUCKETS = 1_000_000
+CALENDAR_STEP = {"week": ("DAY", 7), "month": ("MONTH", 1), "quarter": ("MONTH", 3), "year": ("MONTH", 12)}
+#: Buckets made together when gaps are filled; the parts are dealt over all tasks.
+BUCKET_PART = 4096
 
 
 def parse_interval(interval: str) -> tuple[str, int | str]:
@@ -65,15 +66,26 @@ def bucket_start(ts: Column, interval: str, ntz: bool = False) -> Column:
     return _from_micros(us - F.pmod(us, step), ntz)
 
 
-def _bucket_sequence(lo: Column, hi: Column, interval: str, ntz: bool) -> Column:
+def bucket_range(span: DataFrame, interval: str, ntz: bool) -> DataFrame:
+    """The starts `key` of all buckets between the ends of a one-row frame (lo, hi); none if they are null.
+
+    Only the numbers of parts of BUCKET_PART buckets are listed in one row; the parts are spread, and each lists its own
+    buckets, so there may be any number of them.
+    """
     kind, size = parse_interval(interval)
+    lo, hi = F.col("lo"), F.col("hi")
+    if kind == "calendar":
+        unit, step = CALENDAR_STEP[size]
+        last = F.floor(F.timestamp_diff(unit, lo, hi) / F.lit(step))
+    else:
+        step = int(size) * 1_000_000
+        last = F.floor((_micros(hi, ntz) - _micros(lo, ntz)) / F.lit(step))
+    parts = span.where(lo.isNotNull()).select("lo", last.cast("long").alias("last"))
+    parts = parts.select("lo", "last", F.explode(F.expr(f"sequence(0L, last div {BUCKET_PART})")).alias("part")).repartition("part")
+    i = parts.select("lo", F.explode(F.expr(f"sequence(part * {BUCKET_PART}, least(last, part * {BUCKET_PART} + {BUCKET_PART - 1}))")).alias("i"))
     if kind == "calendar":
-        return F.sequence(lo, hi, F.expr(CALENDAR_STEP[size]))
-    step = int(size) * 1_000_000
-    n = (_micros(hi, ntz) - _micros(lo, ntz)) / F.lit(step) + 1
-    guard = F.when(n > MAX_BUCKETS, F.raise_error(F.lit(f"histogram would have more than {MAX_BUCKETS} buckets")))
-    seq = F.sequence(_micros(lo, ntz), _micros(hi, ntz), F.lit(step))
-    return F.coalesce(guard.cast("array<bigint>"), seq)
+        return i.select(F.timestamp_add(unit, (F.col("i") * step).cast("int"), lo).alias("key"))
+    return i.select(_from_micros(_micros(lo, ntz) + F.col("i") * F.lit(step), ntz).alias("key"))
 
 
 def time_histogram(
@@ -96,13 +108,7 @@ def time_histogram(
     counts = bucketed.groupBy("key").agg(*aggs)
     if not gap_fill:
         return counts.orderBy("key")
-    # One-row range of the buckets, expanded with `sequence` (bounded by MAX_BUCKETS).
-    span = counts.agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    kind, _ = parse_interval(interval)
-    seq = _bucket_sequence(F.col("lo"), F.col("hi"), interval, ntz)
-    keys = span.filter(F.col("lo").isNotNull()).select(F.explode(seq).alias("key"))
-    if kind == "fixed":
-        keys = keys.select(_from_micros(F.col("key"), ntz).alias("key"))
+    keys = bucket_range(counts.agg(F.min("key").alias("lo"), F.max("key").alias("hi")), interval, ntz)
     out = keys.join(counts, "key", "left").select(
         "key",
         F.coalesce(F.col("doc_count"), F.lit(0)).cast("bigint").alias("doc_count"),

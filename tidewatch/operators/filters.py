@@ -41,17 +41,15 @@ def bbox_filter(params: dict, location: str = "location") -> Column | None:
     )
 
 
-def term(column: str, value, is_array: bool = False) -> Column:
-    """exact, case-sensitive equality; keyword values over 256 chars are not indexed and never match.
+def term(column: str, value, is_array: bool = False, max_len: int | None = None) -> Column:
+    """exact, case-sensitive equality; on an array column any element may match.
 
-    On an array column any element may match.
+    With `max_len` longer keyword values never match (the search index keeps values up to
+    `schema.KEYWORD_MAX_LEN` characters only); by default none are left out.
     """
     c = F.col(column)
-    if is_array:
-        return F.exists(c, lambda x: (x == F.lit(value)) & (F.length(x) <= schema.KEYWORD_MAX_LEN))
-    if isinstance(value, str):
-        return (c == F.lit(value)) & (F.length(c) <= schema.KEYWORD_MAX_LEN)
-    return c == F.lit(value)
+    short = lambda x: x == F.lit(value) if max_len is None or not isinstance(value, str) else (x == F.lit(value)) & (F.length(x) <= max_len)
+    return F.exists(c, short) if is_array else short(c)
 
 
 def range_filter(column: str, op: str, value) -> Column:
@@ -69,62 +67,89 @@ def range_filter(column: str, op: str, value) -> Column:
     raise InvalidFilterError(f"not a range lookup: {op}")
 
 
-def lookup_filter(column: str, lookup: str, value, is_array: bool = False) -> Column:
-    """The documented lookup names, each given its conventional meaning."""
+TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes"), ("0", "false", "no")
+
+
+def _coerce(value, dtype: str):
+    """A request value (text) as the column's type; other values pass."""
+    if not isinstance(value, str):
+        return value
+    try:
+        if dtype in ("double", "float") or dtype.startswith("decimal"):
+            return float(value)
+        if dtype in ("bigint", "int", "smallint", "tinyint"):
+            return int(value)
+    except ValueError as e:
+        raise InvalidFilterError(f"not a number: {value!r}") from e
+    if dtype == "boolean":
+        return _truth(value)
+    return value
+
+
+def _truth(value) -> bool:
+    word = str(value).strip().lower()
+    if word not in TRUE_WORDS + FALSE_WORDS:
+        raise InvalidFilterError(f"not true or false: {value!r}")
+    return word in TRUE_WORDS
+
+
+def _values(value, dtype: str) -> list:
+    """The values of a list lookup: a list, or a text with commas."""
+    return [_coerce(v, dtype) for v in (value if isinstance(value, (list, tuple)) else str(value).split(","))]
+
+
+def _whole(value, what: str) -> int:
+    try:
+        return int(str(value).strip())
+    except ValueError as e:
+        raise InvalidFilterError(f"{what} needs a whole number, not {value!r}") from e
+
+
+def lookup_filter(column: str, lookup: str, value, is_array: bool = False, dtype: str = "") -> Column:
+    """The documented lookup names, each given its conventional meaning.
+
+    The value is read as the lookup needs it: as the column's type (`dtype`, of an array its elements') for
+    comparisons, as a list of such values for `in`, `nin` and `all`, as true or false for `exists`, as whole numbers
+    for `mod` and `size`, as text for the others, which compare the column's text. A row without the field matches
+    `exists=false` alone, neither `ne` nor `nin`.
+    """
     c = F.col(column)
+    dtype = dtype.removeprefix("array<").removesuffix(">")
     if lookup in RANGE_LOOKUPS:
-        return range_filter(column, lookup, value)
-    if lookup == "exact":
-        return term(column, value, is_array)
-    if lookup == "iexact":
-        return F.lower(c) == F.lower(F.lit(value))
-    if lookup == "contains":
-        return c.contains(value)
-    if lookup == "icontains":
-        return F.lower(c).contains(str(value).lower())
-    if lookup == "startswith":
-        return c.startswith(value)
-    if lookup == "istartswith":
-        return F.lower(c).startswith(str(value).lower())
-    if lookup == "endswith":
-        return c.endswith(value)
-    if lookup == "iendswith":
-        return F.lower(c).endswith(str(value).lower())
+        return range_filter(column, lookup, _coerce(value, dtype))
+    if lookup in ("exact", "ne", "not"):
+        same = term(column, _coerce(value, dtype), is_array)
+        return same if lookup == "exact" else ~same
     if lookup in ("in", "nin"):
-        values = value if isinstance(value, (list, tuple)) else str(value).split(",")
-        pred = F.arrays_overlap(c, F.array(*[F.lit(v) for v in values])) if is_array else c.isin(list(values))
+        values = _values(value, dtype)
+        pred = F.arrays_overlap(c, F.array(*[F.lit(v) for v in values])) if is_array else c.isin(values)
         return pred if lookup == "in" else ~pred
-    if lookup in ("ne", "not"):
-        return ~term(column, value, is_array)
-    if lookup == "mod":
-        divisor, remainder = value if isinstance(value, (list, tuple)) else [int(x) for x in str(value).split(",")]
-        return F.pmod(c, F.lit(int(divisor))) == F.lit(int(remainder))
     if lookup == "all":
-        values = value if isinstance(value, (list, tuple)) else str(value).split(",")
-        out = F.lit(True)
-        for v in values:
-            out = out & F.array_contains(c, v)
-        return out
+        wanted = F.array(*[F.lit(v) for v in _values(value, dtype)])
+        return F.size(F.array_except(wanted, c if is_array else F.array(c))) == 0
+    if lookup == "mod":
+        numbers = value if isinstance(value, (list, tuple)) else str(value).split(",")
+        if len(numbers) != 2 or not _whole(numbers[0], "mod"):
+            raise InvalidFilterError(f"mod needs a divisor and a remainder, not {value!r}")
+        return F.pmod(c, F.lit(_whole(numbers[0], "mod"))) == F.lit(_whole(numbers[1], "mod"))
     if lookup == "size":
-        return F.size(c) == F.lit(int(value))
+        return F.size(c) == F.lit(_whole(value, "size"))
     if lookup == "exists":
-        truthy = str(value).lower() in ("1", "true", "yes")
-        return c.isNotNull() if truthy else c.isNull()
+        return c.isNotNull() if _truth(value) else c.isNull()
+    text, said = c if dtype in ("", "string") else c.cast("string"), str(value)
+    if lookup == "iexact":
+        return F.lower(text) == F.lower(F.lit(said))
+    if lookup in ("contains", "icontains", "startswith", "istartswith", "endswith", "iendswith"):
+        if is_array and lookup == "contains":
+            return F.array_contains(c, _coerce(value, dtype))
+        if lookup.startswith("i"):
+            text, said = F.lower(text), said.lower()
+        return {"contains": text.contains, "startswith": text.startswith, "endswith": text.endswith}[lookup.removeprefix("i")](said)
     if lookup == "match":
-        return c.rlike(str(value))
+        return text.rlike(said)
     raise InvalidFilterError(f"unknown lookup: {lookup}")
 
 
-def _coerce(value, dtype: str):
-    if dtype in ("double", "float") and isinstance(value, str):
-        return float(value)
-    if dtype in ("bigint", "int") and isinstance(value, str):
-        return int(value)
-    if dtype == "boolean" and isinstance(value, str):
-        return value.lower() in ("1", "true", "yes")
-    return value
-
-
 def build_filter(
     params: dict,
     df_columns: dict[str, str],
@@ -160,7 +185,7 @@ def build_filter(
                 raise InvalidFilterError(f"The '{name}' field does not allow filtering by '{lookup}'.")
         dtype = df_columns[name]
         is_array = dtype.startswith("array")
-        preds.append(lookup_filter(name, lookup, _coerce(value, dtype), is_array))
+        preds.append(lookup_filter(name, lookup, value, is_array, dtype))
     out = preds[0]
     for p in preds[1:]:
         out = out & p

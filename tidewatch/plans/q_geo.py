@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import geojoin as GJ
 from tidewatch.plans.catalog import register
+from tidewatch.session import checkpoint_dir
+from tidewatch.sources.ingest import GEOJSON_HEAD
 from tidewatch.sources.tables import POSTS_SQL, posts, table
 
 R = 6
@@ -119,6 +123,31 @@ def nearest_place_posts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tweetid", F.col("nearest.place").alias("place")).filter(F.col("place").isNotNull())
 
 
+@register(
+    "load_layer_regions",
+    """WITH c AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS fid FROM nation)
+SELECT CAST(fid AS INTEGER) AS fid, n_name AS name, 'R' || n_regionkey AS iso2, CAST(4 * (1 + n_nationkey % 3) AS BIGINT) AS points,
+       CAST(n_nationkey * 10 + 2 AS DOUBLE) AS east FROM c""",
+)
+def load_layer_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """A layer file (Polygon and MultiPolygon features) written from the nations and read back split by split."""
+    k = F.col("n_nationkey")
+    ring = F.transform(F.array(F.lit(0), F.lit(2), F.lit(2), F.lit(0)), lambda x, i: F.array((k * 10 + x).cast("double"), F.floor(i / 2).cast("double")))
+    polygon, parts = F.to_json(F.array(ring)), F.array_repeat(F.array(ring), (k % 3 + 1).cast("int"))
+    shape = F.when(k % 3 == 0, F.concat(F.lit('{"type":"Polygon","coordinates":'), polygon, F.lit("}"))).otherwise(
+        F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(parts), F.lit("}")))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"NAME":'), F.to_json(F.to_variant_object(F.array("n_name"))), F.lit(',"ISO2":"R'), F.col("n_regionkey").cast("string"),
+                       F.lit('"},"geometry":'), shape, F.lit("}"))
+    feature = F.regexp_replace(feature, r'"NAME":\[(.*?)\],"ISO2"', '"NAME":$1,"ISO2"')
+    path = f"{checkpoint_dir(spark).rstrip('/')}/layer-{uuid.uuid4().hex[:12]}"
+    lines = table(spark, sf, "nation").select(k.alias("at"), F.concat(F.when(k == 0, F.lit(GEOJSON_HEAD)).otherwise(","), feature).alias("value"))
+    end = lines.agg(F.max("at").alias("m")).select((F.col("m") + 1).alias("at"), F.lit("]}").alias("value"))
+    lines.unionByName(end).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    layer = GJ.load_countries(spark, path)
+    points = F.flatten("rings")
+    return layer.select("fid", "name", "iso2", F.size(points).cast("long").alias("points"), F.array_max(F.transform(points, lambda p: p["lon"])).alias("east"))
+
+
 @register("country_names", "SELECT CAST(n_nationkey AS INTEGER) AS fid, n_name AS name FROM nation")
 def country_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names of the layer in layer order."""

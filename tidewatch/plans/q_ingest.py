@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import cluster as C
@@ -13,6 +14,7 @@ from tidewatch.operators.aggs import outcome_counts
 from tidewatch.operators.normalize import normalize, renormalize
 from tidewatch.plans.catalog import register
 from tidewatch.plans.q_cluster import categorize_sql
+from tidewatch.session import checkpoint_dir
 from tidewatch.sources import ingest as IN
 from tidewatch.sources.tables import posts, table
 
@@ -36,6 +38,30 @@ _LATEST_SQL = """(SELECT o_orderkey, arg_max(o_orderstatus, (version, o_totalpri
               l_extendedprice * (1 - l_discount) AS o_totalprice FROM lineitem) v GROUP BY o_orderkey)"""
 
 
+def _write_arrays(rows: DataFrame, files: str, order: str, path: str) -> None:
+    """One JSON array file per value of `files`: its records in `order`, all but the first after a comma."""
+    w = Window.partitionBy(files).orderBy(order)
+    lines = rows.select(files, F.lit(1).alias("part"), F.col(order).alias("at"), F.to_json(F.struct("*")).alias("value"), F.row_number().over(w).alias("n"))
+    lines = lines.withColumn("value", F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "value")).drop("n")
+    ends = rows.select(files).distinct().select(files, F.lit(2).alias("part"), F.lit(None).cast(dict(rows.dtypes)[order]).alias("at"), F.lit("]").alias("value"))
+    lines.unionByName(ends).repartition(files).sortWithinPartitions(files, "part", "at").select(files, "value").write.partitionBy(files).text(path)
+
+
+@register(
+    "load_json_orders",
+    """SELECT o_orderkey % 4 AS file, pos, o_orderkey, o_orderstatus, round(CAST(o_totalprice AS DOUBLE), 4) AS o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS pos FROM orders) o WHERE pos >= 100 AND pos < 3100""",
+)
+def load_json_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """A slice of the records of every file of a folder of JSON array files, read split by split."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/json-orders-{uuid.uuid4().hex[:12]}"
+    _write_arrays(table(spark, sf, "orders").withColumn("file", F.col("o_orderkey") % 4), "file", "o_orderkey", path)
+    raw = F.parse_json("raw")
+    return IN.load_json(spark, path, 100, 3000).select(
+        (F.variant_get(raw, "$.o_orderkey", "bigint") % 4).alias("file"), "pos", F.variant_get(raw, "$.o_orderkey", "bigint").alias("o_orderkey"),
+        F.variant_get(raw, "$.o_orderstatus", "string").alias("o_orderstatus"), F.round(F.variant_get(raw, "$.o_totalprice", "double"), 4).alias("o_totalprice"))
+
+
 @register(
     "upsert_outcomes",
     f"""SELECT CASE WHEN o.o_orderkey IS NULL THEN 'created' ELSE 'updated' END AS outcome, count(*) AS n

@@ -203,6 +203,48 @@ def lookup_filters(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(df.filter(pred & (F.col("location.lat") > -30)))
 
 
+# every lookup name with a field, the value as a request has it, and its meaning in SQL
+_LOOKUPS = {
+    "ne": ("country", "view", "country <> 'view'"), "not": ("user_id", "7", "user_id <> 7"), "exact": ("user_id", "12", "user_id = 12"),
+    "lt": ("flood_probability", "0.25", "flood_probability < 0.25"), "lte": ("id_num", "400", "id_num <= 400"),
+    "gt": ("user_id", "90", "user_id > 90"), "gte": ("flood_probability", "1", "flood_probability >= 1"),
+    "in": ("user_id", "3,5,8", "user_id IN (3, 5, 8)"), "nin": ("country", "view,signup", "country NOT IN ('view', 'signup')"),
+    "mod": ("id_num", "7,3", "id_num % 7 = 3"), "all": ("labels", "view,odd", "country = 'view' AND user_id % 2 = 1"),
+    "size": ("labels", "2", "true"), "exists": ("flood_probability", "true", "flood_probability IS NOT NULL"),
+    "iexact": ("country", "VIEW", "country = 'view'"), "contains": ("props", "k", "contains(props, 'k')"),
+    "icontains": ("country", "IG", "contains(country, 'ig')"), "startswith": ("user_id", "1", "starts_with(CAST(user_id AS VARCHAR), '1')"),
+    "istartswith": ("country", "V", "starts_with(country, 'v')"), "endswith": ("tweetid", "7", "suffix(tweetid, '7')"),
+    "iendswith": ("country", "EW", "suffix(country, 'ew')"), "match": ("country", "^(v|s)", "regexp_matches(country, '^(v|s)')"),
+}
+
+
+@register(
+    "lookup_names",
+    f"""WITH p AS (SELECT * FROM {POSTS_SQL} p WHERE created_at IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL)
+""" + " UNION ALL ".join(f"SELECT '{name}' AS lookup, count(*) AS n, CAST(coalesce(sum(id_num), 0) AS BIGINT) AS ids FROM p WHERE {sql}"
+                         for name, (_, _, sql) in _LOOKUPS.items()),
+)
+def lookup_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every lookup name as a request filter on text, numbers and arrays; the matching posts counted in one pass."""
+    df = posts(spark, sf).withColumn("labels", F.array("country", F.when(F.col("user_id") % 2 == 1, "odd").otherwise("even")))
+    types = dict(df.dtypes)
+    preds = {name: FL.build_filter({f"{field}__{name}": value}, types) for name, (field, value, _) in _LOOKUPS.items()}
+    each = F.array(*[F.named_struct(F.lit("lookup"), F.lit(name), F.lit("hit"), p) for name, p in preds.items()])
+    hits = df.select("id_num", F.explode(each).alias("e"))
+    return hits.groupBy(F.col("e.lookup").alias("lookup")).agg(F.count_if("e.hit").alias("n"), F.coalesce(
+        F.sum(F.when(F.col("e.hit"), F.col("id_num"))), F.lit(0)).cast("long").alias("ids"))
+
+
+@register("seconds_histogram", f"""
+WITH c AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1)
+SELECT count(*) AS buckets, CAST(sum(coalesce(n, 0)) AS BIGINT) AS docs, CAST(count(*) FILTER (WHERE n IS NULL) AS BIGINT) AS empty
+FROM (SELECT unnest(range((SELECT min(s) FROM c), (SELECT max(s) FROM c) + 1)) AS s) LEFT JOIN c USING (s)""")
+def seconds_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 by the second over the whole month: millions of buckets, nearly all of them empty."""
+    h = A.time_histogram(posts(spark, sf), "1s")
+    return h.agg(F.count("*").alias("buckets"), F.sum("doc_count").alias("docs"), F.count_if(F.col("doc_count") == 0).alias("empty"))
+
+
 @register(
     "prob_gate_by_country",
     f"""SELECT country, count(*) AS doc_count FROM {POSTS_SQL} p

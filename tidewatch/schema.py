@@ -39,12 +39,10 @@ POST_SCHEMA = T.StructType(
 
 # Fixed values that results depend on (service defaults).
 MIN_ENTRIES = 5                 # minimum docs for a hotspot / cluster
-MAX_HOTSPOTS = 1000             # hotspots returned at most
 HOTSPOT_PRECISION = 4           # default geohash precision of hotspots
 CLUSTER_PRECISION = 5           # default geohash precision of geo clusters
 HISTOGRAM_INTERVAL = "10m"      # default time-histogram interval
 CLUSTER_INTERVAL = "5m"         # default interval when clustering on created_at
-MAX_HITS = 5000                 # hits returned by one query at most
 PAGE_SIZE = 36                  # default rows per page
 LANGUAGES = ("en", "fr", "es", "de")
 SIMILARITY_THRESHOLD = 0.8      # near-duplicate threshold for the representative split
