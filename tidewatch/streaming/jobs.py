@@ -20,6 +20,7 @@ from tidewatch import schema
 from tidewatch.functions.geo import geohash
 from tidewatch.operators import keyed as K
 from tidewatch.session import checkpoint_dir
+from tidewatch.streaming.keyed_table import KeyedTable
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -109,26 +110,21 @@ def ingest_stream(raw: DataFrame, table_path: str, rejects_path: str, checkpoint
                   countries=None, key: str = "tweetid"):
     """ST1: stream of raw records -> normalize -> upsert into the post table; rejects to a
     second sink. Of several versions of a key the one of the later micro-batch wins, inside a
-    micro-batch the one with the later created_at (then the larger record hash). Per
-    micro-batch `outcomes` keeps the tally: keys created and updated, records failed."""
+    micro-batch the one with the later created_at (then the larger record hash). The table is a
+    `KeyedTable`: a micro-batch reads and writes the buckets it touches. Per micro-batch `outcomes`
+    keeps the tally: keys created and updated, records failed."""
     from tidewatch.operators.normalize import normalize
 
     spark = raw.sparkSession
+    table = KeyedTable(spark, table_path, key)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         ok, rej = normalize(batch, gazetteer, countries)
         rank = F.struct(F.col("created_at").alias("t"), F.xxhash64(F.to_json(F.struct(*ok.columns))).alias("h"))
         one = K.latest_per_key(ok.withColumn("_o", rank), key, "_o").select(*ok.columns)
-        _write_seq(one, f"{table_path}/updates", batch_id)
         _write_seq(rej, rejects_path, batch_id)
-        updates = _read_seqs(spark, f"{table_path}/updates", one.schema)
-        rejected = _read_seqs(spark, rejects_path, rej.schema).filter(F.col("seq") == batch_id)
-        old = updates.filter(F.col("seq") < batch_id).select(key).distinct().withColumn("_e", F.lit(True))
-        new = updates.filter(F.col("seq") == batch_id).select(key).join(old, key, "left").select(
-            F.when(F.col("_e"), "updated").otherwise("created").alias("outcome"))
-        tally = new.unionByName(rejected.select(F.lit("failed").alias("outcome"))).groupBy("outcome").agg(
-            F.count(F.lit(1)).alias("n"))
-        _write_seq(tally, f"{table_path}/outcomes", batch_id)
+        failed = spark.read.schema(rej.schema).parquet(f"{rejects_path}/seq={batch_id}").agg(F.lit("failed").alias("outcome"), F.count(F.lit(1)).alias("n"))
+        _write_seq(table.upsert(one, batch_id).unionByName(failed).where("n > 0"), f"{table_path}/outcomes", batch_id)
 
     q = (raw.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -137,8 +133,7 @@ def ingest_stream(raw: DataFrame, table_path: str, rejects_path: str, checkpoint
 
 def read_ingested(spark: SparkSession, table_path: str, key: str = "tweetid") -> DataFrame:
     """The post table after ingest: latest version of every key (upsert semantics)."""
-    upd = spark.read.parquet(f"{table_path}/updates")
-    return K.latest_per_key(upd, key, "seq").drop("seq")
+    return KeyedTable(spark, table_path, key).read()
 
 
 def read_outcomes(spark: SparkSession, table_path: str) -> DataFrame:
