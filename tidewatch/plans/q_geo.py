@@ -25,7 +25,7 @@ COUNTRIES_SQL = f"""(SELECT CAST(n_nationkey AS INTEGER) AS fid, n_name AS name,
        ELSE [{_RECT.format(lo=_LO, la=_LA, w=36, h=24)}] END AS rings
  FROM nation)"""
 
-_RING_SQL = ("list_reduce(range(len(r)), lambda acc, i: CASE WHEN ((r[i + 1].lat > plat) != (r[CASE WHEN i = 0 THEN len(r) ELSE i END].lat > plat)) "
+RING_SQL = ("list_reduce(range(len(r)), lambda acc, i: CASE WHEN ((r[i + 1].lat > plat) != (r[CASE WHEN i = 0 THEN len(r) ELSE i END].lat > plat)) "
              "AND plon < (r[CASE WHEN i = 0 THEN len(r) ELSE i END].lon - r[i + 1].lon) * (plat - r[i + 1].lat) / "
              "(r[CASE WHEN i = 0 THEN len(r) ELSE i END].lat - r[i + 1].lat) + r[i + 1].lon THEN NOT acc ELSE acc END, false)")
 
@@ -35,7 +35,7 @@ _RING_SQL = ("list_reduce(range(len(r)), lambda acc, i: CASE WHEN ((r[i + 1].lat
     f"""WITH p AS (SELECT tweetid, lat AS plat, lon AS plon FROM {POSTS_SQL} p),
 c AS (SELECT * FROM {COUNTRIES_SQL} c),
 hits AS (SELECT p.tweetid, c.fid, c.name FROM p JOIN c ON true
-         WHERE list_reduce(list_transform(c.rings, lambda r: CASE WHEN {_RING_SQL} THEN 1 ELSE 0 END), lambda a, b: a + b, 0) % 2 = 1),
+         WHERE list_reduce(list_transform(c.rings, lambda r: CASE WHEN {RING_SQL} THEN 1 ELSE 0 END), lambda a, b: a + b, 0) % 2 = 1),
 first AS (SELECT tweetid, arg_min(name, fid) AS country FROM hits GROUP BY tweetid)
 SELECT p.tweetid, first.country FROM p LEFT JOIN first ON p.tweetid = first.tweetid""",
 )

@@ -8,15 +8,19 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch import schema
+from tidewatch.functions import records as RC
 from tidewatch.operators import cluster as C
 from tidewatch.operators import keyed as K
-from tidewatch.operators.aggs import outcome_counts
+from tidewatch.operators.aggs import instant_to_ntz, ntz_to_instant, outcome_counts
 from tidewatch.operators.normalize import normalize, renormalize
 from tidewatch.plans.catalog import register
 from tidewatch.plans.q_cluster import categorize_sql
+from tidewatch.plans.q_geo import COUNTRIES_SQL, RING_SQL
 from tidewatch.session import checkpoint_dir
 from tidewatch.sources import ingest as IN
-from tidewatch.sources.tables import posts, table
+from tidewatch.sources.evolution import GrowingTable
+from tidewatch.sources.tables import POSTS_SQL, posts, table
 
 R = 6
 
@@ -155,13 +159,57 @@ def gate_raw_events(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("event_id", F.variant_get("tweet", "$.k", "bigint").alias("k"))
 
 
-@register("conform_posts")
+@register(
+    "growing_orders",
+    """SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 >= 1 THEN o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 3 = 2 THEN o_custkey END AS who_id, CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS who_rank FROM (
+  SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) ELSE o_totalprice END AS o_totalprice,
+         o_orderstatus, o_custkey, o_orderpriority FROM orders)""",
+)
+def growing_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written in three versions of the schema (wider types, added fields, a nested one) and read as one table."""
+    o, at = table(spark, sf, "orders"), F.col("o_orderkey") % 3
+    grown = GrowingTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/growing-{uuid.uuid4().hex[:12]}")
+    grown.append(o.where(at == 0).select(F.col("o_orderkey").cast("int").alias("o_orderkey"), F.col("o_totalprice").cast("float").alias("o_totalprice")))
+    grown.append(o.where(at == 1).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", "o_totalprice"))
+    grown.append(o.where(at == 2).select("o_totalprice", "o_orderstatus", F.col("o_orderkey").cast("int").alias("o_orderkey"),
+                                         F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("rank")).alias("who")))
+    return grown.read().select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("who.id").alias("who_id"), F.col("who.rank").alias("who_rank"))
+
+
+_SQL_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "timestamp": "TIMESTAMP"}
+_POST_COLUMNS = [(f.name, f.dataType.simpleString()) for f in schema.POST_SCHEMA.fields if f.name != "location"]
+
+
+def _null_columns(*given: str) -> str:
+    """SQL of the post schema's columns but `given` and the location, all null."""
+    return ", ".join(f"CAST(NULL AS {_SQL_TYPES[kind]}) AS {name}" for name, kind in _POST_COLUMNS if name not in given)
+
+
+def _flat_post(df: DataFrame) -> DataFrame:
+    """Posts with the location as two columns and the time as wall clock in UTC."""
+    return df.select(*[instant_to_ntz(F.col(n)).alias(n) if kind == "timestamp" else F.col(n) for n, kind in _POST_COLUMNS],
+                     F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"))
+
+
+@register("conform_posts", f"SELECT tweetid, created_at, flood_probability, country, lat, lon, "
+          f"user_id, {_null_columns('tweetid', 'created_at', 'flood_probability', 'country', 'user_id')} FROM {POSTS_SQL} p")
 def conform_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Posts restricted/cast to the fixed post schema (missing columns NULL)."""
-    return IN.conform(posts(spark, sf))
+    return _flat_post(IN.conform(posts(spark, sf)))
+
+
+# a probability as Java writes a double: from 0.001 on plainly, below it as d.dddE-n
+_JAVA_DOUBLE = """CASE WHEN {0} = 0 OR {0} >= 0.001 THEN CAST({0} AS VARCHAR) WHEN contains(CAST({0} AS VARCHAR), 'e')
+  THEN regexp_replace(regexp_replace(CAST({0} AS VARCHAR), 'e-0?', 'E-'), '^(\\d)E', '\\1.0E')
+  ELSE regexp_replace(regexp_replace(CAST({0} AS VARCHAR), '^0\\.0*(\\d)(\\d*)$', '\\1.\\2'), '\\.$', '.0') || 'E-'
+       || (length(regexp_extract(CAST({0} AS VARCHAR), '^0\\.(0*)', 1)) + 1) END""".format("flood_probability")
 
 
-@register("geojson_posts")
+@register("geojson_posts", f"""
+SELECT tweetid, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']}},"properties":{{"id_num":' || id_num
+  || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || '","flood_probability":' || {_JAVA_DOUBLE} || ',"country":"' || country
+  || '","user_id":' || user_id || ',"id":"' || tweetid || '"}}}}' AS feature FROM {POSTS_SQL} p""")
 def geojson_posts(spark: SparkSession, sf: str) -> DataFrame:
     """One GeoJSON Feature per post."""
     return IN.to_geojson(posts(spark, sf).drop("props"))
@@ -206,7 +254,7 @@ def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select(eid.alias("event_id"), outer.alias("raw"))
 
 
-def _gazetteer(spark: SparkSession, sf: str) -> DataFrame:
+def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     """Gazetteer from the nation table: each name at the centre of its grid rectangle."""
     nat = table(spark, sf, "nation")
     k = F.col("n_nationkey")
@@ -215,33 +263,77 @@ def _gazetteer(spark: SparkSession, sf: str) -> DataFrame:
                       ((k % 10) * 36 - 180 + 18).cast("double").alias("lon"))
 
 
-@register("normalize_raw_posts")
-def normalize_raw_posts(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalize raw nested posts; ok rows."""
+# the fields that the raw posts above must get, from the events themselves: the place is the nation named in the text, the
+# location its gazetteer point, the country the first polygon around it
+NORMAL_SQL = f"""
+WITH e AS (SELECT event_id, ts, user_id, event_type, value / CAST(500.0 AS DOUBLE) AS p, user_id % 25 AS k FROM events WHERE event_id % 53 <> 0 AND event_id % 41 <> 0),
+g AS (SELECT n_nationkey AS k, n_name, CAST(floor(n_nationkey / 10) * 24 - 60 + 12 AS DOUBLE) AS plat, CAST((n_nationkey % 10) * 36 - 180 + 18 AS DOUBLE) AS plon FROM nation),
+c AS (SELECT * FROM {COUNTRIES_SQL} c),
+hits AS (SELECT g.k, c.fid, c.name FROM g JOIN c ON true
+         WHERE list_reduce(list_transform(c.rings, lambda r: CASE WHEN {RING_SQL} THEN 1 ELSE 0 END), lambda a, b: a + b, 0) % 2 = 1),
+first AS (SELECT k, arg_min(name, fid) AS country FROM hits GROUP BY k)
+SELECT CAST(event_id AS VARCHAR) AS tweetid, date_trunc('milliseconds', ts) AS created_at, CASE WHEN event_id % 4 = 1 THEN 0 ELSE p END AS flood_probability,
+       plat AS lat, plon AS lon, 'Flood ' || event_type || ' near ' || n_name || ' #' || event_type || ' @user' || user_id || ' http://x.example/' || event_id AS text,
+       CASE WHEN event_id % 5 > 1 THEN user_id END AS user_id, CASE WHEN event_id % 5 > 1 THEN 'u' || user_id END AS user_name,
+       CASE WHEN event_id % 5 > 1 THEN ' ' || n_name || ' ' END AS user_location, country, 'en' AS lang, n_name AS place,
+       list_sort(list_distinct(['flood', CASE event_type WHEN 'purchase' THEN 'purchas' ELSE event_type END, 'near', lower(n_name), event_type])) AS tokens,
+       ['http://m.example/' || event_id || '.jpg', 'https://m.example/' || event_id || '.jpg'] AS media_urls,
+       {_null_columns('tweetid', 'created_at', 'flood_probability', 'text', 'user_id', 'user_name', 'user_location', 'country', 'lang', 'place', 'tokens', 'media_urls')}
+FROM e JOIN g USING (k) LEFT JOIN first USING (k)"""
+
+
+def _normalized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from tidewatch.operators.geojoin import countries_from_nations
 
-    ok, _ = normalize(raw_posts(spark, sf), _gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")),
-                      now=datetime(2024, 2, 1))
-    return ok
+    return normalize(raw_posts(spark, sf), gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), now=datetime(2024, 2, 1))
+
 
+def sorted_post(df: DataFrame) -> DataFrame:
+    return _flat_post(df).withColumn("tokens", F.array_sort("tokens"))
 
-@register("normalize_rejects")
+
+@register("normalize_raw_posts", NORMAL_SQL)
+def normalize_raw_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalize raw nested posts; ok rows."""
+    return sorted_post(_normalized(spark, sf)[0])
+
+
+@register("normalize_rejects", """
+SELECT CASE WHEN event_id % 53 = 0 THEN 'missing annotations' ELSE 'unsupported language: xx' END AS reason, count(*) AS n
+FROM events WHERE event_id % 53 = 0 OR event_id % 41 = 0 GROUP BY 1""")
 def normalize_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """P13 rejects: records that cannot be normalized, with a reason (never an abort)."""
-    _, rej = normalize(raw_posts(spark, sf), now=datetime(2024, 2, 1))
-    return rej.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _normalized(spark, sf)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("renormalize_posts")
+@register("renormalize_posts", NORMAL_SQL)
 def renormalize_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Full scan + re-normalize of already-normalized rows (idempotent)."""
     from tidewatch.operators.geojoin import countries_from_nations
 
-    ok, _ = normalize(raw_posts(spark, sf), _gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")),
-                      now=datetime(2024, 2, 1))
-    again, _ = renormalize(ok, _gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")),
-                           now=datetime(2024, 2, 1))
-    return again
+    ok, _ = _normalized(spark, sf)
+    again, _ = renormalize(ok, gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), now=datetime(2024, 2, 1))
+    return sorted_post(again)
+
+
+@register("records_shaped", """
+SELECT event_id, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'right' ELSE 'left' END AS n_a, 'e' || event_type AS n_b,
+       event_type AS kind, CAST(user_id AS VARCHAR) AS who, ts + INTERVAL 9 HOUR AS in_japan, ts - INTERVAL 9 HOUR AS from_japan FROM events""")
+def records_shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested merge of two records, name-value pairs as a map (the last of a name), dropped keys, times in a zone."""
+    ev = table(spark, sf, "events")
+    names = F.struct(F.lit("left").alias("a"), F.concat(F.lit("e"), "event_type").alias("b"))
+    left = F.struct(F.col("event_id").cast("string").alias("id"), names.alias("n"))
+    half = F.when(F.col("event_id") % 2 == 0, "right")
+    right = F.struct(F.lit(None).cast("string").alias("id"), F.when(half.isNotNull(), F.struct(half.alias("a"), F.lit(None).cast("string").alias("b"))).alias("n"))
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    ev = ev.select("event_id", "ts", left.alias("l"), right.alias("r"), F.array(
+        pair("kind", F.lit("first")), pair("who", F.col("user_id")), pair("kind", F.col("event_type"))).alias("pairs"))
+    both = RC.merge_nested(F.col("l"), F.col("r"), ev.schema["l"].dataType)
+    ev = ev.withColumns({"m": both, "of": RC.pairs_to_map(F.col("pairs"), "name", "value")})
+    out = ev.select("event_id", "m.id", F.col("m.n.a").alias("n_a"), F.col("m.n.b").alias("n_b"), F.col("of")["kind"].alias("kind"), F.col("of")["who"].alias("who"),
+                    RC.to_zone(F.col("ts"), "Asia/Tokyo").alias("in_japan"), RC.from_zone(F.col("ts"), "Asia/Tokyo").alias("from_japan"), "l", "r")
+    return RC.drop_keys(out, "l", "r", "not there")
 
 
 # ------------------------------------------------------------------ C2-C4 flows on parts

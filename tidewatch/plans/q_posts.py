@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,6 +237,46 @@ def lookup_names(spark: SparkSession, sf: str) -> DataFrame:
         F.sum(F.when(F.col("e.hit"), F.col("id_num"))), F.lit(0)).cast("long").alias("ids"))
 
 
+# time phrases with a fixed clock, Wednesday 2024-01-17 10:30 UTC, and the ranges they stand for
+_CLOCK = datetime(2024, 1, 17, 10, 30)
+_PHRASES = {
+    "today": ("2024-01-17 00:00:00", "2024-01-17 23:59:59"), "yesterday": ("2024-01-16 00:00:00", "2024-01-16 23:59:59"),
+    "this week": ("2024-01-15 00:00:00", "2024-01-21 23:59:59"), "last week": ("2024-01-08 00:00:00", "2024-01-14 23:59:59"),
+    "this month": ("2024-01-01 00:00:00", "2024-01-31 23:59:59"), "last month": ("2023-12-01 00:00:00", "2023-12-31 23:59:59"),
+    "this year": ("2024-01-01 00:00:00", "2024-12-31 23:59:59"), "last year": ("2023-01-01 00:00:00", "2023-12-31 23:59:59"),
+    "2024-01-03|2024-01-05": ("2024-01-03 00:00:00", "2024-01-05 23:59:59"), "2024-01-03|2024-01-04T12:15": ("2024-01-03 00:00:00", "2024-01-04 12:15:00"),
+    "2 hours ago|now": ("2024-01-17 08:30:00", "2024-01-17 10:30:00"), "yesterday|now": ("2024-01-16 10:30:00", "2024-01-17 10:30:00"),
+    "3 days ago|now": ("2024-01-14 10:30:00", "2024-01-17 10:30:00"), "1 week ago|yesterday": ("2024-01-10 10:30:00", "2024-01-16 10:30:00"),
+}
+_ZONED = {"Japan": ("today", "2024-01-16 15:00:00", "2024-01-17 14:59:59"), "America/Lima": ("2024-01-03|2024-01-05", "2024-01-03 05:00:00", "2024-01-06 04:59:59")}
+_BOUNDS = {"created_at": ("2024-01-05T10:00", "created_at >= '2024-01-05 10:00:00' AND created_at <= '2024-01-05 10:01:00'"),
+           "created_at__exact": ("2024-01-06", "created_at >= '2024-01-06 00:00:00' AND created_at <= '2024-01-06 00:01:00'"),
+           "created_at__gt": ("2024-01-05T10:00:30", "created_at > '2024-01-05 10:00:30'"), "created_at__gte": ("2024-01-20", "created_at >= '2024-01-20 00:00:00'"),
+           "created_at__lt": ("2024-01-05T10:00:00+02:00", "created_at < '2024-01-05 08:00:00'"), "created_at__lte": ("2024-01-05T10:00:00Z", "created_at <= '2024-01-05 10:00:00'")}
+
+
+def _count_sql(name: str, where: str) -> str:
+    return f"SELECT '{name}' AS phrase, count(*) AS n, CAST(coalesce(sum(id_num), 0) AS BIGINT) AS ids FROM {POSTS_SQL} p WHERE {where}"
+
+
+@register("time_phrases", " UNION ALL ".join(
+    [_count_sql(p, f"created_at >= '{a}' AND created_at <= '{b}'") for p, (a, b) in _PHRASES.items()]
+    + [_count_sql(f"{p} in {z}", f"created_at >= '{a}' AND created_at <= '{b}'") for z, (p, a, b) in _ZONED.items()]
+    + [_count_sql(f"{k}={v}", where) for k, (v, where) in _BOUNDS.items()] + [_count_sql("no parameters", "true"), _count_sql("unknown=1", "lat IS NOT NULL AND created_at IS NOT NULL")]))
+def time_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Time phrases with a fixed clock, phrases in a zone, comparisons, no parameters and unknown ones; the
+    matching posts counted in one pass."""
+    df = posts(spark, sf)
+    types = dict(df.dtypes)
+    one = lambda params, **kw: FL.build_filter(params, types, now=_CLOCK.replace(tzinfo=timezone.utc), **kw)
+    preds = {p: one({"created_at": p}) for p in _PHRASES} | {f"{p} in {z}": one({"created_at": p}, tz=z) for z, (p, _, _) in _ZONED.items()}
+    preds |= {f"{k}={v}": one({k: v}) for k, (v, _) in _BOUNDS.items()} | {"no parameters": one({}), "unknown=1": one({"unknown": "1"})}
+    each = F.array(*[F.named_struct(F.lit("phrase"), F.lit(name), F.lit("hit"), F.lit(True) if p is None else p) for name, p in preds.items()])
+    hits = df.select("id_num", F.explode(each).alias("e"))
+    return hits.groupBy(F.col("e.phrase").alias("phrase")).agg(F.count_if("e.hit").alias("n"), F.coalesce(
+        F.sum(F.when(F.col("e.hit"), F.col("id_num"))), F.lit(0)).cast("long").alias("ids"))
+
+
 @register("seconds_histogram", f"""
 WITH c AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1)
 SELECT count(*) AS buckets, CAST(sum(coalesce(n, 0)) AS BIGINT) AS docs, CAST(count(*) FILTER (WHERE n IS NULL) AS BIGINT) AS empty

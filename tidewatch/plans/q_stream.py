@@ -9,6 +9,7 @@ from tidewatch.functions.geo import geohash_sql
 from tidewatch.operators.aggs import instant_to_ntz
 from tidewatch.plans.catalog import register
 from tidewatch.plans.q_cluster import categorize_sql
+from tidewatch.plans.q_ingest import NORMAL_SQL, gazetteer, raw_posts, sorted_post
 from tidewatch.sources.tables import POSTS_SQL, posts, posts_from_events, table
 from tidewatch.streaming import jobs as J
 
@@ -46,18 +47,18 @@ def stream_hotspots_day(spark: SparkSession, sf: str) -> DataFrame:
     return res.select(instant_to_ntz(F.col("window_start")).alias("window_start"), "cell", "doc_count")
 
 
-@register("stream_ingest_raw")
+@register("stream_ingest_raw", NORMAL_SQL)
 def stream_ingest_raw(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: raw records (derived from events, staged as JSON text files) ingested as a
     stream: normalize per micro-batch, upsert by id, rejects to a second sink."""
-    from tidewatch.plans.q_ingest import raw_posts
+    from tidewatch.operators.geojoin import countries_from_nations
 
     out = J.scratch(spark, "ingest")
     raw_posts(spark, sf).select("raw").write.mode("overwrite").text(f"{out}/incoming")
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 4).text(f"{out}/incoming") \
         .select(F.col("value").alias("raw"))
-    J.ingest_stream(stream, f"{out}/table", f"{out}/rejects", f"{out}/checkpoint")
-    return J.read_ingested(spark, f"{out}/table").select("tweetid", "created_at", "flood_probability", "lang", "tokens")
+    J.ingest_stream(stream, f"{out}/table", f"{out}/rejects", f"{out}/checkpoint", gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")))
+    return sorted_post(J.read_ingested(spark, f"{out}/table"))
 
 
 _FRAMES_SRC = f"""(SELECT make_timestamp(epoch_us(created_at) - (((epoch_us(created_at) % 900000000) + 900000000) % 900000000)) AS frame,
