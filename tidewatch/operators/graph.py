@@ -56,8 +56,13 @@ def term_children(df: DataFrame, parents: DataFrame, key: str = "tweetid", token
     df = df.select(key, tokens, "flood_probability")
     if sizes is None:
         df = written(df, "term-children")
-    top = _top_docs(df, parents, key, tokens, top_docs, lo, hi)
-    kids = top.join(_postings(df, key, tokens), "_k").select("parent", "name").distinct()
+    if isinstance(parents, (list, tuple)) and not top_docs:  # all documents of given terms: found and read in one pass
+        wanted = F.array(*[F.lit(p.lower()) for p in parents])
+        docs = df.filter(probability_gate(lo, hi)).select(F.array_intersect(tokens, wanted).alias("in"), F.col(tokens).alias("t")).where(F.size("in") > 0)
+        kids = docs.select(F.explode("in").alias("parent"), "t").select("parent", F.explode("t").alias("name")).distinct()
+    else:
+        top = _top_docs(df, parents, key, tokens, top_docs, lo, hi)
+        kids = top.join(_postings(df, key, tokens), "_k").select("parent", "name").distinct()
     kids = kids.filter(F.col("name") != F.col("parent"))
     sizes = sizes if sizes is not None else term_stats(df.select(tokens), tokens)
     return kids.join(sizes, "name").select("parent", "name", "size")

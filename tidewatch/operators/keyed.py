@@ -49,7 +49,10 @@ def update_fields(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     not in base are ignored. A patch value of NULL sets NULL (presence is per row). Of several
     patch rows for one key the largest (by its values in column order, NULLs lowest) wins."""
     pcols = [c for c in patch.columns if c != key and c in base.columns]
-    one = latest_per_key(patch.select(key, *pcols), key, pcols) if pcols else patch.select(key).distinct()
+    if len(pcols) == 1:  # the largest value of one column is a plain aggregate
+        one = patch.groupBy(key).agg(F.max(pcols[0]).alias(pcols[0]))
+    else:
+        one = latest_per_key(patch.select(key, *pcols), key, pcols) if pcols else patch.select(key).distinct()
     p = one.select(key, *[F.col(c).alias(f"_p_{c}") for c in pcols], F.lit(True).alias("_hit"))
     j = base.join(p, key, "left")
     out = [F.when(F.col("_hit"), F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) if c in pcols else F.col(c)

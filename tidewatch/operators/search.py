@@ -4,9 +4,9 @@ Scoring follows the search engine's defaults: per field, BM25 with k1=1.2, b=0.7
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)), tf-norm = tf (k1+1) / (tf + k1 (1 - b + b dl/avgdl));
 query words are OR-ed (summed within a field); a row's score is its best field.
 
-Plan: field lengths are computed per row (no explode); only occurrences of the query's
-words are exploded and shuffled; corpus statistics are one-row aggregates used as
-scalar subqueries (no cross join).
+Plan: all fields are analyzed in one pass over the rows, which leaves their lengths and the
+query's words in them; only occurrences of the query's words are exploded and shuffled; corpus
+statistics are one aggregate, a row per field.
 """
 
 from __future__ import annotations
@@ -34,10 +34,9 @@ def query_words(query: str) -> list[str]:
 
 
 def _field_words(df: DataFrame, field: str) -> Column:
+    """The field's analyzed words; elements of an array are analyzed together, as no word crosses a space."""
     dtype = dict(df.dtypes)[field]
-    if dtype.startswith("array"):
-        return F.flatten(F.transform(F.col(field), lambda x: analyzed_words(x)))
-    return analyzed_words(F.col(field))
+    return analyzed_words(F.array_join(field, " ") if dtype.startswith("array") else F.col(field))
 
 
 def search(df: DataFrame, query: str, fields=schema.SEARCH_FIELDS, key: str = "tweetid",
@@ -51,26 +50,19 @@ def search(df: DataFrame, query: str, fields=schema.SEARCH_FIELDS, key: str = "t
     if not words or not fields:
         return df.limit(0).withColumn("score", F.lit(0.0))
     wlit = F.array(*[F.lit(w) for w in words])
-    scored = []
-    for f in fields:
-        # one pass over the field: its length and only the query words it contains; the
-        # small result feeds both the corpus statistics and the postings (analyzed once)
-        fw = df.select(F.col(key).alias("_k"), _field_words(df, f).alias("_w"))
-        small = written(fw.select("_k", F.size("_w").alias("dl"),
-                                  F.filter("_w", lambda w: F.array_contains(wlit, w)).alias("hw")), "search")
-        stats = small.filter(F.col("dl") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        n_docs, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-        hits = (small.filter(F.size("hw") > 0).select("_k", "dl", F.explode("hw").alias("word"))
-                .groupBy("_k", "dl", "word").agg(F.count(F.lit(1)).alias("tf")))
-        dfreq = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        tfn = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-        s = hits.join(dfreq, "word").groupBy("_k").agg(F.sum(idf * tfn).alias("score"))
-        scored.append(s)
-    allf = scored[0]
-    for s in scored[1:]:
-        allf = allf.unionByName(s)
-    best = allf.groupBy("_k").agg(F.max("score").alias("score"))
+    # one pass: per field its words, kept as their number and the query words among them
+    fw = df.select(F.col(key).alias("_k"), *[_field_words(df, f).alias(f"_w{i}") for i, f in enumerate(fields)])
+    small = fw.select("_k", F.array(*[F.struct(F.lit(i).alias("field"), F.size(f"_w{i}").alias("dl"), F.filter(
+        f"_w{i}", lambda w: F.array_contains(wlit, w)).alias("hw")) for i in range(len(fields))]).alias("_f"))
+    small = written(small, "search").select("_k", F.explode("_f").alias("f")).select("_k", "f.*").where("dl > 0")
+    stats = small.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hits = small.where(F.size("hw") > 0).select("_k", "field", "dl", F.explode("hw").alias("word")) \
+        .groupBy("_k", "field", "dl", "word").agg(F.count(F.lit(1)).alias("tf"))
+    dfreq = hits.groupBy("field", "word").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tfn = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(F.broadcast(dfreq.join(stats, "field")), ["field", "word"])  # a row per field and query word
+    best = scored.groupBy("_k", "field").agg(F.sum(idf * tfn).alias("score")).groupBy("_k").agg(F.max("score").alias("score"))
     rows = df if where is None else df.filter(where)
     return rows.join(best.withColumnRenamed("_k", key), key)
 
