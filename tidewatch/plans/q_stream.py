@@ -12,6 +12,7 @@ from tidewatch.plans.q_cluster import categorize_sql
 from tidewatch.plans.q_ingest import NORMAL_SQL, gazetteer, raw_posts, sorted_post
 from tidewatch.sources.tables import POSTS_SQL, posts, posts_from_events, table
 from tidewatch.streaming import jobs as J
+from tidewatch.streaming import sketches as SK
 
 R = 6
 
@@ -47,6 +48,23 @@ def stream_hotspots_day(spark: SparkSession, sf: str) -> DataFrame:
     return res.select(instant_to_ntz(F.col("window_start")).alias("window_start"), "cell", "doc_count")
 
 
+@register("stream_sketches_day", f"""
+SELECT day, CAST(sum(c) AS BIGINT) AS n, true AS distinct_fits, true AS median_fits, list(country ORDER BY c DESC, country) AS countries
+FROM (SELECT date_trunc('day', created_at) AS day, country, count(*) AS c FROM {POSTS_SQL} p GROUP BY 1, 2) GROUP BY day""")
+def stream_sketches_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct users, median probability and most frequent countries a day from sketches per micro-batch, held against the exact values."""
+    stream = posts_from_events(J.read_table_stream(spark, sf, "events"))
+    out = J.scratch(spark, "stream-sketch")
+    J.run_partials(stream, SK.sketch_partials, f"{out}/table", f"{out}/checkpoint")
+    est = SK.estimates(SK.merge_sketches(spark.read.parquet(f"{out}/table")), 100, (0.47, 0.53))
+    est = est.select(instant_to_ntz(F.col("key")).alias("day"), "n", "n_distinct", "quantile_47", "quantile_53", "top")
+    exact = posts(spark, sf).groupBy(F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day")).agg(
+        F.count_distinct("user_id").alias("users"), F.median("flood_probability").alias("median"))
+    countries = F.transform(F.array_sort(F.transform("top", lambda x: F.struct((-x["count"]).alias("c"), x["item"].alias("item")))), lambda x: x["item"])
+    return est.join(exact, "day").select("day", "n", (F.abs(F.col("n_distinct") - F.col("users")) <= 0.03 * F.col("users") + 1).alias("distinct_fits"),
+                                         F.col("median").between(F.col("quantile_47"), F.col("quantile_53")).alias("median_fits"), countries.alias("countries"))
+
+
 @register("stream_ingest_raw", NORMAL_SQL)
 def stream_ingest_raw(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: raw records (derived from events, staged as JSON text files) ingested as a
