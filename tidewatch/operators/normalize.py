@@ -19,8 +19,11 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidewatch import schema
 from tidewatch.functions.geo import mean_point
+from tidewatch.functions.language import language_of
 from tidewatch.functions.text import HASHTAG_STRIP, analyzed_words, token_words, tokens_from_words
+from tidewatch.operators.aggs import outcome_counts
 from tidewatch.operators.geojoin import country_of, place_key
+from tidewatch.operators.keyed import upsert
 from tidewatch.sources.ingest import conform
 from tidewatch.session import written
 
@@ -178,13 +181,14 @@ def _split(df: DataFrame, cond: Column) -> DataFrame:
 def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: DataFrame | None = None,
               raw_col: str = "raw", now: datetime | None = None, languages=schema.LANGUAGES,
               prefer_user_place: bool = True, detect: bool = True,
-              use_text_places: bool = True) -> tuple[DataFrame, DataFrame]:
+              use_text_places: bool = True, profiles: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Full normalization -> (ok rows in POST_SCHEMA, rejects(raw, reason)).
 
     language -> timestamp -> geotag (point, bounding-box mean, location point/ring,
     geocoded place, geocoded author place) -> country (polygon, overridden by the
     structured place's country) -> hashtags/media from the whole record -> flatten ->
-    tokens (+hashtags) -> conform.
+    tokens (+hashtags) -> conform. The language is that of the nearest n-gram profile if `profiles`
+    are given (`functions.language`), else of the most common words; the record's own where there is none.
     """
     v0 = F.try_parse_json(F.col(raw_col))
     base = raw.select(F.col(raw_col).alias("_raw"), v0.alias("_v"))
@@ -240,7 +244,10 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     # every field is extracted once per record; the joins below (gazetteer, text places,
     # polygons) reuse this written stage instead of re-reading and re-parsing the input
     df = written(df, "normalize")
-    lang = detect_language(F.col("text"), F.col("_lang_in"), F.col("_words")) if detect else F.col("_lang_in")
+    if detect and profiles:
+        lang = F.coalesce(language_of("text", profiles), F.col("_lang_in"))
+    else:
+        lang = detect_language(F.col("text"), F.col("_lang_in"), F.col("_words")) if detect else F.col("_lang_in")
     df = df.withColumn("lang", lang)
     # X13 + J2: geocode place names (distinct keys once) when no direct location
     if gazetteer is not None:
@@ -322,3 +329,17 @@ def renormalize(df: DataFrame, gazetteer=None, countries=None, **kw) -> tuple[Da
         F.struct(texts.alias("hashtags"), media.alias("media")).alias("entities"),
     ))
     return normalize(conform(df).select(rec.alias("raw")), gazetteer, countries, **kw)
+
+
+def renormalize_into(base: DataFrame, stale: DataFrame, gazetteer=None, countries=None, key: str = "tweetid", **kw) -> tuple[DataFrame, DataFrame]:
+    """S8 in one call: the rows of `stale` normalized again and written into `base` by key -> (new table, tally).
+
+    `base` has the columns of POST_SCHEMA; of several rows of a key in `stale` the one with the latest
+    created_at wins (then the larger record hash). The tally counts keys created and updated and rows failed;
+    failed rows leave the table as it was.
+    """
+    ok, rejects = renormalize(stale, gazetteer, countries, **kw)
+    order = F.struct(F.col("created_at").alias("t"), F.xxhash64(F.to_json(F.struct(*ok.columns))).alias("h"))
+    merged, outcomes = upsert(conform(base), ok.withColumn("_o", order), key, "_o")
+    failed = rejects.select(F.lit("failed").alias("outcome"))
+    return merged, outcome_counts(outcomes.select("outcome").unionByName(failed))

@@ -3,10 +3,10 @@ representative split (C1) and its flows (C3, C4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.geo import geohash_sql
+from tidewatch.functions.geo import geohash_sql, mean_point
 from tidewatch.operators import cluster as C
 from tidewatch.functions.text import NORMALIZE_STEPS
 from tidewatch.plans.catalog import register
@@ -168,3 +168,70 @@ def cluster_members_orders(spark: SparkSession, sf: str) -> DataFrame:
     members = C.assign_clusters(orders, segs, ["o_orderstatus", "o_orderpriority"])
     return members.groupBy("seg_o_orderstatus", "seg_o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("o_totalprice"), 6).alias("total_price"))
+
+
+_BOXES = _GEO_SEG_SQL.replace("SELECT r.cell, 'country' AS term", ", seg AS (SELECT r.cell, 'country' AS term").rstrip() + ")"
+
+
+@register("geo_members_box", _BOXES.replace("round(CASE", "(CASE").replace(" END, 6)", " END)") + f"""
+SELECT cell AS seg_cell, value AS seg_value, count(*) AS n_docs, CAST(sum(id_num) AS BIGINT) AS ids
+FROM seg JOIN {POSTS_SQL} p ON p.country = seg.value AND lat BETWEEN bottom_right_lat AND top_left_lat AND lon BETWEEN top_left_lon AND bottom_right_lon
+GROUP BY 1, 2""")
+def geo_members_box(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 by box: the posts inside each segment's widened box, neighbours of another cell included."""
+    p = posts(spark, sf)
+    segments = C.geo_cluster_segments(p, ["country"], precision=5)
+    members = C.assign_geo_clusters(p, segments, ["country"], 5, "box")
+    return members.groupBy("seg_cell", "seg_value").agg(F.count("*").alias("n_docs"), F.sum("id_num").alias("ids"))
+
+
+_TAGGED = f"""d AS (SELECT id_num, lat, lon, CASE WHEN user_id % 7 <> 0 THEN country END AS kind, CASE WHEN id_num % 11 <> 0 THEN
+  list_filter([country, 'u' || (user_id % 3), CASE WHEN id_num % 2 = 0 THEN 'even' END, country], lambda x: x IS NOT NULL) END AS tags FROM {POSTS_SQL} p)"""
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    p = posts(spark, sf)
+    tags = F.array("country", F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")), F.when(F.col("id_num") % 2 == 0, "even"), "country")
+    return p.select("id_num", "location", F.when(F.col("user_id") % 7 != 0, F.col("country")).alias("kind"),
+                    F.when(F.col("id_num") % 11 != 0, F.filter(tags, lambda x: x.isNotNull())).alias("tags"))
+
+
+@register("segments_tags", f"""WITH {_TAGGED},
+l1 AS (SELECT kind, count(*) AS n FROM d WHERE kind IS NOT NULL GROUP BY 1 ORDER BY n DESC, kind LIMIT 3),
+l2 AS (SELECT kind, tag AS tags, count(*) AS doc_count FROM (SELECT kind, unnest(list_distinct(tags)) AS tag FROM d) WHERE kind IN (SELECT kind FROM l1) GROUP BY 1, 2),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_count DESC, tags) AS rn FROM l2)
+SELECT kind, tags, doc_count FROM r2 WHERE rn <= 3 AND doc_count >= 5""")
+def segments_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 with nulls and an array: kind (null for some) > tags (null or repeated for some), the top three of each."""
+    return C.cluster_segments(_tagged(spark, sf), ["kind", "tags"], size=3)
+
+
+@register("geo_segments_tags", f"""WITH {_TAGGED},
+p AS (SELECT *, {geohash_sql('lat', 'lon', 3)} AS cell FROM d),
+f AS (SELECT cell, 'tags' AS term, unnest(list_distinct(tags)) AS value FROM p UNION ALL SELECT cell, 'kind', kind FROM p WHERE kind IS NOT NULL),
+g AS (SELECT cell, term, value, count(*) AS doc_count FROM f GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell, term ORDER BY doc_count DESC, value) AS rn FROM g)
+SELECT cell, term, value, doc_count FROM r WHERE rn <= 10 AND doc_count >= 5""")
+def geo_segments_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 with nulls and an array: geohash-3 cells by tags and by kind."""
+    return C.geo_cluster_segments(_tagged(spark, sf), ["tags", "kind"], precision=3).select("cell", "term", "value", "doc_count")
+
+
+@register("split_lists_parts", f"""WITH c AS ({categorize_sql("part", ["p_brand", "p_type"], "p_partkey", "p_name")})
+SELECT CASE WHEN representative THEN 'representative' ELSE 'other' END AS list, p_brand, p_type, p_partkey,
+       row_number() OVER (PARTITION BY representative, p_brand, p_type ORDER BY rank_key DESC, p_partkey) AS position FROM c""")
+def split_lists_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The two lists of each cluster as they are ordered, with the place of each part in its list."""
+    lists = C.split_lists(C.categorize(table(spark, sf, "part"), ["p_brand", "p_type"], "p_partkey", "p_name"), ["p_brand", "p_type"], "p_partkey")
+    rows = [d.select(F.lit(name).alias("list"), "p_brand", "p_type", "p_partkey", F.monotonically_increasing_id().alias("at")) for name, d in zip(("representative", "other"), lists)]
+    w = Window.partitionBy("list", "p_brand", "p_type").orderBy("at")
+    return rows[0].unionByName(rows[1]).withColumn("position", F.row_number().over(w)).drop("at")
+
+
+@register("mean_points_country", f"SELECT country, CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM {POSTS_SQL} p GROUP BY 1, 2")
+def mean_points_country(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean of the coordinate lists of each country and day."""
+    p = posts(spark, sf).groupBy("country", F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day")).agg(
+        F.collect_list(F.array("location.lon", "location.lat")).alias("points"))
+    mean = mean_point("points")
+    return p.select("country", "day", F.round(mean["lat"], R).alias("lat"), F.round(mean["lon"], R).alias("lon"))

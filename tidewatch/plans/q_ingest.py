@@ -17,7 +17,7 @@ from tidewatch.operators.normalize import normalize, renormalize
 from tidewatch.plans.catalog import register
 from tidewatch.plans.q_cluster import categorize_sql
 from tidewatch.plans.q_geo import COUNTRIES_SQL, RING_SQL
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, written
 from tidewatch.sources import ingest as IN
 from tidewatch.sources.evolution import GrowingTable
 from tidewatch.sources.tables import POSTS_SQL, posts, table
@@ -316,6 +316,21 @@ def renormalize_posts(spark: SparkSession, sf: str) -> DataFrame:
     return sorted_post(again)
 
 
+@register("renormalize_tally", """
+SELECT 'updated' AS outcome, count(*) AS n FROM events WHERE event_id % 53 <> 0 AND event_id % 41 <> 0 AND event_id % 2 = 0
+UNION ALL SELECT 'created', count(*) FROM events WHERE event_id % 53 <> 0 AND event_id % 41 <> 0 AND event_id % 2 = 1
+UNION ALL SELECT 'rows after', count(*) FROM events WHERE event_id % 53 <> 0 AND event_id % 41 <> 0""")
+def renormalize_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """S8 with upsert and tally in one call: all posts normalized again into a table that holds half of them."""
+    from tidewatch.operators.geojoin import countries_from_nations
+    from tidewatch.operators.normalize import renormalize_into
+
+    ok = written(_normalized(spark, sf)[0], "renormalize")
+    half = ok.where(F.col("tweetid").cast("long") % 2 == 0)
+    merged, tally = renormalize_into(half, ok, gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), now=datetime(2024, 2, 1))
+    return tally.unionByName(merged.agg(F.lit("rows after").alias("outcome"), F.count_distinct("tweetid").alias("n")))
+
+
 @register("records_shaped", """
 SELECT event_id, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'right' ELSE 'left' END AS n_a, 'e' || event_type AS n_b,
        event_type AS kind, CAST(user_id AS VARCHAR) AS who, ts + INTERVAL 9 HOUR AS in_japan, ts - INTERVAL 9 HOUR AS from_japan FROM events""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import schema
+from tidewatch.functions import language as LG
 from tidewatch.functions import text as TX
 from tidewatch.operators import graph as G
 from tidewatch.operators.search import search, term_stats
@@ -58,13 +59,47 @@ def hashtags_documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", TX.hashtags("text").alias("hashtags"))
 
 
-@register("normalize_documents")
+# the steps of the normalization with Unicode classes spelled out for RE2
+_W, _S = r"\p{L}\p{M}\p{N}\p{Pc}", r"\s\v\x{85}\p{Z}\x{1c}-\x{1f}"
+_NORMALIZE_RE2 = (
+    (rf"[{_S}]+&amp;?[{_S}]+", " and "), (r"@[A-Za-z0-9_]+\b", "_USER_ "), (rf"(?i)\b\p{{Nd}}\p{{Nd}}?:\p{{Nd}}\p{{Nd}}[{_S}]*[ap]\.?m\.?\b", "_TIME_"),
+    (rf"(?i)\b\p{{Nd}}\p{{Nd}}?[{_S}]*[ap]\.?m\.?\b", "_TIME_"), (r"(?i)\b\p{Nd}\p{Nd}?:\p{Nd}\p{Nd}:\p{Nd}\p{Nd}\b", "_TIME_"),
+    (r"(?i)\b\p{Nd}\p{Nd}?:\p{Nd}\p{Nd}\b", "_TIME_"), (rf"(?i)\bhttps?:[^{_S}]+", " _URL_ "), (rf"(?i)[{_S}]+https?$", " _URL_"),
+    (rf"[^{_W}{_S}:'\",.()#@?!/\x{{2019}}_]+", ""), (r"\n", " "), (rf"[{_S}]{{2,}}", " "), (rf"^[{_S}]+|[{_S}]+$", ""))
+
+
+def _normalize_sql(expr: str) -> str:
+    for pattern, repl in _NORMALIZE_RE2:
+        expr = f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', '{repl}', 'g')"
+    return expr
+
+
+@register("normalize_documents", f"SELECT doc_id, {_normalize_sql('text')} AS normalized FROM documents")
 def normalize_documents(spark: SparkSession, sf: str) -> DataFrame:
     """X1 over whole documents (Unicode regex semantics; checked against Python `re` in tests)."""
     d = table(spark, sf, "documents")
     return d.select("doc_id", TX.normalize_aggressive("text").alias("normalized"))
 
 
+@register("language_documents", f"""
+WITH w AS (SELECT doc_id, lang, ' ' || unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) || ' ' AS w FROM documents),
+u AS (SELECT doc_id, lang, w, count(*) AS times FROM w GROUP BY ALL),
+g AS (SELECT doc_id, lang, substr(w, CAST(i AS INT), CAST(o AS INT)) AS gram, times FROM (
+        SELECT doc_id, lang, w, times, o, unnest(range(1, length(w) - o + 2)) AS i FROM u, (VALUES (1), (2), (3)) x(o))),
+c AS (SELECT doc_id, lang, gram, sum(times) AS n FROM g WHERE gram <> ' ' GROUP BY ALL),
+own AS (SELECT * FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(gram)) - 1 AS r FROM c) WHERE r < {LG.PROFILE}),
+p AS (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(gram)) - 1 AS r FROM (
+        SELECT lang, gram, sum(n) AS n FROM c WHERE lang IS NOT NULL AND doc_id % 3 <> 0 GROUP BY 1, 2)) WHERE r < {LG.PROFILE}),
+d AS (SELECT o.doc_id, l.lang, CAST(sum(CASE WHEN p.r IS NULL THEN {LG.PROFILE} ELSE abs(p.r - o.r) END) AS BIGINT) AS far
+      FROM own o CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = o.gram GROUP BY 1, 2)
+SELECT documents.doc_id, (SELECT arg_min(d.lang, (d.far, d.lang)) FROM d WHERE d.doc_id = documents.doc_id) AS lang_pred FROM documents""")
+def language_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """the nearest language profile of every whole document, learned from those whose id is no multiple of three."""
+    d = table(spark, sf, "documents")
+    profiles = LG.collected(LG.language_profiles(d.where(F.col("doc_id") % 3 != 0)))
+    return d.select("doc_id", LG.language_of("text", profiles).alias("lang_pred"))
+
+
 @register(
     "slug_parts",
     r"SELECT p_partkey, regexp_replace(p_name || ' ' || p_type, '[^\p{L}\p{M}\p{N}_]+', '_', 'g') AS slug FROM part",
