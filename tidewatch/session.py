@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,9 +68,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _ensure_checkpoint_dir(spark)
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Owner of the intermediate tables that operators write to the shared folder inside the block: they are
+    deleted when it ends. Write or collect the results inside; lazy results that outlive it have lost their tables."""
+    paths: list[str] = []
+    _owners.append(paths)
+    try:
+        yield
+    finally:
+        _owners.remove(paths)
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def owned(path: str) -> str:
+    """The path of a new intermediate table, noted for the innermost `scratch_tables` block, if there is one."""
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to a fresh shared folder and read back: computed once, no cache to
     release, and a lost executor takes nothing with it."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = owned(f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
