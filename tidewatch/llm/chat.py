@@ -157,7 +157,10 @@ def _digest_rows(tokenizer: str):
 
 def conversation_digests(segments: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Per conversation, read back from the formatted ids: turn count, digests of turns and of the text
-    under the loss mask, and length of the rendered form. Rows stream in order; nothing is gathered."""
+    under the loss mask, and length of the rendered form. Rows stream in order; nothing is gathered.
+
+    A null conv_id is a conversation of its own; repeated rows are turns each; an empty table gives no rows.
+    """
     return segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInPandas(
         _digest_rows(tokenizer), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
         "loss_sha256 string, formatted_chars long, n_tokens long")

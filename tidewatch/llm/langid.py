@@ -107,7 +107,11 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from rows (text, lang); rows with a null lang are left out. The driver gets one row per language and bucket."""
+    """A model from rows (text, lang); rows with a null lang are left out, null texts add nothing, repeated rows count each.
+
+    An empty table gives a model without languages, which predicts ``und``. The driver gets one row per language and
+    bucket that occurs: at most 49,152 a language, so ``lang`` must hold languages and not free text.
+    """
     found = labelled.where("lang is not null").select("text", "lang").mapInPandas(_counts, "lang string, bucket int, n long") \
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())

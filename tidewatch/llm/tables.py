@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.session import checkpoint_dir
+from tidewatch.session import checkpoint_dir, owned
 
 
 class Scratch:
@@ -21,8 +21,11 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/tidewatch-llm/{name}-{uuid.uuid4().hex}"
         self._made: list[Table] = []
 
-    def write(self, df: DataFrame) -> "Table":
+    def write(self, df: DataFrame, result: bool = False) -> "Table":
+        """A table of this folder; a ``result`` outlives the ``scratch_tables`` block it is written in."""
         path = f"{self.root}/t{len(self._made):03d}"
+        if not result:
+            owned(path)
         df.write.parquet(path)
         self._made.append(Table(self.spark, path, df.schema))
         return self._made[-1]
