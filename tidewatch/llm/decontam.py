@@ -20,7 +20,7 @@ only rows whose hash occurs in the benchmark reach a shuffle, as long as these h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import Scratch
@@ -120,23 +120,21 @@ def _item_windows(items: DataFrame, size: int, window: int) -> DataFrame:
                                                         (F.col("f.slotted") & (F.col("f.form") != "p")).alias("slotted"))
 
 
-def _contradicting(values: DataFrame, lines: DataFrame, line: list[str]) -> DataFrame:
-    """The lines whose slot values do not fit: two values for one of the item within a line, or another value than the
-    line with most windows has, or than the best supported of the other lines (ties: nearest to that line, then first)."""
-    one, own = line[:-1], values.groupBy(*line, "item_value").agg(F.min("value").alias("value"), F.max("value").alias("other"))
-    uneven = own.where("value != other").select(*line).distinct()
-    best = lines.join(uneven, line, "left_anti").groupBy(*one).agg(
-        F.max(F.struct("windows", (-F.col("offset")).alias("at"))).alias("b")).select(*one, (-F.col("b.at")).alias("anchor"))
-    own = own.where("value = other").join(uneven, line, "left_anti").join(lines, line).join(best, one).select(
-        *line, "item_value", "value", "anchor", "windows")
-    first = own.where("offset = anchor").select(*one, "item_value", F.col("value").alias("first"))
-    own = own.join(first, [*one, "item_value"], "left")
-    against = own.where("value != first").select(*line).distinct()
-    rest = own.join(against, line, "left_anti")
-    said = rest.groupBy(*one, "item_value").agg(F.min_by("value", F.struct(
-        -F.col("windows"), F.abs(F.col("offset") - F.col("anchor")), "offset")).alias("said"))
-    late = rest.join(said, [*one, "item_value"]).where("value != said").select(*line).distinct()
-    return uneven.unionByName(against).unionByName(late)
+def _contradicting(values: DataFrame, one: list[str]) -> DataFrame:
+    """The lines (``one``, offset) whose slot values do not fit: two values for one of the item within a line, or another
+    value than the line with most windows has, or than the best supported of the other lines (ties: nearest to that
+    line, then first). Rows: ``one``, offset, windows (of the line), item_value, value."""
+    own = values.repartition(*one).groupBy(*one, "offset", "windows", "item_value").agg(F.min("value").alias("value"), F.max("value").alias("other"))
+    line, slot, all_ = Window.partitionBy(*one, "offset"), Window.partitionBy(*one, "item_value"), Window.partitionBy(*one)
+    own = own.withColumn("uneven", F.max(F.col("value") != F.col("other")).over(line))
+    best = F.max(F.when(~F.col("uneven"), F.struct("windows", (-F.col("offset")).alias("at")))).over(all_)
+    own = own.withColumn("anchor", -best["at"])
+    own = own.withColumn("first", F.max(F.when(F.col("offset") == F.col("anchor"), F.col("value"))).over(slot))
+    own = own.withColumn("against", F.max(F.coalesce(F.col("value") != F.col("first"), F.lit(False))).over(line))
+    fits = ~F.col("uneven") & ~F.col("against")
+    said = F.min(F.when(fits, F.struct((-F.col("windows")).alias("w"), F.abs(F.col("offset") - F.col("anchor")).alias("far"), "offset", "value"))).over(slot)
+    own = own.withColumn("late", fits & F.coalesce(F.col("value") != said["value"], F.lit(False)))
+    return own.where("uneven or against or late").select(*one, "offset").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -178,14 +176,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source = docs.join(pairs.select(F.col("id").alias("_found")).distinct(), F.col(id_col).cast("long") == F.col("_found"), "left_semi")
     values = pairs.join(_forms(source, id_col, text_col).select("id", "row", "p").distinct(), ["id", "row"]).select(
         *line, "form", F.explode(F.arrays_zip("t", "l", "item_value", part("p", "pos").alias("value"))).alias("v"))
-    values = values.select(*line, "form", "v.item_value", "v.value", F.startswith(F.col("v.t"), F.lit("<")).alias("strict"), F.startswith(F.col("v.l"), F.lit("<")).alias("loose"))
-    values = scratch.write(values.where("strict or (loose and form = 'l')").drop("loose").distinct()).df
-    lines = scratch.write(pairs.groupBy(*line).agg(F.count_distinct("pos").alias("windows"))).df
-    bad = scratch.write(_contradicting(values.where("strict").drop("form", "strict").distinct(), lines, line)).df
-    left = values.where("form = 'l'").join(bad, line, "left_anti").drop("form", "strict").distinct()
-    loose = scratch.write(_contradicting(left, lines.join(bad, line, "left_anti"), line).withColumn("form", F.lit("l"))).df
-    good = hits.where("slotted").join(bad, line, "left_anti").join(loose, [*line, "form"], "left_anti")
-    good = hits.where("not slotted").unionByName(good)
+    lines = pairs.groupBy(*line).agg(F.count_distinct("pos").alias("windows"))
+    bound = F.when(F.startswith(F.col("v.t"), F.lit("<")), F.array(F.lit("t"), F.lit("l"))).when(
+        (F.col("form") == "l") & F.startswith(F.col("v.l"), F.lit("<")), F.array(F.lit("l")))
+    values = values.select(*line, F.explode(bound).alias("form"), "v.item_value", "v.value").join(lines, line)
+    bad = scratch.write(_contradicting(values, [*line[:-1], "form"])).df
+    good = hits.where("not slotted").unionByName(hits.where("slotted").join(bad, [*line, "form"], "left_anti"))
     n = good.select("item", "id", "key").distinct().groupBy("item", "id").agg(F.count("*").alias("windows"))
     return n.join(total, "item").where(F.col("windows") >= F.lit(share) * F.col("total")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), "windows",
