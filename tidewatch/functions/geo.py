@@ -1,4 +1,4 @@
-"""Geo Column expressions: geohash, bounding boxes, distances, centroids.
+"""Geo Column expressions: geohash, bounding boxes, centroids (distances: `functions.geodesic`).
 
 All of these compile to JVM expressions (whole-stage codegen); no Python runs per row.
 """
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the geohash base-32 alphabet.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
-EARTH_RADIUS_M = 6371008.8
 
 
 def _col(c) -> Column:
@@ -84,15 +83,6 @@ def in_bbox(lat, lon, top_left_lat, top_left_lon, bottom_right_lat, bottom_right
     return lat_ok & lon_ok
 
 
-def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in metres (mean Earth radius; within ~0.5 % of the ellipsoid)."""
-    rl1, rl2 = F.radians(_col(lat1)), F.radians(_col(lat2))
-    dlat = rl2 - rl1
-    dlon = F.radians(_col(lon2)) - F.radians(_col(lon1))
-    a = F.pow(F.sin(dlat / 2), 2) + F.cos(rl1) * F.cos(rl2) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
-
-
 def widen_box(top_left_lat, top_left_lon, bottom_right_lat, bottom_right_lon, eps: float = 0.001) -> Column:
     """Degenerate box sides are widened by +-eps (a single point becomes a small box)."""
     tl_lat, tl_lon = _col(top_left_lat), _col(top_left_lon)

@@ -14,27 +14,6 @@ from tidewatch.functions.geodesic import distances_m
 from tidewatch.operators.cover import MAX_EDGES, MAX_POLYGONS, cell_of, contains, quadtree_cover
 
 
-def ring_contains(ring: Column, lat: Column, lon: Column) -> Column:
-    """Even-odd ray casting of (lat, lon) against a ring array<struct<lon, lat>>."""
-    n = F.size(ring)
-    idx = F.sequence(F.lit(0), n - 1)
-
-    def step(acc, i):
-        a = F.element_at(ring, i + 1)
-        b = F.element_at(ring, F.when(i == 0, n).otherwise(i))
-        straddles = (a["lat"] > lat) != (b["lat"] > lat)  # implies a.lat != b.lat (no zero division)
-        crosses = F.when(straddles, lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"])
-        return F.when(F.coalesce(crosses, F.lit(False)), ~acc).otherwise(acc)
-
-    return F.when(n >= 3, F.aggregate(idx, F.lit(False), step)).otherwise(F.lit(False))
-
-
-def polygon_contains(rings: Column, lat: Column, lon: Column) -> Column:
-    """Point in polygon with holes: inside an odd number of rings (outer + holes)."""
-    hits = F.aggregate(rings, F.lit(0), lambda acc, r: acc + F.when(ring_contains(r, lat, lon), 1).otherwise(0))
-    return (hits % 2) == 1
-
-
 def country_of(points: DataFrame, countries: DataFrame, lat: str = "location.lat", lon: str = "location.lon",
                key: str = "tweetid", out: str = "country", max_polygons: int = MAX_POLYGONS, max_edges: int = MAX_EDGES) -> DataFrame:
     """Each point gets the name of the first polygon (smallest fid) containing it, else NULL.
