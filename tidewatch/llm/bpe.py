@@ -4,7 +4,8 @@ The pre-tokens of a text that are new to a task are laid end to end as one linke
 pair whose bytes are a vocabulary entry puts its position into the bucket of that entry's rank; a bitmap of three
 levels, 64 bits a word, marks the buckets in use. Finding the first set bit gives the lowest rank; its positions are
 merged from left to right, and each merge puts the two new neighbour pairs into their buckets. Entries whose pair has
-changed since are stale and skipped. The work is linear in the number of merges, so a pre-token of any length is
+changed since are stale and skipped. The positions of a large bucket are merged together with numpy, on the same lists, unless
+two of them overlap or a merge brings up a lower rank. The work is linear in the number of merges, so a pre-token of any length is
 encoded whole. Short pre-tokens are remembered with their ids.
 
 A vocabulary is a file of ranks (base64 of the bytes, then the rank, per line); ids are ranks.
@@ -13,9 +14,10 @@ A vocabulary is a file of ranks (base64 of the bytes, then the rank, per line);
 from __future__ import annotations
 
 import base64
+import sys
+import types
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Remembered pre-tokens per worker, and the longest one that is remembered.
-CACHE = 300_000
+#: Remembered pre-tokens per worker and generation, and the longest one that is remembered.
+CACHE = 150_000
 CACHE_BYTES = 48
 #: Bytes of new pre-tokens that share one queue (a longer one has its own).
 QUEUE_BYTES = 1 << 20
+#: Positions of a bucket from which on it is merged with numpy.
+LARGE = 48
 #: Bytes of text per output batch (a longer text is a batch of its own).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class RankQueue:
@@ -74,9 +78,9 @@ class RankQueue:
 
 
 class Vocabulary:
-    """Entries, ranks and mergeable pairs of one rank file."""
+    """Entries and, unless it only decodes, ranks and mergeable pairs of one rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, encodes: bool = True):
         self.split = regex.compile(pattern)
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -84,6 +88,15 @@ class Vocabulary:
         if len(self.entries) != len(self.ranks) or any(bytes([i]) not in self.ranks for i in range(256)):
             raise ValueError("ranks must be distinct and cover all single bytes")
         self.size = max(self.entries) + 1
+        lengths = np.zeros(self.size, np.int64)
+        for r, b in self.entries.items():
+            lengths[r] = len(b)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.bytes = np.frombuffer(b"".join(self.entries.get(r, b"") for r in range(self.size)), np.uint8)
+        del self.entries
+        if not encodes:
+            del self.ranks
+            return
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pairs: dict[int, int] = {}  # left id and right id -> rank of both together
         for entry, rank in self.ranks.items():
@@ -91,16 +104,14 @@ class Vocabulary:
                 left, right = self.ranks.get(entry[:cut]), self.ranks.get(entry[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        self._hash_pairs()
         self.byte_pairs = np.array([[self.pairs.get(a << 32 | b, -1) for b in self.byte_ids.tolist()] for a in self.byte_ids.tolist()], np.int32)
-        self.known: dict[str, list[int]] = {}
-        lengths = np.zeros(self.size, np.int64)
-        for r, b in self.entries.items():
-            lengths[r] = len(b)
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.bytes = np.frombuffer(b"".join(self.entries.get(r, b"") for r in range(self.size)), np.uint8)
+        #: Remembered pre-tokens: those of the present generation and of the one before it.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece (none empty): all in one linked list, with one rank queue."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece (none empty) as the bytes of int32 numbers: all in one linked list, with one rank queue."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(raw)
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
@@ -110,7 +121,8 @@ class Vocabulary:
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends[:-1]] = -1
-        ids, cur, nxt, prv = (array("i", x.astype(np.int32).tobytes()) for x in (self.byte_ids[raw], rank, after, before))
+        ids, cur, nxt, prv = lists = tuple(array("i", x.astype(np.int32).tobytes()) for x in (self.byte_ids[raw], rank, after, before))
+        views = tuple(np.frombuffer(x, np.int32) for x in lists)
         queue, pair_rank = RankQueue(self.size), self.pairs.get
         buckets = queue.buckets
         at = np.flatnonzero(rank >= 0)
@@ -120,6 +132,8 @@ class Vocabulary:
             queue.push(int(rank[part[0]]), part.tolist())
         while (r := queue.lowest()) >= 0:
             todo = queue.take(r)
+            if len(todo) >= LARGE and self._merge_all(r, todo, queue, *views):
+                continue
             todo.sort()
             for k, i in enumerate(todo):
                 if cur[i] != r:
@@ -154,26 +168,93 @@ class Vocabulary:
                     if k + 1 < len(todo):
                         queue.push(r, todo[k + 1:])
                     break
-        left = np.frombuffer(ids, np.int32)
+        left = views[0]
         alive = left >= 0
         count = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))]
-        flat = left[alive].tolist()
-        return [flat[a:b] for a, b in zip(count[:-1].tolist(), count[1:].tolist())]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts. A pre-token that is a vocabulary entry is that entry."""
+        flat, bound = left[alive].tobytes(), (4 * count).tolist()
+        return [flat[a:b] for a, b in zip(bound, bound[1:])]
+
+    def _hash_pairs(self) -> None:
+        """The pairs as a sparse open hash table of arrays, for many look-ups at once."""
+        keys, ranks = (np.array(list(x), np.int64) for x in (self.pairs.keys(), self.pairs.values()))
+        self.slot_bits = max(10, len(keys).bit_length() + 3)
+        self.slot_keys = np.full((1 << self.slot_bits) + 64, -1, np.int64)
+        self.slot_ranks = np.full(len(self.slot_keys), -1, np.int32)
+        at = self._slot(keys)
+        while len(keys):  # of those that want one free slot the first takes it, the rest go one further
+            free = self.slot_keys[at] < 0
+            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            takes = np.zeros(len(at), bool)
+            takes[first] = True
+            takes &= free
+            self.slot_keys[at[takes]], self.slot_ranks[at[takes]] = keys[takes], ranks[takes]
+            keys, ranks, at = keys[~takes], ranks[~takes], at[~takes] + 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def _pair_ranks(self, keys: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where it is no entry."""
+        at = self._slot(keys)
+        seen = self.slot_keys[at]
+        out = np.where(seen == keys, self.slot_ranks[at], np.int32(-1))
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            at[open_] += 1
+            seen = self.slot_keys[at[open_]]
+            hit = seen == keys[open_]
+            out[open_[hit]] = self.slot_ranks[at[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+    def _merge_all(self, r: int, todo: list[int], queue: RankQueue, ids: np.ndarray, cur: np.ndarray, nxt: np.ndarray, prv: np.ndarray) -> bool:
+        """Merge all positions of a bucket at once; False, with nothing changed, if their order matters."""
+        at = np.array(todo, np.int32)
+        at = at[cur[at] == r]
+        gone = nxt[at]
+        if (cur[gone] == r).any():  # overlapping pairs
+            return False
+        after, before = nxt[gone], prv[at]
+        has = after >= 0
+        behind = after[has]
+        old = ids[at], ids[gone], prv[behind]
+        ids[at], ids[gone], nxt[at], prv[behind], cur[at] = r, -1, after, at[has], -2
+        before = before[before >= 0]
+        before = np.where(ids[before] < 0, prv[before], before)  # the left neighbour may have been merged as well
+        near = np.concatenate((at, before[cur[before] != -2]))
+        pairs = near[nxt[near] >= 0]
+        rank = self._pair_ranks(ids[pairs].astype(np.int64) << 32 | ids[nxt[pairs]])
+        new = rank >= 0
+        if (rank[new] < r).any():
+            ids[at], ids[gone], nxt[at], prv[behind], cur[at] = old[0], old[1], gone, old[2], r
+            return False
+        cur[gone] = cur[near] = -1
+        rank, pairs = rank[new], pairs[new]
+        cur[pairs] = rank
+        order = np.argsort(rank, kind="stable")
+        rank, pairs = rank[order], pairs[order].tolist()
+        cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(pairs)]
+        for i, j, x in zip(cuts, cuts[1:], rank[cuts[:-1]].tolist() if pairs else ()):
+            queue.push(x, pairs[i:j])
+        return True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, each as the bytes of int32 numbers. A pre-token that is a vocabulary entry is that entry."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        known, longer = self.known, {}
+            self.older, self.known = self.known, {}
+        known, older, longer = self.known, self.older, {}
         split = [self.split.findall(t) for t in texts]
-        fresh = set().union(*split).difference(known)
         todo: list[tuple[str, bytes]] = []
         size = 0
-        for w in fresh:
+        for w in set().union(*split).difference(known):
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
             b = w.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(b)
             if whole is not None:
-                known[w] = [whole]
+                known[w] = whole.to_bytes(4, sys.byteorder)
                 continue
             todo.append((w, b))
             size += len(b)
@@ -182,7 +263,7 @@ class Vocabulary:
                 todo, size = [], 0
         self._learn(todo, known, longer)
         ids_of = ({**known, **longer} if longer else known).__getitem__
-        return [list(chain.from_iterable(map(ids_of, words))) for words in split]
+        return [b"".join(map(ids_of, words)) for words in split]
 
     def _learn(self, todo: list[tuple[str, bytes]], known: dict, longer: dict) -> None:
         for (w, b), ids in zip(todo, self.merge([b for _, b in todo]) if todo else ()):
@@ -198,27 +279,29 @@ class Vocabulary:
         return self.bytes[at]
 
 
-_LOADED: dict[tuple[str, str | None], Vocabulary] = {}
-
+def _vocabulary(name: str, pattern: str | None, encodes: bool) -> Vocabulary:
+    """The vocabulary of this worker; ``name`` is a file that ``public_tokenizers`` finds on every executor.
 
-def _vocabulary(name: str, pattern: str | None) -> Vocabulary:
-    """The vocabulary of this worker; ``name`` is a file that ``public_tokenizers`` finds on every executor."""
+    It is kept, with what it has learned, in a module of the worker process: this package's own variables
+    are shipped anew with every task.
+    """
     import public_tokenizers
 
-    if (name, pattern) not in _LOADED:
-        _LOADED[name, pattern] = Vocabulary(public_tokenizers.path(name), pattern or public_tokenizers.PATTERN)
-    return _LOADED[name, pattern]
+    kept = sys.modules.setdefault("_tidewatch_worker", types.ModuleType("_tidewatch_worker")).__dict__.setdefault("vocabularies", {})
+    if (name, pattern, encodes) not in kept:
+        kept[name, pattern, encodes] = Vocabulary(public_tokenizers.path(name), pattern or public_tokenizers.PATTERN, encodes)
+    return kept[name, pattern, encodes]
 
 
 def _encode_rows(name: str, pattern: str | None):
     def batch(ids: list, texts: list[str], v: Vocabulary) -> pa.RecordBatch:
         tokens = v.encode(texts)
-        cut = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
-        flat = np.fromiter(chain.from_iterable(tokens), np.int32, int(cut[-1]))
+        cut = np.concatenate(([0], np.cumsum([len(t) // 4 for t in tokens])))
+        flat = np.frombuffer(b"".join(tokens), np.int32)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))], ["id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(name, pattern)
+        v = _vocabulary(name, pattern, True)
         for b in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(b.column("id").to_pylist(), b.column("text")):
@@ -236,7 +319,7 @@ def _encode_rows(name: str, pattern: str | None):
 
 def _decode_rows(ids_col: str, out_col: str, name: str, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(name, pattern)
+        v = _vocabulary(name, pattern, False)
         for b in batches:
             lists = b.column(ids_col)
             upto = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
