@@ -199,3 +199,33 @@ def test_geo_box_membership(spark):
     ids = lambda how: sorted(r["tweetid"] for r in C.assign_geo_clusters(df, fine, ["country"], 9, how).collect())
     assert ids("cell") == ["0", "1", "2", "3", "4"]
     assert ids("box") == ["0", "1", "2", "3", "4", "9"]
+
+
+def test_items_of_many_copies_meet_in_blocks(spark, monkeypatch):
+    """Texts cut into items of a few ids each, repeated ids included, give the split of whole texts."""
+    monkeypatch.setattr(C, "SLICE", 3)
+    rnd = random.Random(11)
+    texts = ["river over the road"] * 20 + ["river over the roads"] * 9 + ["", ""] + ["dry"] * 5 + ["river over a road"]
+    ids = rnd.sample(range(-500, 500), len(texts))
+    rows = [("a", i, t) for i, t in zip(ids, texts)]
+    df = spark.createDataFrame(rows, "g string, id long, text string")
+    for block in (4, 256):
+        got = {r["id"]: (r["multiplicity"], round(r["centrality"], 6)) for r in C.categorize(df, ["g"], "id", "text", normalize=False, block=block).collect()}
+        assert got == {i: v[:2] for i, v in brute([(i, t) for _, i, t in rows]).items()}
+    twice = C.categorize(df.unionByName(df), ["g"], "id", "text", normalize=False, block=4).collect()
+    assert len(twice) == 2 * len(rows)
+    assert {r["id"]: r["multiplicity"] for r in twice} == {
+        i: max(1, 2 * sum(1 for j, u in zip(ids, texts) if j > i and similarity(t, u) > 0.8)) for i, t in zip(ids, texts)}
+
+
+def test_near_texts_of_many_copies_leave_no_links(spark):
+    """100 near texts of 10 copies: what the compared blocks return grows with the ids, not with texts or ids times near texts."""
+    from tidewatch.session import scratch_tables
+
+    found, kept = [], C.written
+    df = spark.createDataFrame([("a", i, f"a long text about flood {i % 100:02d}") for i in range(1000)], "g string, id long, text string")
+    with pytest.MonkeyPatch.context() as m, scratch_tables(spark):
+        m.setattr(C, "written", lambda t, name: found.append((name, kept(t, name))) or found[-1][1])
+        out = {r["id"]: r["multiplicity"] for r in C.categorize(df, ["g"], "id", "text").collect()}
+        assert [t.count() for name, t in found if name == "categorize-blocks"] == [100]
+    assert out == {i: max(1, 999 - i) for i in range(1000)}

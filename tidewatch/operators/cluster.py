@@ -9,14 +9,14 @@ Representative split (per cluster, over the aggressively normalized text):
 
 Plan for scale:
   * exact copies are collapsed first: *distinct* texts of a cluster are compared and weighted
-    by copy counts, so a text repeated a million times costs one row;
-  * a cluster with k distinct texts is cut into ceil(k / block) hash blocks; each pair of
-    blocks is one unit of work (two blocks of texts, never more), so a hot cluster spreads
-    over many tasks. A unit returns one row per text (similarity sum, smallest near id,
-    number of larger near ids) and never its pairs; only links of texts that have several
-    copies leave it, for their ids have to be ranked;
-  * "how many larger ids" among copies is a radix count: four levels of 16 bits, each a
-    window over at most 65,536 rows, whatever the spacing of the ids;
+    by copy counts. A text with its sorted ids is an item; one with more than `SLICE` copies
+    is several items, its ids dealt out by their hash;
+  * a cluster with k items is cut into ceil(k / block) hash blocks; each pair of blocks is
+    one unit of work (two blocks of items, never more), so a hot cluster spreads over many
+    tasks. A unit returns one row per item (similarity sum, smallest near id, and for each of
+    its ids the number of larger near ids there) and never its pairs;
+  * an id travels once per block of its cluster, so rows and bytes grow with the documents
+    times the blocks, never with the pairs of near texts or of documents and near texts;
   * similarities are summed as integers (15 decimals), so totals (and the int() in the rank
     key) do not depend on shuffle order.
 Centrality sums the similarity of every pair of distinct texts, so the comparisons of a
@@ -39,7 +39,8 @@ from tidewatch.functions.text import normalize_aggressive
 from tidewatch.session import written
 
 SCALE = 10 ** 15             # a similarity (<= 1) as an integer with 15 decimals
-DEFAULT_BLOCK = 256          # distinct texts per block
+DEFAULT_BLOCK = 256          # items per block
+SLICE = 2048                 # ids of an item
 RADIX_BITS = 16              # bits of the id per level of the larger-id count
 _NO_ID = (1 << 63) - 1
 
@@ -74,37 +75,43 @@ def count_greater(queries: DataFrame, members: DataFrame, keys: list[str], id_co
     return asked.join(above, [*keys, "lvl", "b"]).groupBy(*keys, "id").agg(F.sum("_n").alias("n_greater"))
 
 
-_UNIT = ("cid", "p", "q", "blk", "tid", "ntext", "n", "minid")
+_UNIT = ("cid", "p", "q", "blk", "tid", "slice", "ntext", "minid", "ids")
 
 
-def _unit_rows(cid, p, q, blk, tid, ntext, n, minid, threshold: float) -> list[tuple]:
-    """What one pair of blocks says: (cid, tid, other, s, dmin, ng) rows, see `_compare`."""
+def _unit_rows(cid, p, q, blk, tid, slice_, ntext, minid, ids, threshold: float) -> list[tuple]:
+    """What one pair of blocks says: (tid, slice, s, dmin, ids, ng) rows, see `_compare`."""
     same = p[0] == q[0]
     a = np.flatnonzero(blk == p)
     b = a if same else np.flatnonzero(blk != p)
-    if not len(a) or not len(b) or (same and len(a) < 2):
+    if not len(a) or not len(b):
         return []
     sim = similarities(list(ntext[a]), list(ntext[b]))
+    near = sim > threshold
+    if slice_.any():  # items of one text
+        near |= tid[a][:, None] == tid[b][None, :]
     if same:
         np.fill_diagonal(sim, 0.0)
+        np.fill_diagonal(near, True)
+    n = np.array([len(i) for i in ids], np.int64)
     out = []
-    for x, y, m in ((a, b, sim),) if same else ((a, b, sim), (b, a, sim.T)):
-        near = m > threshold
+    for x, y, m, close in ((a, b, sim, near),) if same else ((a, b, sim, near), (b, a, sim.T, near.T)):
         part, copies = np.rint(m * SCALE).astype(np.int64), n[y]
         if int(copies.max()) * len(y) >= 9000:  # the sums may leave 64 bits
             part, copies = part.astype(object), copies.astype(object)
-        dmin = np.where(near, minid[y], _NO_ID).min(axis=1)
-        single = near & (n[y] == 1) & (n[x] == 1)[:, None]
-        ng = (single & (minid[y] > minid[x][:, None])).sum(axis=1)
-        out += [(cid[0], t, None, str(s), d, k) for t, s, d, k in
-                zip(tid[x], (part @ copies).tolist(), dmin.tolist(), ng.tolist())]
-        out += [(cid[0], tid[x[i]], tid[y[j]], None, _NO_ID, 0) for i, j in np.argwhere(near & ~single)]
+        dmin = np.where(close, minid[y], _NO_ID).min(axis=1)
+        others, owner = np.concatenate(ids[y]), np.repeat(np.arange(len(y)), n[y])
+        order = np.argsort(others)
+        others, owner = others[order], owner[order]
+        for i, s, d, row in zip(x, (part @ copies).tolist(), dmin.tolist(), close):
+            mine, found = np.unique(ids[i]), others[row[owner]]
+            out.append((tid[i], slice_[i], str(s), d, mine, len(found) - np.searchsorted(found, mine, "right")))
     return out
 
 
 def _compare(threshold: float):
-    """Rows sorted by (cid, p, q) -> per text and unit its sums, and the links to rank (other not null)."""
-    cols = ["cid", "tid", "other", "s", "dmin", "ng"]
+    """Rows sorted by (cid, p, q) -> per item and unit: similarity sum to the unit's other items, smallest near id, and its
+    distinct ids, each with the number of larger ids of near items."""
+    cols = ["tid", "slice", "s", "dmin", "ids", "ng"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -112,12 +119,13 @@ def _compare(threshold: float):
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             c, p, q, *_ = arrays = [b[k].to_numpy() for k in _UNIT]
             at = [0, *(np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist()]
-            out = []
+            out, size = [], 0
             for i, j in zip(at, at[1:]):
-                out += _unit_rows(*[x[i:j] for x in arrays], threshold)
-                if len(out) > 20_000:
+                new = _unit_rows(*[x[i:j] for x in arrays], threshold)
+                out, size = out + new, size + sum(10 + len(r[4]) for r in new)
+                if size > 200_000:
                     yield pd.DataFrame(out, columns=cols)
-                    out = []
+                    out, size = [], 0
             yield pd.DataFrame(out, columns=cols)
             rest = b.iloc[at[-1]:]
         if rest is not None and len(rest):
@@ -126,20 +134,20 @@ def _compare(threshold: float):
     return run
 
 
-def _compared(texts: DataFrame, single_cluster: bool, threshold: float, block: int) -> DataFrame:
+def _compared(items: DataFrame, single_cluster: bool, threshold: float, block: int) -> DataFrame:
     """All pairs of blocks of each cluster, compared where they are brought together."""
     if single_cluster:  # its size is a scalar subquery (no join on a constant key)
-        t = texts.withColumn("k", texts.agg(F.count(F.lit(1))).scalar())
+        t = items.withColumn("k", items.agg(F.count(F.lit(1))).scalar())
     else:
-        t = texts.join(texts.groupBy("cid").agg(F.count(F.lit(1)).alias("k")), "cid")
+        t = items.join(items.groupBy("cid").agg(F.count(F.lit(1)).alias("k")), "cid")
     t = t.withColumn("nb", F.ceil(F.col("k") / F.lit(block)).cast("int"))
-    t = t.withColumn("blk", F.pmod(F.xxhash64("tid"), F.col("nb")).cast("int"))
-    t = t.select("cid", "tid", "ntext", "n", "minid", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    t = t.select("cid", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "tid", "ntext", "n", "minid")
+    t = t.withColumn("blk", F.pmod(F.xxhash64("tid", "slice"), F.col("nb")).cast("int"))
+    t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    t = t.select("cid", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "tid", "slice", "ntext", "minid", "ids")
     # a given number of partitions: the work is in the comparisons, so small ones must not be merged by size
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return t.repartition(parts, "cid", "p", "q").sortWithinPartitions("cid", "p", "q").mapInPandas(
-        _compare(threshold), "cid string, tid string, other string, s string, dmin long, ng long")
+        _compare(threshold), "tid binary, slice int, s string, dmin long, ids array<long>, ng array<long>")
 
 
 def integral_id(id_col: str) -> Column:
@@ -166,46 +174,38 @@ def categorize(
     Returns one row per input doc: cluster cols, id, text, multiplicity, centrality,
     representative, rank_key. Order a cluster's lists by (rank_key desc, id asc).
     Ids are integral, as text or number (`categorize_rejects` gives the other rows); a NULL
-    text is empty; rows with a NULL cluster column belong to no cluster. The normalized rows
-    and the compared blocks are written to the shared checkpoint folder when this is called.
+    text is empty; rows with a NULL cluster column belong to no cluster. The normalized rows,
+    the items and the compared blocks are written to the shared checkpoint folder when this is called.
     """
     keys = _key(cluster_cols)
-    spark = df.sparkSession
     ntext = normalize_aggressive(F.col(text_col)) if normalize else F.col(text_col)
-    cid = F.sha2(F.to_json(F.array(*[F.col(k).cast("string") for k in keys])), 256) if keys else F.lit("")
+    cid = F.unhex(F.sha2(F.to_json(F.array(*[F.col(k).cast("string") for k in keys])), 256)) if keys else F.lit(b"")
     docs = df.na.drop(subset=keys) if keys else df
     docs = docs.select(*keys, F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), integral_id(id_col).alias("id"),
-                       F.coalesce(ntext, F.lit("")).alias("ntext"), cid.alias("cid"))
-    docs = written(docs.filter(F.col("id").isNotNull()).withColumn("tid", F.sha2("ntext", 256)), "categorize-docs")
-    texts = docs.groupBy("cid", "tid").agg(F.first("ntext").alias("ntext"), F.count(F.lit(1)).alias("n"),
-                                           F.min("id").alias("minid"))
-    found = written(_compared(texts, not keys, threshold, block), "categorize-blocks")
-    texts = docs.groupBy("cid", "tid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("minid"))
-
-    # per distinct text: weighted similarity sum, the smallest id among its near-duplicates,
-    # and the larger ids among those when both texts have one copy
-    sums = found.filter("other is null").groupBy("cid", "tid").agg(
-        F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.min("dmin").alias("dmin"), F.sum("ng").alias("ng"))
-    per_text = texts.join(sums, ["cid", "tid"], "left").select(
-        "cid", "tid", (F.col("n").cast("decimal(38,0)") * SCALE + F.coalesce("s", F.lit(0))).alias("sim_sum"),
-        F.least("minid", "dmin").alias("dup_min"), F.coalesce("ng", F.lit(0)).alias("ng"))
-
-    # links of texts with several copies, a text with itself included: rank the ids
-    many = texts.filter("n > 1")
-    links = found.filter("other is not null").select("cid", "tid", F.col("other").alias("t")).unionByName(
-        many.select("cid", "tid", F.col("tid").alias("t")))
-    other = texts.select("cid", F.col("tid").alias("t"), F.col("n").alias("n_t"), F.col("minid").alias("min_t"))
-    asked = docs.select("cid", "tid", "id").distinct().join(links, ["cid", "tid"]).join(other, ["cid", "t"])
-    one = asked.filter("n_t = 1 and min_t > id").select("cid", "tid", "id", F.lit(1).cast("long").alias("n_greater"))
-    more = asked.filter("n_t > 1").select("cid", "t", "tid", "id")
-    members = docs.select("cid", F.col("tid").alias("t"), "id").join(many.select("cid", F.col("tid").alias("t")), ["cid", "t"])
-    ranked = more.join(count_greater(more.select("cid", "t", "id"), members, ["cid", "t"]), ["cid", "t", "id"])
-    greater = one.unionByName(ranked.select("cid", "tid", "id", "n_greater")).groupBy("cid", "tid", "id").agg(
-        F.sum("n_greater").alias("n_greater"))
-
-    out = docs.join(per_text, ["cid", "tid"]).join(greater, ["cid", "tid", "id"], "left")
+                       F.coalesce(ntext, F.lit("")).alias("ntext"), cid.alias("cid")).filter(F.col("id").isNotNull())
+    # one hash names the cluster and the text
+    docs = written(docs.withColumn("tid", F.unhex(F.sha2(F.concat("cid", F.encode("ntext", "UTF-8")), 256))), "categorize-docs")
+    many = docs.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE)
+    many = many.select("tid", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))  # one row in SLICE documents at most
+    dealt = docs.select("cid", "tid", "ntext", "id").join(F.broadcast(many), "tid", "left")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int"))
+    items = written(dealt.groupBy("tid", "slice").agg(F.first("cid").alias("cid"), F.first("ntext").alias("ntext"), F.min("id").alias("minid"),
+                                                      F.collect_list("id").alias("ids")), "categorize-items")
+    found = written(_compared(items, not keys, threshold, block), "categorize-blocks")
+
+    # per distinct text: weighted similarity sum and the smallest id among its near-duplicates; each of its
+    # items meets all others, those of the same text included
+    per_item = found.groupBy("tid", "slice").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.min("dmin").alias("dmin"))
+    sizes = items.select("tid", "slice", F.size("ids").alias("n"))
+    per_text = per_item.join(sizes, ["tid", "slice"]).groupBy("tid").agg(
+        F.min("dmin").alias("dup_min"), F.max(F.col("n").cast("decimal(38,0)") * SCALE + F.col("s")).alias("sim_sum"))
+    greater = found.join(per_text, "tid").select("tid", "dup_min", "sim_sum", F.explode(F.arrays_zip("ids", "ng")).alias("_z"))
+    greater = greater.groupBy("tid", F.col("_z.ids").alias("id")).agg(
+        F.sum("_z.ng").alias("n_greater"), F.min("dup_min").alias("dup_min"), F.min("sim_sum").alias("sim_sum"))
+
+    out = docs.select(*keys, "_id", "_text", "id", "tid").join(greater, ["tid", "id"])
     is_dup = F.col("id") > F.col("dup_min")
-    multiplicity = F.greatest(F.col("ng") + F.coalesce("n_greater", F.lit(0)), F.lit(1)).cast("long")
+    multiplicity = F.greatest("n_greater", F.lit(1)).cast("long")
     centrality = F.when(is_dup, F.lit(0.0)).otherwise(F.lit(2.0) * F.col("sim_sum").cast("double") / F.lit(float(SCALE)))
     out = out.select(*keys, F.col("_id").alias(id_col), F.col("_text").alias(text_col),
                      multiplicity.alias("multiplicity"), centrality.alias("centrality"))
