@@ -37,3 +37,20 @@ def test_normalizer_takes_the_nearest_profile(spark):
     recs.append((json.dumps({"id": 99, "text": "123", "lang": "fr", "annotations": {"flood_probability": 0.5}}),))
     ok, _ = normalize(spark.createDataFrame(recs, "raw string"), now=datetime(2024, 1, 1), profiles=profiles)
     assert {r["tweetid"]: r["lang"] for r in ok.collect()} == {**{str(i): r["lang"] for i, r in enumerate(some)}, "99": "fr"}
+
+
+def test_grams_of_words_that_come_several_times():
+    """Numbers and ranking, gram by gram."""
+    from collections import Counter
+
+    for text in ("Aa aa AA b b ccc", "x" * 90 + " xx xx", "ß ß ßß 12 é", "", None, "one"):
+        want = Counter()
+        for word in LG._WORDS.findall((text or "").lower()):
+            padded = f" {word} "
+            want.update(padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1))
+        want.pop(" ", None)
+        assert LG.grams(text) == want
+        assert LG.ranked(LG.grams(text)) == [g for g, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[:LG.PROFILE]]
+        codes, _ = LG._coded(text)
+        assert [LG._gram(c) for c in codes.tolist()] == sorted(want) and [LG._code(g) for g in sorted(want)] == codes.tolist()
+    assert LG._summed([LG._coded("aa b"), LG._coded(None), LG._coded("b")])[1].tolist() == LG._coded("aa b b")[1].tolist()
