@@ -115,3 +115,18 @@ def test_ingest_upserts_and_tally(spark, tmp_path):
     assert got == {"1": "second", "2": "b", "3": "c"}
     assert {r["outcome"]: r["n"] for r in J.read_outcomes(spark, str(tmp_path / "t")).collect()} == {
         "created": 3, "updated": 1, "failed": 1}
+
+
+def test_rejects_come_from_the_read_stage_and_fields_from_one_lookup(spark):
+    """The envelope's keys (JSON null included) win over the outer ones, field by field; rejects need no join."""
+    from tidewatch.operators.normalize import normalize
+
+    raw = ['{"annotations":{"flood_probability":0.5},"lang":"en","text":"outer","user":{"id":1,"name":"o"},"tweet":{"id":7,"text":"inner the","user":null}}',
+           '{"id":8,"annotations":{"flood_probability":["yes",0.25]},"lang":"en","text":"outer the","user":{"id":1,"name":"o"},"tweet":"{\\"user\\":{\\"id\\":2}}"}',
+           '{"id":9,"lang":"en","text":"the"}', 'no record', None, '{"id":10,"annotations":{"flood_probability":1},"lang":"xx","text":"q"}']
+    ok, rejects = normalize(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    assert sorted((r["tweetid"], r["text"], r["user_id"], r["user_name"], r["flood_probability"]) for r in ok.collect()) == [
+        ("7", "inner the", None, None, 0.5), ("8", "outer the", 2, None, 0.25)]
+    assert sorted((str(r["raw"])[:8], r["reason"]) for r in rejects.collect()) == [
+        ("None", "unparsable record"), ("no recor", "unparsable record"), ('{"id":10', "unsupported language: xx"), ('{"id":9,', "missing annotations")]
+    assert "Join" not in rejects._jdf.queryExecution().optimizedPlan().toString()

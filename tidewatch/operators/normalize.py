@@ -23,7 +23,7 @@ from tidewatch.functions.language import language_of
 from tidewatch.functions.text import HASHTAG_STRIP, analyzed_words, token_words, tokens_from_words
 from tidewatch.operators.aggs import outcome_counts
 from tidewatch.operators.geojoin import country_of, place_key
-from tidewatch.operators.keyed import upsert
+from tidewatch.operators.keyed import latest_per_key, upsert
 from tidewatch.sources.ingest import conform
 from tidewatch.session import written
 
@@ -65,21 +65,25 @@ def envelope_text(v: Column) -> Column:
 
 def lift_envelope(v: Column) -> Column:
     """The inner `tweet` record (object, or JSON string parsed); NULL without one.
-    Field reads prefer it over the outer record (see `first_path`)."""
+    Field reads prefer it over the outer record (see `top_value`)."""
     tw = _get(v, "$.tweet", "variant")
     return F.when(_envelope_is_object(v), tw).otherwise(F.try_parse_json(envelope_text(v)))
 
 
-def first_path(v: Column, inner: Column, path: str, typ: str = "string") -> Column:
-    """P2 for one lifted key: the inner record's value when it has the key, else the outer's."""
-    top = path.split(".")[1]
-    return F.when(inner.isNotNull() & _has(inner, top), _get(inner, path, typ)).otherwise(_get(v, path, typ))
+# The record's keys that are read; each is looked up once per record, its fields inside it.
+TOP_KEYS = ("annotations", "text", "lang", "coordinates", "place", "location", "user", "id", "created_at", "timestamp_ms",
+            "country", "representative")
 
 
-def flood_probability(v: Column, inner: Column) -> Column:
+def top_value(v: Column, inner: Column, key: str) -> Column:
+    """P2 for one lifted key: the inner record's value when it has the key (a JSON null too), else the outer's."""
+    return F.coalesce(F.variant_get(inner, f"$.{key}", "variant"), F.variant_get(v, f"$.{key}", "variant"))
+
+
+def flood_probability(annotations: Column) -> Column:
     """P5: scalar, or ["yes"|"no", p] -> p when "yes" else 0; missing -> NULL (rejected).
     The envelope's own `annotations` override the outer ones."""
-    fp = first_path(v, inner, "$.annotations.flood_probability", "variant")
+    fp = _get(annotations, "$.flood_probability", "variant")
     is_arr = F.try_variant_get(fp, "$", "array<variant>").isNotNull()
     pair = F.when(_get(fp, "$[0]") == F.lit("yes"), _get(fp, "$[1]", "double")).otherwise(F.lit(0.0))
     return F.when(is_arr, pair).otherwise(_get(fp, "$", "double"))
@@ -167,17 +171,6 @@ def walk_record(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([record_tags(r) for r in raw], columns=["tags", "media"])
 
 
-def _split(df: DataFrame, cond: Column) -> DataFrame:
-    """Keep rows where `cond` holds, computed once per row.
-
-    A plain filter on the computed reason would be pushed below the projection with
-    every field expression it depends on substituted in (re-parsing the record once
-    per reference); exploding a one-or-zero element array keeps the test above it.
-    """
-    keep = F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
-    return df.select("*", F.explode(keep).alias("_keep")).drop("_keep")
-
-
 def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: DataFrame | None = None,
               raw_col: str = "raw", now: datetime | None = None, languages=schema.LANGUAGES,
               prefer_user_place: bool = True, detect: bool = True,
@@ -195,12 +188,15 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     v = F.col("_v")
     base = base.select("*", lift_envelope(v).alias("_in"))
     base = base.select("*", walk_record("_raw").alias("_walk"))
-    i = F.col("_in")
-    g = lambda path, typ="string": first_path(v, i, path, typ)
+    base = base.select("_raw", "_walk", v.isNotNull().alias("_parsed"), F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
+                       *[top_value(v, F.col("_in"), k).alias(f"_top_{k}") for k in TOP_KEYS])
 
-    text = g("$.text")
-    lang_in = g("$.lang")
-    fp = flood_probability(v, i)
+    def g(path: str, typ: str = "string") -> Column:
+        top, _, rest = path[2:].partition(".")
+        return _get(F.col(f"_top_{top}"), f"$.{rest}" if rest else "$", typ)
+
+    base = base.select("*", g("$.text").alias("text"), g("$.lang").alias("_lang_in"))
+    fp = flood_probability(F.col("_top_annotations"))
 
     # X11: point, bounding-box ring mean, location point or ring
     coord_lon, coord_lat = g("$.coordinates.coordinates[0]", "double"), g("$.coordinates.coordinates[1]", "double")
@@ -216,13 +212,13 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     user_place = F.trim(F.coalesce(g("$.user.location"), g("$.user.derived.locations[0].locality")))
 
     df = base.select(
-        "_raw", "_v", "_in",
+        "_raw",
         # compact record key for the joins below: two independent hashes and the length
         F.struct(F.xxhash64("_raw").alias("h1"), F.hash("_raw").alias("h2"), F.length("_raw").alias("n")).alias("_rk"),
         g("$.id").alias("_id"),
-        text.alias("text"),
-        lang_in.alias("_lang_in"),
-        token_words(text).alias("_words"),  # analyzed once: language check and tokens
+        "text",
+        "_lang_in",
+        token_words("text").alias("_words"),  # analyzed once: language check and tokens
         fp.alias("flood_probability"),
         repair_timestamp(g("$.created_at"), g("$.timestamp_ms")).alias("created_at") if now is None
         else repair_timestamp(g("$.created_at"), g("$.timestamp_ms"), now).alias("created_at"),
@@ -238,17 +234,27 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
         g("$.representative", "boolean").alias("representative"),
         F.col("_walk.tags").alias("_tags"),
         F.col("_walk.media").alias("media_urls"),
-        v.isNotNull().alias("_parsed"),
-        F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
-    ).drop("_v", "_in")
-    # every field is extracted once per record; the joins below (gazetteer, text places,
-    # polygons) reuse this written stage instead of re-reading and re-parsing the input
-    df = written(df, "normalize")
+        "_parsed",
+        "_has_ann",
+    )
     if detect and profiles:
         lang = F.coalesce(language_of("text", profiles), F.col("_lang_in"))
     else:
         lang = detect_language(F.col("text"), F.col("_lang_in"), F.col("_words")) if detect else F.col("_lang_in")
     df = df.withColumn("lang", lang)
+    reason = (F.when(~F.col("_parsed"), F.lit("unparsable record"))
+              .when(~F.col("_has_ann"), F.lit("missing annotations"))
+              .when(F.col("flood_probability").isNull(), F.lit("missing flood_probability"))
+              .when(F.col("_id").isNull(), F.lit("missing id"))
+              .when(~F.col("lang").isin(list(languages)), F.concat(F.lit("unsupported language: "), F.coalesce(F.col("lang"), F.lit("null")))))
+    df = df.withColumn("_reason", reason)
+    df = df.withColumn("_raw", F.when(F.col("_reason").isNotNull(), F.col("_raw"))).drop("_parsed", "_has_ann", "_lang_in")
+    # every field is extracted once per record; the joins below (gazetteer, text places,
+    # polygons) reuse this written stage instead of re-reading and re-parsing the input, and
+    # take the rows that are not rejected
+    df = written(df, "normalize")
+    rejects = df.where("_reason is not null").select(F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
+    df = df.where("_reason is null").drop("_raw", "_reason")
     # X13 + J2: geocode place names (distinct keys once) when no direct location
     if gazetteer is not None:
         gz = gazetteer.select(place_key("place").alias("_pk"), F.struct("lat", "lon").alias("_g")).groupBy("_pk").agg(
@@ -300,14 +306,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     df = df.withColumn("country", country).withColumn("place", place)
     tokens = F.array_distinct(F.concat(tokens_from_words(F.col("_words"), F.col("lang")), F.col("_tags")))
     df = df.withColumn("tokens", F.array_sort(tokens))
-    reason = (F.when(~F.col("_parsed"), F.lit("unparsable record"))
-              .when(~F.col("_has_ann"), F.lit("missing annotations"))
-              .when(F.col("flood_probability").isNull(), F.lit("missing flood_probability"))
-              .when(F.col("_id").isNull(), F.lit("missing id"))
-              .when(~F.col("lang").isin(list(languages)), F.concat(F.lit("unsupported language: "), F.coalesce(F.col("lang"), F.lit("null")))))
-    df = df.withColumn("_reason", reason)
-    rejects = _split(df, F.col("_reason").isNotNull()).select(F.col("_raw").alias("raw"), F.col("_reason").alias("reason"))
-    ok = conform(_split(df, F.col("_reason").isNull()))
+    ok = conform(df)
     return ok, rejects
 
 
@@ -340,6 +339,7 @@ def renormalize_into(base: DataFrame, stale: DataFrame, gazetteer=None, countrie
     """
     ok, rejects = renormalize(stale, gazetteer, countries, **kw)
     order = F.struct(F.col("created_at").alias("t"), F.xxhash64(F.to_json(F.struct(*ok.columns))).alias("h"))
-    merged, outcomes = upsert(conform(base), ok.withColumn("_o", order), key, "_o")
+    updates = written(latest_per_key(ok.withColumn("_o", order), key, "_o").select(*ok.columns), "renormalized")  # read by the table and by the tally
+    merged, outcomes = upsert(conform(base), updates, key)
     failed = rejects.select(F.lit("failed").alias("outcome"))
     return merged, outcome_counts(outcomes.select("outcome").unionByName(failed))

@@ -215,12 +215,15 @@ def geojson_posts(spark: SparkSession, sf: str) -> DataFrame:
     return IN.to_geojson(posts(spark, sf).drop("props"))
 
 
-def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
+def raw_posts(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
     """Raw nested posts derived from events (JSON text), in the shapes the normalizer
     accepts: an envelope in half of them, point / bounding box / place-name locations,
     scalar or [label, p] probabilities, ISO or platform timestamps, and some records
-    that must be rejected (no annotations, unsupported language)."""
+    that must be rejected (no annotations, unsupported language). With `parts` the events are dealt out
+    while the rows are small: a file of few row groups would be parsed by few tasks."""
     ev = table(spark, sf, "events")
+    if parts:
+        ev = ev.repartition(parts, "event_id")
     nat = table(spark, sf, "nation").select("n_nationkey", "n_name")
     ev = ev.join(nat, (ev.user_id % 25) == nat.n_nationkey, "left")
     eid = F.col("event_id")
@@ -285,7 +288,8 @@ FROM e JOIN g USING (k) LEFT JOIN first USING (k)"""
 def _normalized(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from tidewatch.operators.geojoin import countries_from_nations
 
-    return normalize(raw_posts(spark, sf), gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), now=datetime(2024, 2, 1))
+    raw = raw_posts(spark, sf, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return normalize(raw, gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), now=datetime(2024, 2, 1))
 
 
 def sorted_post(df: DataFrame) -> DataFrame:
