@@ -42,13 +42,25 @@ _LATEST_SQL = """(SELECT o_orderkey, arg_max(o_orderstatus, (version, o_totalpri
               l_extendedprice * (1 - l_discount) AS o_totalprice FROM lineitem) v GROUP BY o_orderkey)"""
 
 
-def _write_arrays(rows: DataFrame, files: str, order: str, path: str) -> None:
-    """One JSON array file per value of `files`: its records in `order`, all but the first after a comma."""
-    w = Window.partitionBy(files).orderBy(order)
-    lines = rows.select(files, F.lit(1).alias("part"), F.col(order).alias("at"), F.to_json(F.struct("*")).alias("value"), F.row_number().over(w).alias("n"))
-    lines = lines.withColumn("value", F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "value")).drop("n")
-    ends = rows.select(files).distinct().select(files, F.lit(2).alias("part"), F.lit(None).cast(dict(rows.dtypes)[order]).alias("at"), F.lit("]").alias("value"))
-    lines.unionByName(ends).repartition(files).sortWithinPartitions(files, "part", "at").select(files, "value").write.partitionBy(files).text(path)
+def _write_arrays(rows: DataFrame, files: str, order: str, path: str, most: int = 400_000) -> None:
+    """One JSON array per value of `files`: its records in `order`, in the folder `files`=value. An array of more than about
+    `most` records is cut into that many parts of the range of `order`, array files that hold it in name order; each is
+    sorted and written by itself, so no task's sort grows with the rows."""
+    largest = rows.groupBy(files).count().agg(F.max("count")).first()[0] or 0
+    n = max(1, -(-largest // most))
+    lines = rows.select(files, F.col(order).alias("at"), F.to_json(F.struct("*")).alias("value"))
+    if n > 1:
+        cuts = rows.groupBy(F.col(files).alias("_f")).agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n).alias("cuts"))  # one row a file
+        lines = lines.join(F.broadcast(cuts), F.col(files).eqNullSafe(F.col("_f")))
+        below = F.size(F.filter("cuts", lambda x: x < F.col("at")))
+    else:
+        below = F.lit(0)
+    lines = lines.select(files, F.format_string("%06d", F.when(F.col("at").isNull(), 0).otherwise(below)).alias("part"), "at", "value")  # without a key: first
+    parts = n * rows.select(files).distinct().count()
+    w = Window.partitionBy(files, "part").orderBy("at", "value")
+    text = F.concat(F.when(F.row_number().over(w) == 1, "[").otherwise(","), "value", F.when(F.lead("value").over(w).isNull(), "]").otherwise(""))
+    lines = lines.repartition(parts, files, "part").withColumn("text", text).sortWithinPartitions(files, "part", "at", "value")
+    lines.select(files, "part", F.col("text").alias("value")).write.partitionBy(files, "part").text(path)
 
 
 @register(
@@ -57,11 +69,11 @@ def _write_arrays(rows: DataFrame, files: str, order: str, path: str) -> None:
   SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS pos FROM orders) o WHERE pos >= 100 AND pos < 3100""",
 )
 def load_json_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """A slice of the records of every file of a folder of JSON array files, read split by split."""
+    """A slice of the records of every array of a folder of JSON array files, read split by split."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/json-orders-{uuid.uuid4().hex[:12]}"
     _write_arrays(table(spark, sf, "orders").withColumn("file", F.col("o_orderkey") % 4), "file", "o_orderkey", path)
     raw = F.parse_json("raw")
-    return IN.load_json(spark, path, 100, 3000).select(
+    return IN.load_json(spark, path, 100, 3000, array=F.regexp_extract("file", "/file=([^/]*)/", 1)).select(
         (F.variant_get(raw, "$.o_orderkey", "bigint") % 4).alias("file"), "pos", F.variant_get(raw, "$.o_orderkey", "bigint").alias("o_orderkey"),
         F.variant_get(raw, "$.o_orderstatus", "string").alias("o_orderstatus"), F.round(F.variant_get(raw, "$.o_totalprice", "double"), 4).alias("o_totalprice"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,12 @@ from tidewatch.sources.json_array import json_elements
 
 
 def load_json(spark: SparkSession, path: str, start: int = 0, n: int | None = None,
-              json_lines: bool = False, order_col: str | None = None) -> DataFrame:
+              json_lines: bool = False, order_col: str | None = None, array: Column | None = None) -> DataFrame:
     """Records [start, start+n) of a JSON file as a `raw` JSON-text column plus `pos`.
 
     By default a file is one JSON array, which several tasks read split by split; positions count
-    per file. With `json_lines=True` it is JSON Lines; a slice then needs an explicit `order_col`
+    per file. `array`, a value made from the path in column `file`, tells which files are parts of one
+    large array: positions then run on through them in name order. With `json_lines=True` it is JSON Lines; a slice then needs an explicit `order_col`
     inside the records.
     """
     if n is not None and n <= 0:
@@ -34,7 +35,13 @@ def load_json(spark: SparkSession, path: str, start: int = 0, n: int | None = No
         pos = F.variant_get(v, f"$.{order_col}", "bigint")
         out = lines.select(pos.alias("pos"), F.col("value").alias("raw"))
     else:
-        out = json_elements(spark, path).select("pos", F.to_json(F.parse_json("value")).alias("raw"))
+        out = json_elements(spark, path)
+        if array is not None:
+            counts = out.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # one row a file
+            before = Window.partitionBy(array).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+            counts = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+            out = out.join(F.broadcast(counts), "file").withColumn("pos", F.col("pos") + F.col("before"))
+        out = out.select("pos", F.to_json(F.parse_json("value")).alias("raw"))
     out = out.filter(F.col("pos") >= start)
     if n is not None:
         out = out.filter(F.col("pos") < start + n)

@@ -125,8 +125,8 @@ def json_elements(spark: SparkSession, path: str, level: int = 1) -> DataFrame:
     pieces = written(lines.mapInArrow(_pieces(begins, level), "file string, split long, no long, text string, last boolean"), "json-array")
     counts = pieces.where("last").select("file", "split", F.col("no").alias("n"))  # elements ended before the split's last piece
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    numbered = pieces.join(counts, ["file", "split"]).select("file", (F.col("before") + F.col("no")).alias("pos"), "split", "text",
+    counts = counts.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row a split: the texts stay where they are
+    numbered = pieces.join(F.broadcast(counts), ["file", "split"]).select("file", (F.col("before") + F.col("no")).alias("pos"), "split", "text",
                                                             (F.col("last") | (F.col("no") == 0)).alias("edge"))
     joined = numbered.where("edge").groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("p")) \
         .select("file", "pos", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("value"))
