@@ -1,10 +1,13 @@
 """Steps whose memory must not grow with the input."""
 
 import json
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewatch.operators.normalize import normalize, record_tags, walk_record
 from tidewatch.plans.q_ingest import _write_arrays
 from tidewatch.sources.ingest import load_json
 
@@ -34,3 +37,26 @@ def test_empty_arrays_among_the_parts_take_no_number(spark, tmp_path):
         path.write_text(json.dumps(records))
     got = load_json(spark, str(tmp_path), array=F.regexp_extract("file", "/array=([^/]*)/", 1)).collect()
     assert sorted((r["pos"], json.loads(r["raw"])["x"]) for r in got) == [(0, 0), (0, 0), (1, 1), (2, 2)]
+
+
+def _walk_peak(n):
+    """Bytes of Python objects held at most while a batch of n records is walked."""
+    raw = pa.array([json.dumps({"id": i, "text": f"w #t{i}", "entities": {"media": [{"media_url": f"http://m.example/{i}.jpg"}]}}) if i % 7 else None for i in range(n)])
+    tracemalloc.start()
+    out = walk_record.func(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [dict(zip(("tags", "media"), record_tags(r))) for r in raw.to_pylist()]
+    return peak
+
+
+def test_the_walk_holds_no_batch_as_python_objects(spark):
+    assert _walk_peak(0) < 100_000  # also an empty batch
+    assert _walk_peak(20_000) < 3 * _walk_peak(2_000)
+
+
+def test_the_joins_have_no_python_for_stems(spark):
+    raw = spark.createDataFrame([(json.dumps({"id": 1, "text": "Flooded roads near the river #flood", "lang": "en", "annotations": {"flood_probability": 0.5}}),)], "raw string")
+    ok, _ = normalize(raw)
+    assert ok.first()["tokens"] == ["flood", "near", "river", "road"]
+    assert "_analyze_batch" not in ok._jdf.queryExecution().toString()  # done where the records are walked

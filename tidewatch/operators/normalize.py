@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -157,18 +157,24 @@ def record_tags(raw: str) -> tuple[list, list]:
 
 
 _STRINGS = ArrayType(StringType())
+#: Records whose tags are held as Python objects at a time.
+_WALKED = 500
 
 
-@F.pandas_udf(StructType([StructField("tags", _STRINGS), StructField("media", _STRINGS)]))  # a DDL text would need a session at import
-def walk_record(raw: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("tags", _STRINGS), StructField("media", _STRINGS)]))  # a DDL text would need a session at import
+def walk_record(raw: pa.Array) -> pa.Array:
     """Hashtags and media URLs of whole records, read from the parsed JSON.
 
     Hashtags are the `#words` (X4 rules) of every string in nested objects, plus the entity
     texts of lists; media URLs are `media_url` / `media_url_https` of objects in lists. Both
-    at any depth of nested objects; the envelope's keys override the outer ones. Arrow
-    batches of raw texts: the walk needs unbounded depth, which no JVM expression has.
+    at any depth of nested objects; the envelope's keys override the outer ones. The walk needs
+    unbounded depth, which no JVM expression has. Of an Arrow batch one record, and the tags of `_WALKED`, are Python objects at a time.
     """
-    return pd.DataFrame([record_tags(r) for r in raw], columns=["tags", "media"])
+    parts = []
+    for at in range(0, len(raw), _WALKED):
+        tags, media = zip(*(record_tags(r.as_py()) for r in raw.slice(at, _WALKED)))
+        parts.append(pa.StructArray.from_arrays([pa.array(tags, pa.list_(pa.string())), pa.array(media, pa.list_(pa.string()))], ["tags", "media"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("tags", pa.list_(pa.string())), ("media", pa.list_(pa.string()))]))
 
 
 def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: DataFrame | None = None,
@@ -187,8 +193,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     base = raw.select(F.col(raw_col).alias("_raw"), v0.alias("_v"))
     v = F.col("_v")
     base = base.select("*", lift_envelope(v).alias("_in"))
-    base = base.select("*", walk_record("_raw").alias("_walk"))
-    base = base.select("_raw", "_walk", v.isNotNull().alias("_parsed"), F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
+    base = base.select("_raw", v.isNotNull().alias("_parsed"), F.coalesce(_has(v, "annotations"), F.lit(False)).alias("_has_ann"),
                        *[top_value(v, F.col("_in"), k).alias(f"_top_{k}") for k in TOP_KEYS])
 
     def g(path: str, typ: str = "string") -> Column:
@@ -232,8 +237,6 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
           .alias(f"user_{k}") for k in PRESERVE_USER],
         g("$.country").alias("_own_country"),
         g("$.representative", "boolean").alias("representative"),
-        F.col("_walk.tags").alias("_tags"),
-        F.col("_walk.media").alias("media_urls"),
         "_parsed",
         "_has_ann",
     )
@@ -248,7 +251,10 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
               .when(F.col("_id").isNull(), F.lit("missing id"))
               .when(~F.col("lang").isin(list(languages)), F.concat(F.lit("unsupported language: "), F.coalesce(F.col("lang"), F.lit("null")))))
     df = df.withColumn("_reason", reason)
-    df = df.withColumn("_raw", F.when(F.col("_reason").isNotNull(), F.col("_raw"))).drop("_parsed", "_has_ann", "_lang_in")
+    # both Python steps in one projection: a task has one Python worker for them, and the stages of the joins have none for the stems
+    df = df.select("*", walk_record("_raw").alias("_walk"), tokens_from_words(F.col("_words"), F.col("lang")).alias("_tokens"))
+    df = df.select("*", F.col("_walk.tags").alias("_tags"), F.col("_walk.media").alias("media_urls"))
+    df = df.withColumn("_raw", F.when(F.col("_reason").isNotNull(), F.col("_raw"))).drop("_parsed", "_has_ann", "_lang_in", "_words", "_walk")
     # every field is extracted once per record; the joins below (gazetteer, text places,
     # polygons) reuse this written stage instead of re-reading and re-parsing the input, and
     # take the rows that are not rejected
@@ -304,7 +310,7 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     country = F.when(struct_branch, F.coalesce(F.col("_place_country"), own, F.col("_poly_country"))).when(
         has_loc, F.coalesce(own, F.col("_poly_country"))).otherwise(own)
     df = df.withColumn("country", country).withColumn("place", place)
-    tokens = F.array_distinct(F.concat(tokens_from_words(F.col("_words"), F.col("lang")), F.col("_tags")))
+    tokens = F.array_distinct(F.concat("_tokens", "_tags"))
     df = df.withColumn("tokens", F.array_sort(tokens))
     ok = conform(df)
     return ok, rejects
