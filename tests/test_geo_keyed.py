@@ -137,6 +137,26 @@ def test_renormalize_changes_nothing(spark):
     assert by_id(again) == by_id(first) and len(by_id(first)) == 3 and rej.count() == 0
 
 
+def test_renormalize_plans_do_not_hold_the_first_normalization(spark, monkeypatch):
+    from tidewatch.operators import normalize as N
+
+    gz = spark.createDataFrame([("Los Cabos", 23.0, -110.0)], "place string, lat double, lon double")
+    layer = spark.createDataFrame([(0, "A", "AA", [sq(0, 0, 10, 10)])],
+                                  "fid int, name string, iso2 string, rings array<array<struct<lon:double,lat:double>>>")
+    lines = [json.dumps(rec(5, user={"id": 9, "name": "n", "location": "Los Cabos"})), json.dumps(rec(6, coordinates={"coordinates": [2.0, 3.0]})),
+             json.dumps(rec(7))]
+    sizes, write = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    first, _ = N.normalize(spark.createDataFrame([(x,) for x in lines], "raw string"), gz, layer, now=datetime(2024, 1, 1))
+    again, _ = N.renormalize(first, gz, layer, now=datetime(2025, 1, 1))
+    sizes.append(len(again._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) < 200_000, sizes
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(again) == rows(first) and {r["tweetid"]: r["country"] for r in again.collect()} == {"5": None, "6": "A", "7": None}
+    table, _ = N.renormalize(write(first, "posts"), gz, layer, stored=True, now=datetime(2025, 1, 1))
+    assert rows(table) == rows(first)
+
+
 def test_country_of_repeated_keys_and_missing_points(spark):
     layer = spark.createDataFrame([(0, "S", "SS", [sq(0, -10, 10, 10)]), (1, "T", "TT", [sq(0, 1, 10, 10)])],
                                   "fid int, name string, iso2 string, rings array<array<struct<lon:double,lat:double>>>")

@@ -316,11 +316,13 @@ def normalize(raw: DataFrame, gazetteer: DataFrame | None = None, countries: Dat
     return ok, rejects
 
 
-def renormalize(df: DataFrame, gazetteer=None, countries=None, **kw) -> tuple[DataFrame, DataFrame]:
+def renormalize(df: DataFrame, gazetteer=None, countries=None, stored: bool = False, **kw) -> tuple[DataFrame, DataFrame]:
     """Re-run the normalizer over already-flat rows. The raw record is rebuilt from
     every POST_SCHEMA column (`annotations`, a point location, the author, media and earlier
     tokens as entities), so normalizing normalized rows changes nothing; one job, partitions
-    replace batches."""
+    replace batches. The rows are written first, unless `stored` says that they are read from a
+    table: the optimizer would put the expressions that make them into every field read from the record."""
+    df = conform(df) if stored else written(conform(df), "posts")
     user = [F.col(f"user_{k}").alias(k) for k in PRESERVE_USER if f"user_{k}" in schema.POST_SCHEMA.names]
     texts = F.transform("tokens", lambda t: F.struct(t.alias("text")))
     media = F.transform("media_urls", lambda u: F.struct(u.alias("media_url")))
@@ -333,7 +335,7 @@ def renormalize(df: DataFrame, gazetteer=None, countries=None, **kw) -> tuple[Da
         F.struct(*user).alias("user"),
         F.struct(texts.alias("hashtags"), media.alias("media")).alias("entities"),
     ))
-    return normalize(conform(df).select(rec.alias("raw")), gazetteer, countries, **kw)
+    return normalize(df.select(rec.alias("raw")), gazetteer, countries, **kw)
 
 
 def renormalize_into(base: DataFrame, stale: DataFrame, gazetteer=None, countries=None, key: str = "tweetid", **kw) -> tuple[DataFrame, DataFrame]:

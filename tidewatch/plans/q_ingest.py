@@ -343,7 +343,7 @@ def renormalize_tally(spark: SparkSession, sf: str) -> DataFrame:
 
     ok = written(_normalized(spark, sf)[0], "renormalize")
     half = ok.where(F.col("tweetid").cast("long") % 2 == 0)
-    merged, tally = renormalize_into(half, ok, gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), now=datetime(2024, 2, 1))
+    merged, tally = renormalize_into(half, ok, gazetteer(spark, sf), countries_from_nations(table(spark, sf, "nation")), stored=True, now=datetime(2024, 2, 1))
     return tally.unionByName(merged.agg(F.lit("rows after").alias("outcome"), F.count_distinct("tweetid").alias("n")))
 
 
